@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import html as H
 from ..functions.text import contains_any, falsy, word_count
-from .jsonld import BLOCK, schema_hits
+from .jsonld import EXACT_BLOCK, schema_hits
 
 # Words that call to action in a description.
 ACTION_WORDS = ["découvrez", "apprenez", "comprenez", "guide", "comment", "pourquoi"]
@@ -97,7 +97,7 @@ def score_response_time(seconds: Column, unknown: int = 10) -> Column:
 
 def score_structured_data(html: Column) -> Column:
     h = F.coalesce(html, F.lit(""))
-    blocks = F.regexp_extract_all(h, F.lit(BLOCK.replace(r"[^\"'>]*ld\+json", r"application/ld\+json")), F.lit(1))
+    blocks = F.regexp_extract_all(h, F.lit(EXACT_BLOCK), F.lit(1))
     hits = F.flatten(F.transform(blocks, schema_hits))
     found, rich = F.size(blocks) > 0, F.array_contains(hits, "FAQPage") | F.array_contains(hits, "HowTo")
     points = F.lit(8) + F.when(rich, 5).when(F.size(hits) >= 2, 3).otherwise(2)

@@ -9,6 +9,7 @@ from ..functions import variants as V
 from ..functions.text import contains_any, falsy, strip
 
 BLOCK = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?[^"'>]*ld\+json[^>]*>(.*?)</script"""
+EXACT_BLOCK = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json[^>]*>(.*?)</script"""
 
 # Schema types recognised by substring, in test order.
 KNOWN_TYPES = ["Organization", "Article", "FAQPage", "HowTo", "Product", "Person"]
