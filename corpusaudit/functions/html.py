@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import cut, decode_entities, falsy, squeeze, strip, text_or, title_case
+from .text import contains_any, cut, decode_entities, falsy, let, squeeze, strip, text_or, title_case
 from .urls import LANGUAGES, host, path, path_segments
 
 COMMENT = r"<!--.*?-->"
@@ -159,25 +159,24 @@ def counts(html: Column) -> Column:
 
 def clean_title(title_: Column, h1_: Column, url: Column) -> Column:
     """Readable page title without the brand part, from h1, title or the last path segment."""
-    brand = F.split(host(url), r"\.")[0]
+    text = F.when(F.length(h1_) > 10, h1_).when(F.length(title_) > 5, title_).otherwise(F.lit(""))
+    source = F.struct(text.alias("text"), F.split(host(url), r"\.")[0].alias("brand"))
 
-    def useful(t: Column) -> Column:
-        squeezed = F.replace(F.replace(F.lower(t), F.lit(" ")), F.lit("-"))
-        brand_only = squeezed.contains(brand) & (F.length(squeezed) < F.length(brand) + 5)
-        return (F.length(t) >= 3) & ~brand_only
+    def useful(t: Column, brand: Column) -> Column:
+        brand_only = lambda sq: sq.contains(brand) & (F.length(sq) < F.length(brand) + 5)
+        return (F.length(t) >= 3) & ~let(F.regexp_replace(F.lower(t), "[ -]", ""), brand_only)
+
+    def longest_part(s: Column) -> Column:
+        # Only the first separator present is applied; the longest useful part wins, the earliest on ties.
+        sep = F.coalesce(*[F.when(s["text"].contains(x), F.lit(rf"\Q{x}\E")) for x in TITLE_SEPARATORS])
+        parts = F.filter(F.transform(F.split(s["text"], sep), strip), lambda t: useful(t, s["brand"]))
+        longest = F.array_max(F.transform(parts, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t"))))
+        return F.struct(F.coalesce(longest["t"], s["text"]).alias("text"), s["brand"].alias("brand"))
 
-    text = F.when(F.length(h1_) > 10, h1_).when(F.length(title_) > 5, title_).otherwise(F.lit(""))
-    # Only the first separator present is applied; the longest useful part wins, the earliest on ties.
-    split_at = F.lit(None).cast("string")
-    for sep in reversed(TITLE_SEPARATORS):
-        split_at = F.when(text.contains(sep), F.lit(sep)).otherwise(split_at)
-    parts = F.filter(F.transform(F.split(text, F.concat(F.lit(r"\Q"), split_at, F.lit(r"\E"))), strip), useful)
-    longest = F.array_max(F.transform(parts, lambda p, i: F.struct(F.length(p).alias("n"), (-i).alias("i"), p.alias("t"))))["t"]
-    text = F.coalesce(F.when(split_at.isNotNull(), longest), text)
     segs = F.filter(path_segments(path(url)), lambda s: ~s.isin([*LANGUAGES, "www"]))
-    from_path = title_case(F.replace(F.replace(F.try_element_at(segs, F.lit(-1)), F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" ")))
-    shown = F.when(useful(text), cut(strip(text), 40)).when(F.size(segs) > 0, cut(strip(from_path), 40))
-    return F.coalesce(shown, F.lit("Accueil"))
+    named = title_case(F.translate(F.try_element_at(segs, F.lit(-1)), "-_", "  "))
+    chosen = let(let(source, longest_part), lambda s: F.when(useful(s["text"], s["brand"]), s["text"]))
+    return F.coalesce(let(strip(F.coalesce(chosen, named)), lambda t: cut(t, 40)), F.lit("Accueil"))
 
 
 def visible_text(html: Column, drop=CHROME_TAGS) -> Column:
@@ -187,11 +186,11 @@ def visible_text(html: Column, drop=CHROME_TAGS) -> Column:
 
 def main_content(html: Column) -> Column:
     """Text of ``main``, else ``article``, else a content division, else the whole page."""
-    clean = drop_elements(html, ECO_TAGS)
-    inner = F.when(clean.rlike(element_pattern("main")), element(clean, "main")) \
-        .when(clean.rlike(element_pattern("article")), element(clean, "article")) \
-        .when(clean.rlike(CONTENT_DIV), F.regexp_extract(clean, CONTENT_DIV, 1)).otherwise(clean)
-    return squeeze(decode_entities(F.regexp_replace(inner, TAG, " ")))
+    def inner(clean: Column) -> Column:
+        found = [(p, F.regexp_extract(clean, p, 1)) for p in (element_pattern("main"), element_pattern("article"), CONTENT_DIV)]
+        return F.coalesce(*[F.when(clean.rlike(p), text) for p, text in found], clean)
+
+    return squeeze(decode_entities(F.regexp_replace(let(drop_elements(html, ECO_TAGS), inner), TAG, " ")))
 
 
 def script_types(html: Column) -> Column:
@@ -241,18 +240,22 @@ def named_meta(clean: Column, name: str) -> Column:
 
 def meta_robots(html: Column) -> Column:
     """Indexing directives of a page."""
-    clean = drop_elements(html)
-    content = F.lower(attribute(named_meta(clean, "robots"), "content"))
-    entries = F.array_compact(F.array(*[
-        F.when(named_meta(clean, b) != "", F.struct(F.lit(b).alias("k"), attribute(named_meta(clean, b), "content").alias("v")))
-        for b in ROBOT_METAS]))
-    return F.struct(
-        content.contains("noindex").alias("noindex"),
-        content.contains("nofollow").alias("nofollow"),
-        content.alias("meta_content"),
-        F.map_from_entries(entries).alias("ai_meta_tags"),
-        (~content.contains("noindex")).alias("indexable"),
-    )
+    def named(tags: Column, name: str) -> Column:
+        return F.try_element_at(F.filter(tags, lambda t: F.length(named_meta(t, name)) > 0), F.lit(1))
+
+    def directives(tags: Column) -> Column:
+        bots = F.array(*[F.struct(F.lit(b).alias("k"), attribute(named(tags, b), "content").alias("v")) for b in ROBOT_METAS])
+        return F.struct(F.coalesce(F.lower(attribute(named(tags, "robots"), "content")), F.lit("")).alias("content"),
+                        F.map_from_entries(F.filter(bots, lambda e: e["v"].isNotNull())).alias("bots"))
+
+    metas = F.regexp_extract_all(drop_elements(html), F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+    return let(let(metas, directives), lambda d: F.struct(
+        d["content"].contains("noindex").alias("noindex"),
+        d["content"].contains("nofollow").alias("nofollow"),
+        d["content"].alias("meta_content"),
+        d["bots"].alias("ai_meta_tags"),
+        (~d["content"].contains("noindex")).alias("indexable"),
+    ))
 
 
 def is_html(body: Column, ctype: Column) -> Column:
@@ -269,8 +272,10 @@ def truncated_html(html: Column, n: int = 5120) -> Column:
 
 def html_fallback(html: Column, url: Column) -> Column:
     """Stand-in WebPage JSON for a page without JSON-LD."""
-    clean = drop_elements(html)
+    return let(drop_elements(html), lambda clean: _fallback_of(clean, url))
+
 
+def _fallback_of(clean: Column, url: Column) -> Column:
     def elements(tag: str, of: Column = None) -> Column:
         return F.regexp_extract_all(clean if of is None else of, F.lit(element_pattern(tag)), F.lit(1))
 
@@ -306,11 +311,9 @@ def node_label(title_: Column, url: Column, domain: Column) -> Column:
     """Short label of a page in the site graph."""
     head = strip(F.split(strip(F.coalesce(title_, F.lit(""))), r" [-|:] ")[0])
     last = F.element_at(F.split(F.regexp_replace(F.coalesce(url, F.lit("")), "/+$", ""), "/"), -1)
-    named = title_case(strip(F.replace(F.replace(last, F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" "))))
-    label = F.when(F.length(head) >= 4, head).otherwise(text_or(named, ""))
-    return F.when(F.length(F.when(label == "", text_or(domain, "Page")).otherwise(label)) > 22,
-                  F.concat(F.substring(F.when(label == "", text_or(domain, "Page")).otherwise(label), 1, 20), F.lit(".."))) \
-        .otherwise(F.when(label == "", text_or(domain, "Page")).otherwise(label))
+    named = title_case(strip(F.translate(last, "-_", "  ")))
+    label = F.coalesce(let(head, lambda t: F.when(F.length(t) >= 4, t)), F.nullif(named, F.lit("")), text_or(domain, "Page"))
+    return let(label, lambda t: cut(t, 22, "..", 20))
 
 
 def brand_dna(title_: Column, h1_: Column, description: Column) -> Column:
@@ -347,19 +350,15 @@ def trust_signals(html: Column) -> Column:
     text = decode_entities(F.regexp_replace(clean, TAG, ""))
     # The separator keeps the patterns from matching across the text and the links.
     hay = F.lower(F.concat_ws("\u0001", text, F.array_join(hrefs(html), " ")))
-    flags = [
-        F.exists(F.array(*[F.lit(w) for w in LEGAL_WORDS]), lambda w: F.contains(hay, w)),
-        F.exists(F.array(*[F.lit(w) for w in CONTACT_WORDS]), lambda w: F.contains(hay, w)),
-        hay.rlike(EMAIL),
-        hay.rlike(PHONE),
-    ]
-    return sum((F.when(f, 10).otherwise(0) for f in flags[1:]), F.when(flags[0], 10).otherwise(0))
+    points = lambda test: F.when(test, 10).otherwise(0)
+    return let(hay, lambda h: points(contains_any(h, LEGAL_WORDS)) + points(contains_any(h, CONTACT_WORDS))
+               + points(h.rlike(EMAIL)) + points(h.rlike(PHONE)))
 
 
 def social_presence(html: Column) -> Column:
     """Which social platforms the links of a page point to."""
     joined = F.lower(F.array_join(hrefs(html), "\n"))
-    return F.struct(*[joined.contains(p).alias(p) for p in SOCIAL_PLATFORMS])
+    return let(joined, lambda j: F.struct(*[j.contains(p).alias(p) for p in SOCIAL_PLATFORMS]))
 
 
 def markdown_links(md: Column) -> Column:

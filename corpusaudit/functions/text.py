@@ -23,6 +23,15 @@ NAMED_ENTITIES = {
 SPACE = r"[\s\x{A0}]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body mentions it.
+
+    Without it every mention repeats the whole expression in the plan; a few nested mentions are
+    enough to make planning slower than the query.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def falsy(c: Column) -> Column:
     """True where a text value is missing or empty."""
     return c.isNull() | (c == "")
@@ -49,9 +58,10 @@ def squeeze(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of blank-separated words; 0 for missing or blank text."""
-    t = squeeze(F.coalesce(c, F.lit("")))
-    blanks = F.length(t) - F.length(F.replace(t, F.lit(" ")))
-    return F.when(t == "", F.lit(0)).otherwise(blanks + 1)
+    def count(t: Column) -> Column:
+        return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "))) + 1)
+
+    return let(squeeze(F.coalesce(c, F.lit(""))), count)
 
 
 def cut(c: Column, n: int, tail: str = "..", keep: int | None = None) -> Column:
@@ -69,31 +79,30 @@ def title_case(c: Column) -> Column:
 
 
 def contains_any(c: Column, words) -> Column:
-    """True where any of a short fixed list of substrings occurs."""
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | c.contains(w)
-    return hit
+    """True where any of a fixed list of substrings occurs."""
+    return c.rlike("|".join(rf"\Q{w}\E" for w in words))
 
 
 def decode_entities(c: Column) -> Column:
     """Decode the fixed named entities and numeric references in one pass over the text."""
     table = F.create_map(*[F.lit(x) for kv in NAMED_ENTITIES.items() for x in kv])
-    parts = F.split(c, "&")
 
     def from_code(code: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
     def one(part: Column) -> Column:
-        name = F.regexp_extract(part, "^(#?[A-Za-z0-9]{1,8});", 1)
+        return let(F.regexp_extract(part, "^(#?[A-Za-z0-9]{1,8});", 1), lambda name: replaced(part, name))
+
+    def replaced(part: Column, name: Column) -> Column:
         rest = part.substr(F.length(name) + 2, F.length(part))
         dec = F.regexp_extract(name, "^#([0-9]{1,6})$", 1).try_cast("bigint")
         hexa = F.conv(F.regexp_extract(name, "^#[xX]([0-9A-Fa-f]{1,5})$", 1), 16, 10).try_cast("bigint")
         code = F.when(name.startswith("#"), F.coalesce(dec, hexa))
-        code = F.when((code > 0) & ~code.between(0xD800, 0xDFFF), code)
-        char = F.coalesce(F.try_element_at(table, name), from_code(code))
-        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, rest))
+        valid = lambda n: F.when((n > 0) & ~n.between(0xD800, 0xDFFF), from_code(n))
+        char = F.coalesce(F.try_element_at(table, name), let(code, valid))
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
+
+    def joined(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, "&"), lambda part, i: F.when(i == 0, part).otherwise(one(part))), "")
 
-    joined = F.array_join(
-        F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), one)), "")
-    return F.when(c.contains("&"), joined).otherwise(c)
+    return let(c, lambda t: F.when(t.contains("&"), joined(t)).otherwise(t))

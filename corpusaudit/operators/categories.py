@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.text import contains_any, text_or, title_case
+from ..functions.text import contains_any, let, text_or, title_case
 from ..plans.shapes import top_k, with_group_size
 from .links import path_title
 
@@ -28,11 +28,11 @@ def categorize(facts: DataFrame) -> DataFrame:
     """Add ``category``: the first keyword list that matches, else the first path segment, else static pages."""
     c = F.col
     path = F.lower(U.path(c("url")))
-    facts = facts.withColumn("_text", F.concat_ws(" ", path, F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("h1", F.lit("")))))
+    text = F.concat_ws(" ", path, F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("h1", F.lit(""))))
     segs = F.filter(U.path_segments(path), lambda s: ~s.isin([*U.LANGUAGES, "www"]))
-    first = title_case(F.replace(F.replace(F.get(segs, F.lit(0)), F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" ")))
-    listed = F.coalesce(*[F.when(contains_any(c("_text"), words), F.lit(name)) for name, words in CATEGORIES.items()])
-    return facts.withColumn("category", F.coalesce(listed, first, F.lit("Pages statiques"))).drop("_text")
+    first = title_case(F.translate(F.get(segs, F.lit(0)), "-_", "  "))
+    listed = let(text, lambda t: F.coalesce(*[F.when(contains_any(t, words), F.lit(name)) for name, words in CATEGORIES.items()]))
+    return facts.withColumn("category", F.coalesce(listed, first, F.lit("Pages statiques")))
 
 
 def pattern_groups(facts: DataFrame, samples: int = 50) -> DataFrame:
@@ -47,8 +47,7 @@ def pattern_groups(facts: DataFrame, samples: int = 50) -> DataFrame:
 
 def crawl_journal(facts: DataFrame, scores: DataFrame) -> DataFrame:
     """Pages by category, largest category first, with grade, shown title and path."""
-    named = categorize(facts).withColumn("shown_title", text_or(F.trim("title"), ""))
-    named = named.withColumn("shown_title", F.when(F.col("shown_title") == "", path_title(F.col("url"))).otherwise(F.col("shown_title")))
+    named = categorize(facts).withColumn("shown_title", F.coalesce(F.nullif(F.trim("title"), F.lit("")), path_title(F.col("url"))))
     sized = with_group_size(named, "category", "category_size")
     return (sized.join(scores.select("page_id", "grade"), "page_id", "left")
             .select("category", "category_size", "page_id", "grade", "shown_title", text_or(U.path(F.col("url")), "/").alias("path"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.text import squeeze
+from ..functions.text import let, squeeze
 
 # Energy per thousand tokens (kWh) and carbon intensity (gCO2 per kWh).
 KWH_PER_1K_TOKENS = 0.0004
@@ -39,8 +39,8 @@ def clean_text(html: Column) -> Column:
     h1 = squeeze(H.decode_entities(F.regexp_replace(H.element(clean, "h1"), H.TAG, " ")))
     blank = lambda c: F.nullif(c, F.lit(""))
     parts = F.concat_ws(" ", blank(head), blank(h1), blank(H.main_content(html)))
-    stand_in = parts.substr(F.lit(1), F.greatest(F.lit(100), F.floor(F.length(parts) / 10).cast("int")))
-    return F.when(parts == "", parts).otherwise(squeeze(F.concat(parts, F.lit(" "), stand_in)))
+    tenth = lambda p: F.substring(p, F.lit(1), F.greatest(F.lit(100), F.floor(F.length(p) / 10).cast("int")))
+    return squeeze(let(parts, lambda p: F.when(p == "", p).otherwise(F.concat(p, F.lit(" "), tenth(p)))))
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
-from ..functions.text import cut, strip, text_or, title_case
+from ..functions.text import cut, let, strip, text_or, title_case
 from ..plans.graph import breadth_first
 from ..plans.shapes import top_k
 
@@ -185,6 +185,5 @@ def cluster_graph(clusters: DataFrame, members: DataFrame, domain: str, per_clus
 
 def path_title(url: Column) -> Column:
     """Title made of the path where a page has none."""
-    p = text_or(U.path(url), "/")
-    made = title_case(F.replace(F.replace(F.regexp_replace(p, "^/+|/+$", ""), F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" ")))
-    return text_or(made, "Sans titre")
+    made = title_case(F.translate(F.regexp_replace(U.path(url), "^/+|/+$", ""), "-_", "  "))
+    return let(made, lambda t: text_or(t, "Sans titre"))
