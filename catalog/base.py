@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusaudit.plans.shapes import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 SURVEY: dict[str, str] = {}
@@ -26,7 +28,9 @@ def query(name: str, ids: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Page rows are dealt over the cores where they come in one split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, "page_id") if name == "pages" else df
 
 
 VIEWS: dict[str, tuple[list[str], str]] = {

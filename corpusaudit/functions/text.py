@@ -32,6 +32,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def literal_map(table: dict) -> Column:
+    """A fixed lookup table as one map literal."""
+    text = lambda x: repr(x) + "D" if isinstance(x, float) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{text(k)}, {text(v)}" for k, v in table.items()) + ")")
+
+
 def falsy(c: Column) -> Column:
     """True where a text value is missing or empty."""
     return c.isNull() | (c == "")
@@ -85,7 +91,7 @@ def contains_any(c: Column, words) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Decode the fixed named entities and numeric references in one pass over the text."""
-    table = F.create_map(*[F.lit(x) for kv in NAMED_ENTITIES.items() for x in kv])
+    table = literal_map(NAMED_ENTITIES)
 
     def from_code(code: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")

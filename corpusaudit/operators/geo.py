@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import html as H
-from ..functions.text import contains_any, falsy, word_count
+from ..functions.text import contains_any, falsy, let, word_count
 from .jsonld import EXACT_BLOCK, schema_hits
 
 # Words that call to action in a description.
@@ -98,38 +98,49 @@ def score_response_time(seconds: Column, unknown: int = 10) -> Column:
 def score_structured_data(html: Column) -> Column:
     h = F.coalesce(html, F.lit(""))
     blocks = F.regexp_extract_all(h, F.lit(EXACT_BLOCK), F.lit(1))
-    hits = F.flatten(F.transform(blocks, schema_hits))
-    found, rich = F.size(blocks) > 0, F.array_contains(hits, "FAQPage") | F.array_contains(hits, "HowTo")
-    points = F.lit(8) + F.when(rich, 5).when(F.size(hits) >= 2, 3).otherwise(2)
-    return _result(
-        F.when(found, points).otherwise(0),
-        F.when(h == "", _reco("INFO", "Données Structurées", "HTML non disponible pour analyse",
-                              "Activer la capture HTML dans le scraper pour analyse complète")),
-        F.when((h != "") & ~found, _reco("HIGH", "Données Structurées", "Aucune donnée structurée JSON-LD",
-                                         "Ajouter au minimum Organization, Article ou WebPage schema")),
-        F.when(found & ~rich & (F.size(hits) < 2), _reco("MEDIUM", "Données Structurées", "Schema basique seulement",
-                                                         "Ajouter FAQPage ou HowTo pour maximiser les citations LLM")))
+    hits = lambda bs: F.struct(F.size(bs).alias("blocks"), F.flatten(F.transform(bs, schema_hits)).alias("types"))
+
+    def facts(x: Column) -> Column:
+        rich = F.array_contains(x["types"], "FAQPage") | F.array_contains(x["types"], "HowTo")
+        return F.struct((x["blocks"] > 0).alias("found"), rich.alias("rich"), (F.size(x["types"]) >= 2).alias("several"))
+
+    def rate(x: Column) -> Column:
+        points = F.lit(8) + F.when(x["rich"], 5).when(x["several"], 3).otherwise(2)
+        return _result(
+            F.when(x["found"], points).otherwise(0),
+            F.when(h == "", _reco("INFO", "Données Structurées", "HTML non disponible pour analyse",
+                                  "Activer la capture HTML dans le scraper pour analyse complète")),
+            F.when((h != "") & ~x["found"], _reco("HIGH", "Données Structurées", "Aucune donnée structurée JSON-LD",
+                                                  "Ajouter au minimum Organization, Article ou WebPage schema")),
+            F.when(x["found"] & ~x["rich"] & ~x["several"], _reco("MEDIUM", "Données Structurées", "Schema basique seulement",
+                                                                  "Ajouter FAQPage ou HowTo pour maximiser les citations LLM")))
+
+    return let(let(let(blocks, hits), facts), rate)
 
 
 def score_semantic_structure(html: Column, clean: Column, tags: Column, h1: Column) -> Column:
     some = F.coalesce(html, F.lit("")) != ""
     n = lambda *names: H.count_tags(tags, *names)
-    h2, lists = n("h2"), n("ul", "ol")
-    points = (_steps(h2, (3, 5), (1, 3)) + _steps(lists, (3, 5), (1, 3)) + _steps(n("table"), (1, 3))
-              + _steps(n("strong", "b"), (5, 2)) + _steps(n("dt", "dd", "blockquote"), (1, 2))
-              + F.when(clean.rlike(H.BREADCRUMB), 3).otherwise(0))
+    found = F.struct(n("h2").alias("h2"), n("ul", "ol").alias("lists"), n("table").alias("tables"), n("strong", "b").alias("strong"),
+                     n("dt", "dd", "blockquote").alias("definitions"), clean.rlike(H.BREADCRUMB).alias("breadcrumb"))
     cat = "Structure Sémantique"
-    return _result(
-        F.when(some, points).when(~falsy(h1), 5).otherwise(0),
-        F.when(~some, _reco("INFO", cat, "HTML non disponible pour analyse détaillée",
-                            "Activer la capture HTML dans le scraper pour scoring complet")),
-        F.when(some & h2.between(1, 2), _reco("MEDIUM", cat, "Peu de sous-titres H2",
-                                              "Ajouter plus de H2 pour structurer le contenu (min 3)")),
-        F.when(some & (h2 == 0), _reco("HIGH", cat, "Aucun sous-titre H2", "Structurer le contenu avec des H2 clairs")),
-        F.when(some & lists.between(1, 2), _reco("MEDIUM", cat, "Peu de listes",
-                                                 "Convertir des paragraphes en listes pour faciliter l'extraction")),
-        F.when(some & (lists == 0), _reco("HIGH", cat, "Aucune liste",
-                                          "Ajouter des listes à puces ou numérotées (très important pour GEO)")))
+
+    def rate(x: Column) -> Column:
+        points = (_steps(x["h2"], (3, 5), (1, 3)) + _steps(x["lists"], (3, 5), (1, 3)) + _steps(x["tables"], (1, 3))
+                  + _steps(x["strong"], (5, 2)) + _steps(x["definitions"], (1, 2)) + F.when(x["breadcrumb"], 3).otherwise(0))
+        return _result(
+            F.when(some, points).when(~falsy(h1), 5).otherwise(0),
+            F.when(~some, _reco("INFO", cat, "HTML non disponible pour analyse détaillée",
+                                "Activer la capture HTML dans le scraper pour scoring complet")),
+            F.when(some & x["h2"].between(1, 2), _reco("MEDIUM", cat, "Peu de sous-titres H2",
+                                                       "Ajouter plus de H2 pour structurer le contenu (min 3)")),
+            F.when(some & (x["h2"] == 0), _reco("HIGH", cat, "Aucun sous-titre H2", "Structurer le contenu avec des H2 clairs")),
+            F.when(some & x["lists"].between(1, 2), _reco("MEDIUM", cat, "Peu de listes",
+                                                          "Convertir des paragraphes en listes pour faciliter l'extraction")),
+            F.when(some & (x["lists"] == 0), _reco("HIGH", cat, "Aucune liste",
+                                                   "Ajouter des listes à puces ou numérotées (très important pour GEO)")))
+
+    return let(found, rate)
 
 
 def score_content_depth(html: Column, words: Column, paragraphs: Column, links: Column) -> Column:
@@ -154,25 +165,23 @@ def entity_count(text: Column) -> Column:
 
 
 def score_entity_richness(text: Column) -> Column:
-    n = entity_count(text)
-    return _result(
+    return let(entity_count(text), lambda n: _result(
         _steps(n, (10, 10), (5, 7), (2, 4)),
         F.when(n.between(2, 4), _reco("MEDIUM", "Entités", "Peu d'entités détectées",
                                       "Ajouter des noms propres, chiffres clés, dates, lieux pour plus de contexte")),
         F.when(n < 2, _reco("HIGH", "Entités", "Manque d'entités",
-                            "Enrichir avec des données factuelles : stats, noms, dates, lieux")))
+                            "Enrichir avec des données factuelles : stats, noms, dates, lieux"))))
 
 
 def score_freshness(last_modified: Column, as_of) -> Column:
-    age = D.days_between(D.page_date(last_modified), D.as_moment(as_of))
-    return _result(
+    return let(D.days_between(D.page_date(last_modified), D.as_moment(as_of)), lambda age: _result(
         F.when(age <= 90, 5).when(age <= 180, 3).when(age <= 365, 2).otherwise(0),
         F.when(falsy(last_modified), _reco("LOW", "Fraîcheur", "Date de modification inconnue",
                                            'Ajouter balise <meta property="article:modified_time">')),
         F.when(age.between(181, 365), _reco("LOW", "Fraîcheur", "Contenu de plus de 6 mois",
                                             "Mettre à jour le contenu avec des informations récentes")),
         F.when(age > 365, _reco("MEDIUM", "Fraîcheur", F.concat(F.lit("Contenu ancien ("), age.cast("string"), F.lit(" jours)")),
-                                "Révision complète nécessaire pour rester pertinent")))
+                                "Révision complète nécessaire pour rester pertinent"))))
 
 
 def grade(total: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
-from ..functions.text import falsy, trimmed_or
+from ..functions.text import falsy, literal_map, trimmed_or
 from ..plans.shapes import latest, top_k, with_row_number
 from .jsonld import jsonld_quality
 from .pages import content_quality
@@ -51,8 +51,7 @@ class SitemapConfig:
 
 
 def _lookup(table: dict, key: Column, default) -> Column:
-    entries = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.coalesce(F.try_element_at(entries, key), F.lit(default))
+    return F.coalesce(F.try_element_at(literal_map(table), key), F.lit(default))
 
 
 def _clamp(c: Column) -> Column:

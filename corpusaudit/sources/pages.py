@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.shapes import align
+from ..plans.shapes import align, spread
 
 PAGE_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()),
@@ -30,7 +30,7 @@ REQUIRED = ["url", "content_type"]
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Page snapshot with all page columns; those the files lack are null."""
-    return align(spark.read.parquet(path), PAGE_SCHEMA)
+    return align(spread(spark.read.parquet(path), "page_id"), PAGE_SCHEMA)
 
 
 def read_pages_csv(spark: SparkSession, path: str) -> DataFrame:
