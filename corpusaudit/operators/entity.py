@@ -211,7 +211,7 @@ def predictions_by_decision(predictions: DataFrame, key: str = "entity_id") -> D
 def accepted_predictions(predictions: DataFrame, key: str = "entity_id") -> DataFrame:
     """Fields predicted with confidence above 0.7 and a value; the last prediction of a field wins."""
     good = predictions.filter((F.col("confidence") > 0.7) & ~falsy(F.col("value")))
-    return latest(good, [key, "key"], [F.desc("pos")]).select(key, "key", "value")
+    return latest(good, [key, "key"], [F.desc("pos"), F.col("value")]).select(key, "key", "value")
 
 
 def apply_predictions(docs: DataFrame, predictions: DataFrame, key: str = "entity_id") -> DataFrame:
