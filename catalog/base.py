@@ -28,9 +28,10 @@ def query(name: str, ids: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Page rows are dealt over the cores where they come in one split."""
+    """A given table. Rows of long text are dealt over the cores where they come in too few splits."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, "page_id") if name == "pages" else df
+    key = {"pages": "page_id", "documents": "doc_id"}.get(name)
+    return spread(df, key) if key else df
 
 
 VIEWS: dict[str, tuple[list[str], str]] = {

@@ -287,7 +287,7 @@ def _(spark, sf):
 def registered(spark, sf):
     names = table(spark, sf, "nation").select(c("n_name").alias("name")).unionByName(
         table(spark, sf, "customer").select(F.concat(F.lit(" "), "c_mktsegment").alias("name")).distinct()).unionByName(
-        table(spark, sf, "region").select(F.lit(" ").alias("name")))
+        table(spark, sf, "region").select(F.substring("r_name", 1, 0).alias("name")))
     return V.register_workspaces(saved(spark, sf), access(spark, sf), names)
 
 

@@ -523,28 +523,28 @@ def _(spark, sf):
     return tokens(spark, sf).select("page_id", "tokens_dirty", "tokens_clean")
 
 
-@query("token_savings", "ECO-3", f"{TOKEN_SQL} SELECT page_id, tokens_saved, round(kwh, 6) AS kwh_saved, round(co2, 2) AS co2_saved FROM saved")
+@query("token_savings", "ECO-3", f"{TOKEN_SQL} SELECT page_id, tokens_saved, CAST(printf('%.6f', CAST(kwh AS DOUBLE)) AS DOUBLE) AS kwh_saved, CAST(printf('%.2f', CAST(co2 AS DOUBLE)) AS DOUBLE) AS co2_saved FROM saved")
 def _(spark, sf):
     return eco.savings(tokens(spark, sf)).select("page_id", "tokens_saved", "kwh_saved", "co2_saved")
 
 
-@query("token_savings_annual", "ECO-4", f"""{TOKEN_SQL} SELECT page_id, tokens_saved * 36500000 AS annual_tokens_saved, round(kwh * 36500000, 2) AS annual_kwh_saved,
-  round(co2 * 36500000, 2) AS annual_co2_grammes FROM saved""")
+@query("token_savings_annual", "ECO-4", f"""{TOKEN_SQL} SELECT page_id, tokens_saved * 36500000 AS annual_tokens_saved, CAST(printf('%.2f', CAST(kwh * 36500000 AS DOUBLE)) AS DOUBLE) AS annual_kwh_saved,
+  CAST(printf('%.2f', CAST(co2 * 36500000 AS DOUBLE)) AS DOUBLE) AS annual_co2_grammes FROM saved""")
 def _(spark, sf):
     return eco.annualize(eco.savings(tokens(spark, sf))).select("page_id", "annual_tokens_saved", "annual_kwh_saved", "annual_co2_grammes")
 
 
 @query("token_savings_corpus", "ECO-4", f"""{TOKEN_SQL} SELECT CAST(count(*) AS BIGINT) AS pages, CAST(sum(tokens_saved) AS BIGINT) AS tokens_saved,
-  CAST(sum(tokens_saved) * 36500 AS BIGINT) AS annual_tokens_saved, round(CAST(sum(tokens_saved) AS BIGINT) / 1000.0::DOUBLE * 0.0004::DOUBLE * 36500, 2) AS annual_kwh_saved,
-  round(CAST(sum(tokens_saved) AS BIGINT) / 1000.0::DOUBLE * 0.0004::DOUBLE * 475 * 36500, 2) AS annual_co2_grammes FROM saved""")
+  CAST(sum(tokens_saved) * 36500 AS BIGINT) AS annual_tokens_saved, CAST(printf('%.2f', CAST(CAST(sum(tokens_saved) AS BIGINT) / 1000.0::DOUBLE * 0.0004::DOUBLE * 36500 AS DOUBLE)) AS DOUBLE) AS annual_kwh_saved,
+  CAST(printf('%.2f', CAST(CAST(sum(tokens_saved) AS BIGINT) / 1000.0::DOUBLE * 0.0004::DOUBLE * 475 * 36500 AS DOUBLE)) AS DOUBLE) AS annual_co2_grammes FROM saved""")
 def _(spark, sf):
     return eco.corpus_savings(eco.savings(tokens(spark, sf)))
 
 
 @query("token_savings_monthly", "ECO-5", f"""{TOKEN_SQL}, days AS (SELECT unnest({eco.DAYS_CUMULATED}) AS days, unnest(range(1, 13)) AS month),
-r AS (SELECT *, round(kwh, 6) AS k, round(co2, 2) AS g FROM saved)
-SELECT page_id, CAST(month AS INTEGER) AS month, tokens_saved * 100000 * days AS cumul_tokens, round(k * 100000 * days, 2) AS cumul_kwh, round(g * 100000 * days, 2) AS cumul_gco2,
-  round(g * 100000 * 365 / 1000000.0::DOUBLE, 2) AS annual_co2_tonnes, round(g * 100000 * 365 / 1000000.0::DOUBLE, 1) AS flights, round(k * 100000 * 365 / 1000.0::DOUBLE, 2) AS annual_mwh
+r AS (SELECT *, CAST(printf('%.6f', CAST(kwh AS DOUBLE)) AS DOUBLE) AS k, CAST(printf('%.2f', CAST(co2 AS DOUBLE)) AS DOUBLE) AS g FROM saved)
+SELECT page_id, CAST(month AS INTEGER) AS month, tokens_saved * 100000 * days AS cumul_tokens, CAST(printf('%.2f', CAST(k * 100000 * days AS DOUBLE)) AS DOUBLE) AS cumul_kwh, CAST(printf('%.2f', CAST(g * 100000 * days AS DOUBLE)) AS DOUBLE) AS cumul_gco2,
+  CAST(printf('%.2f', CAST(g * 100000 * 365 / 1000000.0::DOUBLE AS DOUBLE)) AS DOUBLE) AS annual_co2_tonnes, CAST(printf('%.1f', CAST(g * 100000 * 365 / 1000000.0::DOUBLE AS DOUBLE)) AS DOUBLE) AS flights, CAST(printf('%.2f', CAST(k * 100000 * 365 / 1000.0::DOUBLE AS DOUBLE)) AS DOUBLE) AS annual_mwh
 FROM r CROSS JOIN days""")
 def _(spark, sf):
     m = eco.monthly_projection(eco.savings(tokens(spark, sf)))

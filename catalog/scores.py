@@ -117,8 +117,8 @@ def _(spark, sf):
     return geo.site_scores(scored_pages(spark, sf))
 
 
-@query("content_quality", "MAP-15", f"""{FACTS} SELECT page_id, round(least(1.0::DOUBLE, CASE WHEN title <> '' THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN length(description) > 50 THEN 0.25::DOUBLE ELSE 0 END
-  + CASE WHEN h1 <> '' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN h2_count >= 2 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN has_structured_data THEN 0.15::DOUBLE ELSE 0 END), 2) AS content_quality FROM facts""")
+@query("content_quality", "MAP-15", f"""{FACTS} SELECT page_id, CAST(printf('%.2f', CAST(least(1.0::DOUBLE, CASE WHEN title <> '' THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN length(description) > 50 THEN 0.25::DOUBLE ELSE 0 END
+  + CASE WHEN h1 <> '' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN h2_count >= 2 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN has_structured_data THEN 0.15::DOUBLE ELSE 0 END) AS DOUBLE)) AS DOUBLE) AS content_quality FROM facts""")
 def _(spark, sf):
     return content_quality(facts(spark, sf)).select("page_id", "content_quality")
 
@@ -140,8 +140,8 @@ MAP_SQL = f"""{with_views('site_pages')}, s1 AS (SELECT *, lower(coalesce(nullif
   date_diff('day', try_strptime(last_modified, '%Y-%m-%d'), TIMESTAMP '2024-01-31') AS age FROM site_pages),
 s2 AS (SELECT *, CASE WHEN age <= 7 THEN 1.0::DOUBLE WHEN age <= 30 THEN 0.9::DOUBLE WHEN age <= 90 THEN 0.7::DOUBLE WHEN age <= 365 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS fresh,
   {log_score('monthly_traffic', 5)} AS traffic, {log_score('backlinks', 4)} AS links, CASE WHEN has_jsonld THEN jsonld_quality ELSE 0.0::DOUBLE END AS jld FROM s1),
-s3 AS (SELECT *, round(greatest(0, least(1, 0.25::DOUBLE * {lookup(M.SEO_WEIGHTS, 0.4)} + 0.2::DOUBLE * content_quality + 0.2::DOUBLE * traffic + 0.15::DOUBLE * links + 0.1::DOUBLE * fresh + 0.1::DOUBLE * jld)), 2) AS seo,
-  round(greatest(0, least(1, 0.3::DOUBLE * jld + 0.25::DOUBLE * content_quality + 0.2::DOUBLE * {lookup(M.GEO_WEIGHTS, 0.3)} + 0.15::DOUBLE * fresh + 0.1::DOUBLE * traffic)), 2) AS geo,
+s3 AS (SELECT *, CAST(printf('%.2f', CAST(greatest(0, least(1, 0.25::DOUBLE * {lookup(M.SEO_WEIGHTS, 0.4)} + 0.2::DOUBLE * content_quality + 0.2::DOUBLE * traffic + 0.15::DOUBLE * links + 0.1::DOUBLE * fresh + 0.1::DOUBLE * jld)) AS DOUBLE)) AS DOUBLE) AS seo,
+  CAST(printf('%.2f', CAST(greatest(0, least(1, 0.3::DOUBLE * jld + 0.25::DOUBLE * content_quality + 0.2::DOUBLE * {lookup(M.GEO_WEIGHTS, 0.3)} + 0.15::DOUBLE * fresh + 0.1::DOUBLE * traffic)) AS DOUBLE)) AS DOUBLE) AS geo,
   ct NOT IN ('legal', 'login', '404', 'redirect', 'admin') AND status = 'active' AS eligible,
   CASE WHEN ct IN ('news', 'blog') THEN 'daily' WHEN ct IN ('product', 'event', 'job') THEN 'weekly' WHEN fresh >= 0.9::DOUBLE THEN 'daily' WHEN fresh >= 0.7::DOUBLE THEN 'weekly'
     WHEN fresh >= 0.5::DOUBLE THEN 'monthly' ELSE 'yearly' END AS freq FROM s2),
@@ -205,7 +205,7 @@ def _(spark, sf):
 
 
 @query("sitemap_stats", "MAP-11", f"""{MAP_SQL}, l AS (SELECT {ENTRY.format(p='seo')} FROM s WHERE eligible)
-SELECT 'total' AS dimension, '' AS value, CAST(count(*) AS BIGINT) AS count, round(avg(priority), 3) AS avg_priority FROM l
+SELECT 'total' AS dimension, '' AS value, CAST(count(*) AS BIGINT) AS count, CAST(printf('%.3f', CAST(avg(priority) AS DOUBLE)) AS DOUBLE) AS avg_priority FROM l
 UNION ALL SELECT 'content_type', content_type, count(*), NULL FROM l GROUP BY content_type UNION ALL SELECT 'changefreq', changefreq, count(*), NULL FROM l GROUP BY changefreq""")
 def _(spark, sf):
     return M.sitemap_stats(M.seo_sitemap(site_pages(spark, sf), CFG))
@@ -235,14 +235,13 @@ def _(spark, sf):
     return view(spark, sf, "cluster_labels").select("cluster_id", M.content_type_of(c("schema_type")).alias("content_type"))
 
 
-MEMBERS = "SELECT 1 + page_id % (SELECT CAST(count(*) AS BIGINT) FROM supplier) AS cluster_id, page_id, url FROM pages"
+MEMBERS = "SELECT 1 + page_id % 100 AS cluster_id, page_id, url FROM pages"
 TYPES_CTE = f"""members AS ({MEMBERS}), typed AS (SELECT m.url, max_by(CASE schema_type WHEN 'JobPosting' THEN 'job' WHEN 'Product' THEN 'product' WHEN 'Article' THEN 'article' WHEN 'FAQPage' THEN 'faq' ELSE 'page' END, m.cluster_id) AS content_type,
   bool_or(cluster_id % 2 = 0) AS has_optimized FROM members m JOIN cluster_labels USING (cluster_id) GROUP BY m.url)"""
 
 
 def clustered_types(spark, sf):
-    n = table(spark, sf, "supplier").agg(F.count("*").alias("n"))
-    members = table(spark, sf, "pages").join(F.broadcast(n)).select((F.lit(1) + c("page_id") % c("n")).alias("cluster_id"), "url")
+    members = table(spark, sf, "pages").select((F.lit(1) + c("page_id") % 100).alias("cluster_id"), "url")
     labels = view(spark, sf, "cluster_labels").withColumn("optimized", F.when(c("cluster_id") % 2 == 0, "{}"))
     return M.page_types(members, labels)
 
@@ -255,8 +254,8 @@ def _(spark, sf):
 @query("sitemap_from_crawl", "SRC-3", f"""{FACTS}, cluster_labels AS ({with_views('cluster_labels').split(' AS (', 1)[1][:-1]}), {TYPES_CTE}
 SELECT page_id, f.url, coalesce(content_type, 'page') AS content_type, has_structured_data AS has_jsonld,
   CASE WHEN has_optimized THEN 0.85::DOUBLE WHEN has_structured_data THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS jsonld_quality,
-  round(least(1.0::DOUBLE, CASE WHEN title <> '' THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN length(description) > 50 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN h1 <> '' THEN 0.2::DOUBLE ELSE 0 END
-  + CASE WHEN h2_count >= 2 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN has_structured_data THEN 0.15::DOUBLE ELSE 0 END), 2) AS content_quality,
+  CAST(printf('%.2f', CAST(least(1.0::DOUBLE, CASE WHEN title <> '' THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN length(description) > 50 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN h1 <> '' THEN 0.2::DOUBLE ELSE 0 END
+  + CASE WHEN h2_count >= 2 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN has_structured_data THEN 0.15::DOUBLE ELSE 0 END) AS DOUBLE)) AS DOUBLE) AS content_quality,
   CAST(0 AS BIGINT) AS monthly_traffic, CAST(0 AS BIGINT) AS backlinks, NULL::VARCHAR AS last_modified FROM facts f LEFT JOIN typed USING (url)""")
 def _(spark, sf):
     return M.pages_to_sitemap(facts(spark, sf), clustered_types(spark, sf))
@@ -430,7 +429,7 @@ DOC_PAGES = "SELECT doc_id AS page_id, 'site' || CAST(doc_id % 25 AS STRING) AS
 FOOT_SQL = f"""{with_views('jsonld_docs')}, b AS ({DOC_PAGES}), t AS (SELECT *, block <> '{{broken' AS ok, page_id % 4 AS k FROM b),
 ty AS (SELECT DISTINCT site, unnest(CASE k WHEN 0 THEN ['Product'] WHEN 1 THEN ['Product', 'Article'] WHEN 2 THEN ['Organization', 'WebPage'] ELSE ['Event'] END) AS type FROM t WHERE ok),
 foot AS (SELECT site, CAST(count(*) AS BIGINT) AS pages_analyzed, CAST(count(*) FILTER (ok) AS BIGINT) AS pages_with_jsonld, CAST(coalesce(sum(CASE WHEN ok AND k = 2 THEN 2 ELSE 0 END), 0) AS BIGINT) AS same_as_count,
-  bool_or(ok AND k = 2) AS has_organization, round(count(*) FILTER (ok) / count(*)::DOUBLE * 100, 1) AS jsonld_percentage FROM t GROUP BY site),
+  bool_or(ok AND k = 2) AS has_organization, CAST(printf('%.1f', CAST(count(*) FILTER (ok) / count(*)::DOUBLE * 100 AS DOUBLE)) AS DOUBLE) AS jsonld_percentage FROM t GROUP BY site),
 names AS (SELECT site, CAST(count(*) AS BIGINT) AS nb_types, string_agg(type, '|' ORDER BY type) AS schema_types FROM ty GROUP BY site)"""
 
 
@@ -476,7 +475,7 @@ def _(spark, sf):
 @query("authority_semantic_vector", "AUTH-5", f"""WITH parts AS (SELECT label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 m AS (SELECT label, i, avg(x::DOUBLE) AS mx FROM parts GROUP BY label, i),
 d AS (SELECT p.vec_id, sum(mx * x::DOUBLE) / (sqrt(sum(mx * mx)) * sqrt(sum(x::DOUBLE * x::DOUBLE))) AS s FROM parts p JOIN m USING (label, i) GROUP BY p.vec_id)
-SELECT vec_id, round(s, 4) AS similarity, round({sim_sql('greatest(0.0::DOUBLE, s)')}, 1) AS score FROM d""")
+SELECT vec_id, CAST(printf('%.4f', CAST(s AS DOUBLE)) AS DOUBLE) AS similarity, CAST(printf('%.1f', CAST({sim_sql('greatest(0.0::DOUBLE, s)')} AS DOUBLE)) AS DOUBLE) AS score FROM d""")
 def _(spark, sf):
     e = table(spark, sf, "embeddings")
     means = authority.mean_vectors(e, "label", "embedding").withColumnRenamed("embedding", "site_vec")
@@ -486,8 +485,8 @@ def _(spark, sf):
 TARGET = "'the of and ' || source || ' mission services la de le ' || lang"
 
 
-@query("authority_semantic_lexical", "AUTH-6", f"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS a, list_distinct(regexp_extract_all(lower({TARGET}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS b FROM documents)
-SELECT doc_id, round(len(list_intersect(a, b))::DOUBLE / len(b), 4) AS similarity, round(len(list_intersect(a, b))::DOUBLE / len(b) * 100, 1) AS score FROM t""")
+@query("authority_semantic_lexical", "AUTH-6", f"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS a, list_distinct(regexp_extract_all(lower({TARGET}), '[\\p{{L}}\\p{{N}}_]+')) AS b FROM documents)
+SELECT doc_id, CAST(printf('%.4f', CAST(len(list_intersect(a, b))::DOUBLE / len(b) AS DOUBLE)) AS DOUBLE) AS similarity, CAST(printf('%.1f', CAST(len(list_intersect(a, b))::DOUBLE / len(b) * 100 AS DOUBLE)) AS DOUBLE) AS score FROM t""")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", authority.lexical_overlap(c("text"), F.expr(TARGET)).alias("o")).select("doc_id", "o.*")
 
@@ -495,7 +494,7 @@ def _(spark, sf):
 @query("authority_site_text", "AUTH-7", f"""WITH p AS (SELECT page_id, {S.host('url')} AS site, url, html FROM pages QUALIFY row_number() OVER (PARTITION BY {S.host('url')} ORDER BY page_id) <= 3),
 t AS (SELECT page_id, url, text FROM ({S.visible_staged('p')})),
 j AS (SELECT {S.host('url')} AS site, string_agg(text, ' ' ORDER BY page_id) AS text FROM t WHERE text <> '' GROUP BY 1)
-SELECT site, md5(text) AS digest, CAST({S.rcount('text', '[' + chr(92) + 'p{L}' + chr(92) + 'p{M}' + chr(92) + 'p{N}_]+')} AS BIGINT) AS site_tokens FROM j""")
+SELECT site, md5(text) AS digest, CAST({S.rcount('text', authority.WORD)} AS BIGINT) AS site_tokens FROM j""")
 def _(spark, sf):
     return authority.site_text(table(spark, sf, "pages"), 3).select("site", F.md5("text").alias("digest"), "site_tokens")
 
@@ -505,7 +504,7 @@ k AS (SELECT * FROM d WHERE d IS NOT NULL QUALIFY row_number() OVER (PARTITION B
 fr AS (SELECT site, CAST(count(*) AS BIGINT) AS pages_with_dates, avg(CASE WHEN d < TIMESTAMP '{AS_OF}' THEN date_diff('day', d, TIMESTAMP '{AS_OF}') END) AS a, max(d) AS l FROM k GROUP BY site)"""
 
 
-@query("authority_freshness", "AUTH-8", f"""{FRESH_SQL} SELECT site, pages_with_dates, round(a, 1) AS avg_age_days, strftime(l, '%Y-%m-%d') AS last_publication, round(greatest(0, least(100, 100 - a / 10)), 1) AS score FROM fr""")
+@query("authority_freshness", "AUTH-8", f"""{FRESH_SQL} SELECT site, pages_with_dates, CAST(printf('%.1f', CAST(a AS DOUBLE)) AS DOUBLE) AS avg_age_days, strftime(l, '%Y-%m-%d') AS last_publication, CAST(printf('%.1f', CAST(greatest(0, least(100, 100 - a / 10)) AS DOUBLE)) AS DOUBLE) AS score FROM fr""")
 def _(spark, sf):
     return authority.freshness_pillar(view(spark, sf, "sitemap_dates"), AS_OF)
 
@@ -513,7 +512,7 @@ def _(spark, sf):
 PILLAR_ROWS = """SELECT c_name AS entity, c_mktsegment AS grp, CAST(c_custkey * 7 % 101 AS DOUBLE) AS kg, CAST(c_custkey * 13 % 101 AS DOUBLE) AS sd, CAST(c_custkey * 3 % 101 AS DOUBLE) AS ca,
   CAST(c_custkey * 29 % 101 AS DOUBLE) AS sc, CAST(c_custkey * 17 % 101 AS DOUBLE) AS cf, c_custkey AS k FROM customer"""
 INDEX_SQL = f"""WITH r AS ({PILLAR_ROWS}), idx AS (SELECT entity, grp, kg, CASE WHEN k % 5 = 0 THEN 0 ELSE sd END AS sd, ca, sc, CASE WHEN k % 3 = 0 THEN 0 ELSE cf END AS cf FROM r),
-tot AS (SELECT *, round(CAST(kg * 0.3::DOUBLE + sd * 0.25::DOUBLE + ca * 0.2::DOUBLE + sc * 0.15::DOUBLE + cf * 0.1::DOUBLE AS DECIMAL(38, 15)), 1)::DOUBLE AS overall_score FROM idx)"""
+tot AS (SELECT *, CAST(printf('%.1f', kg * 0.3::DOUBLE + sd * 0.25::DOUBLE + ca * 0.2::DOUBLE + sc * 0.15::DOUBLE + cf * 0.1::DOUBLE) AS DOUBLE)::DOUBLE AS overall_score FROM idx)"""
 
 
 def index(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import html as H
+from ..functions.numbers import round_to
 from ..functions.urls import host
 from ..plans.shapes import top_k
 
@@ -52,6 +53,10 @@ RECO_TEXTS = {
 }
 
 
+# Letters, digits and underscore of any script.
+WORD = r"[\p{L}\p{N}_]+"
+
+
 def kg_pillar(features: DataFrame) -> DataFrame:
     """Add ``score`` to knowledge-graph features: 0 without an identifier, 5 without data."""
     points = (F.col("nb_properties") * 2 + F.when(F.col("has_wikipedia"), 20).otherwise(0) + F.col("nb_references") * 5
@@ -107,20 +112,20 @@ def semantic_pillar_vec(pairs: DataFrame, site_vec: str, target_vec: str) -> Dat
     a, b = F.col(site_vec), F.col(target_vec)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     sim = F.when(norms > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms))).otherwise(F.lit(0.0))
-    return (pairs.withColumn("_sim", sim).withColumn("score", F.round(similarity_to_score(F.col("_sim")), 1))
-            .withColumn("similarity", F.round("_sim", 4)).drop("_sim"))
+    return (pairs.withColumn("_sim", sim).withColumn("score", round_to(similarity_to_score(F.col("_sim")), 1))
+            .withColumn("similarity", round_to("_sim", 4)).drop("_sim"))
 
 
 def words(text: Column) -> Column:
     """Distinct lower-case words."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)))
 
 
 def lexical_overlap(text: Column, target: Column) -> Column:
     """Share of the target's words that occur in the text, and the score of that share."""
     t, s = words(target), words(text)
     sim = F.when((F.size(t) == 0) | (F.size(s) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(s, t)) / F.size(t))
-    return F.struct(F.round(sim, 4).alias("similarity"), F.round(sim * 100, 1).alias("score"))
+    return F.struct(round_to(sim, 4).alias("similarity"), round_to(sim * 100, 1).alias("score"))
 
 
 def site_text(pages: DataFrame, limit: int = 10) -> DataFrame:
@@ -134,7 +139,7 @@ def site_text(pages: DataFrame, limit: int = 10) -> DataFrame:
     # At most ``limit`` texts per site.
     joined = texts.filter("t <> ''").groupBy("site").agg(F.array_sort(F.collect_list(F.struct("page_id", "t"))).alias("_p"))
     text = F.array_join(F.transform("_p", lambda p: p["t"]), " ")
-    return joined.select("site", text.alias("text")).withColumn("site_tokens", F.regexp_count("text", F.lit(r"(?U)\w+")).cast("long"))
+    return joined.select("site", text.alias("text")).withColumn("site_tokens", F.regexp_count("text", F.lit(WORD)).cast("long"))
 
 
 def freshness_pillar(dates: DataFrame, as_of, limit: int | None = 50) -> DataFrame:
@@ -150,9 +155,9 @@ def freshness_pillar(dates: DataFrame, as_of, limit: int | None = 50) -> DataFra
     a = d.groupBy("site").agg(F.count("*").alias("pages_with_dates"), F.avg(age).alias("_avg"), F.max("d").alias("_last"))
     known = F.col("_avg").isNotNull()
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - F.col("_avg") / 10))
-    return a.select("site", "pages_with_dates", F.round("_avg", 1).alias("avg_age_days"),
+    return a.select("site", "pages_with_dates", round_to("_avg", 1).alias("avg_age_days"),
                     F.when(known, F.date_format("_last", "yyyy-MM-dd")).alias("last_publication"),
-                    F.when(known, F.round(score, 1)).otherwise(F.lit(0.0)).alias("score"))
+                    F.when(known, round_to(score, 1)).otherwise(F.lit(0.0)).alias("score"))
 
 
 def authority_index(entities: DataFrame, pillars: dict[str, DataFrame], key: str = "entity") -> DataFrame:
@@ -165,7 +170,7 @@ def authority_index(entities: DataFrame, pillars: dict[str, DataFrame], key: str
             out = out.withColumn(name, F.lit(None).cast("double"))
     out = out.fillna(0.0, [n for n, _, _ in PILLARS])
     first, *rest = [F.col(n) * F.lit(w) for n, w, _ in PILLARS]
-    out = out.withColumn("overall_score", F.round(sum(rest, first), 1))
+    out = out.withColumn("overall_score", round_to(sum(rest, first), 1))
     return out.withColumn("interpretation", interpretation(F.col("overall_score")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions.numbers import round_to
 from ..functions.text import let, squeeze
 
 # Energy per thousand tokens (kWh) and carbon intensity (gCO2 per kWh).
@@ -55,15 +56,15 @@ def savings(tokens: DataFrame) -> DataFrame:
     df = tokens.withColumn("tokens_saved", saved)
     df = df.withColumn("kwh_exact", F.col("tokens_saved") / F.lit(1000.0) * F.lit(KWH_PER_1K_TOKENS))
     df = df.withColumn("co2_exact", F.col("kwh_exact") * F.lit(GCO2_PER_KWH))
-    return df.withColumn("kwh_saved", F.round("kwh_exact", 6)).withColumn("co2_saved", F.round("co2_exact", 2))
+    return df.withColumn("kwh_saved", round_to("kwh_exact", 6)).withColumn("co2_saved", round_to("co2_exact", 2))
 
 
 def annualize(saved: DataFrame, total_pages: int = 1000, daily_views: int = 100) -> DataFrame:
     """Yearly totals of every page's savings, extrapolated to a site of ``total_pages``."""
     year = total_pages * daily_views * 365
     return (saved.withColumn("annual_tokens_saved", F.col("tokens_saved") * year)
-            .withColumn("annual_kwh_saved", F.round(F.col("kwh_exact") * year, 2))
-            .withColumn("annual_co2_grammes", F.round(F.col("co2_exact") * year, 2)))
+            .withColumn("annual_kwh_saved", round_to(F.col("kwh_exact") * year, 2))
+            .withColumn("annual_co2_grammes", round_to(F.col("co2_exact") * year, 2)))
 
 
 def corpus_savings(saved: DataFrame, daily_views: int = 100, site: str | None = None) -> DataFrame:
@@ -73,8 +74,8 @@ def corpus_savings(saved: DataFrame, daily_views: int = 100, site: str | None =
     tokens = F.sum("tokens_saved")
     return saved.groupBy(*keys).agg(
         F.count("*").alias("pages"), tokens.alias("tokens_saved"), (tokens * year).alias("annual_tokens_saved"),
-        F.round(tokens / F.lit(1000.0) * KWH_PER_1K_TOKENS * year, 2).alias("annual_kwh_saved"),
-        F.round(tokens / F.lit(1000.0) * KWH_PER_1K_TOKENS * GCO2_PER_KWH * year, 2).alias("annual_co2_grammes"))
+        round_to(tokens / F.lit(1000.0) * KWH_PER_1K_TOKENS * year, 2).alias("annual_kwh_saved"),
+        round_to(tokens / F.lit(1000.0) * KWH_PER_1K_TOKENS * GCO2_PER_KWH * year, 2).alias("annual_co2_grammes"))
 
 
 def monthly_projection(saved: DataFrame, total_pages: int = 1000, daily_views: int = 100) -> DataFrame:
@@ -82,10 +83,10 @@ def monthly_projection(saved: DataFrame, total_pages: int = 1000, daily_views: i
     day = F.lit(total_pages * daily_views)
     months = F.array(*[F.struct(F.lit(i + 1).alias("month"), F.lit(d).alias("days")) for i, d in enumerate(DAYS_CUMULATED)])
     tonnes = F.col("co2_saved") * day * 365 / F.lit(1000000.0)
-    rows = (saved.withColumn("annual_co2_tonnes", F.round(tonnes, 2)).withColumn("flights", F.round(tonnes, 1))
-            .withColumn("annual_mwh", F.round(F.col("kwh_saved") * day * 365 / F.lit(1000.0), 2))
+    rows = (saved.withColumn("annual_co2_tonnes", round_to(tonnes, 2)).withColumn("flights", round_to(tonnes, 1))
+            .withColumn("annual_mwh", round_to(F.col("kwh_saved") * day * 365 / F.lit(1000.0), 2))
             .withColumn("_m", F.explode(months)))
     by_day = lambda c: F.col(c) * day * F.col("_m.days")
     return (rows.withColumn("month", F.col("_m.month")).withColumn("cumul_tokens", by_day("tokens_saved"))
-            .withColumn("cumul_kwh", F.round(by_day("kwh_saved"), 2)).withColumn("cumul_gco2", F.round(by_day("co2_saved"), 2))
+            .withColumn("cumul_kwh", round_to(by_day("kwh_saved"), 2)).withColumn("cumul_gco2", round_to(by_day("co2_saved"), 2))
             .drop("_m"))

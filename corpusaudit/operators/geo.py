@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import html as H
+from ..functions.numbers import round_to
 from ..functions.text import contains_any, falsy, let, word_count
 from .jsonld import EXACT_BLOCK, schema_hits
 
@@ -86,7 +87,7 @@ def score_h1(h1: Column) -> Column:
 def score_response_time(seconds: Column, unknown: int = 10) -> Column:
     """``unknown`` points where the time was not measured; the crawler counts that as 0 seconds."""
     points = F.when(seconds.isNull(), unknown).when(seconds < 0.5, 10).when(seconds < 1, 7).when(seconds < 2, 4).otherwise(1)
-    shown = lambda label: F.concat(F.lit(label + " ("), F.format_string("%.2f", seconds), F.lit("s)"))
+    shown = lambda label: F.concat(F.lit(label + " ("), F.format_string("%.2f", round_to(seconds, 2)), F.lit("s)"))
     return _result(
         points,
         F.when((seconds >= 1) & (seconds < 2), _reco("MEDIUM", "Performance", shown("Temps de réponse lent"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
+from ..functions.numbers import round_to
 from ..functions.text import contains_any, falsy, strip
 
 BLOCK = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?[^"'>]*ld\+json[^>]*>(.*?)</script"""
@@ -138,7 +139,7 @@ def structured_footprint(pages: DataFrame, blocks: DataFrame, site: str = "site"
         F.max(F.coalesce(F.array_contains("types", "Organization"), F.lit(False))).alias("has_organization"))
     types = (joined.select(site, F.explode("types").alias("type")).distinct()
              .groupBy(site).agg(F.count("*").alias("nb_types"), F.array_sort(F.collect_list("type")).alias("schema_types")))
-    share = F.round(F.col("pages_with_jsonld") / F.col("pages_analyzed") * 100, 1)
+    share = round_to(F.col("pages_with_jsonld") / F.col("pages_analyzed") * 100, 1)
     return (sums.join(types, site, "left")
             .withColumn("nb_types", F.coalesce("nb_types", F.lit(0)))
             .withColumn("schema_types", F.coalesce("schema_types", F.array().cast("array<string>")))
@@ -199,7 +200,7 @@ def jsonld_quality(doc: Column, optimized: Column) -> Column:
     v = V.parse(doc)
     o = V.as_object(v)
     filled = F.size(F.filter(F.map_values(o), V.is_truthy)).cast("double")
-    base = (F.when(~V.is_truthy(v), F.lit(0.0)).when(o.isNotNull(), F.round(filled / F.size(o), 2))
+    base = (F.when(~V.is_truthy(v), F.lit(0.0)).when(o.isNotNull(), round_to(filled / F.size(o), 2))
             .when(V.as_list(v).isNotNull(), F.lit(0.6)).otherwise(F.lit(0.4)))
     base = F.coalesce(base, F.lit(0.0))
     return F.when(F.coalesce(optimized, F.lit(False)), F.greatest(base, F.lit(0.85))).otherwise(base)

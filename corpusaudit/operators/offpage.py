@@ -65,23 +65,25 @@ def matches(concepts: DataFrame, mentions: DataFrame) -> DataFrame:
     """(brand, concept, mention_id): concepts found, whatever the case, in title or description.
 
     A text containing a concept contains the concept's first letters. Concepts are keyed by those
-    and texts by all their short substrings, so the search is an equi-join on (brand, key) with the
-    exact test as residual condition, not a comparison of every text with every concept.
+    and texts by all their substrings of that length, so the search is an equi-join on (brand, key)
+    with the exact test afterwards, not a comparison of every text with every concept. The exploded
+    rows carry keys only; texts are joined back to the candidates.
     """
     c = concepts.select("brand", "concept", F.lower("concept").alias("_needle")).distinct()
     c = c.withColumn("_key", F.substring("_needle", 1, GRAM))
-    m = mentions.select("brand", "mention_id", F.lower("title").alias("_t"), F.lower("descr").alias("_d"))
+    # At most GRAM + 1 numbers: the key lengths in use.
+    lengths = [r[0] for r in c.select(F.length("_key")).distinct().collect()]
+    m = mentions.select("brand", "mention_id", F.lower(F.coalesce("title", F.lit(""))).alias("_t"), F.lower(F.coalesce("descr", F.lit(""))).alias("_d"))
 
-    def grams(text: Column) -> Column:
-        spots = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-        return F.flatten(F.transform(spots, lambda i: F.array(*[text.substr(i, F.lit(n)) for n in range(1, GRAM + 1)])))
+    def grams(text: Column, n: int) -> Column:
+        spots = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(spots, lambda i: text.substr(i, F.lit(n)))
 
-    both = F.array_distinct(F.concat(grams(F.coalesce("_t", F.lit(""))), grams(F.coalesce("_d", F.lit("")))))
-    # Only keys that start some concept are worth a row; shorter concepts are keyed whole.
-    keyed = m.withColumn("_key", F.explode(F.array_append(F.array_remove(both, ""), F.lit("")))).join(
-        c.select("brand", "_key").distinct(), ["brand", "_key"], "left_semi")
+    keys = F.array_distinct(F.concat(*[grams(F.col(t), n) for n in lengths for t in ("_t", "_d")]))
+    keyed = m.select("brand", "mention_id", F.explode(keys).alias("_key"))
+    near = keyed.join(c, ["brand", "_key"]).select("brand", "concept", "_needle", "mention_id")
     hit = F.col("_t").contains(F.col("_needle")) | F.col("_d").contains(F.col("_needle"))
-    return keyed.join(c, ["brand", "_key"]).filter(hit).select("brand", "concept", "mention_id").distinct()
+    return near.join(m.drop("brand"), "mention_id").filter(hit).select("brand", "concept", "mention_id")
 
 
 def concept_mentions(concepts: DataFrame, mentions: DataFrame, shown: int = 3) -> DataFrame:

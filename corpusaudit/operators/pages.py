@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
+from ..functions.numbers import round_to
 from ..functions.text import falsy, word_count
 from . import jsonld
 
@@ -68,6 +69,6 @@ def content_quality(facts: DataFrame) -> DataFrame:
     parts = [(~falsy(c("title")), 0.25), (F.length("description") > 50, 0.25), (~falsy(c("h1")), 0.20),
              (c("h2_count") >= 2, 0.15), (c("has_structured_data"), 0.15)]
     total = sum((F.when(test, w).otherwise(0.0) for test, w in parts[1:]), F.when(parts[0][0], parts[0][1]).otherwise(0.0))
-    return facts.withColumn("content_quality", F.round(F.least(F.lit(1.0), total), 2))
+    return facts.withColumn("content_quality", round_to(F.least(F.lit(1.0), total), 2))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions.numbers import round_to
 from ..functions.text import falsy, literal_map, trimmed_or
 from ..plans.shapes import latest, top_k, with_row_number
 from .jsonld import jsonld_quality
@@ -91,7 +92,7 @@ def _trusted_jsonld() -> Column:
 
 def _weighted(*parts) -> Column:
     first, *rest = [F.lit(w) * c for w, c in parts]
-    return F.round(_clamp(sum(rest, first)), 2)
+    return round_to(_clamp(sum(rest, first)), 2)
 
 
 def seo_priority(as_of) -> Column:
@@ -151,7 +152,7 @@ def sitemap_stats(entries: DataFrame) -> DataFrame:
     """Total and mean priority, and counts by type and by change frequency, from one pass over the list."""
     dims = entries.select("content_type", "changefreq", "priority")
     sets = dims.groupingSets([[], ["content_type"], ["changefreq"]], "content_type", "changefreq").agg(
-        F.count("*").alias("count"), F.round(F.avg("priority"), 3).alias("avg_priority"), F.grouping_id().alias("_set"))
+        F.count("*").alias("count"), round_to(F.avg("priority"), 3).alias("avg_priority"), F.grouping_id().alias("_set"))
     kind = F.when(F.col("_set") == 3, "total").when(F.col("_set") == 1, "content_type").otherwise("changefreq")
     return sets.select(kind.alias("dimension"), F.coalesce("content_type", "changefreq", F.lit("")).alias("value"), "count",
                        F.when(kind == "total", F.col("avg_priority")).alias("avg_priority"))
