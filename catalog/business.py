@@ -110,11 +110,14 @@ def _(spark, sf):
 PRED = with_views("predictions")
 
 
-@query("prediction_decisions", "ENT-10", f"{PRED} SELECT entity_id, decision, CAST(count(*) AS BIGINT) AS fields, string_agg(key || '=' || value, '|' ORDER BY pos, key, value) AS items FROM predictions GROUP BY entity_id, decision")
+@query("prediction_decisions", "ENT-10", f"{PRED} SELECT entity_id, decision, pos, key, value, round(confidence, 6) AS confidence FROM predictions")
 def _(spark, sf):
-    g = E.predictions_by_decision(view(spark, sf, "predictions"))
-    items = F.transform("items", lambda s: F.concat(s["key"], F.lit("="), s["value"]))
-    return g.select("entity_id", "decision", "fields", F.array_join(items, "|").alias("items"))
+    return E.predictions_by_decision(view(spark, sf, "predictions")).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("prediction_decision_counts", "ENT-10", f"""{PRED} SELECT entity_id, {', '.join(f"CAST(count(*) FILTER (decision = '{d}') AS BIGINT) AS {d}" for d in E.DECISIONS)} FROM predictions GROUP BY entity_id""")
+def _(spark, sf):
+    return E.decision_counts(view(spark, sf, "predictions"))
 
 
 ACCEPTED = f"""{PRED}, a AS (SELECT entity_id, key, value FROM predictions WHERE confidence > 0.7::DOUBLE AND value <> '' QUALIFY row_number() OVER (PARTITION BY entity_id, key ORDER BY pos DESC, value) = 1),

@@ -254,12 +254,15 @@ PAYLOAD = f"""{FACTS}, g AS (SELECT site, page_id, {S.group('url')} AS grp FROM
 gc AS (SELECT site, count(*) AS k, sum(least(n, 2)) AS s, sum(n) AS c FROM gs GROUP BY site)"""
 
 
-@query("snapshot_payload", "SAVE-14", f"""{PAYLOAD} SELECT n.site, n.site AS nom_site, CAST(least(n, 3) AS INTEGER) AS crawl_pages_count, CAST(k AS INTEGER) AS geo_clusters_count, CAST(s AS BIGINT) AS samples, CAST(c AS BIGINT) AS grouped, CAST(2 AS INTEGER) AS jsonld_models_count
+@query("snapshot_payload", "SAVE-14", f"""{PAYLOAD} SELECT n.site, n.site AS nom_site, CAST(least(n, 3) AS BIGINT) AS crawl_pages_count, CAST(k AS BIGINT) AS geo_clusters_count, CAST(2 AS BIGINT) AS jsonld_models_count
 FROM n JOIN gc USING (site)""")
 def _(spark, sf):
-    p = payload(spark, sf)
-    total = lambda f: F.aggregate("clusters", F.lit(0).cast("long"), lambda a, x: a + f(x))
-    return p.select("site", "nom_site", "crawl_pages_count", "geo_clusters_count", total(lambda x: F.size(x["samples"])).alias("samples"), total(lambda x: x["count"]).alias("grouped"), "jsonld_models_count")
+    return payload(spark, sf)["sites"].drop("crawl_pages")
+
+
+@query("snapshot_groups", "SAVE-14", f"""{PAYLOAD} SELECT site, grp AS "group", CAST(n AS BIGINT) AS count, CAST(least(n, 2) AS INTEGER) AS samples FROM gs""")
+def _(spark, sf):
+    return payload(spark, sf)["groups"].withColumn("samples", F.size("samples"))
 
 
 def payload(spark, sf):
@@ -273,4 +276,4 @@ def payload(spark, sf):
 @query("snapshot_append", "SRC-11", f"""{PAYLOAD}, sv AS ({with_views('saves').split(' AS (', 1)[1][:-1]}) SELECT save_id, user_email, workspace, site_url FROM sv
 UNION ALL SELECT '202401311000-' || site, 'a@b.fr', 'Non classé', 'https://' || site FROM n""")
 def _(spark, sf):
-    return saves.append_save(view(spark, sf, "saves"), payload(spark, sf), " A@b.fr", "", "2024-01-31 10:00").select("save_id", "user_email", "workspace", "site_url")
+    return saves.append_save(view(spark, sf, "saves"), payload(spark, sf)["sites"], " A@b.fr", "", "2024-01-31 10:00").select("save_id", "user_email", "workspace", "site_url")

@@ -33,6 +33,7 @@ UNEQUAL_LENGTH = 0.85
 SEMANTIC_MAX = (5 / 6 * 5 + 1) / 6
 SLACK = 1e-9
 MAX_KEYS = 64
+LONG_PATH = 10
 SPLIT_ROWS = 1024
 
 
@@ -116,9 +117,9 @@ def block_recipes(lengths: list[int], threshold: float) -> dict[int, list[tuple[
     are cut into one part more than mismatches allowed, one of which must agree whole.
     """
     need = url_budget(threshold)
-    if need <= SLACK:
-        return {n: [("all", [], 0.0)] for n in lengths}
     recipes: dict[int, list] = {n: [] for n in lengths}
+    if need <= SLACK:
+        return recipes
     for i, n in enumerate(lengths):
         for m in lengths[i:]:
             if n == 0:
@@ -129,8 +130,9 @@ def block_recipes(lengths: list[int], threshold: float) -> dict[int, list[tuple[
             c = math.ceil(need / scale * m - SLACK)
             if c > n:
                 continue
-            kept = list(combinations(range(n), c))
-            if len(kept) > MAX_KEYS:
+            if math.comb(n, c) <= MAX_KEYS:
+                kept = list(combinations(range(n), c))
+            else:
                 parts = n - c + 1
                 edges = [round(j * n / parts) for j in range(parts + 1)]
                 kept = [tuple(range(edges[j], edges[j + 1])) for j in range(parts)]
@@ -143,9 +145,14 @@ def block_recipes(lengths: list[int], threshold: float) -> dict[int, list[tuple[
 
 
 def with_blocks(sigs: DataFrame, threshold: float) -> DataFrame:
-    """One row per signature and block key: adds (block, url_low), the url similarity any two members reach."""
-    # Path lengths are a handful of small numbers, whatever the corpus.
-    lengths = sorted(r[0] for r in sigs.select(F.size("pattern")).distinct().collect())
+    """One row per signature and block key: adds (block, url_low), the url similarity any two members reach.
+
+    Paths longer than ``LONG_PATH`` and those that can still match one are filed, on top, under every
+    (position, segment) among their first positions: one more of these than may differ.
+    """
+    # At most LONG_PATH + 1 small numbers, whatever the corpus.
+    length = F.size("pattern")
+    lengths = sorted(r[0] for r in sigs.filter(length <= LONG_PATH).select(length).distinct().collect())
     arms = []
     for n, recipe in block_recipes(lengths, threshold).items():
         keys = [F.struct(F.concat_ws("/", F.lit(name), *[F.get("pattern", F.lit(p)) for p in positions]).alias("block"),
@@ -156,6 +163,15 @@ def with_blocks(sigs: DataFrame, threshold: float) -> DataFrame:
     keyed = none
     for n, keys in arms:
         keyed = F.when(F.size("pattern") == n, keys).otherwise(keyed)
+    need = url_budget(threshold)
+    if need > SLACK:
+        may_differ = F.floor(length * F.lit(1.0 - need) + F.lit(SLACK)).cast("int")
+        spots = F.transform(F.slice("pattern", F.lit(1), may_differ + 1), lambda s, i: F.struct(
+            F.concat(F.lit("long-"), i.cast("string"), F.lit("/"), s).alias("block"), F.lit(0.0).alias("url_low")))
+        reach = math.ceil(need / UNEQUAL_LENGTH * (LONG_PATH + 1) - SLACK)
+        keyed = F.concat(keyed, F.when(length >= reach, spots).otherwise(none))
+    else:
+        keyed = F.array(F.struct(F.lit("all").alias("block"), F.lit(0.0).alias("url_low")))
     return sigs.withColumn("_k", F.explode(keyed)).select("*", "_k.block", "_k.url_low").drop("_k")
 
 

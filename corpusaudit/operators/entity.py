@@ -201,11 +201,14 @@ def url_sector(url: Column) -> Column:
 
 
 def predictions_by_decision(predictions: DataFrame, key: str = "entity_id") -> DataFrame:
-    """Predicted fields per entity and decision; the fields of one entity are few."""
-    return (predictions.filter(F.col("decision").isin(DECISIONS)).groupBy(key, "decision").agg(
-        F.count("*").alias("fields"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "key", "value", "confidence"))),
-                    lambda s: F.struct(s["key"].alias("key"), s["value"].alias("value"), s["confidence"].alias("confidence"))).alias("items")))
+    """Predicted fields with a known decision, one row each; the decision is the group."""
+    return predictions.filter(F.col("decision").isin(DECISIONS)).select(key, "decision", "pos", "key", "value", "confidence")
+
+
+def decision_counts(predictions: DataFrame, key: str = "entity_id") -> DataFrame:
+    """Fields per entity and decision."""
+    known = predictions.filter(F.col("decision").isin(DECISIONS))
+    return known.groupBy(key).agg(*[F.count_if(F.col("decision") == d).alias(d) for d in DECISIONS])
 
 
 def accepted_predictions(predictions: DataFrame, key: str = "entity_id") -> DataFrame:

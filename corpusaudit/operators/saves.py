@@ -198,42 +198,45 @@ def replace_access(access: DataFrame, new_rows: DataFrame) -> DataFrame:
     return kept.select("user_email", "workspace_name").unionByName(n.filter("workspace_name <> ''").distinct())
 
 
-def build_payload(facts: DataFrame, groups: DataFrame, models: DataFrame, max_pages: int = 180, max_samples: int = 50) -> DataFrame:
-    """One snapshot row per site: light pages, url groups with light samples, cluster models and their counts.
+def build_payload(facts: DataFrame, groups: DataFrame, models: DataFrame, max_pages: int = 180, max_samples: int = 50) -> dict[str, DataFrame]:
+    """Snapshot of every site as three tables: ``sites`` with the first light pages and all counts, ``groups``
+    with light samples per url group, and ``models`` per cluster.
 
     ``groups`` holds (site, group, page_id), ``models`` (site, cluster_id, model_name, schema_type,
-    page_count, delta, validated). Every list is cut to its size before it is gathered. Group
-    tables and models are as many as a site has page templates.
+    page_count, delta, validated). Lists are cut to their size before they are gathered; groups and
+    models, of which a site may have any number, stay rows.
     """
     light = light_pages(facts)
-    page = F.struct(*[c for c in light.columns if c not in ("page_id", "site")])
-    chosen = top_k(facts.select("site", "page_id"), ["site"], [F.col("page_id")], max_pages)
-    gather = lambda df, by, col, name: df.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("page_id", F.to_json(col).alias("j")))), lambda s: s["j"]).alias(name))
-    crawl = gather(light.join(chosen, ["site", "page_id"]), ["site"], page, "crawl_pages")
+    page = F.to_json(F.struct(*[c for c in light.columns if c not in ("page_id", "site")]))
+
+    def first_pages(rows: DataFrame, by: list[str], n: int, name: str) -> DataFrame:
+        chosen = top_k(rows.select(*by, "page_id"), by, [F.col("page_id")], n)
+        shown = light.select("page_id", page.alias("json")).join(chosen, "page_id")
+        listed = F.array_sort(F.collect_list(F.struct("page_id", "json")))
+        return shown.groupBy(*by).agg(F.transform(listed, lambda s: s["json"]).alias(name))
+
     sizes = groups.groupBy("site", "group").agg(F.count("*").alias("count"))
-    some = top_k(groups.select("site", "group", "page_id"), ["site", "group"], [F.col("page_id")], max_samples)
-    samples = gather(light.join(some, ["site", "page_id"]), ["site", "group"], page, "samples")
-    grouped = sizes.join(samples, ["site", "group"]).groupBy("site").agg(
-        F.array_sort(F.collect_list(F.struct(F.substring("group", 1, 80).alias("name"), "count", "samples"))).alias("clusters"))
-    modelled = models.groupBy("site").agg(F.array_sort(F.collect_list(
-        F.struct("cluster_id", F.coalesce("model_name", F.lit("Cluster")).alias("model_name"),
-                 F.coalesce("schema_type", F.lit("WebPage")).alias("schema_type"), "page_count", "delta", "validated"))).alias("models"))
-    j = crawl.join(grouped, "site", "left").join(modelled, "site", "left")
-    count = lambda c: F.coalesce(F.size(c), F.lit(0))
-    return j.select("site", F.substring(site_name(F.col("site")), 1, 200).alias("nom_site"), "crawl_pages", "clusters", "models",
-                    count("crawl_pages").alias("crawl_pages_count"), count("clusters").alias("geo_clusters_count"),
-                    count("models").alias("jsonld_models_count"))
+    samples = first_pages(groups, ["site", "group"], max_samples, "samples")
+    grouped = sizes.join(samples, ["site", "group"]).withColumn("group", F.substring("group", 1, 80))
+    named = models.withColumn("model_name", F.coalesce("model_name", F.lit("Cluster"))) \
+        .withColumn("schema_type", F.coalesce("schema_type", F.lit("WebPage")))
+    crawl = first_pages(facts, ["site"], max_pages, "crawl_pages")
+    n_groups = sizes.groupBy("site").agg(F.count("*").alias("geo_clusters_count"))
+    n_models = models.groupBy("site").agg(F.count("*").alias("jsonld_models_count"))
+    sites = crawl.join(n_groups, "site", "left").join(n_models, "site", "left").select(
+        "site", site_name(F.col("site")).alias("nom_site"), "crawl_pages", F.size("crawl_pages").cast("long").alias("crawl_pages_count"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("geo_clusters_count", "jsonld_models_count")])
+    return {"sites": sites, "groups": grouped, "models": named}
 
 
 def append_save(saves: DataFrame, payload: DataFrame, user: str, ws: str, created_at: str) -> DataFrame:
-    """Add a new version per site of a payload to the snapshot table."""
+    """Add a new version per site of a payload's ``sites`` to the snapshot table."""
     version = F.concat(F.lit(created_at.replace("-", "").replace(" ", "").replace(":", "")), F.lit("-"), F.col("site"))
     cells = {
         "save_id": version, "user_email": F.lit((user or "").strip().lower()), "workspace": F.lit((ws or "").strip() or DEFAULT_WORKSPACE),
         "site_url": F.substring(F.concat(F.lit("https://"), F.col("site")), 1, 500), "created_at": F.lit(created_at),
-        "geo_data": F.to_json(F.struct("clusters", "geo_clusters_count")), "master_json": F.lit(""),
-        "jsonld_data": F.when(F.col("jsonld_models_count") > 0, F.to_json(F.struct("models"))),
+        "geo_data": F.to_json(F.struct("crawl_pages_count", "geo_clusters_count")), "master_json": F.lit(""),
+        "jsonld_data": F.when(F.col("jsonld_models_count") > 0, F.to_json(F.struct("jsonld_models_count"))),
     }
     return saves.unionByName(payload.select(*[cells[c].alias(c) if c in cells else F.lit(None).cast("string").alias(c) for c in saves.columns]))
 

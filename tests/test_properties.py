@@ -103,7 +103,7 @@ def test_clusters_match_all_pairs(spark, threshold, seed, hot):
     rnd = random.Random(seed)
     rows = []
     for i in range(140):
-        n = 3 if hot and i % 2 else rnd.choice([0, 1, 2, 3, 4, 5, 6])
+        n = 3 if hot and i % 2 else rnd.choice([0, 1, 2, 3, 4, 5, 6, 9, 10, 11, 13])
         pattern = [rnd.choice("ab") if j < 2 else rnd.choice(["a", "b", "{slug}", f"u{i}"]) for j in range(n)]
         tags = {t: rnd.choice([1, 5, 6]) if t in ("h2", "section") else rnd.choice([0, 1, 1, 1]) for t in cluster.TOLERANCES}
         sem = {"p": rnd.choice([0, 1, 10, 12, 40, 90]), "lists": rnd.choice([1, 2, 9]), "images": rnd.choice([0, 1, 30]), "has_form": int(tags["form"] > 0),
