@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, sql
+from . import bpe, sharding, sql
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -13,3 +14,9 @@ __all__ = ["ORACLE", "QUERIES"]
 @query("op8_jump_shards", sql.JUMP_SHARDS)
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_byte_bpe")
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                       public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
