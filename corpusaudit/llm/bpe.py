@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cached_property
 
 import duckdb
@@ -14,27 +14,34 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import slices
+from .arrays import raw, slices
 
 #: A vocabulary beyond this many bytes of tokens is refused: every task keeps one.
 MAX_VOCABULARY = 64 << 20
 #: Words a worker remembers between slices, and bytes of text that a slice has at most.
 REMEMBERED, SLICE = 300_000, 4 << 20
-#: Words per recursive query, and the length in bytes beyond which a single word is contracted by a heap instead.
-PER_QUERY, LONG = 40_000, 4096
+#: Words per recursive query, sum of their squared lengths (the rounds keep so many ids), and the length in
+#: bytes beyond which a single word is contracted by a heap instead.
+PER_QUERY, SQUARES, LONG = 40_000, 40_000_000, 4096
+#: A space before white space or at the end: the text then doesn't fall into words at every space.
+HARD = regex.compile(r" (?:[\s\x1c-\x1f]|$)").search
+#: The first letter beyond the Latin blocks whose letters all libraries agree on.
+LATIN = "\u0250"
+#: Ids as characters, to cut and compare runs of them as strings.
+CHARACTER = 0x10000
 
 CONTRACT = """
-WITH RECURSIVE step(word, toks) USING KEY (word) AS (
-  SELECT word, toks FROM start
-  UNION
-  SELECT s.word, list_concat(list_concat(list_slice(s.toks, 1, b.spot - 1), [b.id]), list_slice(s.toks, b.spot + 2, len(s.toks)))
+WITH RECURSIVE step(round, word, toks) AS (
+  SELECT 0, word, toks FROM start
+  UNION ALL
+  SELECT s.round + 1, s.word, list_concat(list_concat(list_slice(s.toks, 1, b.spot - 1), [b.id]), list_slice(s.toks, b.spot + 2, len(s.toks)))
   FROM step s JOIN (
     SELECT word, CAST(min(first) // 65536 AS INTEGER) AS id, min(first) % 65536 AS spot FROM (
       SELECT word, CAST(m.id AS BIGINT) * 65536 + spot AS first FROM (
         SELECT word, unnest(list_slice(toks, 1, len(toks) - 1)) AS l, unnest(list_slice(toks, 2, len(toks))) AS r, unnest(range(1, len(toks))) AS spot
         FROM step) p JOIN merges m ON m.pair = CAST(p.l AS BIGINT) * 4294967296 + p.r)
     GROUP BY word) b ON b.word = s.word)
-SELECT word, toks FROM step"""
+SELECT s.word, s.toks FROM step s JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) last ON last.word = s.word AND last.round = s.round"""
 
 DECODE = """
 SELECT word, list(body ORDER BY pos) AS parts
@@ -49,7 +56,7 @@ def read_ranks(path: str) -> list[bytes]:
     if [r for r, _ in by_rank] != list(range(len(by_rank))):
         raise ValueError("ranks have gaps")
     tokens = [t for _, t in by_rank]
-    if sum(map(len, tokens)) > MAX_VOCABULARY:
+    if sum(map(len, tokens)) > MAX_VOCABULARY or len(tokens) > 0xF0000:
         raise ValueError("the vocabulary is too large to be kept by every task")
     return tokens
 
@@ -62,7 +69,8 @@ class Codec:
         self.pieces = regex.compile(pattern).findall
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-        self.spelled: dict[bytes, bytes] = {}
+        self.joined: dict[str, bytes] = {}
+        self.spelled: dict[str, bytes] = {}
 
     @cached_property
     def spaced(self) -> np.ndarray:
@@ -99,8 +107,11 @@ class Codec:
                 yield w, self.by_heap(w)
             else:
                 short.append(w)
-        for begin in range(0, len(short), PER_QUERY):
-            part = short[begin:begin + PER_QUERY]
+        weight = np.cumsum([0, *(len(w) ** 2 for w in short)])
+        begin = 0
+        while begin < len(short):
+            end = min(begin + PER_QUERY, max(begin + 1, int(np.searchsorted(weight, weight[begin] + SQUARES, side="right")) - 1))
+            part, begin = short[begin:end], end
             ends = np.cumsum([0, *map(len, part)]).astype(np.int32)
             toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(byte[np.frombuffer(b"".join(part), np.uint8)]))
             out = self.rows("start", pa.table({"word": pa.array(range(len(part)), pa.int32()), "toks": toks}), CONTRACT)
@@ -125,11 +136,24 @@ class Codec:
                     heapq.heappush(heap, (r, k, part[k] + part[nxt[k]]))
         return np.array([self.rank[p] for p in part if p], np.int32).tobytes()
 
-    def learn(self, memory: dict[str, bytes], found: Iterable[str], lead: str) -> None:
-        """Encode new words; a word's pieces are those of the pattern."""
-        split = {w: [p.encode() for p in self.pieces(lead + w)] for w in found}
-        ids = dict(self.contract(list({p for ps in split.values() for p in ps})))
-        memory.update((w, b"".join(map(ids.__getitem__, ps))) for w, ps in split.items())
+    def learn(self, memory: dict[str, bytes], found: set[str], lead: str) -> None:
+        """Encode new words. A word's pieces are those of the pattern; Latin letters with signs after them need no match."""
+        split = {}
+        for w in found:
+            stem = w.rstrip(".,;:!?")
+            if not (stem.isalpha() and max(stem) < LATIN):
+                split[w] = self.pieces(lead + w)
+            elif len(stem) == len(w):
+                split[w] = (lead + w,)
+            else:
+                split[w] = (lead + stem, w[len(stem):])
+        pieces: set[str] = set()
+        pieces.update(*split.values())
+        pieces -= self.joined.keys()
+        spelled = {p.encode(): p for p in pieces}
+        self.joined.update((spelled[b], ids) for b, ids in self.contract(list(spelled)))
+        ids = self.joined.__getitem__
+        memory.update((w, ids(ps[0]) if len(ps) == 1 else b"".join(map(ids, ps))) for w, ps in split.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as int32 bytes.
@@ -140,10 +164,12 @@ class Codec:
         if len(self.first) + len(self.later) > REMEMBERED:
             self.first.clear()
             self.later.clear()
-        cut = []
+        if len(self.joined) > 2 * REMEMBERED:
+            self.joined.clear()
+        cut, found = [], []
         for t in texts:
             ws = t.split(" ")
-            if len(ws) > 1 and any(not w or w[0].isspace() for w in ws):
+            if HARD(t):
                 joined = [ws[0]]
                 for w in ws[1:]:
                     if not w or w[0].isspace():
@@ -152,33 +178,40 @@ class Codec:
                         joined.append(w)
                 ws = joined
             cut.append(ws)
-        self.learn(self.first, {ws[0] for ws in cut} - self.first.keys(), "")
-        fresh: set[str] = set()
-        for ws in cut:
-            fresh.update(ws[1:])
-        self.learn(self.later, fresh - self.later.keys(), " ")
-        later = self.later.__getitem__
-        return [self.first[ws[0]] + b"".join(map(later, ws[1:])) for ws in cut]
+            found.append([self.first.get(ws[0]), *map(self.later.get, ws[1:])])
+        self.learn(self.first, {ws[0] for ws, ids in zip(cut, found) if ids[0] is None}, "")
+        self.learn(self.later, {w for ws, ids in zip(cut, found) if None in ids for w, i in zip(ws[1:], ids[1:]) if i is None}, " ")
+        for ws, ids in zip(cut, found):
+            if None in ids:
+                ids[0] = self.first[ws[0]]
+                ids[1:] = [self.later[w] if i is None else i for w, i in zip(ws[1:], ids[1:])]
+        return list(map(b"".join, found))
 
     def decode(self, texts: list[np.ndarray]) -> list[bytes]:
         """Bytes of every list of ids; ids are cut before tokens that begin with a space, and each distinct run is decoded once."""
         if len(self.spelled) > REMEMBERED:
             self.spelled.clear()
-        cut, fresh = [], set()
+        self.spelled[""] = b""
+        cut, found, fresh = [], [], set()
         for ids in texts:
-            at = np.concatenate([[0], np.flatnonzero(self.spaced[ids[1:]]) + 1, [len(ids)] if len(ids) else []]).astype(np.int64) * 4
-            body = ids.astype(np.int32).tobytes()
-            ws = [body[b:e] for b, e in zip(at[:-1].tolist(), at[1:].tolist())]
-            fresh.update(ws)
+            at = np.flatnonzero(self.spaced[ids])
+            line = np.zeros(len(ids) + len(at), "<u4")
+            line[np.arange(len(ids)) + np.cumsum(self.spaced[ids])] = ids + CHARACTER
+            ws = line.tobytes().decode("utf-32-le").split("\0")
+            bodies_ = list(map(self.spelled.get, ws))
+            if None in bodies_:
+                fresh.update(w for w, b in zip(ws, bodies_) if b is None)
             cut.append(ws)
-        new = list(fresh - self.spelled.keys())
+            found.append(bodies_)
+        new = list(fresh)
         for begin in range(0, len(new), PER_QUERY):
             part = new[begin:begin + PER_QUERY]
-            ends = np.cumsum([0, *(len(w) // 4 for w in part)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(part), np.int32)))
+            ends = np.cumsum([0, *map(len, part)]).astype(np.int32)
+            flat = np.frombuffer("".join(part).encode("utf-32-le"), "<u4").astype(np.int32) - CHARACTER
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             out = self.rows("coded", pa.table({"word": pa.array(range(len(part)), pa.int32()), "ids": ids}), DECODE)
-            self.spelled.update((part[w], b"".join(ps)) for w, ps in zip(out["word"].to_pylist(), out["parts"].to_pylist()))
-        return [b"".join(map(self.spelled.__getitem__, ws)) for ws in cut]
+            self.spelled.update(zip(map(part.__getitem__, out["word"].to_pylist()), spans(out["parts"])))
+        return [b"".join(self.spelled[w] if b is None else b for w, b in zip(ws, bodies_)) if None in bodies_ else b"".join(bodies_) for ws, bodies_ in zip(cut, found)]
 
 
 def bodies(lists: pa.ChunkedArray) -> list[bytes]:
@@ -191,6 +224,16 @@ def bodies(lists: pa.ChunkedArray) -> list[bytes]:
     return out
 
 
+def spans(lists: pa.ChunkedArray) -> list[bytes]:
+    """The joined members of every list of binaries: they lie side by side."""
+    out = []
+    for chunk in lists.chunks:
+        body, offsets = raw(chunk.values)
+        at, data = offsets[chunk.offsets.to_numpy()].tolist(), body.tobytes()
+        out += [data[b:e] for b, e in zip(at[:-1], at[1:])]
+    return out
+
+
 _CODECS: dict[tuple, Codec] = {}
 
 
