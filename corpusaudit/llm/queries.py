@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, repeats, sharding, sql
+from . import bpe, neardup, repeats, sharding, sql
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -25,3 +25,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_run_index_dedup")
 def op7_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op3_near_duplicates", sql.NEAR_DUPLICATES)
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, similar=(85, 100))

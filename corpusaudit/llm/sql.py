@@ -27,3 +27,24 @@ SELECT c.doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(sh
   ROW_NUMBER() OVER (PARTITION BY shard ORDER BY c.doc_id, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
 FROM crcs c JOIN placed p ON p.doc_id IS NOT DISTINCT FROM c.doc_id
 """
+
+#: Words by splitting at the six white-space bytes after A-Z became lower case; pairs meet over shared shingles; the closure runs until nothing is reached anew.
+NEAR_DUPLICATES = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ \\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM split),
+classes AS MATERIALIZED (SELECT MIN(doc_id) AS doc_id, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), len(s)),
+items AS (SELECT doc_id, n, unnest(s) AS g FROM classes),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, x.n AS n, y.n AS m, COUNT(*) AS i FROM items x JOIN items y ON x.g = y.g AND x.doc_id < y.doc_id
+  WHERE 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * i >= 85 * (n + m - i)),
+mutual AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM classes UNION SELECT r.a, l.b FROM reach r JOIN mutual l ON l.a = r.b),
+low AS (SELECT a, MIN(b) AS component_id FROM reach GROUP BY a)
+SELECT t.doc_id, CAST(len(t.s) AS BIGINT) AS n_shingles, COALESCE(w.component_id, t.doc_id) AS component_id, t.doc_id = COALESCE(w.component_id, t.doc_id) AS kept
+FROM sets t LEFT JOIN classes c ON len(t.s) > 0 AND c.s = list_sort(t.s) LEFT JOIN low w ON w.a = c.doc_id
+"""
