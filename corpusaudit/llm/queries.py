@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, repeats, sharding, sql
+from . import bpe, decontaminate, neardup, repeats, sharding, sql
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -30,3 +30,8 @@ def op7_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_near_duplicates", sql.NEAR_DUPLICATES)
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, similar=(85, 100))
+
+
+@query("op6_benchmark_fm_index", sql.BENCHMARK)
+def op6_benchmark_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

@@ -48,3 +48,23 @@ low AS (SELECT a, MIN(b) AS component_id FROM reach GROUP BY a)
 SELECT t.doc_id, CAST(len(t.s) AS BIGINT) AS n_shingles, COALESCE(w.component_id, t.doc_id) AS component_id, t.doc_id = COALESCE(w.component_id, t.doc_id) AS kept
 FROM sets t LEFT JOIN classes c ON len(t.s) > 0 AND c.s = list_sort(t.s) LEFT JOIN low w ON w.a = c.doc_id
 """
+
+#: Windows as joined words; a document's strings of the same numbers of words meet them by equality.
+BENCHMARK = """
+WITH lower_docs AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM documents),
+item_words AS (SELECT item_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+windows AS MATERIALIZED (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (
+  SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM item_words WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM lower_docs, lengths WHERE len(w) >= n)),
+found AS MATERIALIZED (SELECT doc_id, item_id, g.n, i FROM grams g JOIN windows x ON x.g = g.g AND x.n = g.n),
+hits AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (
+  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(items, '')) AS items_sha256,
+  COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(d.w) AS contaminated
+FROM lower_docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id
+"""
