@@ -6,6 +6,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -19,7 +20,7 @@ from .arrays import raw, slices
 #: A vocabulary beyond this many bytes of tokens is refused: every task keeps one.
 MAX_VOCABULARY = 64 << 20
 #: Words a worker remembers between slices, and bytes of text that a slice has at most.
-REMEMBERED, SLICE = 300_000, 4 << 20
+REMEMBERED, SLICE = 500_000, 4 << 20
 #: Words per recursive query, sum of their squared lengths (the rounds keep so many ids), and the length in
 #: bytes beyond which a single word is contracted by a heap instead.
 PER_QUERY, SQUARES, LONG = 40_000, 40_000_000, 4096
@@ -27,6 +28,7 @@ PER_QUERY, SQUARES, LONG = 40_000, 40_000_000, 4096
 HARD = regex.compile(r" (?:[\s\x1c-\x1f]|$)").search
 #: The first letter beyond the Latin blocks whose letters all libraries agree on.
 LATIN = "\u0250"
+SIGNS = ".,;:!?"
 #: Ids as characters, to cut and compare runs of them as strings.
 CHARACTER = 0x10000
 
@@ -138,22 +140,30 @@ class Codec:
 
     def learn(self, memory: dict[str, bytes], found: set[str], lead: str) -> None:
         """Encode new words. A word's pieces are those of the pattern; Latin letters with signs after them need no match."""
-        split = {}
+        split, plain = {}, {}
         for w in found:
-            stem = w.rstrip(".,;:!?")
-            if not (stem.isalpha() and max(stem) < LATIN):
+            stem = w.rstrip(SIGNS)
+            if not stem.isalpha() or not (stem.isascii() or max(stem) < LATIN):
                 split[w] = self.pieces(lead + w)
-            elif len(stem) == len(w):
-                split[w] = (lead + w,)
             else:
-                split[w] = (lead + stem, w[len(stem):])
-        pieces: set[str] = set()
-        pieces.update(*split.values())
-        pieces -= self.joined.keys()
-        spelled = {p.encode(): p for p in pieces}
-        self.joined.update((spelled[b], ids) for b, ids in self.contract(list(spelled)))
-        ids = self.joined.__getitem__
-        memory.update((w, ids(ps[0]) if len(ps) == 1 else b"".join(map(ids, ps))) for w, ps in split.items())
+                plain[w] = stem
+        pieces = {p for ps in split.values() for p in ps}
+        pieces.update(w[len(stem):] for w, stem in plain.items() if len(w) > len(stem))
+        spelled = {p.encode(): (self.joined, p) for p in pieces.difference(self.joined)}
+        for stem in set(plain.values()).difference(memory):
+            spelled[(lead + stem).encode()] = memory, stem
+        for piece, ids in self.contract(list(spelled)):
+            into, name = spelled[piece]
+            into[name] = ids
+        signs = self.joined
+        for w, stem in plain.items():
+            if len(w) > len(stem):
+                memory[w] = memory[stem] + signs[w[len(stem):]]
+        for w, ps in split.items():
+            memory[w] = b"".join([self.ids_of(p, memory, lead) for p in ps])
+
+    def ids_of(self, piece: str, memory: dict[str, bytes], lead: str) -> bytes:
+        return self.joined[piece] if piece in self.joined else memory[piece.removeprefix(lead)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as int32 bytes.
@@ -161,11 +171,8 @@ class Codec:
         Where a space stands before a character that is no white space, the pattern always begins a piece, so
         a text falls into words there; a word that begins with white space is joined to the one before.
         """
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first.clear()
-            self.later.clear()
-        if len(self.joined) > 2 * REMEMBERED:
-            self.joined.clear()
+        for memory in (self.first, self.later, self.joined):
+            forget(memory)
         cut, found = [], []
         for t in texts:
             ws = t.split(" ")
@@ -183,14 +190,12 @@ class Codec:
         self.learn(self.later, {w for ws, ids in zip(cut, found) if None in ids for w, i in zip(ws[1:], ids[1:]) if i is None}, " ")
         for ws, ids in zip(cut, found):
             if None in ids:
-                ids[0] = self.first[ws[0]]
-                ids[1:] = [self.later[w] if i is None else i for w, i in zip(ws[1:], ids[1:])]
+                ids[:] = [self.first[ws[0]], *map(self.later.__getitem__, ws[1:])]
         return list(map(b"".join, found))
 
     def decode(self, texts: list[np.ndarray]) -> list[bytes]:
         """Bytes of every list of ids; ids are cut before tokens that begin with a space, and each distinct run is decoded once."""
-        if len(self.spelled) > REMEMBERED:
-            self.spelled.clear()
+        forget(self.spelled)
         self.spelled[""] = b""
         cut, found, fresh = [], [], set()
         for ids in texts:
@@ -211,7 +216,14 @@ class Codec:
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             out = self.rows("coded", pa.table({"word": pa.array(range(len(part)), pa.int32()), "ids": ids}), DECODE)
             self.spelled.update(zip(map(part.__getitem__, out["word"].to_pylist()), spans(out["parts"])))
-        return [b"".join(self.spelled[w] if b is None else b for w, b in zip(ws, bodies_)) if None in bodies_ else b"".join(bodies_) for ws, bodies_ in zip(cut, found)]
+        return [b"".join(map(self.spelled.__getitem__, ws) if None in bodies_ else bodies_) for ws, bodies_ in zip(cut, found)]
+
+
+def forget(memory: dict) -> None:
+    """Drop the older half of a memory that has grown beyond its bound."""
+    if len(memory) > REMEMBERED:
+        for k in list(islice(memory, len(memory) // 2)):
+            del memory[k]
 
 
 def bodies(lists: pa.ChunkedArray) -> list[bytes]:
