@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, repeats, sharding, sql
+from . import bpe, decontaminate, neardup, quality, repeats, sharding, sql
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -35,3 +35,8 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_benchmark_fm_index", sql.BENCHMARK)
 def op6_benchmark_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
