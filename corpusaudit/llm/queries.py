@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, quality, repeats, sharding, sql
+from . import bpe, decontaminate, neardup, ordermin, quality, repeats, sharding, sql
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -40,3 +40,8 @@ def op6_benchmark_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_quality")
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+@query("op9_order_min_hash")
+def op9_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.order_min_hash(table(spark, sf_dir, "documents"))
