@@ -1,10 +1,64 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``: each takes (spark, docs, sf_dir) and works on all that came before."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusaudit.llm import bpe, decontaminate, neardup, quality, repeats
+from corpusaudit.plans.shapes import checkpoint
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject (a score of 0.3 or more). Labels of held-out rows are not used."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~quality.held_out())
+    model = quality.train(docs, labels)
+    return quality.score(docs, model, to="_score").filter("_score >= 0.3").select(*docs.columns)
+
+
+def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest key. Shingles of five words, a similarity of 0.8 or more."""
+    gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passage_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that a smaller document has in a string of 50; characters cut in part go too."""
+    cut = repeats.remove_repeats(docs)
+    return cut.withColumn("text", repeats.readable(F.col("kept"))).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated: a twentieth of their words or more in benchmark windows."""
+    found = decontaminate.find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and digests of the ids and of what they decode to."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
+    return coded.select("doc_id", "ids", *bpe.digest_columns())
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("MinHash near-dedup", near_duplicate_filter),
+    ("suffix-array dedup", repeated_passage_filter),
+    ("benchmark decontamination", benchmark_filter),
+    ("byte-level BPE encoding and decoding", tokenize),
+]
+
+#: Classifier and byte-level cuts are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; what a stage keeps is fixed in the shared folder before the next one reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = checkpoint(docs)
+    return docs

@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import raw, slices
@@ -299,9 +299,13 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", to
     return coded.mapInArrow(run, f"{kinds}, {to} binary")
 
 
+def digest_columns() -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 from ids and decoded bytes."""
+    return [F.size("ids").cast("long").alias("n_tokens"),
+            F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+            F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every whole text: encoded, and decoded again from the ids."""
-    coded = decode(encode(docs, ranks_path, pattern, key, text), ranks_path, pattern)
-    return coded.select(key, F.size("ids").cast("long").alias("n_tokens"),
-                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decode(encode(docs, ranks_path, pattern, key, text), ranks_path, pattern).select(key, *digest_columns())
