@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, ordermin, quality, repeats, sharding, sql
+from . import bpe, decontaminate, neardup, ordermin, quality, repeats, sharding, sql, training_order
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -45,3 +45,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_order_min_hash")
 def op9_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.order_min_hash(table(spark, sf_dir, "documents"))
+
+
+@query("op2_training_order")
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(table(spark, sf_dir, "documents"), key=20240131)
