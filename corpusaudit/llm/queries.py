@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, ordermin, quality, repeats, sharding, sql, training_order
+from . import bpe, decontaminate, langid, neardup, ordermin, quality, repeats, sharding, sql, training_order
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -50,3 +50,8 @@ def op9_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_training_order")
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.materialise(table(spark, sf_dir, "documents"), key=20240131)
+
+
+@query("op4_language_fusion")
+def op4_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
