@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, neardup, ordermin, quality, repeats, sharding, sql, training_order
+from . import bpe, decontaminate, langid, neardup, ordermin, quality, repeats, sharding, sql, toolcalls, training_order
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -55,3 +55,11 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_language_fusion")
 def op4_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query("op5_tool_calls", sql.TOOL_CALLS)
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant turn is a call, with its whole text as an argument; every user turn that follows one is its result."""
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
+    calls, results, schemas = (spark.sql(t) for t in (sql.CALLS, sql.RESULTS, sql.SCHEMAS))
+    return toolcalls.link_calls(calls, results, schemas)

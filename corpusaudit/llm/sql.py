@@ -68,3 +68,55 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hi
   COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(d.w) AS contaminated
 FROM lower_docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id
 """
+
+# Calls, results and schemas derived from the conversations; both engines read these texts.
+CALLS = """
+SELECT conv_id, turn, 'call-' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS call_id,
+  CASE WHEN turn >= 2 THEN 'call-' || CAST(conv_id AS STRING) || '-' || CAST(CASE WHEN turn % 5 = 4 THEN turn ELSE turn - 2 END AS STRING) END AS after,
+  CASE (conv_id + turn) % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' WHEN 2 THEN 'store' ELSE 'unheard' END AS tool,
+  CASE WHEN conv_id % 11 = 3 THEN '[' || CAST(turn AS STRING) || ']' WHEN conv_id % 13 = 5 THEN '{broken' ELSE
+    '{ "query" : "' || REPLACE(REPLACE(REPLACE(text, chr(92), ' '), '"', ' '), chr(10), ' ') || '"' ||
+    CASE WHEN conv_id % 3 = 0 THEN ', "limit": ' || CAST(turn AS STRING) WHEN conv_id % 3 = 1 THEN ', "limit": "many"' ELSE '' END ||
+    CASE WHEN conv_id % 7 = 0 THEN ', "extra": true' ELSE '' END || ' }' END AS arguments
+FROM conversations WHERE role = 'assistant'"""
+RESULTS = """
+SELECT 'call-' || CAST(conv_id AS STRING) || '-' || CAST(turn - 1 AS STRING) AS call_id, turn, REPLACE(REPLACE(REPLACE(text, chr(92), ' '), '"', ' '), chr(10), ' ') AS content
+FROM conversations WHERE role = 'user'"""
+SCHEMAS = """
+SELECT tool, field, type, required FROM VALUES ('search', 'query', 'STRING', true), ('search', 'limit', 'BIGINT', false),
+  ('lookup', 'query', 'STRING', true), ('lookup', 'limit', 'BIGINT', true), ('store', 'query', 'STRING', true), ('store', 'limit', 'STRING', false) AS s(tool, field, type, required)"""
+
+#: Depth by following ids upwards; canonical JSON by joining the known parts in key order.
+TOOL_CALLS = f"""
+WITH RECURSIVE calls AS MATERIALIZED ({CALLS}),
+results AS ({RESULTS}),
+schemas AS ({SCHEMAS.replace("FROM VALUES", "FROM (VALUES").replace("AS s(", ") AS s(")}),
+climb(call_id, up, depth) AS (
+  SELECT call_id, after, 0 FROM calls
+  UNION ALL
+  SELECT l.call_id, c.after, depth + 1 FROM climb l JOIN calls c ON c.call_id = l.up WHERE depth < 100),
+tops AS (SELECT l.call_id, MIN(depth) AS depth FROM climb l LEFT JOIN calls c ON c.call_id = l.up WHERE c.call_id IS NULL GROUP BY l.call_id),
+answers AS (SELECT call_id, COUNT(*) AS n_results, MIN(turn) AS turn, arg_min(content, turn) AS content FROM results GROUP BY call_id),
+given AS (
+  SELECT call_id, conv_id, tool, 'query' AS field, 'STRING' AS kind FROM calls WHERE conv_id % 11 <> 3 AND conv_id % 13 <> 5
+  UNION ALL SELECT call_id, conv_id, tool, 'limit', CASE WHEN conv_id % 3 = 0 THEN 'BIGINT' ELSE 'STRING' END FROM calls WHERE conv_id % 11 <> 3 AND conv_id % 13 <> 5 AND conv_id % 3 < 2
+  UNION ALL SELECT call_id, conv_id, tool, 'extra', 'BOOLEAN' FROM calls WHERE conv_id % 11 <> 3 AND conv_id % 13 <> 5 AND conv_id % 7 = 0),
+found AS (
+  SELECT call_id, 'not an object' AS error FROM calls WHERE conv_id % 11 = 3 OR conv_id % 13 = 5
+  UNION ALL SELECT call_id, 'unknown tool' FROM calls WHERE conv_id % 11 <> 3 AND conv_id % 13 <> 5 AND tool = 'unheard'
+  UNION ALL SELECT g.call_id, 'unknown ' || g.field FROM given g LEFT JOIN schemas s ON s.tool = g.tool AND s.field = g.field WHERE g.tool <> 'unheard' AND s.field IS NULL
+  UNION ALL SELECT g.call_id, g.field || ' is not ' || s.type FROM given g JOIN schemas s ON s.tool = g.tool AND s.field = g.field WHERE g.kind <> s.type
+  UNION ALL SELECT c.call_id, 'missing ' || s.field FROM calls c JOIN schemas s ON s.tool = c.tool AND s.required LEFT JOIN given g ON g.call_id = c.call_id AND g.field = s.field
+    WHERE g.field IS NULL AND c.conv_id % 11 <> 3 AND c.conv_id % 13 <> 5),
+errors AS (SELECT call_id, list(DISTINCT error ORDER BY error) AS errors FROM found GROUP BY call_id),
+rows AS (SELECT c.conv_id, c.turn, c.call_id, c.tool, t.depth, COALESCE(e.errors, []) AS errors, COALESCE(a.n_results, 0) AS n_results,
+    '{{"arguments":' || CASE WHEN conv_id % 13 = 5 AND conv_id % 11 <> 3 THEN 'null' WHEN conv_id % 11 = 3 THEN arguments ELSE
+      '{{' || CASE WHEN conv_id % 7 = 0 THEN '"extra":true,' ELSE '' END ||
+      CASE WHEN conv_id % 3 = 0 THEN '"limit":' || CAST(c.turn AS STRING) || ',' WHEN conv_id % 3 = 1 THEN '"limit":"many",' ELSE '' END ||
+      '"query":' || regexp_extract(arguments, '"query" : ("[^"]*")', 1, 's') || '}}' END AS head, content FROM calls c
+  LEFT JOIN tops t USING (call_id) LEFT JOIN errors e USING (call_id) LEFT JOIN answers a USING (call_id))
+SELECT conv_id, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY COALESCE(depth, 1000000), turn, call_id) - 1 AS position, turn, call_id, tool, CAST(depth AS BIGINT) AS depth,
+  CASE WHEN depth IS NULL THEN 'cyclic' WHEN len(errors) > 0 THEN 'invalid' WHEN n_results = 0 THEN 'unanswered' ELSE 'ok' END AS status, errors, n_results,
+  head || ',"call_id":"' || call_id || '","result":' || COALESCE('"' || content || '"', 'null') || ',"tool":"' || tool || '"}}' AS message
+FROM rows
+"""
