@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusaudit.plans.shapes import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 SURVEY: dict[str, str] = {}
@@ -28,10 +26,8 @@ def query(name: str, ids: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Rows of long text are dealt over the cores where they come in too few splits."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    key = {"pages": "page_id", "documents": "doc_id"}.get(name)
-    return spread(df, key) if key else df
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 VIEWS: dict[str, tuple[list[str], str]] = {

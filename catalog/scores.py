@@ -26,9 +26,8 @@ EXTRA = """CASE WHEN page_id % 11 = 0 THEN NULL ELSE CAST(page_id % 25 AS DOUBLE
 
 
 def scoring_input(spark, sf):
-    f = facts(spark, sf).select("page_id", "title", "h1", "description")
     return rich(spark, sf).selectExpr("page_id", "url", "html", EXTRA.split(" AS response_time,")[0] + " AS response_time",
-                                      EXTRA.split(" AS response_time,")[1]).join(f, "page_id")
+                                      EXTRA.split(" AS response_time,")[1])
 
 
 def scored_pages(spark, sf):

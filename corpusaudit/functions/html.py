@@ -152,6 +152,13 @@ def meta_description(html: Column) -> Column:
     return strip(attribute(F.regexp_extract(drop_elements(html), META_DESCRIPTION, 0), "content"))
 
 
+def heads(clean: Column, url: Column) -> dict[str, Column]:
+    """Columns to add in this order to cleaned HTML: raw title, h1, description and readable title (of the two before)."""
+    return {"_raw_title": text_of(element(clean, "title")), "h1": text_of(element(clean, "h1")),
+            "description": strip(attribute(F.regexp_extract(clean, META_DESCRIPTION, 0), "content")),
+            "title": clean_title(F.col("_raw_title"), F.col("h1"), url)}
+
+
 def counts(html: Column) -> Column:
     tags = tag_names(drop_elements(html))
     return F.struct(count_tags(tags, "h2").alias("h2_count"), count_tags(tags, "ul", "ol").alias("lists_count"))

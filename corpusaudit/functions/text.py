@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Entity names decoded in page text and the characters they stand for.
-NAMED_ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
-    "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
-    "hellip": "…", "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€",
-    "deg": "°", "times": "×", "larr": "←", "rarr": "→",
-    "aacute": "á", "agrave": "à", "acirc": "â", "auml": "ä", "ccedil": "ç",
-    "eacute": "é", "egrave": "è", "ecirc": "ê", "euml": "ë",
-    "iacute": "í", "icirc": "î", "iuml": "ï", "ntilde": "ñ",
-    "oacute": "ó", "ocirc": "ô", "ouml": "ö",
-    "uacute": "ú", "ugrave": "ù", "ucirc": "û", "uuml": "ü", "szlig": "ß",
-    "Eacute": "É", "Egrave": "È", "Agrave": "À", "Ccedil": "Ç",
-}
+# Every character name of the HTML standard that ends with a semicolon.
+NAMED_ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
 
 SPACE = r"[\s\x{A0}]"
 
@@ -90,21 +80,21 @@ def contains_any(c: Column, words) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Decode the fixed named entities and numeric references in one pass over the text."""
+    """Decode the named entities of HTML and numeric references in one pass over the text."""
     table = literal_map(NAMED_ENTITIES)
 
     def from_code(code: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
     def one(part: Column) -> Column:
-        return let(F.regexp_extract(part, "^(#?[A-Za-z0-9]{1,8});", 1), lambda name: replaced(part, name))
+        return let(F.regexp_extract(part, "^(#?[A-Za-z0-9]+);", 1), lambda name: replaced(part, name))
 
     def replaced(part: Column, name: Column) -> Column:
         rest = part.substr(F.length(name) + 2, F.length(part))
-        dec = F.regexp_extract(name, "^#([0-9]{1,6})$", 1).try_cast("bigint")
-        hexa = F.conv(F.regexp_extract(name, "^#[xX]([0-9A-Fa-f]{1,5})$", 1), 16, 10).try_cast("bigint")
+        dec = F.regexp_extract(name, "^#0*([0-9]{1,7})$", 1).try_cast("bigint")
+        hexa = F.conv(F.regexp_extract(name, "^#[xX]0*([0-9A-Fa-f]{1,6})$", 1), 16, 10).try_cast("bigint")
         code = F.when(name.startswith("#"), F.coalesce(dec, hexa))
-        valid = lambda n: F.when((n > 0) & ~n.between(0xD800, 0xDFFF), from_code(n))
+        valid = lambda n: F.when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), from_code(n))
         char = F.coalesce(F.try_element_at(table, name), let(code, valid))
         return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OBJECT, LIST = "map<string,variant>", "array<variant>"
@@ -52,9 +52,9 @@ def children(v: Column) -> Column:
 
 
 def nesting(c: Column) -> Column:
-    """Greatest bracket depth of JSON text, strings left out."""
-    bare = F.regexp_replace(c, r'"[^"\\]*(?:\\.[^"\\]*)*"', "")
-    brackets = F.split(F.regexp_replace(bare, r"[^{}\[\]]", ""), "")
+    """Greatest bracket depth of JSON text, strings left out. Possessive repeats make the match a loop, however many escapes a string has."""
+    bare = F.regexp_replace(c, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    brackets = F.split(F.regexp_replace(bare, r"[^{}\[\]]++", ""), "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
 
     def step(acc: Column, ch: Column) -> Column:
@@ -64,16 +64,15 @@ def nesting(c: Column) -> Column:
     return F.aggregate(brackets, start, step, lambda acc: acc["top"])
 
 
-def corpus_depth(df: DataFrame, *columns: str) -> int:
-    """Greatest nesting over a corpus: one pass over the text columns alone, one row back to the driver."""
-    deepest = F.greatest(*[nesting(F.col(c)) for c in columns], F.lit(0))
-    return df.agg(F.max(deepest)).head()[0] or 0
+def depth(c: Column) -> Column:
+    """Nesting of valid JSON text; 0 for a scalar, for null and for text that is not JSON."""
+    return F.coalesce(F.when(parse(c).isNotNull(), nesting(c)), F.lit(0))
 
 
-def walk_levels(df: DataFrame, start: Column, step, depth: int, prefix: str = "_level") -> tuple[DataFrame, list[str]]:
-    """Add one array column per nesting level: ``start``, then ``step`` applied to the level before."""
-    names = [f"{prefix}{i}" for i in range(depth + 1)]
-    df = df.withColumn(names[0], start)
-    for before, name in zip(names, names[1:]):
-        df = df.withColumn(name, step(F.col(before)))
-    return df, names
+def descend(rounds: Column, state: Column, step, finish) -> Column:
+    """Apply ``step`` to a state once per nesting level of the row's own document, the root included.
+
+    The loop runs inside the row, so the plan is the same for flat and for deep documents, and one odd
+    document costs no other row anything.
+    """
+    return F.aggregate(F.sequence(F.lit(0), rounds), state, lambda s, _: step(s), finish)

@@ -159,10 +159,20 @@ def score_content_depth(html: Column, words: Column, paragraphs: Column, links:
                                           "Citer des sources autoritaires (études, stats, références)")))
 
 
+# A run of capitalised words with a company form in capitals after it. Possessive repeats make the match a loop.
+NAME_RUN = r"(?U)\b[A-Z][a-z]++\b(?:\s++[A-Z][a-z]++\b)*+(?:\s++(?:SA|SARL|GmbH)\b)?+"
+COMPANY_FORM = r"(?U)\s(?:SA|SARL|Ltd|Inc|Corp|GmbH)\b"
+
+
 def entity_count(text: Column) -> Column:
-    """Matches of the five entity patterns; word boundaries follow Unicode letters."""
-    found = [F.regexp_count(text, F.lit("(?U)" + p)) for p in ENTITY_PATTERNS]
-    return sum(found[1:], found[0])
+    """Matches of the five entity patterns; word boundaries follow Unicode letters.
+
+    Organisations are counted by runs of capitalised words: a greedy match of the second pattern ends at the last
+    company form of its run, so a run holds one match or none.
+    """
+    found = [F.regexp_count(text, F.lit("(?U)" + p)) for k, p in enumerate(ENTITY_PATTERNS) if k != 1]
+    companies = F.size(F.filter(F.regexp_extract_all(text, F.lit(NAME_RUN), F.lit(0)), lambda run: run.rlike(COMPANY_FORM)))
+    return sum(found, companies)
 
 
 def score_entity_richness(text: Column) -> Column:
@@ -203,14 +213,16 @@ def grade_color(g: Column) -> Column:
 def geo_score(pages: DataFrame, as_of, unknown_time: int = 10) -> DataFrame:
     """Score every page: (page_id, url, total_score, breakdown, grade, recommendations).
 
-    ``pages`` has page_id, url, title, h1, description, html, response_time and last_modified.
-    It is one chain of projections without a shuffle. Cleaned HTML, chrome-free HTML and tag lists
+    ``pages`` has page_id, url, html, response_time and last_modified. Title, h1 and description are read from the same
+    cleaned HTML where ``pages`` doesn't have them. It is one chain of projections without a shuffle. Cleaned HTML, chrome-free HTML and tag lists
     are columns of their own, so each is computed once per page, not once per criterion.
     """
     c = F.col
     text = lambda name: F.coalesce(c(name), F.lit(""))
-    staged = (pages
-              .withColumn("_clean", H.drop_elements(c("html")))
+    cleaned = pages.withColumn("_clean", H.drop_elements(c("html")))
+    for name, value in H.heads(c("_clean"), c("url")).items():
+        cleaned = cleaned.withColumn(name, F.coalesce(c(name), value) if name in pages.columns else value)
+    staged = (cleaned
               .withColumn("_tags", H.tag_names(c("_clean")))
               .withColumn("_body", H.drop_elements(c("html"), H.CHROME_TAGS))
               .withColumn("_words", word_count(H.decode_entities(F.regexp_replace("_body", H.TAG, " "))))

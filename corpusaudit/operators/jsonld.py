@@ -77,17 +77,21 @@ def top_level_types(v: Column) -> Column:
     return F.coalesce(F.flatten(F.transform(V.as_list(v), _own_types)), _own_types(v))
 
 
-def with_types(blocks: DataFrame, column: str = "block", depth: int | None = None) -> DataFrame:
+def with_types(blocks: DataFrame, column: str = "block") -> DataFrame:
     """Add ``types``: every schema type of a block, through lists and ``@graph``."""
-    depth = V.corpus_depth(blocks, column) if depth is None else depth
-
     def inside(nodes: Column) -> Column:
         return F.flatten(F.transform(nodes, lambda v: F.coalesce(V.as_list(v), V.as_list(V.field(v, "@graph")), V.nothing())))
 
+    def step(s: Column) -> Column:
+        return F.struct(inside(s["open"]).alias("open"), F.array_union(s["types"], F.flatten(F.transform(s["open"], _own_types))).alias("types"))
+
     v = V.parse(F.col(column))
-    walked, levels = V.walk_levels(blocks, F.when(v.isNotNull(), F.array(v)).otherwise(V.nothing()), inside, depth)
-    types = F.array_distinct(F.flatten(F.concat(*[F.transform(F.col(n), _own_types) for n in levels])))
-    return walked.withColumn("types", types).drop(*levels)
+    start = F.struct(_opened(v).alias("open"), F.array().cast("array<string>").alias("types"))
+    return blocks.withColumn("types", V.descend(V.depth(F.col(column)), start, step, lambda s: s["types"]))
+
+
+def _opened(v: Column) -> Column:
+    return F.when(v.isNotNull(), F.array(v)).otherwise(V.nothing())
 
 
 def schema_types(blocks: DataFrame, key: str = "page_id", column: str = "block") -> DataFrame:
@@ -95,10 +99,8 @@ def schema_types(blocks: DataFrame, key: str = "page_id", column: str = "block")
     return with_types(blocks, column).select(key, F.explode("types").alias("type")).distinct()
 
 
-def with_same_as(blocks: DataFrame, column: str = "block", depth: int | None = None) -> DataFrame:
+def with_same_as(blocks: DataFrame, column: str = "block") -> DataFrame:
     """Add ``same_as``: number of sameAs links at any depth; nothing below a sameAs is entered."""
-    depth = V.corpus_depth(blocks, column) if depth is None else depth
-
     def own(v: Column) -> Column:
         s = V.field(v, "sameAs")
         return F.when(V.as_list(s).isNotNull(), F.size(V.as_list(s))).when(V.as_text(s).isNotNull(), 1).otherwise(0)
@@ -107,10 +109,11 @@ def with_same_as(blocks: DataFrame, column: str = "block", depth: int | None = N
         others = lambda v: F.map_values(F.map_filter(V.as_object(v), lambda k, _: k != "sameAs"))
         return F.flatten(F.transform(nodes, lambda v: F.coalesce(others(v), V.as_list(v), V.nothing())))
 
-    v = V.parse(F.col(column))
-    walked, levels = V.walk_levels(blocks, F.when(v.isNotNull(), F.array(v)).otherwise(V.nothing()), inside, depth)
-    total = sum((_total(F.transform(F.col(n), own)) for n in levels[1:]), _total(F.transform(F.col(levels[0]), own)))
-    return walked.withColumn("same_as", total).drop(*levels)
+    def step(s: Column) -> Column:
+        return F.struct(inside(s["open"]).alias("open"), (s["links"] + _total(F.transform(s["open"], own))).alias("links"))
+
+    start = F.struct(_opened(V.parse(F.col(column))).alias("open"), F.lit(0).alias("links"))
+    return blocks.withColumn("same_as", V.descend(V.depth(F.col(column)), start, step, lambda s: s["links"]))
 
 
 def _total(numbers: Column) -> Column:
@@ -128,8 +131,7 @@ def structured_footprint(pages: DataFrame, blocks: DataFrame, site: str = "site"
 
     Blocks are first reduced to one row per page, so a hot site is pre-aggregated before its shuffle.
     """
-    depth = V.corpus_depth(blocks, "block")
-    facts = with_same_as(with_types(blocks, depth=depth), depth=depth)
+    facts = with_same_as(with_types(blocks))
     per_page = facts.groupBy(key).agg(F.sum("same_as").alias("same_as"),
                                       F.array_distinct(F.flatten(F.collect_set("types"))).alias("types"))
     joined = pages.select(site, key).join(per_page, key, "left")
@@ -231,13 +233,17 @@ def light_jsonld(block: Column) -> Column:
 
 # ---------------------------------------------------------------- diff
 
+FIELDS = "array<struct<path: string, ordinal: array<int>, o: variant, n: variant>>"
+PAIRS = "array<struct<at: array<string>, o: variant, n: variant>>"
+TEXTS = "array<struct<at: array<string>, json: string>>"
+
+
 def jsonld_diff(docs: DataFrame, key: str = "doc_id", original: str = "original", optimized: str = "optimized") -> DataFrame:
     """Field-level differences as (doc_id, path, status, original_value, optimized_value, ordinal).
 
-    Both sides are walked together, one array of unequal containers per nesting level. ``ordinal``
+    Both sides are walked together inside the row, from one array of unequal containers to the next. ``ordinal``
     gives the depth-first position of a field.
     """
-    depth = V.corpus_depth(docs, original, optimized)
     o, n = V.parse(F.col(original)), V.parse(F.col(optimized))
     root = F.struct(F.lit("").alias("path"), F.array().cast("array<int>").alias("ordinal"), o.alias("o"), n.alias("n"))
     start = F.when(V.is_truthy(n), F.array(root))
@@ -268,11 +274,14 @@ def jsonld_diff(docs: DataFrame, key: str = "doc_id", original: str = "original"
         return F.filter(fields, lambda f: f["o"].isNotNull() & (F.to_json(f["o"]) != F.to_json(f["n"]))
                         & (V.as_object(f["n"]).isNotNull() | V.as_list(f["n"]).isNotNull()))
 
-    df = docs.select(key, F.flatten(F.transform(start, compare)).alias("_level0"))
-    names = [f"_level{i}" for i in range(depth)] or ["_level0"]
-    for before, name in zip(names, names[1:]):
-        df = df.withColumn(name, F.flatten(F.transform(unequal_containers(F.col(before)), compare)))
-    rows = df.select(key, F.explode(F.concat(*[F.coalesce(F.col(x), F.array().cast(df.schema["_level0"].dataType)) for x in names])).alias("f"))
+    df = docs.select(key, F.coalesce(F.flatten(F.transform(start, compare)), F.array().cast(FIELDS)).alias("_open"),
+                     F.greatest(V.depth(F.col(original)), V.depth(F.col(optimized))).alias("_depth"))
+
+    def step(s: Column) -> Column:
+        return F.struct(F.flatten(F.transform(unequal_containers(s["open"]), compare)).alias("open"), F.concat(s["all"], s["open"]).alias("all"))
+
+    walked = V.descend(F.col("_depth"), F.struct(F.col("_open").alias("open"), F.array().cast(FIELDS).alias("all")), step, lambda s: s["all"])
+    rows = df.select(key, F.explode(walked).alias("f"))
     ov, nv = F.to_json("f.o"), F.to_json("f.n")
     container = V.as_object(F.col("f.n")).isNotNull() | V.as_list(F.col("f.n")).isNotNull()
     status = (F.when(F.col("f.o").isNull(), "added").when(F.col("f.n").isNull(), "removed")
@@ -285,10 +294,9 @@ def jsonld_diff(docs: DataFrame, key: str = "doc_id", original: str = "original"
 def jsonld_delta(docs: DataFrame, key: str = "doc_id", original: str = "original", optimized: str = "optimized") -> DataFrame:
     """Only the added or changed fields of the optimised document, as one JSON text per document.
 
-    Objects are entered, lists are taken whole. Changed fields are gathered level by level on the
-    way down and folded into their parents on the way up.
+    Objects are entered, lists are taken whole. Changed fields are gathered inside the row on the
+    way down and folded into their parents on the way up, the longest paths first.
     """
-    depth = V.corpus_depth(docs, original, optimized)
     o, n = V.parse(F.col(original)), V.parse(F.col(optimized))
     root = F.struct(F.array().cast("array<string>").alias("at"), o.alias("o"), n.alias("n"))
 
@@ -299,11 +307,6 @@ def jsonld_delta(docs: DataFrame, key: str = "doc_id", original: str = "original
 
     both_objects = lambda f: V.as_object(f["o"]).isNotNull() & V.as_object(f["n"]).isNotNull()
     enter = lambda c: F.flatten(F.transform(F.filter(c, both_objects), fields))
-    df = docs.select(key, n.alias("_n"), o.alias("_o"), F.flatten(F.transform(F.array(root), fields)).alias("_in0"))
-    names = [f"_in{i}" for i in range(max(depth, 1))]
-    for before, name in zip(names, names[1:]):
-        df = df.withColumn(name, enter(F.col(before)))
-
     changed = lambda f: ~both_objects(f) & (f["o"].isNull() | (F.to_json(f["o"]) != F.to_json(f["n"])))
 
     def written(level: Column) -> Column:
@@ -319,9 +322,17 @@ def jsonld_delta(docs: DataFrame, key: str = "doc_id", original: str = "original
         name = lambda e: F.regexp_replace(F.to_json(F.array(F.element_at(e["at"], -1))), r"^\[|\]$", "")
         return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(name(e), F.lit(":"), e["json"])), ","), F.lit("}"))
 
-    df = df.withColumn("_up", written(F.col(names[-1])))
-    for name in reversed(names[:-1]):
-        df = df.withColumn("_up", F.concat(written(F.col(name)), folded(F.col("_up"))))
+    df = docs.select(key, n.alias("_n"), o.alias("_o"), F.coalesce(F.flatten(F.transform(F.array(root), fields)), F.array().cast(PAIRS)).alias("_open"),
+                     F.greatest(V.depth(F.col(original)), V.depth(F.col(optimized))).alias("_depth"))
+    down = lambda s: F.struct(enter(s["open"]).alias("open"), F.concat(s["out"], written(s["open"])).alias("out"))
+    df = df.withColumn("_out", V.descend(F.col("_depth"), F.struct(F.col("_open").alias("open"), F.array().cast(TEXTS).alias("out")), down, lambda s: s["out"]))
+
+    def up(entries: Column, size: Column) -> Column:
+        return F.concat(F.filter(entries, lambda e: F.size(e["at"]) != size), folded(F.filter(entries, lambda e: F.size(e["at"]) == size)))
+
+    longest = F.coalesce(F.array_max(F.transform("_out", lambda e: F.size(e["at"]))), F.lit(0))
+    sizes = F.when(longest >= 2, F.sequence(longest, F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("_up", F.aggregate(sizes, F.col("_out"), up))
     delta = (F.when(~V.is_truthy(F.col("_n")), F.lit("{}")).when(~V.is_truthy(F.col("_o")), F.to_json("_n"))
              .otherwise(object_text(F.col("_up"))))
     # Parsed once more for the canonical key order.
@@ -347,19 +358,23 @@ def top_level_status(diff: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def org_node(docs: DataFrame, key: str = "doc_id", column: str = "doc") -> DataFrame:
     """The first organisation node of each document in depth-first order, as (doc_id, node)."""
-    depth = V.corpus_depth(docs, column)
     v = V.parse(F.col(column))
-    start = F.array(F.struct(F.array().cast("array<int>").alias("at"), v.alias("v")))
+    root = F.array(F.struct(F.array().cast("array<int>").alias("at"), v.alias("v")))
 
     def inside(nodes: Column) -> Column:
         return F.flatten(F.transform(nodes, lambda x: F.transform(
             V.children(x["v"]), lambda ch, i: F.struct(F.concat(x["at"], F.array(i)).alias("at"), ch.alias("v")))))
 
-    walked, levels = V.walk_levels(docs, F.when(v.isNotNull(), start), inside, depth)
     hit = lambda x: F.arrays_overlap(_own_types(x["v"]), F.array(*map(F.lit, ORG_TYPES)))
-    found = F.flatten(F.array(*[F.transform(F.filter(F.col(n), hit), lambda x: F.struct(
-        x["at"].alias("at"), F.to_json(x["v"]).alias("node"))) for n in levels]))
-    return (walked.select(key, F.array_min(found)["node"].alias("node")).filter(F.col("node").isNotNull()))
+    first = lambda nodes: F.array_min(F.transform(F.filter(nodes, hit), lambda x: F.struct(x["at"].alias("at"), F.to_json(x["v"]).alias("node"))))
+
+    def step(s: Column) -> Column:
+        return F.struct(inside(s["open"]).alias("open"), F.array_min(F.array_compact(F.array(s["best"], first(s["open"])))).alias("best"))
+
+    start = F.struct(F.when(v.isNotNull(), root).otherwise(F.array().cast("array<struct<at: array<int>, v: variant>>")).alias("open"),
+                     F.lit(None).cast("struct<at: array<int>, node: string>").alias("best"))
+    found = docs.select(key, V.descend(V.depth(F.col(column)), start, step, lambda s: s["best"]["node"]).alias("node"))
+    return found.filter(F.col("node").isNotNull())
 
 
 def org_fields(nodes: DataFrame, key: str = "doc_id", column: str = "node") -> DataFrame:

@@ -18,12 +18,9 @@ def page_facts(pages: DataFrame) -> DataFrame:
     Cleaned text and tag names are columns of their own: each is computed once per page
     however many facts read it. Write the result to Parquet; no later step reads ``html``.
     """
-    staged = (pages
-              .withColumn("_clean", H.drop_elements(F.col("html")))
-              .withColumn("_tags", H.tag_names(F.col("_clean")))
-              .withColumn("_raw_title", H.text_of(H.element(F.col("_clean"), "title")))
-              .withColumn("h1", H.text_of(H.element(F.col("_clean"), "h1")))
-              .withColumn("description", H.strip(H.attribute(F.regexp_extract("_clean", H.META_DESCRIPTION, 0), "content"))))
+    staged = pages.withColumn("_clean", H.drop_elements(F.col("html"))).withColumn("_tags", H.tag_names(F.col("_clean")))
+    for name, value in H.heads(F.col("_clean"), F.col("url")).items():
+        staged = staged.withColumn(name, value)
     blocks = F.filter(F.transform(F.regexp_extract_all("html", F.lit(jsonld.BLOCK), F.lit(1)), H.strip),
                       lambda b: (b != "") & jsonld.V.parse(b).isNotNull())
     types = F.flatten(F.transform(F.col("json_ld"), lambda b: jsonld.top_level_types(jsonld.V.parse(b))))
@@ -32,9 +29,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
             .select(
                 *[c for c in pages.columns if c not in ("html", "h1", "description", "title", "json_ld")],
                 U.host(F.col("url")).alias("site"),
-                F.col("_raw_title").alias("raw_title"),
-                H.clean_title(F.col("_raw_title"), F.col("h1"), F.col("url")).alias("title"),
-                "h1", "description", "json_ld",
+                F.col("_raw_title").alias("raw_title"), "title", "h1", "description", "json_ld",
                 (F.size("json_ld") > 0).alias("has_structured_data"),
                 H.structure_of(F.col("_tags")).alias("dom_structure"),
                 H.semantics_of(F.col("_clean"), F.col("_tags"), types).alias("semantic_features"),

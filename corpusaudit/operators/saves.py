@@ -17,8 +17,7 @@ REGISTRY_USER = "__workspace_registry__"
 PLACEHOLDER = "__ws_placeholder_"
 
 # Longest texts kept in model rows.
-LIMITS = {"site_url": 500, "model_id": 100, "model_name": 200, "url_pattern": 300, "sample_urls": 2000, "dom_structure": 5000,
-          "existing_jsonld": 50000, "optimized_jsonld": 50000, "recommended_schema": 100, "workspace": 200}
+LIMITS = {"site_url": 500, "model_id": 100, "model_name": 200, "url_pattern": 300, "recommended_schema": 100, "workspace": 200}
 
 
 def email(c: Column) -> Column:
@@ -250,7 +249,7 @@ def save_counters(saves: DataFrame) -> DataFrame:
 
 
 def models_to_rows(models: DataFrame, site_url: str, ws: str, user: str, created_at: str) -> DataFrame:
-    """Rows of the stored model table: slug identifier, capped texts, defaults, at most five sample urls.
+    """Rows of the stored model table: slug identifier, capped names, whole JSON texts, defaults, at most five sample urls.
 
     ``models`` holds (cluster_id, model_name, schema_type, page_count, url_pattern, sample_urls array, dom_structure,
     existing_jsonld, optimized_jsonld); the last three are JSON text.
@@ -263,10 +262,10 @@ def models_to_rows(models: DataFrame, site_url: str, ws: str, user: str, created
     return models.select(
         F.lit(site_url[:500]).alias("site_url"), cap(slug, "model_id"), cap(name, "model_name"),
         F.coalesce("page_count", F.lit(0)).alias("page_count"), cap(text("url_pattern"), "url_pattern"),
-        cap(F.to_json(F.slice(F.coalesce("sample_urls", F.array().cast("array<string>")), 1, 5)), "sample_urls"),
-        cap(text("dom_structure"), "dom_structure"), cap(text("existing_jsonld"), "existing_jsonld"),
+        F.to_json(F.slice(F.coalesce("sample_urls", F.array().cast("array<string>")), 1, 5)).alias("sample_urls"),
+        text("dom_structure").alias("dom_structure"), text("existing_jsonld").alias("existing_jsonld"),
         text_or(F.substring(strip(text("schema_type")), 1, 100), "WebPage").alias("recommended_schema"),
-        cap(text("optimized_jsonld"), "optimized_jsonld"), F.lit(created_at).alias("created_at"),
+        text("optimized_jsonld").alias("optimized_jsonld"), F.lit(created_at).alias("created_at"),
         F.lit(((ws or "").strip() or DEFAULT_WORKSPACE)[:200]).alias("workspace"), F.lit((user or "").strip().lower()).alias("user_email"))
 
 

@@ -167,13 +167,14 @@ def recompute_priorities(pages: DataFrame, cfg: SitemapConfig) -> DataFrame:
                         keep("is_citable", is_citable(cfg)))
 
 
-def list_pages(pages: DataFrame, project_id=None, status=None, is_citable=None, content_type=None, limit: int = 5000) -> DataFrame:
-    """Page listing of a project, best first."""
+def list_pages(pages: DataFrame, project_id=None, status=None, is_citable=None, content_type=None, limit: int | None = None) -> DataFrame:
+    """Page listing of a project, best first: whole, unless the caller asks for so many."""
     wanted = {"project_id": project_id, "status": status, "is_citable": is_citable, "content_type": content_type}
     for name, value in wanted.items():
         if value is not None:
             pages = pages.filter(F.col(name) == value)
-    return pages.orderBy(F.desc("seo_priority"), "page_id").limit(limit)
+    listed = pages.orderBy(F.desc("seo_priority"), "page_id")
+    return listed if limit is None else listed.limit(limit)
 
 
 def page_counts(pages: DataFrame) -> DataFrame:

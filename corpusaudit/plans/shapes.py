@@ -27,17 +27,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows over all cores where the scan has fewer splits than there are cores; else leave them.
-
-    For tables of few, large files whose rows cost far more to parse than to move. A corpus of many
-    files is never shuffled by it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores, key) if splits < cores else df
-
-
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, number: str | None = None) -> DataFrame:
     """First ``k`` rows per key.
 
