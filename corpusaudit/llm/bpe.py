@@ -20,10 +20,10 @@ from .arrays import raw, slices
 #: A vocabulary beyond this many bytes of tokens is refused: every task keeps one.
 MAX_VOCABULARY = 64 << 20
 #: Words a worker remembers between slices, and bytes of text that a slice has at most.
-REMEMBERED, SLICE = 400_000, 2 << 20
+REMEMBERED, SLICE = 450_000, 2 << 20
 #: Words per recursive query, sum of their squared lengths (the rounds keep so many ids), and the length in
 #: bytes beyond which a single word is contracted by a heap instead.
-PER_QUERY, SQUARES, LONG = 16_000, 20_000_000, 4096
+PER_QUERY, SQUARES, LONG = 40_000, 20_000_000, 4096
 #: A space before white space or at the end: the text then doesn't fall into words at every space.
 HARD = regex.compile(r" (?:[\s\x1c-\x1f]|$)").search
 #: The first letter beyond the Latin blocks whose letters all libraries agree on.
