@@ -450,16 +450,17 @@ def _(spark, sf):
     return links.site_graph(facts(spark, sf), scored(spark, sf), 2)[1]
 
 
-@query("link_duplicate_journal", "LNK-14", f"""{LINK_SQL}, e AS (SELECT DISTINCT page_id, dst FROM links WHERE internal AND src <> dst)
-SELECT dst AS url, CAST(count(*) - 1 AS BIGINT) AS occurrences, {S.path('dst')} AS path FROM e GROUP BY dst HAVING count(*) > 1 ORDER BY occurrences DESC, url LIMIT 200""")
+@query("link_duplicate_journal", "LNK-14", f"""{LINK_SQL}, e AS (SELECT DISTINCT site, page_id, dst FROM links WHERE internal AND src <> dst),
+n AS (SELECT site, dst AS url, CAST(count(*) - 1 AS BIGINT) AS occurrences, {S.path('dst')} AS path FROM e GROUP BY site, dst HAVING count(*) > 1)
+SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY site ORDER BY occurrences DESC, url) <= 200""")
 def _(spark, sf):
     return links.duplicate_journal(links.page_links(rich(spark, sf)))
 
 
-@query("link_filtered_journal", "LNK-15", f"""{LINK_SQL}, h AS (SELECT excluded_by AS pattern, link AS url FROM links WHERE excluded_by IS NOT NULL)
-SELECT pattern, url, CAST(count(*) OVER (PARTITION BY pattern) AS BIGINT) AS links FROM h QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY url) <= 100""")
+@query("link_filtered_journal", "LNK-15", f"""{LINK_SQL}, h AS (SELECT site, excluded_by AS pattern, link AS url FROM links WHERE excluded_by IS NOT NULL)
+SELECT site, pattern, url, CAST(count(*) OVER (PARTITION BY site, pattern) AS BIGINT) AS links FROM h QUALIFY row_number() OVER (PARTITION BY site, pattern ORDER BY url) <= 100""")
 def _(spark, sf):
-    return links.filtered_journal(links.page_links(rich(spark, sf))).select("pattern", "url", "links")
+    return links.filtered_journal(links.page_links(rich(spark, sf))).select("site", "pattern", "url", "links")
 
 
 @query("api_subdomains", "LNK-16", f"""{RICH}, b AS (SELECT {S.host('url')} AS site, replace({S.host('url')}, 'www.', '') AS bare, html FROM rich_pages),

@@ -406,11 +406,15 @@ def _(spark, sf):
 
 @query("access_summary", "ACC-3", f"""{ROBOTS_SQL}, k AS (SELECT s_name AS site, s_suppkey FROM supplier)
 SELECT site, CASE WHEN accessible AND s_suppkey % 4 <> 0 THEN 'OUVERT' ELSE 'FERME' END AS site_accessible, s_suppkey % 3 = 0 AS api_detected,
-  CASE WHEN s_suppkey % 3 <> 0 THEN 'NON DETECTEE' WHEN s_suppkey % 2 = 0 THEN 'OUVERT' ELSE 'FERME' END AS api_accessible FROM robots_result JOIN k USING (site)""")
+  CASE WHEN s_suppkey % 3 <> 0 THEN 'NON DETECTEE' WHEN (SELECT r.accessible FROM robots_result r JOIN k o ON o.site = r.site WHERE o.s_suppkey = k.s_suppkey // 2 + 1) THEN 'OUVERT' ELSE 'FERME' END AS api_accessible FROM robots_result JOIN k USING (site)""")
 def _(spark, sf):
     s = table(spark, sf, "supplier").select(c("s_name").alias("site"), "s_suppkey")
     metas = s.select("site", (c("s_suppkey") % 4 != 0).alias("indexable"))
-    apis = s.filter("s_suppkey % 3 = 0").select("site", F.lit("api").alias("candidate"), (c("s_suppkey") % 2 == 0).alias("accessible"))
+    # Every third site has two candidates; the one with the lower rank stands later in the alphabet for most.
+    mine, other = s.filter("s_suppkey % 3 = 0"), s.select(c("site").alias("candidate"), c("s_suppkey").alias("k"))
+    near = mine.join(other, c("k") == F.floor(c("s_suppkey") / 2) + 1).select("site", "candidate", F.lit(0).alias("rank"))
+    far = mine.join(other, c("k") == 1).select("site", "candidate", F.lit(3).alias("rank"))
+    apis = near.unionByName(far)
     return access.access_summary(robots_result(spark, sf), metas, apis)
 
 

@@ -71,11 +71,15 @@ def infra_score(files: DataFrame, pages: DataFrame) -> DataFrame:
 def access_summary(robots: DataFrame, metas: DataFrame, apis: DataFrame) -> DataFrame:
     """Front and interface status per site.
 
-    ``robots`` holds (site, accessible), ``metas`` (site, indexable), ``apis`` (site, candidate, accessible).
+    ``robots`` holds (site, accessible), ``metas`` (site, indexable), ``apis`` (site, candidate, rank, accessible): the
+    candidate of the lowest rank counts, sniffed ones before guesses. Where ``accessible`` is missing, the candidate's own row of ``robots`` decides.
     """
     r = robots.select("site", "accessible")
     m = metas.select("site", "indexable")
-    a = apis.groupBy("site").agg(F.min_by("accessible", "candidate").alias("_api"))
+    if "accessible" not in apis.columns:
+        own = robots.select(F.col("site").alias("candidate"), "accessible")
+        apis = apis.join(own, "candidate", "left").filter("accessible is not null")
+    a = apis.groupBy("site").agg(F.min_by("accessible", F.struct("rank", "candidate")).alias("_api"))
     joined = r.join(m, "site", "left").join(a, "site", "left")
     front = F.col("accessible") & F.coalesce("indexable", F.lit(True))
     status = lambda c: F.when(c, "OUVERT").otherwise("FERME")

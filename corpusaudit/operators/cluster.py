@@ -94,12 +94,14 @@ SHAPE = ["dom_structure", "semantic_features", "pattern"]
 
 def signatures(enriched: DataFrame) -> DataFrame:
     """Distinct page shapes with their first and last page; a shape is named by its first page."""
-    return enriched.groupBy(*SHAPE).agg(F.min("page_id").alias("sig"), F.max("page_id").alias("last_page"), F.count("*").alias("pages"))
+    whole = enriched.withColumn("pattern", F.coalesce("pattern", F.array().cast("array<string>")))
+    return whole.groupBy(*SHAPE).agg(F.min("page_id").alias("sig"), F.max("page_id").alias("last_page"), F.count("*").alias("pages"))
 
 
 def members_of(enriched: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(page_id, url, sig). Joined on the shape, null-safe parts included."""
-    return enriched.join(sigs.select("sig", *SHAPE), SHAPE).select("page_id", "url", "sig")
+    """(page_id, url, sig). Joined on the shape; a page without url has an empty pattern, so no part is null."""
+    shaped = lambda df: df.withColumn("pattern", F.coalesce("pattern", F.array().cast("array<string>")))
+    return shaped(enriched).join(shaped(sigs.select("sig", *SHAPE)), SHAPE).select("page_id", "url", "sig")
 
 
 # ---------------------------------------------------------------- blocks

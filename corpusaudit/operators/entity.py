@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import variants as V
 from ..functions.text import falsy, strip
-from ..plans.shapes import latest
+from ..plans.shapes import in_turn, latest
 from .jsonld import parse_model_json
 
 # Master-data columns in order and their defaults.
@@ -156,10 +156,13 @@ def registry_rows(raw: DataFrame) -> DataFrame:
                       F.trim(F.concat_ws(" ", *parts)).alias("address"), (get("$.etat_administratif") == "A").alias("active"))
 
 
-def fill_missing(masters: DataFrame, patch: DataFrame, key: str = "entity_id") -> DataFrame:
-    """Fill only empty fields from a patch, list the fields updated, and mark the row complete if there are any."""
-    cols = [c for c in masters.columns if c in patch.columns and c != key]
-    p = patch.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols])
+def fill_missing(masters: DataFrame, patch: DataFrame, key: str = "entity_id", order: str | None = None) -> DataFrame:
+    """Fill only empty fields from a patch, list the fields updated, and mark the row complete if there are any.
+
+    Of several patches of a key, the first with a value fills a field; it is not empty for the later ones.
+    """
+    cols = [c for c in masters.columns if c in patch.columns and c not in (key, order)]
+    p = in_turn(patch, [key], cols, order, first=True, skip=falsy).select(key, *[F.col(c).alias(f"_new_{c}") for c in cols])
     j = masters.join(p, key, "left")
     takes = lambda c: falsy(F.col(c)) & ~falsy(F.col(f"_new_{c}"))
     updated = F.array_compact(F.array(*[F.when(takes(c), F.lit(c)) for c in cols]))

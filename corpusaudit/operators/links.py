@@ -79,19 +79,19 @@ def bfs_frontier(edges: DataFrame, seeds: DataFrame, max_urls: int | None = 500)
 
 
 def duplicate_journal(links: DataFrame, limit: int = 200) -> DataFrame:
-    """Most repeated link targets: how often a link led to a page already found."""
-    n = link_edges_by_page(links).groupBy(F.col("dst").alias("url")).agg((F.count("*") - 1).alias("occurrences"))
+    """Most repeated link targets of every site: how often a link led to a page already found."""
+    n = link_edges_by_page(links).groupBy("site", F.col("dst").alias("url")).agg((F.count("*") - 1).alias("occurrences"))
     path = text_or(U.path(F.col("url")), "/")
-    return n.filter("occurrences > 0").withColumn("path", path).orderBy(F.desc("occurrences"), "url").limit(limit)
+    return top_k(n.filter("occurrences > 0").withColumn("path", path), ["site"], [F.desc("occurrences"), F.col("url")], limit)
 
 
 def filtered_journal(links: DataFrame, per_pattern: int = 100) -> DataFrame:
-    """Excluded links by pattern, largest pattern first, the first links of each."""
-    hit = links.filter(F.col("excluded_by").isNotNull()).select(F.col("excluded_by").alias("pattern"), F.col("link").alias("url"))
-    # One row per excluded pattern: a fixed list of a dozen.
-    sizes = F.broadcast(hit.groupBy("pattern").agg(F.count("*").alias("links")))
-    first = top_k(hit, ["pattern"], [F.col("url")], per_pattern, "position")
-    return first.join(sizes, "pattern").orderBy(F.desc("links"), "pattern", "position")
+    """Excluded links of every site by pattern, largest pattern first, the first links of each."""
+    hit = links.filter(F.col("excluded_by").isNotNull()).select(
+        U.host(F.col("url")).alias("site"), F.col("excluded_by").alias("pattern"), F.col("link").alias("url"))
+    sizes = hit.groupBy("site", "pattern").agg(F.count("*").alias("links"))
+    first = top_k(hit, ["site", "pattern"], [F.col("url")], per_pattern, "position")
+    return first.join(sizes, ["site", "pattern"]).orderBy("site", F.desc("links"), "pattern", "position")
 
 
 def api_subdomains(pages: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
                 (F.size("json_ld") > 0).alias("has_structured_data"),
                 H.structure_of(F.col("_tags")).alias("dom_structure"),
                 H.semantics_of(F.col("_clean"), F.col("_tags"), types).alias("semantic_features"),
-                U.path_pattern(F.col("url")).alias("pattern"),
+                F.coalesce(U.path_pattern(F.col("url")), F.array().cast("array<string>")).alias("pattern"),
                 H.count_tags(F.col("_tags"), "h2").alias("h2_count"),
                 H.count_tags(F.col("_tags"), "ul", "ol").alias("lists_count"),
                 word_count(H.visible_text(F.col("html"))).alias("word_count"),

@@ -61,27 +61,33 @@ def load_saves(saves: DataFrame, requests: DataFrame) -> DataFrame:
     return latest(hit, ["save_id", "_user"], [F.desc("created_at")]).select(*saves.columns)
 
 
-def overwrite_saves(saves: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replace saves by rows of the same (save_id, user); rows without such a save are rejected."""
+def overwrite_saves(saves: DataFrame, rows: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Replace saves by rows of the same (save_id, user), the last of several; rows without such a save are rejected."""
     on = ["save_id", "_user"]
     old = saves.withColumn("_user", email(F.col("user_email")))
     new = rows.withColumn("_user", email(F.col("user_email"))).withColumn("workspace", workspace(F.col("workspace"))) \
         .withColumn("site_url", F.substring("site_url", 1, 500))
     keys = old.select(*on).distinct()
     accepted, rejects = new.join(keys, on, "left_semi"), new.join(keys, on, "left_anti")
-    kept = old.join(accepted.select(*on).distinct(), on, "left_anti")
+    accepted = latest(accepted.withColumn("_turn", _turn(order)), on, [F.desc("_turn")])
+    kept = old.join(accepted.select(*on), on, "left_anti")
     return kept.select(*saves.columns).unionByName(accepted.select(*saves.columns)), rejects.select(*rows.columns)
 
 
-def attach_masters(saves: DataFrame, masters: DataFrame, created_at: str) -> DataFrame:
+def _turn(order: str | None):
+    """The column that rows are applied by; without one, the order they are read in."""
+    return F.col(order) if order else F.monotonically_increasing_id()
+
+
+def attach_masters(saves: DataFrame, masters: DataFrame, created_at: str, order: str | None = None) -> DataFrame:
     """Write master documents to the newest save of their (user, workspace, site); others become saves of their own.
 
-    ``masters`` holds (save_id, user_email, workspace, site_url, master_json), one row per site.
+    ``masters`` holds (save_id, user_email, workspace, site_url, master_json); the last of several rows of a site wins.
     """
     key = ["_user", "_ws", "_site"]
     norm = lambda df: df.withColumn("_user", email(F.col("user_email"))).withColumn("_ws", workspace(F.col("workspace"))) \
         .withColumn("_site", strip(F.coalesce("site_url", F.lit(""))))
-    s, m = norm(saves), norm(masters)
+    s, m = norm(saves), latest(norm(masters).withColumn("_turn", _turn(order)), key, [F.desc("_turn")])
     newest = latest(s, key, [F.desc("created_at"), F.desc("save_id")]).select("save_id", *key)
     target = m.select(*key, strip(F.coalesce("master_json", F.lit(""))).alias("_new")).join(newest, key).select("save_id", "_new")
     updated = s.join(target, "save_id", "left").withColumn("master_json", F.coalesce("_new", "master_json")).select(*saves.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions.numbers import round_to
 from ..functions.text import falsy, literal_map, trimmed_or
-from ..plans.shapes import latest, top_k, with_row_number
+from ..plans.shapes import in_turn, latest, top_k, with_row_number
 from .jsonld import jsonld_quality
 from .pages import content_quality
 
@@ -243,10 +243,10 @@ def upsert_pages(existing: DataFrame, incoming: DataFrame, order: str = "batch")
     return kept.select(*fresh.columns).unionByName(fresh)
 
 
-def update_pages(pages: DataFrame, patch: DataFrame, key: str = "page_id") -> DataFrame:
-    """Apply a patch table to the editable columns; null means unchanged."""
+def update_pages(pages: DataFrame, patch: DataFrame, key: str = "page_id", order: str | None = None) -> DataFrame:
+    """Apply a patch table to the editable columns; null means unchanged, and of several patches the last wins."""
     cols = [c for c in EDITABLE if c in patch.columns]
-    p = patch.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols])
+    p = in_turn(patch, [key], cols, order).select(key, *[F.col(c).alias(f"_new_{c}") for c in cols])
     return pages.join(p, key, "left").select(
         *[F.coalesce(f"_new_{c}", c).alias(c) if c in cols else F.col(c) for c in pages.columns])
 
@@ -287,10 +287,10 @@ def list_projects(projects: DataFrame, workspace: str) -> DataFrame:
     return projects.filter(F.col("workspace") == ws).orderBy(F.desc("created_at"), "project_id")
 
 
-def update_projects(projects: DataFrame, patch: DataFrame) -> DataFrame:
-    """Partial update by project id; null means unchanged."""
-    cols = [c for c in patch.columns if c != "project_id" and c in projects.columns]
-    p = patch.select("project_id", *[F.col(c).alias(f"_new_{c}") for c in cols])
+def update_projects(projects: DataFrame, patch: DataFrame, order: str | None = None) -> DataFrame:
+    """Partial update by project id; null means unchanged, and of several patches the last wins."""
+    cols = [c for c in patch.columns if c not in ("project_id", order) and c in projects.columns]
+    p = in_turn(patch, ["project_id"], cols, order).select("project_id", *[F.col(c).alias(f"_new_{c}") for c in cols])
     return projects.join(p, "project_id", "left").select(
         *[F.coalesce(f"_new_{c}", c).alias(c) if c in cols else F.col(c) for c in projects.columns])
 

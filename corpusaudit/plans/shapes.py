@@ -44,6 +44,18 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_k(df, keys, order, 1)
 
 
+def in_turn(patch: DataFrame, keys: list[str], cols: list[str], order: str | None = None, first: bool = False, skip=None) -> DataFrame:
+    """One row per key from patches applied in turn: per column the last value that is not null, or the first.
+
+    ``order`` is the column that gives the turn; without it rows count in the order they are read. ``skip`` marks further values as absent.
+    """
+    turn = F.col(order) if order else F.monotonically_increasing_id()
+    pick = F.min_by if first else F.max_by
+    absent = (lambda c: c.isNull()) if skip is None else skip
+    numbered = patch.withColumn("_turn", turn)
+    return numbered.groupBy(*keys).agg(*[pick(F.col(c), F.when(~absent(F.col(c)), F.col("_turn"))).alias(c) for c in cols])
+
+
 def with_row_number(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """Number all rows 1..n in the given order without collecting them into one task.
 

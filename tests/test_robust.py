@@ -85,3 +85,45 @@ def test_scores_read_titles_from_the_same_html(spark):
     facts = page_facts(raw.select("page_id", "url", "html")).select("page_id", "title", "h1", "description")
     joined = geo.geo_score(raw.join(facts, "page_id"), "2024-01-31").collect()
     assert geo.geo_score(raw, "2024-01-31").collect() == joined
+
+
+def test_patches_are_applied_in_turn(spark):
+    from corpusaudit.operators import entity
+    pages = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "page_id long, content_type string, status string")
+    patch = spark.createDataFrame([(1, 1, "c", None), (1, 2, None, "z"), (1, 3, "d", None), (9, 1, "q", "q")], "page_id long, turn int, content_type string, status string")
+    assert sorted(map(tuple, sitemap.update_pages(pages, patch, order="turn").collect())) == [(1, "d", "z"), (2, "b", "y")]
+    masters = spark.createDataFrame([(1, None, "k", "pending")], "entity_id long, city string, siren string, status string")
+    fills = spark.createDataFrame([(1, 1, "", "s"), (1, 2, "Lyon", None), (1, 3, "Paris", None)], "entity_id long, turn int, city string, siren string")
+    row = entity.fill_missing(masters, fills, order="turn").head()
+    assert (row.city, row.siren, row.status, row.updated) == ("Lyon", "k", "complete", ["city"])
+    cols = "save_id string, user_email string, workspace string, site_url string, created_at string, master_json string"
+    old = spark.createDataFrame([("s1", "u@x", "w", "https://a.fr", "2024", "{}")], cols)
+    rows = spark.createDataFrame([("s1", "U@x ", "w", "https://b.fr", "2025", "1", 1), ("s1", "u@x", "w", "https://c.fr", "2025", "2", 2)], cols + ", turn int")
+    kept, rejects = saves.overwrite_saves(old, rows, order="turn")
+    assert [r.site_url for r in kept.collect()] == ["https://c.fr"] and rejects.count() == 0
+    masters = rows.withColumn("site_url", F.lit("https://a.fr"))
+    assert [r.master_json for r in saves.attach_masters(old, masters, "2026", order="turn").collect()] == ["2"]
+
+
+def test_pages_without_url_stay_in_clusters(spark):
+    from corpusaudit.operators import cluster
+    html = "<html><body><p>a</p></body></html>"
+    pages = spark.createDataFrame([(1, None, html), (2, "https://a.fr/x", html), (3, None, html)], "page_id long, url string, html string")
+    facts = cluster.enrich_pages(pages)
+    assert sorted((r.page_id, r.sig) for r in cluster.members_of(facts, cluster.signatures(facts)).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_an_api_host_is_judged_by_its_own_robots_file(spark):
+    from corpusaudit.operators import access
+    robots = spark.createDataFrame([("a.fr", True), ("zz.a.fr", False), ("api.a.fr", True), ("b.fr", True)], "site string, accessible boolean")
+    metas = spark.createDataFrame([("a.fr", True)], "site string, indexable boolean")
+    apis = spark.createDataFrame([("a.fr", "api.a.fr", 1), ("a.fr", "zz.a.fr", 0), ("b.fr", "api.b.fr", 1)], "site string, candidate string, rank int")
+    got = {r.site: (r.api_detected, r.api_accessible) for r in access.access_summary(robots, metas, apis).collect()}
+    assert got["a.fr"] == (True, "FERME") and got["b.fr"] == (False, "NON DETECTEE")
+
+
+@pytest.mark.parametrize("name", ["page_scores", "page_recommendations", "score_meta_description", "score_entity_richness"])
+def test_registered_scores_move_no_html(spark, sf_dir, name):
+    from catalog import QUERIES
+    text = QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Exchange" not in text[text.index("== Physical Plan"):]
