@@ -8,7 +8,7 @@ from corpusaudit.operators import access, authority, geo, links, sitemap as M
 from corpusaudit.operators.entity import kg_features
 from corpusaudit.operators.jsonld import structured_footprint
 from corpusaudit.operators.pages import content_quality
-from corpusaudit.sources.sitemaps import sitemap_rows
+from corpusaudit.sources.sitemaps import expand_sitemap_index, sitemap_entries, sitemap_rows
 
 from . import sqlfn as S
 from .base import AS_OF, query, table, view, with_views
@@ -364,6 +364,37 @@ def _(spark, sf):
     return sitemap_rows(M.seo_sitemap(site_pages(spark, sf), CFG))
 
 
+# Fetched documents as text: an index per region, a sitemap per nation with its customers, one broken document.
+FETCHED = """
+SELECT 'https://r.fr/' || CAST(r_regionkey AS STRING) || '.xml' AS loc, '<sitemapindex>' || (CASE WHEN r_regionkey = 0 THEN '<sitemap><loc> https://r.fr/1.xml </loc></sitemap>' ELSE '' END) || n.maps || '</sitemapindex>' AS content
+FROM region JOIN (SELECT n_regionkey, {join}('<sitemap><loc>https://n.fr/' || CAST(n_nationkey AS STRING) || '.xml</loc></sitemap>') AS maps FROM nation GROUP BY n_regionkey) n ON n_regionkey = r_regionkey
+UNION ALL
+SELECT 'https://n.fr/' || CAST(c_nationkey AS STRING) || '.xml', CASE WHEN c_nationkey = 3 THEN '<urlset><url>' ELSE '<?xml version="1.0"?><urlset>' || {join}('<url><loc> https://c.fr/' || CAST(c_custkey AS STRING) ||
+  ' </loc>' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '<lastmod>2024-01-0' || CAST(c_custkey % 9 + 1 AS STRING) || '</lastmod>' END || '</url>') || '</urlset>' END FROM customer GROUP BY c_nationkey"""
+
+
+def fetched(spark, sf):
+    for t in ("region", "nation", "customer"):
+        table(spark, sf, t).createOrReplaceTempView(t)
+    return spark.sql(FETCHED.format(join="listagg"))
+
+
+LISTED = """SELECT 'https://n.fr/' || CAST(c_nationkey AS STRING) || '.xml' AS source, 'https://c.fr/' || CAST(c_custkey AS STRING) AS loc,
+  CASE WHEN c_custkey % 3 <> 0 THEN '2024-01-0' || CAST(c_custkey % 9 + 1 AS STRING) END AS lastmod, c_nationkey FROM customer WHERE c_nationkey <> 3"""
+
+
+@query("sitemap_fetched_entries", "SRC-4", f"SELECT source, loc, lastmod FROM ({LISTED})")
+def _(spark, sf):
+    return sitemap_entries(fetched(spark, sf))
+
+
+@query("sitemap_index_expansion", "SRC-5", f"""WITH RECURSIVE below(root, r) AS (SELECT r_regionkey, r_regionkey FROM region UNION SELECT root, 1 FROM below WHERE r = 0)
+SELECT 'https://r.fr/' || CAST(root AS STRING) || '.xml' AS root, source, loc, lastmod FROM (SELECT DISTINCT root, r FROM below) b JOIN nation ON n_regionkey = r JOIN ({LISTED}) l ON l.c_nationkey = n_nationkey""")
+def _(spark, sf):
+    docs = fetched(spark, sf)
+    return expand_sitemap_index(docs, docs.select("loc").filter("loc like 'https://r.fr/%'"))
+
+
 # ---------------------------------------------------------------- access
 
 BOTS = "['gptbot', 'chatgpt-user', 'google-extended', 'claudebot', 'perplexitybot', 'applebot-extended']"

@@ -49,12 +49,12 @@ def expand_sitemap_index(docs: DataFrame, roots: DataFrame) -> DataFrame:
     return seen.join(entries, seen["loc"] == entries["source"]).select("root", "source", entries["loc"], "lastmod")
 
 
-def sitemap_rows(entries: DataFrame) -> DataFrame:
-    """Elements of a sitemap in protocol order; absent ones are null and left out when written."""
+def sitemap_rows(entries: DataFrame, *keys: str) -> DataFrame:
+    """Elements of a sitemap in protocol order, after the given keys; absent ones are null and left out when written."""
     have = set(entries.columns)
     opt = lambda c, e: (e if c in have else F.lit(None).cast("string")).alias(c)
     return entries.select(
-        F.col("url").alias("loc"),
+        *keys, F.col("url").alias("loc"),
         opt("lastmod", F.nullif(F.substring(F.col("lastmod").cast("string"), 1, 10), F.lit(""))),
         opt("changefreq", F.nullif(F.col("changefreq"), F.lit(""))),
         opt("priority", F.format_string("%.2f", F.col("priority").cast("double"))))
@@ -70,3 +70,27 @@ def write_sitemap_index(urls: DataFrame, path: str) -> None:
     """Write an index of sitemap addresses (url)."""
     (urls.select(F.col("url").alias("loc")).write.format("xml").mode("overwrite").option("rootTag", f'sitemapindex xmlns="{NAMESPACE}"')
      .option("rowTag", "sitemap").option("declaration", 'version="1.0" encoding="UTF-8"').option("maxRecordsPerFile", MAX_URLS).save(path))
+
+
+def write_project_sitemaps(entries: DataFrame, path: str, project: str = "project_id") -> None:
+    """Write every project's entries to files of its own (a folder per project), since a sitemap names one host only.
+
+    Rows are range-partitioned by project and url: small projects share a task, a large one spans several.
+    """
+    rows = sitemap_rows(entries, project).repartitionByRange(project, "loc")
+    (rows.write.format("xml").mode("overwrite").partitionBy(project).option("rootTag", f'urlset xmlns="{NAMESPACE}"')
+     .option("rowTag", "url").option("declaration", 'version="1.0" encoding="UTF-8"').option("maxRecordsPerFile", MAX_URLS).save(path))
+
+
+def project_sitemap_index(spark: SparkSession, path: str, base: str, project: str = "project_id") -> DataFrame:
+    """(project, url) of every sitemap file under ``path``, as it will be fetched below ``base``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(project, "path")
+    name = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    return files.select(project, F.concat(F.lit(base.rstrip("/") + "/"), name).alias("url"))
+
+
+def write_project_indexes(index: DataFrame, path: str, project: str = "project_id") -> None:
+    """Write one index per project from (project, url)."""
+    (index.select(project, F.col("url").alias("loc")).repartition(project).write.format("xml").mode("overwrite").partitionBy(project)
+     .option("rootTag", f'sitemapindex xmlns="{NAMESPACE}"').option("rowTag", "sitemap").option("declaration", 'version="1.0" encoding="UTF-8"')
+     .option("maxRecordsPerFile", MAX_URLS).save(path))

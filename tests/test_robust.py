@@ -127,3 +127,18 @@ def test_registered_scores_move_no_html(spark, sf_dir, name):
     from catalog import QUERIES
     text = QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Exchange" not in text[text.index("== Physical Plan"):]
+
+
+def test_sitemaps_are_written_per_project(spark, tmp_path):
+    from corpusaudit.sources import sitemaps
+    entries = spark.range(300).selectExpr("id % 3 as project_id", "concat('https://h', id % 3, '.fr/', id) as url", "'2024-01-02' as lastmod", "'daily' as changefreq", "0.5 as priority")
+    sitemaps.write_project_sitemaps(entries, str(tmp_path / "maps"))
+    for k in range(3):
+        back = sitemaps.read_sitemap(spark, str(tmp_path / f"maps/project_id={k}")).collect()
+        assert len(back) == 100 and all(r.loc.startswith(f"https://h{k}.fr/") for r in back)
+    index = sitemaps.project_sitemap_index(spark, str(tmp_path / "maps"), "https://cdn.fr/maps/")
+    files = {(r.project_id, r.url) for r in index.collect()}
+    assert {p for p, _ in files} == {0, 1, 2} and all(f"/project_id={p}/part-" in u for p, u in files)
+    sitemaps.write_project_indexes(index, str(tmp_path / "indexes"))
+    raw = "".join(f.read_text() for f in (tmp_path / "indexes/project_id=1").glob("part-*"))
+    assert "<sitemapindex" in raw and raw.count("<loc>") == sum(p == 1 for p, _ in files)
