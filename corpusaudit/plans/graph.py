@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shapes import checkpoint, with_row_number
+from .shapes import checkpoint, compact, with_row_number
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -15,17 +15,17 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     follows that label to the label's own label, which halves the remaining distance.
     """
     both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    both = checkpoint(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    both = compact(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     first = both.groupBy("src").agg(F.min("dst").alias("near"))
     touched = vertices.join(first, vertices["id"] == first["src"], "left")
-    labels = checkpoint(touched.select("id", F.least("id", F.coalesce("near", "id")).alias("component")))
+    labels = compact(touched.select("id", F.least("id", F.coalesce("near", "id")).alias("component")))
     while True:
         lab = labels.select(F.col("id").alias("dst"), F.col("component").alias("label"))
         near = both.join(lab, "dst").groupBy("src").agg(F.min("label").alias("near"))
         joined = labels.join(near, labels["id"] == near["src"], "left")
         lowered = joined.select("id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("component").alias("jump"))
-        new = checkpoint(lowered.join(jump, "low").select(
+        new = compact(lowered.join(jump, "low").select(
             "id", F.least("low", "jump").alias("component"), (F.least("low", "jump") < F.col("component")).alias("moved")))
         moved = not new.filter("moved").isEmpty()
         labels = new.select("id", "component")

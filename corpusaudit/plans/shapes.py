@@ -27,6 +27,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
+    """A checkpoint read in as few tasks as its rows need, so that rounds over small tables don't leave files for every shuffle partition."""
+    fixed = checkpoint(df)
+    return fixed.coalesce(fixed.count() // rows_per_task + 1)
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, number: str | None = None) -> DataFrame:
     """First ``k`` rows per key.
 
