@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,12 +119,20 @@ def _write(folder: str):
     return run
 
 
+def _knows_files(docs: DataFrame) -> bool:
+    """Whether each row still tells the file block it is read from."""
+    try:
+        return bool(docs.select("_metadata.file_block_start").columns)
+    except AnalysisException:
+        return False
+
+
 def materialise(docs: DataFrame, key: int, text: str = "text", folder: str | None = None) -> DataFrame:
     """Write the token stream of all documents as shuffled sequences and return one row per sequence:
     (slot, seq, shard, offset, n_ids, crc32).
 
     The stream is every text's UTF-8 bytes as ids, an end id after each, in the order of the files that ``docs``
-    is read from; a table that isn't read from files is written as Parquet first. A null or empty text is an end id
+    is read from; a table whose rows don't know their file block is written as Parquet first. A null or empty text is an end id
     alone; repeated texts stay. The stream is cut into sequences of ``LENGTH`` ids; the last is filled up with end
     ids. Sequence ``seq`` lies in ``slot`` = permutation(seq): shard ``slot // PER_SHARD``, byte ``offset``. An empty table gives no
     rows and no files. Other columns play no part.
@@ -137,7 +146,7 @@ def materialise(docs: DataFrame, key: int, text: str = "text", folder: str | Non
     base = (folder or f"{spark.sparkContext.getCheckpointDir()}/training-order-{uuid.uuid4().hex}").rstrip("/")
     if "://" not in base:
         base = "file://" + base.removeprefix("file:") if base.startswith(("/", "file:/")) else base
-    if not docs.inputFiles():
+    if not _knows_files(docs):
         docs.select(F.col(text).alias("text")).write.mode("overwrite").parquet(f"{base}/input")
         docs, text = spark.read.parquet(f"{base}/input"), "text"
     rows = docs.select(F.col(text).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))

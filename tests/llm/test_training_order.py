@@ -49,3 +49,4 @@ def test_nulls_and_empty_tables(spark):
     rows = T.materialise(df, 5).collect()
     assert [(r.slot, r.seq, r.n_ids) for r in rows] == [(0, 0, 5)]
     assert T.materialise(df.limit(0), 5).count() == 0
+    assert T.materialise(df.filter("doc_id > 1").groupBy("text").count(), 5).count() == 1
