@@ -8,6 +8,7 @@ from corpusaudit.functions import html as H
 from corpusaudit.functions import urls as U
 from corpusaudit.functions.text import word_count
 from corpusaudit.operators import categories, eco, links, pages as P
+from corpusaudit.plans.graph import breadth_first
 from corpusaudit.sources.pages import read_pages, truncate_html
 
 from . import sqlfn as S
@@ -402,7 +403,7 @@ def _(spark, sf):
     table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
     half = spark.sql(SUPPLY).distinct()
     edges = half.unionByName(half.select(c("dst").alias("src"), c("src").alias("dst")))
-    return links.bfs_frontier(edges, spark.range(1).select(F.lit("p1").alias("url")), 500)
+    return breadth_first(edges, spark.range(1).select(F.lit("p1").alias("url")), 500)
 
 
 EXTERNAL = f"list_filter({S.hrefs('b')}, lambda z: starts_with(z, 'http') AND NOT contains(z, {S.netloc('url')}))"

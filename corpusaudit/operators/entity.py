@@ -108,6 +108,7 @@ def enrich_entities(requests: DataFrame, entities: DataFrame) -> DataFrame:
     Each lookup is an equi-join on one key of the flat records. A number held by several records
     goes to the one with the smallest id, as does a name.
     """
+    # The error texts below.
     flat = flatten_entity(entities)
     name = lambda c: F.lower(F.trim(c))
     by_number = flat.filter("siren <> ''").groupBy(F.col("siren").alias("_siren")).agg(F.min_by("qid", "entity_id").alias("_q_siren"))

@@ -49,6 +49,9 @@ def _steps(value: Column, *steps) -> Column:
     return out
 
 
+# The categories, issues and actions that the criteria below recommend, and the bounds of their points.
+
+
 def score_meta_description(description: Column) -> Column:
     d = F.coalesce(description, F.lit(""))
     n = F.length(d)

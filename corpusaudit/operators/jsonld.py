@@ -152,6 +152,7 @@ def structured_footprint(pages: DataFrame, blocks: DataFrame, site: str = "site"
 
 def validate_jsonld(docs: DataFrame, key: str = "doc_id", column: str = "doc") -> DataFrame:
     """(doc_id, valid, errors, warnings, message) by the local schema rules."""
+    # The French result texts below.
     d = docs.select(key, V.parse(F.col(column)).alias("_v")).withColumn("_o", V.as_object(F.col("_v")))
     o = F.col("_o")
     broken = o.isNull() | (F.size(o) == 0)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import urls as U
 from ..functions.text import cut, let, strip, text_or, title_case
-from ..plans.graph import breadth_first
 from ..plans.shapes import top_k
 
 # Guessed interface hosts in front of the bare domain, in order.
@@ -73,11 +72,6 @@ def link_edges_by_page(links: DataFrame) -> DataFrame:
     return e.filter("src <> dst").select("site", "page_id", "dst").distinct()
 
 
-def bfs_frontier(edges: DataFrame, seeds: DataFrame, max_urls: int | None = 500) -> DataFrame:
-    """Crawl order over stored links: (url, depth, position)."""
-    return breadth_first(edges, seeds, max_urls)
-
-
 def duplicate_journal(links: DataFrame, limit: int = 200) -> DataFrame:
     """Most repeated link targets of every site: how often a link led to a page already found."""
     n = link_edges_by_page(links).groupBy("site", F.col("dst").alias("url")).agg((F.count("*") - 1).alias("occurrences"))

@@ -39,6 +39,7 @@ SCHEMA_CONTENT_TYPES = {
 # Default name of a workspace.
 DEFAULT_WORKSPACE = "Non classé"
 
+# The columns a user may edit.
 EDITABLE = ["status", "content_type", "has_jsonld", "jsonld_quality", "content_quality", "monthly_traffic", "backlinks"]
 
 

@@ -41,7 +41,7 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_urls: int | None = 500
     reachable. A waiting queue of 5,000 urls cannot change the first 5,000 visits, so no queue
     bound is applied.
     """
-    links = edges.select("src", "dst").distinct()
+    links = checkpoint(edges.select("src", "dst").distinct())
     start = seeds.select("url").distinct()
     level = _numbered(start.select("url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("_via")), 0, max_urls)
     visited, depth = level, 0
@@ -57,7 +57,10 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_urls: int | None = 500
         if size == 0:
             break
         done += size
-        visited = checkpoint(visited.unionByName(level))
+        # Levels are fixed tables, so they are only appended; now and then they become one, to keep the plan short.
+        visited = visited.unionByName(level)
+        if depth % 16 == 0:
+            visited = checkpoint(visited)
     return visited
 
 
