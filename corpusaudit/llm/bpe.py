@@ -20,7 +20,7 @@ from .arrays import raw, slices
 #: A vocabulary beyond this many bytes of tokens is refused: every task keeps one.
 MAX_VOCABULARY = 64 << 20
 #: Words a worker remembers between slices, and bytes of text that a slice has at most.
-REMEMBERED, SLICE = 450_000, 2 << 20
+REMEMBERED, SLICE = 350_000, 2 << 20
 #: Words per recursive query, sum of their squared lengths (the rounds keep so many ids), and the length in
 #: bytes beyond which a single word is contracted by a heap instead.
 PER_QUERY, SQUARES, LONG = 40_000, 20_000_000, 4096
