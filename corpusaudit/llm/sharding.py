@@ -36,11 +36,12 @@ def shard_of(key: Column, shards: int) -> Column:
     return F.pandas_udf(assign, "int")(F.coalesce(key.cast("long"), F.lit(0).cast("long")))
 
 
-def with_slot(df: DataFrame, group: str, order: list[str], name: str = "slot") -> DataFrame:
+def with_slot(df: DataFrame, group: str, order: list[str], name: str = "slot", few: bool = False) -> DataFrame:
     """Number the rows of every group 0, 1, ... in the given order, without gathering a group in one task.
 
     Rows are range-partitioned by (group, order) and fixed by a checkpoint, so a large group spans
-    many tasks; one row per (partition, group) gives each piece its offset.
+    many tasks; one row per (partition, group) gives each piece its offset. There are at most as many of these as
+    partitions and groups together: where the groups are ``few`` whatever the input, such as shards, they are broadcast; else they meet the rows by an equi-join.
     """
     fixed = checkpoint(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
                        .withColumn("_at", F.monotonically_increasing_id()))
@@ -48,9 +49,8 @@ def with_slot(df: DataFrame, group: str, order: list[str], name: str = "slot") -
     pieces = fixed.groupBy(part.alias("_piece"), F.col(group).alias("_group")).agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
     before = Window.partitionBy("_group").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select("_piece", "_group", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    # At most one row per partition and one per group more: bounded by the plan, not by the data.
     joined = fixed.withColumn("_part", part).join(
-        F.broadcast(offsets), (F.col("_part") == F.col("_piece")) & F.col(group).eqNullSafe(F.col("_group")))
+        F.broadcast(offsets) if few else offsets, (F.col("_part") == F.col("_piece")) & F.col(group).eqNullSafe(F.col("_group")))
     return joined.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).cast("long").alias(name))
 
 
@@ -66,5 +66,5 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
     sized = docs.select(
         F.col(key).alias(key), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"),
         shard_of(F.col(key), shards).alias("shard"), shard_of(F.col(key), shards + 1).alias("grown_shard"))
-    placed = with_slot(sized, "shard", [key, "text_crc32", "size"])
+    placed = with_slot(sized, "shard", [key, "text_crc32", "size"], few=True)
     return placed.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -169,3 +169,21 @@ def test_long_chains_take_few_rounds(spark):
     schemas = spark.createDataFrame([("t", "x", "BIGINT", False)], "tool string, field string, type string, required boolean")
     got = toolcalls.link_calls(calls, results, schemas).select("turn", "depth", "position").collect()
     assert all(r.turn == r.depth == r.position for r in got) and len(got) == 3000
+
+
+def test_positions_of_many_groups_are_not_broadcast(spark):
+    rows = [(None if i % 50 == 7 else i % 50 if i % 3 else 0, i * 7919 % 1000) for i in range(1000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = sharding.with_slot(df, "conv_id", ["turn"])
+        got = {(r.conv_id, r.turn): r.slot for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan and "NestedLoop" not in plan
+    want = {}
+    for c in {c for c, _ in rows}:
+        want |= {(c, t): i for i, t in enumerate(sorted(t for g, t in rows if g == c))}
+    assert got == want and len(got) == len(rows)
