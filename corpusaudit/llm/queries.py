@@ -52,6 +52,12 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.materialise(table(spark, sf_dir, "documents"), key=20240131)
 
 
+@query("op2_training_order_tokens")
+def op2_training_order_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(table(spark, sf_dir, "documents"), key=20240131,
+                                      ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
 @query("op4_language_fusion")
 def op4_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))

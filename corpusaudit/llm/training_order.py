@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from corpusaudit.plans.shapes import ensure_checkpoint_dir
 
+from . import bpe
 from .arrays import mix, raw, slices
 
 #: Tokens of a sequence, and sequences of a shard.
 LENGTH, PER_SHARD = 2048, 4096
-#: The id after every document. Ids are UTF-8 bytes, in which 255 never occurs.
+#: The id after every document where ids are UTF-8 bytes, in which 255 never occurs. With a vocabulary it is the first id beyond that.
 END = 255
 ROUNDS = 4
 SLICE = 4 << 20
@@ -42,15 +43,29 @@ def feistel(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _fragments(starts: dict[tuple[str, int], int], size: int, key: int):
+def _packed(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The stream of a block's texts, each with an end id after it, cut at sequence bounds."""
+        """Lists of ids as binaries of fixed width."""
+        width = np.dtype(kind).itemsize
+        for batch in batches:
+            lists = batch.column(0)
+            ends = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]].astype(kind).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([flat[b:e] for b, e in zip(((ends[:-1] - ends[0]) * width).tolist(), ((ends[1:] - ends[0]) * width).tolist())], pa.binary())], ["text"])
+    return run
+
+
+def _fragments(starts: dict[tuple[str, int], int], size: int, key: int, kind: str, stop: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The stream of a block's ids, an end id after each document, cut at sequence bounds."""
+        width = np.dtype(kind).itemsize
         at: dict[tuple[str, int], int] = {}
         for batch in batches:
             for part in slices(iter([batch]), "text", SLICE):
                 files, blocks = part.column(1).to_pylist(), part.column(2).to_pylist()
                 body, offsets = raw(part.column(0))
-                stream = np.full(len(body) + part.num_rows, END, np.uint8)
+                body, offsets = body.view(kind), offsets // width
+                stream = np.full(len(body) + part.num_rows, stop, kind)
                 stream[np.arange(len(body)) + np.repeat(np.arange(part.num_rows), np.diff(offsets))] = body
                 bounds = offsets + np.arange(part.num_rows + 1)
                 first = 0
@@ -67,12 +82,12 @@ def _fragments(starts: dict[tuple[str, int], int], size: int, key: int):
                     data = here.tobytes()
                     yield pa.RecordBatch.from_arrays([
                         pa.array(feistel(seq, size, key)), pa.array(seq), pa.array((begin + cuts[:-1]) % LENGTH, pa.int32()),
-                        pa.array([data[b:e] for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())], ["slot", "seq", "place", "ids"])
+                        pa.array([data[b:e] for b, e in zip((cuts[:-1] * width).tolist(), (cuts[1:] * width).tolist())], pa.binary())], ["slot", "seq", "place", "ids"])
                     first = last
     return run
 
 
-def _write(folder: str):
+def _write(folder: str, end: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Records in slot order into one file per shard; a file gets its name when it is whole, so a lost attempt leaves none."""
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -93,9 +108,10 @@ def _write(folder: str):
                     close()
                 shard = slot // PER_SHARD
                 sink = fs.open_output_stream(f"{name(shard)}.{attempt}")
-            record = ids + bytes([END]) * (LENGTH - len(ids))
+            n = len(ids) // len(end)
+            record = ids + end * (LENGTH - n)
             sink.write(record)
-            out.append((slot, seq, shard, (slot % PER_SHARD) * LENGTH, len(ids), zlib.crc32(record)))
+            out.append((slot, seq, shard, (slot % PER_SHARD) * len(record), n, zlib.crc32(record)))
 
         def rows() -> pa.RecordBatch:
             got = list(zip(*out)) or [()] * 6
@@ -127,12 +143,15 @@ def _knows_files(docs: DataFrame) -> bool:
         return False
 
 
-def materialise(docs: DataFrame, key: int, text: str = "text", folder: str | None = None) -> DataFrame:
+def materialise(docs: DataFrame, key: int, text: str = "text", folder: str | None = None,
+                ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Write the token stream of all documents as shuffled sequences and return one row per sequence:
     (slot, seq, shard, offset, n_ids, crc32).
 
-    The stream is every text's UTF-8 bytes as ids, an end id after each, in the order of the files that ``docs``
-    is read from; a table whose rows don't know their file block is written as Parquet first. A null or empty text is an end id
+    With ``ranks_path`` and ``pattern`` the stream is every text's token ids as ``bpe.encode`` gives them: texts are encoded once, and their ids
+    written as Parquet beside the checkpoints, two bytes each (four where the vocabulary needs them, low byte first); these files give the order.
+    The end id is the number of tokens. Without, it is every text's UTF-8 bytes as ids, in the order of the files that ``docs``
+    is read from; a table whose rows don't know their file block is written as Parquet first. An end id follows each document. A null or empty text is an end id
     alone; repeated texts stay. The stream is cut into sequences of ``LENGTH`` ids; the last is filled up with end
     ids. Sequence ``seq`` lies in ``slot`` = permutation(seq): shard ``slot // PER_SHARD``, byte ``offset``. An empty table gives no
     rows and no files. Other columns play no part.
@@ -146,29 +165,36 @@ def materialise(docs: DataFrame, key: int, text: str = "text", folder: str | Non
     base = (folder or f"{spark.sparkContext.getCheckpointDir()}/training-order-{uuid.uuid4().hex}").rstrip("/")
     if "://" not in base:
         base = "file://" + base.removeprefix("file:") if base.startswith(("/", "file:/")) else base
-    if not _knows_files(docs):
+    kind, stop = "u1", END
+    if ranks_path is not None:
+        stop = len(bpe.read_ranks(ranks_path))
+        kind = "<u2" if stop < 1 << 16 else "<u4"
+        coded = bpe.encode(docs.select(F.lit(0).alias("none"), F.col(text).alias("text")), ranks_path, pattern, "none")
+        coded.select("ids").mapInArrow(_packed(kind), "text binary").write.mode("overwrite").parquet(f"{base}/input")
+        docs, text = spark.read.parquet(f"{base}/input"), "text"
+    elif not _knows_files(docs):
         docs.select(F.col(text).alias("text")).write.mode("overwrite").parquet(f"{base}/input")
         docs, text = spark.read.parquet(f"{base}/input"), "text"
     rows = docs.select(F.col(text).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     # One row per file block: bounded by the number of scan tasks.
-    sizes = rows.groupBy("file", "block").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n")).orderBy("file", "block").collect()
+    sizes = rows.groupBy("file", "block").agg(F.sum(F.coalesce((F.octet_length("text") / np.dtype(kind).itemsize).cast("long"), F.lit(0)) + 1).alias("n")).orderBy("file", "block").collect()
     ends = np.cumsum([0, *(r.n for r in sizes)]).tolist()
     starts = {(r.file, r.block): b for r, b in zip(sizes, ends)}
     size = -(-ends[-1] // LENGTH)
     shards = max(1, -(-size // PER_SHARD))
     fs, root = pafs.FileSystem.from_uri(base)
     fs.create_dir(f"{root}/shards")
-    pieces = rows.mapInArrow(_fragments(starts, size, key), "slot long, seq long, place int, ids binary")
+    pieces = rows.mapInArrow(_fragments(starts, size, key, kind, stop), "slot long, seq long, place int, ids binary")
     dealt = pieces.repartition(shards, F.floor(F.col("slot") / PER_SHARD)).sortWithinPartitions("slot", "place").select("slot", "seq", "ids")
-    return dealt.mapInArrow(_write(f"{base}/shards"), "slot long, seq long, shard int, offset long, n_ids int, crc32 long")
+    return dealt.mapInArrow(_write(f"{base}/shards", np.array(stop, kind).tobytes()), "slot long, seq long, shard int, offset long, n_ids int, crc32 long")
 
 
-def read_slots(folder: str, begin: int, end: int) -> Iterator[bytes]:
-    """Records of slots begin .. end - 1, by seeking: reading can go on from any slot."""
+def read_slots(folder: str, begin: int, end: int, width: int = 1) -> Iterator[bytes]:
+    """Records of slots begin .. end - 1 with ids of ``width`` bytes, by seeking: reading can go on from any slot."""
     fs, root = pafs.FileSystem.from_uri(folder)
     for shard in range(begin // PER_SHARD, -(-end // PER_SHARD)):
         with fs.open_input_file(f"{root}/shard-{shard:08d}.bin") as source:
             first = max(begin - shard * PER_SHARD, 0)
-            source.seek(first * LENGTH)
+            source.seek(first * LENGTH * width)
             for _ in range(first, min(end - shard * PER_SHARD, PER_SHARD)):
-                yield source.read(LENGTH)
+                yield source.read(LENGTH * width)

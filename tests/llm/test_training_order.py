@@ -6,7 +6,9 @@ import tempfile
 import zlib
 
 import numpy as np
+import public_tokenizers as P
 
+from corpusaudit.llm import bpe
 from corpusaudit.llm import training_order as T
 from corpusaudit.llm.queries import QUERIES
 
@@ -50,3 +52,31 @@ def test_nulls_and_empty_tables(spark):
     assert [(r.slot, r.seq, r.n_ids) for r in rows] == [(0, 0, 5)]
     assert T.materialise(df.limit(0), 5).count() == 0
     assert T.materialise(df.filter("doc_id > 1").groupBy("text").count(), 5).count() == 1
+
+
+def test_shards_hold_token_ids(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    tokens = bpe.read_ranks(path)
+    texts = [None, "", "One word, é 😀", *(f"the {i} token stream of a longer document " * 40 for i in range(30)), "x" * 5000]
+    df = spark.createDataFrame([(i, t, [i]) for i, t in enumerate(texts)], "doc_id long, text string, ids array<int>")
+    folder = "file://" + tempfile.mkdtemp(prefix="order-")
+    got = {r.slot: r for r in T.materialise(df, 3, folder=folder, ranks_path=path, pattern=P.PATTERN).collect()}
+    coder = bpe.Codec(tokens, P.PATTERN)
+    want = sorted(coder.encode([t or "" for t in texts]))
+    total = sum(len(w) // 4 + 1 for w in want)
+    n = -(-total // T.LENGTH)
+    assert n > 1 and sorted(got) == list(range(n)) and sum(r.n_ids for r in got.values()) == total
+    records = list(T.read_slots(f"{folder}/shards", 0, n, 2))
+    assert list(T.read_slots(f"{folder}/shards", 1, n, 2)) == records[1:]
+    slots = T.feistel(np.arange(n), n, 3).tolist()
+    assert all(got[s].seq == q and got[s].crc32 == zlib.crc32(records[s]) and len(records[s]) == 2 * T.LENGTH for q, s in enumerate(slots))
+    ids = np.frombuffer(b"".join(records[s] for s in slots), "<u2")
+    assert (ids[total:] == len(tokens)).all()
+    docs = np.split(ids[:total].astype(np.int32), np.flatnonzero(ids[:total] == len(tokens)) + 1)
+    assert not len(docs.pop()) and sorted(d[:-1].tobytes() for d in docs) == want
+
+
+def test_token_query_is_whole(spark, sf_dir):
+    rows = QUERIES["op2_training_order_tokens"](spark, sf_dir).collect()
+    ids = bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).selectExpr("sum(size(ids) + 1) AS n").first().n
+    assert sum(r.n_ids for r in rows) == ids and len({r.slot for r in rows}) == len(rows)
