@@ -120,3 +120,21 @@ SELECT conv_id, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY COALESCE(depth,
   head || ',"call_id":"' || call_id || '","result":' || COALESCE('"' || content || '"', 'null') || ',"tool":"' || tool || '"}}' AS message
 FROM rows
 """
+
+#: Terms by splitting at all other bytes; every term of an item joins the documents that hold it.
+LEXICAL = """
+WITH doc_terms AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')) AS term FROM documents),
+item_terms AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')) AS term FROM benchmark),
+lengths AS MATERIALIZED (SELECT doc_id, COUNT(*) AS n FROM doc_terms GROUP BY doc_id),
+corpus AS MATERIALIZED (SELECT COUNT(*) AS docs, CAST(SUM(n) AS BIGINT) AS length FROM lengths),
+asked AS MATERIALIZED (SELECT item_id, term, COUNT(*) AS times FROM item_terms GROUP BY item_id, term),
+tfs AS MATERIALIZED (SELECT doc_id, term, COUNT(*) AS tf FROM doc_terms WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS MATERIALIZED (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * COUNT(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tfs, corpus GROUP BY term, docs),
+gains AS MATERIALIZED (SELECT t.doc_id, t.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // length)))) AS gain
+  FROM tfs t JOIN weights USING (term) JOIN lengths l ON l.doc_id = t.doc_id, corpus),
+scores AS (SELECT item_id, doc_id, CAST(SUM(times * gain) AS BIGINT) AS score FROM asked JOIN gains USING (term) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
