@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, lexical, neardup, ordermin, quality, repeats, sharding, sql, toolcalls, training_order
+from . import bpe, decontaminate, langid, lexical, neardup, ordermin, quality, repeats, sharding, simhash, sql, toolcalls, training_order
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -74,3 +74,8 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_aho_corasick_search", sql.LEXICAL)
 def op11_aho_corasick_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_simhash_variants")
+def op12_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
