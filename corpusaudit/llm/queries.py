@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, lexical, neardup, ordermin, quality, repeats, sharding, simhash, sql, toolcalls, training_order
+from . import bpe, decontaminate, langid, lexical, neardup, ordermin, quality, repeats, sharding, simhash, sql, toolcalls, training_order, trie
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -79,3 +79,8 @@ def op11_aho_corasick_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_simhash_variants")
 def op12_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_centroid_trie", sql.PREFIX_TRIE)
+def op13_centroid_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))

@@ -138,3 +138,36 @@ scores AS (SELECT item_id, doc_id, CAST(SUM(times * gain) AS BIGINT) AS score FR
 ranked AS (SELECT item_id, CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
+
+#: Prefixes as joined digests of their turns; ancestors by the path of a node's smallest member.
+PREFIX_TRIE = """
+WITH RECURSIVE bits(byte, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL
+  SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+steps AS MATERIALIZED (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8),
+ids AS MATERIALIZED (
+  SELECT conv_id, xor(4294967295, list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1]), CAST(4294967295 AS BIGINT))) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), steps),
+own AS MATERIALIZED (
+  SELECT conv_id, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS at, octet_length(encode(COALESCE(text, ''))) AS bytes,
+    md5(length(COALESCE(role, '')) || ':' || COALESCE(role, '') || COALESCE(text, '')) AS digest FROM conversations),
+parts AS (
+  SELECT i.conv_id AS c, 0 AS part, at, bytes, digest FROM ids i JOIN own o ON o.conv_id = i.conv_id - i.conv_id % 5 AND at < h
+  UNION ALL SELECT i.conv_id, 1, at, bytes, digest FROM ids i JOIN own o ON o.conv_id = i.conv_id AND at >= h),
+walks AS MATERIALIZED (
+  SELECT conv_id AS c, 0 AS d, '' AS prefix, 0 AS bytes FROM ids
+  UNION ALL SELECT c, ROW_NUMBER() OVER w, string_agg(digest, '') OVER w, bytes FROM parts WINDOW w AS (PARTITION BY c ORDER BY part, at)),
+nodes AS MATERIALIZED (SELECT prefix, d, MIN(c) AS conv_id, COUNT(*) AS n_convs, any_value(bytes) AS bytes FROM walks GROUP BY prefix, d),
+children AS (SELECT left(prefix, 32 * (d - 1)) AS prefix, d - 1 AS d, COUNT(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+counted AS MATERIALIZED (SELECT n.*, COALESCE(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.prefix = n.prefix AND c.d = n.d),
+totals AS (
+  SELECT w.prefix, w.d, SUM(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, SUM((n_convs - 1) * n.bytes) AS saved_tokens
+  FROM counted n JOIN walks w ON w.c = n.conv_id AND w.d <= n.d GROUP BY ALL),
+ends AS (SELECT prefix, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT *, MAX(d) OVER (PARTITION BY c) AS size FROM walks) WHERE d = size GROUP BY ALL)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(t.n_leaves AS BIGINT) AS n_leaves,
+  CAST(t.saved_tokens AS BIGINT) AS saved_tokens, sha256(COALESCE(e.ids, '')) AS ends_sha256
+FROM counted n JOIN totals t ON t.prefix = n.prefix AND t.d = n.d LEFT JOIN ends e ON e.prefix = n.prefix AND e.d = n.d
+LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.prefix = left(n.prefix, 32 * (n.d - 1))
+"""
