@@ -151,14 +151,14 @@ ids AS MATERIALIZED (
     lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1]), CAST(4294967295 AS BIGINT))) % 9 AS h
   FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), steps),
 own AS MATERIALIZED (
-  SELECT conv_id, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS at, octet_length(encode(COALESCE(text, ''))) AS bytes,
+  SELECT conv_id, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos, octet_length(encode(COALESCE(text, ''))) AS bytes,
     md5(length(COALESCE(role, '')) || ':' || COALESCE(role, '') || COALESCE(text, '')) AS digest FROM conversations),
 parts AS (
-  SELECT i.conv_id AS c, 0 AS part, at, bytes, digest FROM ids i JOIN own o ON o.conv_id = i.conv_id - i.conv_id % 5 AND at < h
-  UNION ALL SELECT i.conv_id, 1, at, bytes, digest FROM ids i JOIN own o ON o.conv_id = i.conv_id AND at >= h),
+  SELECT i.conv_id AS c, 0 AS part, pos, bytes, digest FROM ids i JOIN own o ON o.conv_id = i.conv_id - i.conv_id % 5 AND pos < h
+  UNION ALL SELECT i.conv_id, 1, pos, bytes, digest FROM ids i JOIN own o ON o.conv_id = i.conv_id AND pos >= h),
 walks AS MATERIALIZED (
   SELECT conv_id AS c, 0 AS d, '' AS prefix, 0 AS bytes FROM ids
-  UNION ALL SELECT c, ROW_NUMBER() OVER w, string_agg(digest, '') OVER w, bytes FROM parts WINDOW w AS (PARTITION BY c ORDER BY part, at)),
+  UNION ALL SELECT c, ROW_NUMBER() OVER w, string_agg(digest, '') OVER w, bytes FROM parts WINDOW w AS (PARTITION BY c ORDER BY part, pos)),
 nodes AS MATERIALIZED (SELECT prefix, d, MIN(c) AS conv_id, COUNT(*) AS n_convs, any_value(bytes) AS bytes FROM walks GROUP BY prefix, d),
 children AS (SELECT left(prefix, 32 * (d - 1)) AS prefix, d - 1 AS d, COUNT(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
 counted AS MATERIALIZED (SELECT n.*, COALESCE(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.prefix = n.prefix AND c.d = n.d),
