@@ -73,8 +73,8 @@ for _name, _ids, _sql, _fn in (
     query(_name, _ids, f"{SHAPE_SQL} SELECT a.page_id, round({_sql}, 9) AS similarity FROM e a JOIN e b ON b.page_id = a.page_id + 1")(_similar)
 
 
-SIG_SQL = f"""{SHAPE_SQL}, w AS (SELECT *, min(page_id) OVER (PARTITION BY {', '.join(f't_{t}' for t in TAGS)}, p, lists, images, buttons, types, pat) AS sig FROM e),
-pairs AS (SELECT DISTINCT least(a.sig, b.sig) AS sig_a, greatest(a.sig, b.sig) AS sig_b FROM w a JOIN w b ON a.page_id < b.page_id AND a.sig <> b.sig WHERE {PAGE_SIM} >= 0.85::DOUBLE)"""
+SIG_SQL = f"""{SHAPE_SQL}, w AS (SELECT *, min(page_id) OVER (PARTITION BY site, {', '.join(f't_{t}' for t in TAGS)}, p, lists, images, buttons, types, pat) AS sig FROM e),
+pairs AS (SELECT DISTINCT least(a.sig, b.sig) AS sig_a, greatest(a.sig, b.sig) AS sig_b FROM w a JOIN w b ON a.site = b.site AND a.page_id < b.page_id AND a.sig <> b.sig WHERE {PAGE_SIM} >= 0.85::DOUBLE)"""
 
 
 @query("cluster_similar_pairs", "CLU-5", f"{SIG_SQL} SELECT sig_a, sig_b FROM pairs")
@@ -85,7 +85,7 @@ def _(spark, sf):
 COMP_SQL = f"""{SIG_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, both_ways AS (SELECT sig_a AS x, sig_b AS y FROM pairs UNION SELECT sig_b, sig_a FROM pairs),
 reach(x, y) AS (SELECT DISTINCT sig, sig FROM w UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y),
 comp AS (SELECT x AS sig, min(y) AS component FROM reach GROUP BY x), paged AS (SELECT w.*, component FROM w JOIN comp USING (sig)),
-numbered AS (SELECT component, count(*) AS pages, CAST(row_number() OVER (ORDER BY count(*) DESC, component) AS BIGINT) AS cluster_id FROM paged GROUP BY component),
+numbered AS (SELECT site, component, count(*) AS pages, CAST(row_number() OVER (PARTITION BY site ORDER BY count(*) DESC, component) AS BIGINT) AS cluster_id FROM paged GROUP BY site, component),
 member AS (SELECT cluster_id, p.* FROM paged p JOIN numbered USING (component))"""
 
 
@@ -95,82 +95,98 @@ def clustered(spark, sf):
     return pages, numbered, C.cluster_members(pages, numbered)
 
 
-@query("cluster_components", "CLU-6", f"{COMP_SQL} SELECT page_id, component FROM paged")
+@query("cluster_components", "CLU-6", f"{COMP_SQL} SELECT page_id, site, component FROM paged")
 def _(spark, sf):
-    return C.cluster_pages(enriched(spark, sf)).select("page_id", "component")
+    return C.cluster_pages(enriched(spark, sf)).select("page_id", "site", "component")
 
 
-@query("cluster_numbers", "CLU-7", f"{COMP_SQL} SELECT cluster_id, component, CAST(pages AS BIGINT) AS pages FROM numbered")
+@query("cluster_similar_shapes", "CLU-5", f"{COMP_SQL} SELECT site, sig, CAST(count(*) AS BIGINT) AS pages, max(page_id) AS last_page, component FROM paged GROUP BY site, sig, component")
+def _(spark, sf):
+    return C.similar_shapes(enriched(spark, sf)).select("site", "sig", "pages", "last_page", "component")
+
+
+@query("cluster_pairs_within", "CLU-5", f"{COMP_SQL} SELECT DISTINCT w.site, component, sig_a, sig_b FROM pairs JOIN comp ON comp.sig = sig_a JOIN w ON w.page_id = sig_a")
+def _(spark, sf):
+    return C.pairs_within(C.similar_shapes(enriched(spark, sf)))
+
+
+@query("cluster_numbers", "CLU-7", f"{COMP_SQL} SELECT site, cluster_id, component, CAST(pages AS BIGINT) AS pages FROM numbered")
 def _(spark, sf):
     return clustered(spark, sf)[1]
 
 
-@query("cluster_patterns", "CLU-8", f"""{COMP_SQL} SELECT cluster_id, '/' || array_to_string(arg_max(pat, len(pat) * 1000000 - page_id), '/') AS url_pattern FROM member GROUP BY cluster_id""")
+@query("cluster_patterns", "CLU-8", f"""{COMP_SQL} SELECT site, cluster_id, '/' || array_to_string(arg_max(pat, len(pat) * 1000000 - page_id), '/') AS url_pattern FROM member GROUP BY site, cluster_id""")
 def _(spark, sf):
     return C.cluster_pattern(clustered(spark, sf)[2])
 
 
-@query("cluster_sample_pages", "CLU-9", f"""{COMP_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY page_id) AS position FROM member)
-SELECT cluster_id, CAST(position AS INTEGER) AS position, '- URL : ' || url || ' | H1 : ' || substring(h1, 1, 200) || ' | Meta : ' || substring(description, 1, 300) AS line FROM r WHERE position <= 5""")
+@query("cluster_sample_pages", "CLU-9", f"""{COMP_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY site, cluster_id ORDER BY page_id) AS position FROM member)
+SELECT site, cluster_id, CAST(position AS INTEGER) AS position, '- URL : ' || url || ' | H1 : ' || substring(h1, 1, 200) || ' | Meta : ' || substring(description, 1, 300) AS line FROM r WHERE position <= 5""")
 def _(spark, sf):
     return C.naming_samples(C.cluster_samples(clustered(spark, sf)[2], rich(spark, sf), 5))
 
 
 LABELS = "cluster_labels AS (" + with_views("cluster_labels").split(" AS (", 1)[1]
-MODEL_SQL = f"""{COMP_SQL}, {LABELS}, heads AS (SELECT cluster_id, min(page_id) AS page_id, count(*) AS page_count FROM member GROUP BY cluster_id),
-models AS (SELECT h.cluster_id, CAST(page_count AS BIGINT) AS page_count, coalesce(model_name, 'Cluster ' || h.cluster_id) AS model_name, coalesce(schema_type, 'WebPage') AS schema_type, e.t_h1 AS h1, e.t_h2 AS h2, e.json_ld[1] AS existing
+MODEL_SQL = f"""{COMP_SQL}, {LABELS}, heads AS (SELECT site, cluster_id, min(page_id) AS page_id, count(*) AS page_count FROM member GROUP BY site, cluster_id),
+models AS (SELECT h.site, h.cluster_id, CAST(page_count AS BIGINT) AS page_count, coalesce(model_name, 'Cluster ' || h.cluster_id) AS model_name, coalesce(schema_type, 'WebPage') AS schema_type, e.t_h1 AS h1, e.t_h2 AS h2, e.json_ld[1] AS existing
   FROM heads h JOIN e USING (page_id) LEFT JOIN cluster_labels l ON l.cluster_id = h.cluster_id)"""
 
 
-@query("cluster_models", "CLU-10", f"{MODEL_SQL} SELECT cluster_id, page_count, model_name, schema_type, h1, h2, existing FROM models")
+@query("cluster_models", "CLU-10", f"{MODEL_SQL} SELECT site, cluster_id, page_count, model_name, schema_type, h1, h2, existing FROM models")
 def _(spark, sf):
-    m = C.cluster_models(clustered(spark, sf)[2], facts(spark, sf), view(spark, sf, "cluster_labels"))
-    return m.select("cluster_id", "page_count", "model_name", "schema_type", c("dom_structure.h1").cast("long").alias("h1"),
+    _, numbered, members = clustered(spark, sf)
+    labels = numbered.select("site", "cluster_id").join(view(spark, sf, "cluster_labels"), "cluster_id")
+    m = C.cluster_models(members, facts(spark, sf), labels)
+    return m.select("site", "cluster_id", "page_count", "model_name", "schema_type", c("dom_structure.h1").cast("long").alias("h1"),
                     c("dom_structure.h2").cast("long").alias("h2"), c("existing_jsonld").alias("existing"))
 
 
-MERGES = f"""{with_views('cluster_labels')}, l AS (SELECT cluster_id - 1 AS i, CASE WHEN trim(model_name) = '' THEN 'cluster_' || (cluster_id - 1) ELSE lower(trim(model_name)) END AS name FROM cluster_labels),
-g AS (SELECT name, min(i) AS f FROM l GROUP BY name), same AS (SELECT f, a.i AS s, b.i AS t FROM l a JOIN l b ON a.name = b.name AND a.i < b.i JOIN g ON g.name = a.name),
-given AS (SELECT s_suppkey AS ord, s_suppkey % 4 AS s, 2 + s_suppkey % 3 * 30 AS t FROM supplier WHERE s_suppkey <= 6),
-al AS (SELECT 0 AS k, ord AS x, 0 AS y, 0 AS z, s, t, CASE WHEN ord % 2 = 0 THEN 'proche' ELSE 'Noms similaires' END AS reason FROM given
-  UNION ALL SELECT 1, f, s, t, s, t, 'Même nom de cluster détecté' FROM same WHERE NOT EXISTS (SELECT 1 FROM given WHERE least(given.s, given.t) = same.s AND greatest(given.s, given.t) = same.t)),
-head AS (SELECT * FROM al ORDER BY k, x, y, z LIMIT 10)
-SELECT s AS source, t AS target, reason FROM head WHERE s <> t AND t < (SELECT count(*) FROM l) QUALIFY row_number() OVER (PARTITION BY least(s, t), greatest(s, t) ORDER BY k, x, y, z) = 1"""
+MERGES = f"""{with_views('cluster_labels')}, l AS (SELECT 's' || cluster_id % 3 AS site, cluster_id - 1 AS i, CASE WHEN trim(model_name) = '' THEN 'cluster_' || (cluster_id - 1) ELSE lower(trim(model_name)) END AS name FROM cluster_labels),
+g AS (SELECT site, name, min(i) AS f FROM l GROUP BY site, name), same AS (SELECT a.site, f, a.i AS s, b.i AS t FROM l a JOIN l b ON a.site = b.site AND a.name = b.name AND a.i < b.i JOIN g ON g.site = a.site AND g.name = a.name),
+given AS (SELECT 's' || s_suppkey % 3 AS site, s_suppkey AS ord, s_suppkey % 4 + s_suppkey % 7 AS s, 2 + s_suppkey % 5 * 3 AS t FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 5 = 0),
+al AS (SELECT site, 0 AS k, ord AS x, 0 AS y, 0 AS z, s, t, CASE WHEN ord % 2 = 0 THEN 'proche' ELSE 'Noms similaires' END AS reason FROM given WHERE ord <= 18
+  UNION ALL SELECT site, 1, f, s, t, s, t, 'Même nom de cluster détecté' FROM same WHERE NOT EXISTS (SELECT 1 FROM given WHERE given.ord <= 18 AND given.site = same.site AND least(given.s, given.t) = same.s AND greatest(given.s, given.t) = same.t)),
+head AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY site ORDER BY k, x, y, z) <= 10)
+SELECT site, s AS source, t AS target, reason FROM head WHERE s <> t AND EXISTS (SELECT 1 FROM l WHERE l.site = head.site AND l.i = s) AND EXISTS (SELECT 1 FROM l WHERE l.site = head.site AND l.i = t)
+QUALIFY row_number() OVER (PARTITION BY site, least(s, t), greatest(s, t) ORDER BY k, x, y, z) = 1"""
 
 
 @query("cluster_merge_suggestions", "CLU-11", MERGES)
 def _(spark, sf):
-    labels = view(spark, sf, "cluster_labels").select((c("cluster_id") - 1).alias("cluster_id"), "model_name")
+    site = lambda key: F.concat(F.lit("s"), (key % 3).cast("string"))
+    labels = view(spark, sf, "cluster_labels").select(site(c("cluster_id")).alias("site"), (c("cluster_id") - 1).alias("cluster_id"), "model_name")
     k = c("s_suppkey")
-    given = table(spark, sf, "supplier").filter("s_suppkey <= 6").select(
-        k.alias("ord"), (k % 4).alias("source"), (F.lit(2) + k % 3 * 30).alias("target"), F.when(k % 2 == 0, " proche ").otherwise(" ").alias("reason"))
+    given = table(spark, sf, "supplier").filter("s_suppkey <= 18 AND (s_suppkey % 2 = 0 OR s_suppkey % 5 = 0)").select(
+        site(k).alias("site"), k.alias("ord"), (k % 4 + k % 7).alias("source"), (F.lit(2) + k % 5 * 3).alias("target"), F.when(k % 2 == 0, " proche ").otherwise(" ").alias("reason"))
     return C.merge_suggestions(labels, given)
 
 
-FUSION = """WITH cl AS (SELECT s_suppkey AS cluster_id, s_name AS label FROM supplier), m AS (SELECT 1 + c_custkey % 50 AS cluster_id, c_custkey AS position, 'u' || CAST(c_custkey % 400 AS STRING) AS url FROM customer),
-sel AS (SELECT s_suppkey % 3 AS fusion, s_suppkey AS cluster_id FROM supplier WHERE s_suppkey % 7 = 0)"""
-FUSED = f"""{FUSION}, tg AS (SELECT fusion, min(cluster_id) AS keep FROM sel GROUP BY fusion), mp AS (SELECT cluster_id, keep FROM sel JOIN tg USING (fusion)),
-n AS (SELECT cluster_id, count(*) AS n FROM m GROUP BY cluster_id),
-c2 AS (SELECT coalesce(keep, cl.cluster_id) AS keep, cl.cluster_id, label, coalesce(n, 0) AS n FROM cl LEFT JOIN mp ON mp.cluster_id = cl.cluster_id LEFT JOIN n ON n.cluster_id = cl.cluster_id),
-lab AS (SELECT keep, arg_max(label, n * 100000000 - cluster_id) AS label, count(*) AS fused_from, CAST(row_number() OVER (ORDER BY keep) AS BIGINT) AS new_id FROM c2 GROUP BY keep),
-mv AS (SELECT coalesce(keep, m.cluster_id) AS keep, m.cluster_id, position, url, keep IS NOT NULL AS fused FROM m LEFT JOIN mp ON mp.cluster_id = m.cluster_id),
-kept AS (SELECT keep, cluster_id, position, url FROM mv WHERE NOT fused UNION ALL SELECT keep, cluster_id, position, url FROM mv WHERE fused QUALIFY row_number() OVER (PARTITION BY keep, url ORDER BY cluster_id, position) = 1)"""
+FUSION = """WITH cl AS (SELECT 's' || s_suppkey % 2 AS site, s_suppkey AS cluster_id, s_name AS label FROM supplier),
+m AS (SELECT 's' || (1 + c_custkey % 50) % 2 AS site, 1 + c_custkey % 50 AS cluster_id, c_custkey AS position, 'u' || CAST(c_custkey % 400 AS STRING) AS url FROM customer),
+sel AS (SELECT 's' || s_suppkey % 2 AS site, s_suppkey % 3 AS fusion, s_suppkey AS cluster_id FROM supplier WHERE s_suppkey % 7 = 0)"""
+FUSED = f"""{FUSION}, tg AS (SELECT site, fusion, min(cluster_id) AS keep FROM sel GROUP BY site, fusion), mp AS (SELECT site, cluster_id, keep FROM sel JOIN tg USING (site, fusion)),
+n AS (SELECT site, cluster_id, count(*) AS n FROM m GROUP BY site, cluster_id),
+c2 AS (SELECT cl.site, coalesce(keep, cl.cluster_id) AS keep, cl.cluster_id, label, coalesce(n, 0) AS n FROM cl LEFT JOIN mp ON mp.site = cl.site AND mp.cluster_id = cl.cluster_id LEFT JOIN n ON n.site = cl.site AND n.cluster_id = cl.cluster_id),
+lab AS (SELECT site, keep, arg_max(label, n * 100000000 - cluster_id) AS label, count(*) AS fused_from, CAST(row_number() OVER (PARTITION BY site ORDER BY keep) AS BIGINT) AS new_id FROM c2 GROUP BY site, keep),
+mv AS (SELECT m.site, coalesce(keep, m.cluster_id) AS keep, m.cluster_id, position, url, keep IS NOT NULL AS fused FROM m LEFT JOIN mp ON mp.site = m.site AND mp.cluster_id = m.cluster_id),
+kept AS (SELECT site, keep, cluster_id, position, url FROM mv WHERE NOT fused UNION ALL SELECT site, keep, cluster_id, position, url FROM mv WHERE fused QUALIFY row_number() OVER (PARTITION BY site, keep, url ORDER BY cluster_id, position) = 1)"""
 
 
 def fused(spark, sf):
     s, k = table(spark, sf, "supplier"), c("c_custkey")
-    clusters = s.select(c("s_suppkey").alias("cluster_id"), c("s_name").alias("label"))
-    members = table(spark, sf, "customer").select((F.lit(1) + k % 50).alias("cluster_id"), k.alias("position"), F.concat(F.lit("u"), (k % 400).cast("string")).alias("url"))
-    selection = s.filter("s_suppkey % 7 = 0").select((c("s_suppkey") % 3).alias("fusion"), c("s_suppkey").alias("cluster_id"))
+    site = lambda key: F.concat(F.lit("s"), (key % 2).cast("string")).alias("site")
+    clusters = s.select(site(c("s_suppkey")), c("s_suppkey").alias("cluster_id"), c("s_name").alias("label"))
+    members = table(spark, sf, "customer").select(site(F.lit(1) + k % 50), (F.lit(1) + k % 50).alias("cluster_id"), k.alias("position"), F.concat(F.lit("u"), (k % 400).cast("string")).alias("url"))
+    selection = s.filter("s_suppkey % 7 = 0").select(site(c("s_suppkey")), (c("s_suppkey") % 3).alias("fusion"), c("s_suppkey").alias("cluster_id"))
     return C.fuse_clusters(clusters, members, selection)
 
 
-@query("cluster_fusion", "CLU-12", f"{FUSED} SELECT new_id AS cluster_id, label, CAST(fused_from AS BIGINT) AS fused_from FROM lab")
+@query("cluster_fusion", "CLU-12", f"{FUSED} SELECT site, new_id AS cluster_id, label, CAST(fused_from AS BIGINT) AS fused_from FROM lab")
 def _(spark, sf):
     return fused(spark, sf)[0]
 
 
-@query("cluster_fusion_members", "CLU-12", f"{FUSED} SELECT new_id AS cluster_id, kept.cluster_id AS from_cluster, position, url FROM kept JOIN lab USING (keep)")
+@query("cluster_fusion_members", "CLU-12", f"{FUSED} SELECT site, new_id AS cluster_id, kept.cluster_id AS from_cluster, position, url FROM kept JOIN lab USING (site, keep)")
 def _(spark, sf):
     return fused(spark, sf)[1]
 

@@ -1,6 +1,7 @@
 """Page-template clusters: similarity, exact blocking, components and cluster models.
 
-The definition compares every pair of pages. Here pages with equal facts are first collapsed to
+The definition compares every pair of pages of a site; pages of different sites never meet, and clusters are
+numbered within their site. Here pages with equal facts are first collapsed to
 one signature; signatures meet only in blocks that every similar pair shares; and inside a block
 they are collapsed once more into cells of near-equal counts. Bounds on the similarity between two
 cells decide most cell pairs at once, in either direction. Signatures of two cells are compared one
@@ -19,7 +20,7 @@ from ..functions import html as H
 from ..functions import urls as U
 from ..functions.text import strip, text_or
 from ..plans.graph import components
-from ..plans.shapes import checkpoint, top_k, with_row_number
+from ..plans.shapes import checkpoint, number_in_groups, pick_rows, top_k
 
 # Weights of structure, url and content, the default threshold and count tolerances.
 WEIGHT_STRUCTURE, WEIGHT_URL, WEIGHT_SEMANTIC = 0.40, 0.30, 0.30
@@ -31,6 +32,7 @@ UNEQUAL_LENGTH = 0.85
 
 # Highest semantic similarity the rules can give: five criteria are divided by six.
 SEMANTIC_MAX = (5 / 6 * 5 + 1) / 6
+BEST = WEIGHT_STRUCTURE + WEIGHT_URL + WEIGHT_SEMANTIC * SEMANTIC_MAX
 SLACK = 1e-9
 MAX_KEYS = 64
 LONG_PATH = 10
@@ -82,9 +84,10 @@ def combine(structure: Column, url: Column, semantic: Column) -> Column:
 
 
 def enrich_pages(pages: DataFrame) -> DataFrame:
-    """Page structure, content features and path pattern; types come from the page's own JSON-LD blocks."""
+    """Site, page structure, content features and path pattern; types come from the page's own JSON-LD blocks. Pages without url are a site of their own, named ''."""
     from .pages import page_facts
-    return page_facts(pages).select("page_id", "url", "dom_structure", "semantic_features", "pattern")
+    facts = page_facts(pages)
+    return facts.select("page_id", "url", F.coalesce("site", F.lit("")).alias("site"), "dom_structure", "semantic_features", "pattern")
 
 
 # ---------------------------------------------------------------- signatures
@@ -92,16 +95,22 @@ def enrich_pages(pages: DataFrame) -> DataFrame:
 SHAPE = ["dom_structure", "semantic_features", "pattern"]
 
 
-def signatures(enriched: DataFrame) -> DataFrame:
-    """Distinct page shapes with their first and last page; a shape is named by its first page."""
+def shaped(enriched: DataFrame) -> DataFrame:
+    """Pages with ``shape``, a digest of everything that is compared, so that shapes meet by one short key."""
     whole = enriched.withColumn("pattern", F.coalesce("pattern", F.array().cast("array<string>")))
-    return whole.groupBy(*SHAPE).agg(F.min("page_id").alias("sig"), F.max("page_id").alias("last_page"), F.count("*").alias("pages"))
+    return whole.withColumn("shape", F.md5(F.to_json(F.struct(*SHAPE), {"ignoreNullFields": "false"}).cast("binary")))
+
+
+def signatures(enriched: DataFrame) -> DataFrame:
+    """Distinct page shapes of every site with their first and last page; a shape is named by its first page."""
+    pages = enriched if "shape" in enriched.columns else shaped(enriched)
+    return pages.groupBy("site", "shape").agg(*[F.any_value(s).alias(s) for s in SHAPE], F.min("page_id").alias("sig"), F.max("page_id").alias("last_page"), F.count("*").alias("pages"))
 
 
 def members_of(enriched: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(page_id, url, sig). Joined on the shape; a page without url has an empty pattern, so no part is null."""
-    shaped = lambda df: df.withColumn("pattern", F.coalesce("pattern", F.array().cast("array<string>")))
-    return shaped(enriched).join(shaped(sigs.select("sig", *SHAPE)), SHAPE).select("page_id", "url", "sig")
+    """(page_id, url, site, sig)."""
+    pages = enriched if "shape" in enriched.columns else shaped(enriched)
+    return pages.join(sigs.select("sig", "site", "shape"), ["site", "shape"]).select("page_id", "url", "site", "sig")
 
 
 # ---------------------------------------------------------------- blocks
@@ -149,6 +158,7 @@ def block_recipes(lengths: list[int], threshold: float) -> dict[int, list[tuple[
 def with_blocks(sigs: DataFrame, threshold: float) -> DataFrame:
     """One row per signature and block key: adds (block, url_low), the url similarity any two members reach.
 
+    A block belongs to one site.
     Paths longer than ``LONG_PATH`` and those that can still match one are filed, on top, under every
     (position, segment) among their first positions: one more of these than may differ.
     """
@@ -174,7 +184,8 @@ def with_blocks(sigs: DataFrame, threshold: float) -> DataFrame:
         keyed = F.concat(keyed, F.when(length >= reach, spots).otherwise(none))
     else:
         keyed = F.array(F.struct(F.lit("all").alias("block"), F.lit(0.0).alias("url_low")))
-    return sigs.withColumn("_k", F.explode(keyed)).select("*", "_k.block", "_k.url_low").drop("_k")
+    named = F.concat(F.col("site"), F.lit(" "), F.col("_k.block"))
+    return sigs.withColumn("_k", F.explode(keyed)).select("*", named.alias("block"), "_k.url_low").drop("_k")
 
 
 # ---------------------------------------------------------------- cells
@@ -263,10 +274,11 @@ def _similar_either_way(threshold: float, x: str = "x", y: str = "y") -> Column:
 
 
 def similar_pairs(enriched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of distinct shapes (sig_a < sig_b) of which some pages are similar.
+    """Pairs of distinct shapes (sig_a < sig_b) of one site of which some pages are similar.
 
     Pages of one shape are similar to each other up to a threshold of 0.9583, above which no pair
-    of pages is. Blocks hold distinct shapes only, never copies.
+    of pages is. Blocks hold distinct shapes only, never copies. A template of n shapes has up to n^2 / 2 pairs:
+    ``similar_shapes`` holds the same links in n rows.
     """
     keyed = with_blocks(signatures(enriched), threshold)
     pairs = _split_join(keyed, keyed, "block", "sig", (F.col("x.sig") < F.col("y.sig")) & _similar_either_way(threshold))
@@ -274,11 +286,35 @@ def similar_pairs(enriched: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
 
 def cluster_pages(enriched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(page_id, url, component): pages linked by chains of similar pairs; named by their first page."""
-    best = WEIGHT_STRUCTURE + WEIGHT_URL + WEIGHT_SEMANTIC * SEMANTIC_MAX
-    if threshold > best + SLACK:
-        return enriched.select("page_id", "url", F.col("page_id").alias("component"))
+    """(page_id, url, site, component): pages of a site linked by chains of similar pairs; named by their first page."""
+    if threshold > BEST + SLACK:
+        return enriched.select("page_id", "url", "site", F.col("page_id").alias("component"))
+    # Facts are parsed from html once; what is fixed holds no html.
+    pages = checkpoint(shaped(enriched))
+    sigs = checkpoint(signatures(pages))
+    labels = _shape_components(sigs, threshold)
+    return members_of(pages, sigs).join(labels.withColumnRenamed("id", "sig"), "sig").select("page_id", "url", "site", "component")
+
+
+def similar_shapes(enriched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """All similarity of a corpus in one row per shape: (site, sig, last_page, pages, shape columns, component).
+
+    Two shapes are in one component if a chain of similar pairs joins them. Similar pairs are therefore among the rows of one component, and ``pairs_within``
+    gives them exactly, for the components or sites one asks for.
+    """
     sigs = checkpoint(signatures(enriched))
+    labels = _shape_components(sigs, threshold) if threshold <= BEST + SLACK else sigs.select(F.col("sig").alias("id"), F.col("sig").alias("component"))
+    return sigs.join(labels.withColumnRenamed("id", "sig"), "sig").select("site", "sig", "last_page", "pages", *SHAPE, "component")
+
+
+def pairs_within(shapes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(site, component, sig_a, sig_b): the exact similar pairs of the given rows of ``similar_shapes``, by a join on the component; large ones are spread over tasks."""
+    pairs = _split_join(shapes, shapes, "component", "sig", (F.col("x.sig") < F.col("y.sig")) & _similar_either_way(threshold))
+    return pairs.select(F.col("x.site").alias("site"), F.col("x.component").alias("component"), F.col("x.sig").alias("sig_a"), F.col("y.sig").alias("sig_b"))
+
+
+def _shape_components(sigs: DataFrame, threshold: float) -> DataFrame:
+    """(id, component) of every signature."""
     keyed = with_blocks(sigs, threshold)
     boxed, filed = _cells(keyed, threshold)
 
@@ -313,123 +349,123 @@ def cluster_pages(enriched: DataFrame, threshold: float = THRESHOLD) -> DataFram
     pending = pending.filter(~((F.col("lo_x") == F.col("hi_x")) & (F.col("lo_y") == F.col("hi_y")) & (F.col("lo_x") == F.col("lo_y"))))
     pending = pending.select("block", "cell_x", "cell_y", F.xxhash64("block", "cell_x", "cell_y").alias("pair"))
     if pending.isEmpty():
-        final = labels
-    else:
-        full = tagged.join(sigs, "sig")
-        left = pending.join(full.withColumnRenamed("cell", "cell_x"), ["block", "cell_x"]).drop("cell_y")
-        right = pending.join(full.withColumnRenamed("cell", "cell_y"), ["block", "cell_y"]).drop("cell_x")
-        distinct = (F.col("x.component") != F.col("y.component")) & _similar_either_way(threshold)
-        more = _split_join(left, right, "pair", "sig", distinct).select(F.col("x.component").alias("a"), F.col("y.component").alias("b"))
-        joined = components(more.distinct(), labels.select(F.col("component").alias("id")).distinct())
-        joined = joined.select(F.col("id").alias("component"), F.col("component").alias("_root"))
-        final = labels.join(joined, "component").select("id", F.col("_root").alias("component"))
-    members = members_of(enriched, sigs)
-    return members.join(final.withColumnRenamed("id", "sig"), "sig").select("page_id", "url", "component")
+        return labels
+    full = tagged.join(sigs, "sig")
+    left = pending.join(full.withColumnRenamed("cell", "cell_x"), ["block", "cell_x"]).drop("cell_y")
+    right = pending.join(full.withColumnRenamed("cell", "cell_y"), ["block", "cell_y"]).drop("cell_x")
+    distinct = (F.col("x.component") != F.col("y.component")) & _similar_either_way(threshold)
+    more = _split_join(left, right, "pair", "sig", distinct).select(F.col("x.component").alias("a"), F.col("y.component").alias("b"))
+    joined = components(more.distinct(), labels.select(F.col("component").alias("id")).distinct())
+    joined = joined.select(F.col("id").alias("component"), F.col("component").alias("_root"))
+    return labels.join(joined, "component").select("id", F.col("_root").alias("component"))
 
 
 def number_clusters(clustered: DataFrame) -> DataFrame:
-    """(cluster_id, component, pages): clusters 1..n by size, then first page."""
-    sizes = clustered.groupBy("component").agg(F.count("*").alias("pages"))
-    return with_row_number(sizes, [F.desc("pages"), F.col("component")], "cluster_id").select("cluster_id", "component", "pages")
+    """(site, cluster_id, component, pages): the clusters of every site 1..n by size, then first page."""
+    sizes = clustered.groupBy("site", "component").agg(F.count("*").alias("pages"))
+    return number_in_groups(sizes, ["site"], [F.desc("pages"), F.col("component")], "cluster_id").select("site", "cluster_id", "component", "pages")
 
 
 def cluster_members(clustered: DataFrame, numbered: DataFrame) -> DataFrame:
-    """(cluster_id, page_id, url)."""
-    return clustered.join(numbered.select("cluster_id", "component"), "component").select("cluster_id", "page_id", "url")
+    """(site, cluster_id, page_id, url)."""
+    return clustered.join(numbered.select("cluster_id", "component"), "component").select("site", "cluster_id", "page_id", "url")
 
 
 # ---------------------------------------------------------------- models
 
+CLUSTER = ["site", "cluster_id"]
+
+
 def cluster_pattern(members: DataFrame) -> DataFrame:
     """Longest path pattern of every cluster, the first one on ties."""
     p = U.path_pattern(F.col("url"))
-    best = members.groupBy("cluster_id").agg(F.max_by(p, F.struct(F.size(p), -F.col("page_id"))).alias("_p"))
-    return best.select("cluster_id", F.concat(F.lit("/"), F.array_join("_p", "/")).alias("url_pattern"))
+    best = members.groupBy(*CLUSTER).agg(F.max_by(p, F.struct(F.size(p), -F.col("page_id"))).alias("_p"))
+    return best.select(*CLUSTER, F.concat(F.lit("/"), F.array_join("_p", "/")).alias("url_pattern"))
 
 
 def cluster_samples(members: DataFrame, pages: DataFrame, n: int = 3) -> DataFrame:
-    """First pages of every cluster with title, h1, description and the first 5,000 characters of HTML."""
-    first = top_k(members.select("cluster_id", "page_id"), ["cluster_id"], [F.col("page_id")], n, "position")
+    """First pages of every cluster with title, h1, description and the first 5,000 characters of HTML. The html itself is not shuffled."""
+    first = top_k(members.select(*CLUSTER, "page_id"), CLUSTER, [F.col("page_id")], n, "position")
     html = F.col("html")
-    return first.join(pages, "page_id").select(
-        "cluster_id", "position", "page_id", "url", H.title(html).alias("title"), H.h1(html).alias("h1"),
-        H.meta_description(html).alias("description"), F.substring("html", 1, 5000).alias("html_snippet"))
+    shown = pages.select("page_id", "url", H.title(html).alias("title"), H.h1(html).alias("h1"),
+                         H.meta_description(html).alias("description"), F.substring("html", 1, 5000).alias("html_snippet"))
+    return pick_rows(first, shown, "page_id").select(*CLUSTER, "position", "page_id", "url", "title", "h1", "description", "html_snippet")
 
 
 def naming_samples(samples: DataFrame) -> DataFrame:
     """One line of url, h1 and description per sample page, with capped texts."""
     line = F.concat(F.lit("- URL : "), F.col("url"), F.lit(" | H1 : "), F.substring(strip(F.coalesce("h1", F.lit(""))), 1, 200),
                     F.lit(" | Meta : "), F.substring(strip(F.coalesce("description", F.lit(""))), 1, 300))
-    return samples.select("cluster_id", "position", line.alias("line"))
+    return samples.select(*CLUSTER, "position", line.alias("line"))
 
 
 def cluster_models(members: DataFrame, facts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Label, structure and first JSON-LD block of every cluster, taken from its first page."""
-    heads = members.groupBy("cluster_id").agg(F.min("page_id").alias("page_id"), F.count("*").alias("page_count"))
-    picked = heads.join(facts.select("page_id", "dom_structure", F.get("json_ld", F.lit(0)).alias("existing_jsonld")), "page_id")
-    l = labels.select("cluster_id", "model_name", "schema_type")
-    return picked.join(l, "cluster_id", "left").select(
-        "cluster_id", "page_count",
+    """Label, structure and first JSON-LD block of every cluster, taken from its first page. ``labels`` holds (site, cluster_id, model_name, schema_type)."""
+    heads = members.groupBy(*CLUSTER).agg(F.min("page_id").alias("page_id"), F.count("*").alias("page_count"))
+    picked = pick_rows(heads, facts.select("page_id", "dom_structure", F.get("json_ld", F.lit(0)).alias("existing_jsonld")), "page_id")
+    l = labels.select(*CLUSTER, "model_name", "schema_type")
+    return picked.join(l, CLUSTER, "left").select(
+        *CLUSTER, "page_count",
         F.coalesce("model_name", F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string"))).alias("model_name"),
         F.coalesce("schema_type", F.lit("WebPage")).alias("schema_type"), "dom_structure", "existing_jsonld")
 
 
 def merge_suggestions(labels: DataFrame, supplied: DataFrame, limit: int = 10) -> DataFrame:
-    """Up to ten merges: supplied ones first, then clusters of the same name; invalid and repeated pairs dropped.
+    """Up to ten merges for every site: supplied ones first, then clusters of the same name; invalid and repeated pairs dropped.
 
-    ``labels`` holds (cluster_id from 0, model_name), ``supplied`` (ord, source, target, reason).
-    Only the first ``limit`` entries of the list count, so of the same-name clusters only as many
+    ``labels`` holds (site, cluster_id from 0, model_name), ``supplied`` (site, ord, source, target, reason).
+    Only the first ``limit`` entries of a site's list count, so of its same-name clusters only as many
     names and as many clusters per name are paired as could still fill it.
     """
     spare = 2 * limit + 1
     name = F.lower(strip(F.coalesce("model_name", F.lit(""))))
-    named = labels.select("cluster_id", F.when(name == "", F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string"))).otherwise(name).alias("_name"))
-    twice = named.groupBy("_name").agg(F.min("cluster_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1") \
-        .orderBy("_first").limit(spare)
-    few = top_k(named.join(twice.drop("_n"), "_name"), ["_name"], [F.col("cluster_id")], spare)
-    a = few.select("_name", "_first", F.col("cluster_id").alias("source"))
-    b = few.select("_name", F.col("cluster_id").alias("target"))
+    named = labels.select(*CLUSTER, F.when(name == "", F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string"))).otherwise(name).alias("_name"))
+    twice = named.groupBy("site", "_name").agg(F.min("cluster_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    twice = top_k(twice, ["site"], [F.col("_first")], spare)
+    few = top_k(named.join(twice, ["site", "_name"]), ["site", "_name"], [F.col("cluster_id")], spare)
+    a = few.select("site", "_name", "_first", F.col("cluster_id").alias("source"))
+    b = few.select("site", "_name", F.col("cluster_id").alias("target"))
     ordered = F.array_sort(F.array(F.col("source"), F.col("target")))
-    same = a.join(b, "_name").filter("source < target").select("_first", "source", "target", ordered.alias("_pair"))
-    given = supplied.select("ord", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"),
+    same = a.join(b, ["site", "_name"]).filter("source < target").select("site", "_first", "source", "target", ordered.alias("_pair"))
+    given = supplied.select("site", "ord", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"),
                             F.trim(F.coalesce("reason", F.lit(""))).alias("reason"))
     given = given.withColumn("_pair", ordered)
-    fresh = same.join(given.select("_pair"), "_pair", "left_anti").select(
-        F.struct(F.lit(1).alias("k"), F.col("_first").cast("long").alias("x"), F.col("source").cast("long").alias("y"),
-                 F.col("target").cast("long").alias("z")).alias("_o"), "source", "target", F.lit("Même nom de cluster détecté").alias("reason"), "_pair")
-    first = given.select(F.struct(F.lit(0).alias("k"), F.col("ord").cast("long").alias("x"), F.lit(0).cast("long").alias("y"),
-                                  F.lit(0).cast("long").alias("z")).alias("_o"), "source", "target", text_or(F.col("reason"), "Noms similaires").alias("reason"), "_pair")
-    head = first.unionByName(fresh.select(*first.columns)).orderBy("_o").limit(limit)
-    known = labels.select("cluster_id")
+    fresh = same.join(given.select("site", "_pair"), ["site", "_pair"], "left_anti").select(
+        "site", F.struct(F.lit(1).alias("k"), F.col("_first").cast("long").alias("x"), F.col("source").cast("long").alias("y"),
+                         F.col("target").cast("long").alias("z")).alias("_o"), "source", "target", F.lit("Même nom de cluster détecté").alias("reason"), "_pair")
+    first = given.select("site", F.struct(F.lit(0).alias("k"), F.col("ord").cast("long").alias("x"), F.lit(0).cast("long").alias("y"),
+                                          F.lit(0).cast("long").alias("z")).alias("_o"), "source", "target", text_or(F.col("reason"), "Noms similaires").alias("reason"), "_pair")
+    head = top_k(first.unionByName(fresh.select(*first.columns)), ["site"], [F.col("_o")], limit)
+    known = labels.select(*CLUSTER)
     valid = head.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target") \
-        .join(known.withColumnRenamed("cluster_id", "source"), "source", "left_semi") \
-        .join(known.withColumnRenamed("cluster_id", "target"), "target", "left_semi")
-    return valid.groupBy("_pair").agg(F.min("_o").alias("_o"), F.min_by(F.struct("source", "target", "reason"), "_o").alias("m")) \
-        .orderBy("_o").select("m.source", "m.target", "m.reason")
+        .join(known.withColumnRenamed("cluster_id", "source"), ["site", "source"], "left_semi") \
+        .join(known.withColumnRenamed("cluster_id", "target"), ["site", "target"], "left_semi")
+    return valid.groupBy("site", "_pair").agg(F.min("_o").alias("_o"), F.min_by(F.struct("source", "target", "reason"), "_o").alias("m")) \
+        .orderBy("site", "_o").select("site", "m.source", "m.target", "m.reason")
 
 
 def fuse_clusters(clusters: DataFrame, members: DataFrame, selection: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fuse each selected set of clusters into its lowest one and renumber.
+    """Fuse each selected set of a site's clusters into its lowest one and renumber the site's clusters.
 
-    ``clusters`` holds (cluster_id, label), ``members`` (cluster_id, position, url), ``selection``
-    (fusion, cluster_id). The largest fused cluster gives the label, the earliest on ties. A url kept
+    ``clusters`` holds (site, cluster_id, label), ``members`` (site, cluster_id, position, url), ``selection``
+    (site, fusion, cluster_id). The largest fused cluster gives the label, the earliest on ties. A url kept
     once stands where it stood first.
     """
-    target = selection.groupBy("fusion").agg(F.min("cluster_id").alias("keep"))
-    mapping = selection.join(target, "fusion").select("cluster_id", "keep")
-    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("_n"))
-    mapped = clusters.join(mapping, "cluster_id", "left").join(sizes, "cluster_id", "left").select(
-        F.coalesce("keep", "cluster_id").alias("keep"), "cluster_id", "label", F.coalesce("_n", F.lit(0)).alias("_n"))
-    fused = mapped.groupBy("keep").agg(F.max_by("label", F.struct("_n", -F.col("cluster_id"))).alias("label"), F.count("*").alias("fused_from"))
-    numbered = with_row_number(fused, ["keep"], "new_id")
-    moved = members.join(mapping, "cluster_id", "left").select(
-        F.coalesce("keep", "cluster_id").alias("keep"), F.struct("cluster_id", "position").alias("at"), "url", F.col("keep").isNotNull().alias("_fused"))
+    target = selection.groupBy("site", "fusion").agg(F.min("cluster_id").alias("keep"))
+    mapping = selection.join(target, ["site", "fusion"]).select(*CLUSTER, "keep")
+    sizes = members.groupBy(*CLUSTER).agg(F.count("*").alias("_n"))
+    mapped = clusters.join(mapping, CLUSTER, "left").join(sizes, CLUSTER, "left").select(
+        "site", F.coalesce("keep", "cluster_id").alias("keep"), "cluster_id", "label", F.coalesce("_n", F.lit(0)).alias("_n"))
+    fused = mapped.groupBy("site", "keep").agg(F.max_by("label", F.struct("_n", -F.col("cluster_id"))).alias("label"), F.count("*").alias("fused_from"))
+    numbered = number_in_groups(fused, ["site"], [F.col("keep")], "new_id")
+    moved = members.join(mapping, CLUSTER, "left").select(
+        "site", F.coalesce("keep", "cluster_id").alias("keep"), F.struct("cluster_id", "position").alias("at"), "url", F.col("keep").isNotNull().alias("_fused"))
     # Only fused clusters lose repeated urls; the others keep their list as it is.
-    once = moved.filter("_fused").groupBy("keep", "url").agg(F.min("at").alias("at")).select("keep", "at", "url")
-    rows = moved.filter("NOT _fused").select("keep", "at", "url").unionByName(once)
-    out = rows.join(numbered.select("keep", "new_id"), "keep").select(
-        F.col("new_id").alias("cluster_id"), F.col("at.cluster_id").alias("from_cluster"), F.col("at.position").alias("position"), "url")
-    return numbered.select(F.col("new_id").alias("cluster_id"), "label", "fused_from"), out
+    once = moved.filter("_fused").groupBy("site", "keep", "url").agg(F.min("at").alias("at")).select("site", "keep", "at", "url")
+    rows = moved.filter("NOT _fused").select("site", "keep", "at", "url").unionByName(once)
+    out = rows.join(numbered.select("site", "keep", "new_id"), ["site", "keep"]).select(
+        "site", F.col("new_id").alias("cluster_id"), F.col("at.cluster_id").alias("from_cluster"), F.col("at.position").alias("position"), "url")
+    return numbered.select("site", F.col("new_id").alias("cluster_id"), "label", "fused_from"), out
 
 
 def cluster_progress(models: DataFrame, *keys: str) -> DataFrame:

@@ -80,6 +80,35 @@ def with_row_number(df: DataFrame, order: list[str | Column], name: str) -> Data
     return numbered.withColumn(name, (F.col("_offset") + inside + 1).cast("long")).drop("_slot", "_part", "_offset")
 
 
+def number_in_groups(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Number the rows of every group 1, 2, ... in the given order without gathering a group in one task.
+
+    Rows are range-partitioned by (keys, order) and fixed by a checkpoint, so a large group spans many tasks. A partition continues at most one
+    group of earlier partitions: one row per partition holds what came before, whatever the number of groups.
+    """
+    fixed = checkpoint(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = fixed.withColumn("_piece", F.shiftright("_at", 33))
+    inside = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_piece", *keys).orderBy("_at")))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*keys, "_piece").agg(F.count("*").alias("_rows"))
+    offsets = sizes.withColumn("_before", F.sum("_rows").over(before)).filter("_before IS NOT NULL").select(
+        F.col("_piece").alias("_in"), "_before", *[F.col(k).alias(f"_key_{k}") for k in keys])
+    same = F.col("_piece") == F.col("_in")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return inside.join(F.broadcast(offsets), same, "left").select(*df.columns, (F.col("_n") + F.coalesce("_before", F.lit(0))).cast("long").alias(name))
+
+
+def pick_rows(few: DataFrame, wide: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
+    """Rows of ``wide`` whose key is in ``few``, joined to it, without shuffling the long columns of ``wide`` for it.
+
+    ``few`` is fixed and counted first: up to ``most`` rows (keys and short columns) are broadcast. Beyond, the rows meet in a shuffle, in which Spark's
+    runtime Bloom filter drops the others before they are written; so give ``wide`` with its long columns already reduced to what is needed.
+    """
+    fixed = checkpoint(few)
+    return wide.join(F.broadcast(fixed) if fixed.count() <= most else fixed, on)
+
+
 def with_group_size(df: DataFrame, key: str, name: str) -> DataFrame:
     """Attach the size of each row's group by a pre-aggregated count, never by a window over the group."""
     sizes = df.groupBy(key).agg(F.count("*").alias(name))

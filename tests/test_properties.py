@@ -14,7 +14,7 @@ from corpusaudit.functions import urls as U
 from corpusaudit.functions.text import contains_any
 from corpusaudit.operators import cluster, jsonld, offpage, sitemap
 from corpusaudit.plans.graph import components
-from corpusaudit.plans.shapes import top_k, with_row_number
+from corpusaudit.plans.shapes import number_in_groups, pick_rows, top_k, with_row_number
 
 QUICK = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -94,7 +94,7 @@ def similarity(a, b):
     return 0.4 * (total / 7) + 0.3 * url + 0.3 * ((sem / 6 * 5 + (len(ta & tb) / len(ta | tb) if ta | tb else 1.0)) / 6)
 
 
-SHAPES = ("page_id long, url string, dom_structure struct<h1:int,h2:int,h3:int,article:int,section:int,form:int,table:int>, "
+SHAPES = ("page_id long, url string, site string, dom_structure struct<h1:int,h2:int,h3:int,article:int,section:int,form:int,table:int>, "
           "semantic_features struct<p:int,lists:int,images:int,has_form:int,buttons:int,jsonld_types:array<string>>, pattern array<string>")
 
 
@@ -108,7 +108,9 @@ def test_clusters_match_all_pairs(spark, threshold, seed, hot):
         tags = {t: rnd.choice([1, 5, 6]) if t in ("h2", "section") else rnd.choice([0, 1, 1, 1]) for t in cluster.TOLERANCES}
         sem = {"p": rnd.choice([0, 1, 10, 12, 40, 90]), "lists": rnd.choice([1, 2, 9]), "images": rnd.choice([0, 1, 30]), "has_form": int(tags["form"] > 0),
                "buttons": rnd.choice([0, 0, 3]), "jsonld_types": sorted(rnd.sample("AB", rnd.choice([0, 0, 1])))}
-        rows.append((i, f"u{i}", tags, sem, pattern))
+        rows.append((i, f"u{i}", f"s{i % 3 // 2}", tags, sem, pattern))
+    # One template on two sites: never one cluster.
+    rows += [(140 + i, f"u{140 + i}", f"s{i % 2}", *rows[0][3:]) for i in range(6)]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -116,14 +118,59 @@ def test_clusters_match_all_pairs(spark, threshold, seed, hot):
             x = parent[x]
         return x
 
-    for i in range(len(rows)):
-        for j in range(i + 1, len(rows)):
-            if similarity(rows[i][2:], rows[j][2:]) >= threshold:
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
+    pairs = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if rows[i][2] == rows[j][2] and similarity(rows[i][3:], rows[j][3:]) >= threshold}
+    for i, j in sorted(pairs):
+        a, b = sorted((find(i), find(j)))
+        parent[b] = a
     df = spark.createDataFrame(rows, SHAPES)
-    got = {r.page_id: r.component for r in cluster.cluster_pages(df, threshold).collect()}
-    assert got == {i: find(i) for i in range(len(rows))}
+    clustered = cluster.cluster_pages(df, threshold)
+    assert {r.page_id: (r.site, r.component) for r in clustered.collect()} == {i: (rows[i][2], find(i)) for i in range(len(rows))}
+
+    sizes = {}
+    for i in range(len(rows)):
+        sizes.setdefault((rows[i][2], find(i)), []).append(i)
+    want = [(site, k + 1, c) for site in ("s0", "s1") for k, (_, c) in enumerate(sorted((-len(v), c) for (s, c), v in sizes.items() if s == site))]
+    assert sorted(tuple(r)[:3] for r in cluster.number_clusters(clustered).collect()) == want
+
+    # One row per shape, and the exact pairs out of it.
+    shapes = cluster.similar_shapes(df, threshold)
+    sig = {}
+    first = {i: sig.setdefault((rows[i][2], repr(rows[i][3:])), i) for i in range(len(rows))}
+    assert {(r.sig, r.component) for r in shapes.collect()} == {(k, find(k)) for k in first.values()}
+    exact = {tuple(sorted((first[i], first[j]))) for i, j in pairs if first[i] != first[j]}
+    assert {(r.sig_a, r.sig_b) for r in cluster.pairs_within(shapes, threshold).collect()} == exact
+    assert {(r.sig_a, r.sig_b) for r in cluster.similar_pairs(df, threshold).collect()} == exact
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_numbers_within_groups(spark, parts):
+    rnd = random.Random(parts)
+    rows = [(rnd.choice(["a", "a", "a", "a", None, "b", f"c{i}"]), rnd.randrange(1000), i) for i in range(900)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = number_in_groups(spark.createDataFrame(rows, "k string, v int, i int"), ["k"], [F.desc("v"), F.col("i")], "n").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {}
+    for k in {r[0] for r in rows}:
+        want |= {r[2]: n + 1 for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2])))}
+    assert {r.i: r.n for r in got} == want and len(got) == len(rows)
+
+
+def test_picked_rows_are_broadcast_up_to_a_bound(spark):
+    wide = spark.range(1000).selectExpr("id AS k", "repeat('x', 100) AS html")
+    few = spark.createDataFrame([(5, "a"), (7, "b"), (5000, "c")], "k long, tag string")
+    for most, kind in ((3, "BroadcastHashJoin"), (2, "SortMergeJoin")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            out = pick_rows(few, wide, "k", most)
+            text = out._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert kind in text and sorted((r.k, r.tag) for r in out.collect()) == [(5, "a"), (7, "b")]
 
 
 def test_components_match_union_find(spark):
