@@ -9,6 +9,7 @@ from corpusaudit.functions import urls as U
 from corpusaudit.functions.text import word_count
 from corpusaudit.operators import categories, eco, links, pages as P
 from corpusaudit.plans.graph import breadth_first
+from corpusaudit.plans.shapes import with_row_number
 from corpusaudit.sources.pages import read_pages, truncate_html
 
 from . import sqlfn as S
@@ -379,31 +380,87 @@ SELECT site, CAST(n AS BIGINT) AS pages_crawled, CAST(coalesce(d, 0) AS BIGINT)
   CAST(coalesce(dup, 0) AS BIGINT) AS links_duplicate, CAST(b AS BIGINT) AS jsonld_blocks, CAST(w AS BIGINT) AS pages_with_jsonld
 FROM p LEFT JOIN f USING (site) LEFT JOIN e USING (site)""")
 def _(spark, sf):
-    return links.crawl_stats(facts(spark, sf), links.page_links(rich(spark, sf)))
+    return links.crawl_stats(facts(spark, sf))
 
 
-SUPPLY = "SELECT 'p' || CAST(l_partkey AS STRING) AS src, 's' || CAST(l_suppkey AS STRING) AS dst FROM lineitem WHERE l_linenumber < 3"
+# Crawls over the given pages: one for every third host, which has a neighbour host attached; two start urls, one of them without a page.
+CRAWLS = f"""SELECT site, 'x' AS kind, first_url, neighbour FROM (SELECT site, first_url, lead(site) OVER (ORDER BY site) AS neighbour, row_number() OVER (ORDER BY site) AS turn
+  FROM (SELECT {S.host('url')} AS site, min(url) AS first_url FROM pages GROUP BY {S.host('url')})) WHERE turn % 3 = 1"""
 
 
-def bfs_sql(levels: int = 6, cap: int = 500) -> str:
-    """Levels unrolled: each keeps the first pages, by position of the linking page, then by url."""
-    out = ["WITH half AS (SELECT DISTINCT 'p' || CAST(l_partkey AS STRING) AS src, 's' || CAST(l_suppkey AS STRING) AS dst FROM lineitem WHERE l_linenumber < 3)",
-           "edges AS (SELECT src, dst FROM half UNION SELECT dst, src FROM half)",
-           "v0 AS (SELECT 'p1' AS url, 0 AS depth, CAST(1 AS BIGINT) AS position)"]
+def crawls(spark, sf):
+    hosts = table(spark, sf, "pages").select(U.host(c("url")).alias("site"), "url").groupBy("site").agg(F.min("url").alias("first_url"))
+    numbered = with_row_number(hosts, ["site"], "turn")
+    after = numbered.select((c("turn") - 1).alias("turn"), c("site").alias("neighbour"))
+    return numbered.join(after, "turn", "left").filter("turn % 3 = 1").select(
+        F.concat(F.lit("crawl of "), "site").alias("site"), F.array("first_url", F.concat(F.lit("https://"), "site", F.lit("/never-stored"))).alias("start_urls"),
+        F.when(c("neighbour").isNotNull(), F.array(F.lit(" "), F.concat(F.lit("www."), "neighbour"))).alias("attached"))
+
+
+def bare(host: str) -> str:
+    return f"regexp_replace({host}, '^www\\.', '')"
+
+
+SCOPED = f"""{FACTS}, crawl AS ({CRAWLS}), hosts AS (SELECT 'crawl of ' || site AS crawl, {bare('site')} AS h FROM crawl UNION SELECT 'crawl of ' || site, {bare('neighbour')} FROM crawl WHERE neighbour IS NOT NULL),
+located AS (SELECT t.*, coalesce(crawl, site) AS crawl FROM tagged t LEFT JOIN hosts ON h = {bare('site')}),
+raw AS (SELECT page_id, url, crawl, site, unnest(list_distinct({S.hrefs('clean')})) AS href FROM located),
+resolved AS (SELECT page_id, url, crawl, site, {S.resolve('url', 'href')} AS link FROM raw WHERE href <> ''),
+judged AS (SELECT r.*, {S.host('link')} AS link_host, list_filter({S.list_of(U.EXCLUDED)}, lambda p: contains(lower(link), p))[1] IS NULL AS allowed FROM resolved r),
+links AS (SELECT page_id, url, crawl, link, allowed AND (EXISTS (SELECT 1 FROM hosts WHERE hosts.crawl = judged.crawl AND h = {bare('link_host')})
+  OR (NOT EXISTS (SELECT 1 FROM hosts WHERE hosts.crawl = judged.crawl) AND {bare('link_host')} = {bare('site')})) AS internal FROM judged),
+edges AS (SELECT DISTINCT crawl, {S.normalize('url')} AS src, {S.normalize('link')} AS dst FROM links WHERE internal)"""
+
+
+@query("link_filter_scoped", "LNK-6", f"""{SCOPED} SELECT page_id, crawl AS site, CAST(count(*) FILTER (internal) AS BIGINT) AS valid, CAST(count(*) FILTER (NOT internal) AS BIGINT) AS filtered FROM links GROUP BY page_id, crawl""")
+def _(spark, sf):
+    f = links.filter_links(links.page_links(facts(spark, sf), crawls=crawls(spark, sf)))
+    return f.select("page_id", "site", F.size("valid_links").cast("long").alias("valid"), "filtered")
+
+
+@query("link_edges_scoped", "LNK-7", f"{SCOPED} SELECT DISTINCT src, dst FROM edges WHERE src <> dst")
+def _(spark, sf):
+    return links.link_edges(links.page_links(facts(spark, sf), crawls=crawls(spark, sf)))
+
+
+@query("crawl_stats_scoped", "LNK-8", f"""{SCOPED}, p AS (SELECT crawl, count(*) AS n, sum(len(json_ld)) AS b, count(*) FILTER (len(json_ld) > 0) AS w FROM located GROUP BY crawl),
+f AS (SELECT crawl, count(*) FILTER (NOT internal) AS f FROM links GROUP BY crawl),
+e AS (SELECT crawl, count(*) AS d, count(*) - count(DISTINCT dst) AS dup FROM (SELECT DISTINCT crawl, page_id, {S.normalize('link')} AS dst FROM links WHERE internal AND {S.normalize('link')} <> {S.normalize('url')}) GROUP BY crawl)
+SELECT crawl AS site, CAST(n AS BIGINT) AS pages_crawled, CAST(coalesce(d, 0) AS BIGINT) AS links_discovered, CAST(coalesce(f, 0) AS BIGINT) AS links_filtered,
+  CAST(coalesce(dup, 0) AS BIGINT) AS links_duplicate, CAST(b AS BIGINT) AS jsonld_blocks, CAST(w AS BIGINT) AS pages_with_jsonld
+FROM p LEFT JOIN f USING (crawl) LEFT JOIN e USING (crawl)""")
+def _(spark, sf):
+    return links.crawl_stats(facts(spark, sf), crawls(spark, sf))
+
+
+def bfs_sql(head: str, levels: int, cap: int = 500) -> str:
+    """Levels unrolled, from CTEs ``edges`` (site, src, dst) and ``v0``: each keeps a site's first pages, by position of the linking page, then by url."""
+    out = [head]
     for i in range(1, levels + 1):
-        out.append(f"""n{i} AS (SELECT dst AS url, min(position) AS via FROM v{i-1} JOIN edges ON url = src AND depth = {i-1}
-  WHERE dst NOT IN (SELECT url FROM v{i-1}) GROUP BY dst)""")
-        out.append(f"""v{i} AS (SELECT * FROM v{i-1} UNION ALL SELECT url, {i}, (SELECT count(*) FROM v{i-1}) + row_number() OVER (ORDER BY via, url)
-  FROM n{i} QUALIFY row_number() OVER (ORDER BY via, url) <= {cap} - (SELECT count(*) FROM v{i-1}))""")
-    return ",\n".join(out) + f"\nSELECT url, depth, position FROM v{levels}"
+        out.append(f"""n{i} AS (SELECT v.site, dst AS url, min(position) AS via FROM v{i-1} v JOIN edges e ON e.site = v.site AND url = src AND depth = {i-1}
+  WHERE NOT EXISTS (SELECT 1 FROM v{i-1} w WHERE w.site = v.site AND w.url = dst) GROUP BY v.site, dst)""")
+        out.append(f"""v{i} AS MATERIALIZED (SELECT * FROM v{i-1} UNION ALL SELECT * FROM (SELECT site, url, {i} AS depth,
+  (SELECT count(*) FROM v{i-1} w WHERE w.site = n.site) + row_number() OVER (PARTITION BY site ORDER BY via, url) AS position FROM n{i} n) WHERE position <= {cap})""")
+    return ",\n".join(out) + f"\nSELECT site, url, depth, position FROM v{levels}"
 
 
-@query("crawl_frontier", "LNK-9", bfs_sql())
+SUPPLY = """SELECT 'crawl' || CAST(l_suppkey % 3 AS STRING) AS site, 'p' || CAST(l_partkey AS STRING) AS src, 's' || CAST(l_suppkey AS STRING) AS dst FROM lineitem WHERE l_linenumber < 4"""
+
+
+@query("crawl_frontier", "LNK-9", bfs_sql(f"""WITH half AS (SELECT DISTINCT * FROM ({SUPPLY})), edges AS MATERIALIZED (SELECT site, src, dst FROM half UNION SELECT site, dst, src FROM half),
+v0 AS (SELECT site, url, 0 AS depth, row_number() OVER (PARTITION BY site ORDER BY url) AS position FROM (SELECT DISTINCT site, src AS url FROM half WHERE src IN ('p1', 'p2')))""", 8))
 def _(spark, sf):
     table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
     half = spark.sql(SUPPLY).distinct()
-    edges = half.unionByName(half.select(c("dst").alias("src"), c("src").alias("dst")))
-    return breadth_first(edges, spark.range(1).select(F.lit("p1").alias("url")), 500)
+    edges = half.unionByName(half.select("site", c("dst").alias("src"), c("src").alias("dst")))
+    return breadth_first(edges, half.filter("src IN ('p1', 'p2')").select("site", c("src").alias("url")), 500)
+
+
+@query("crawl_frontier_pages", "LNK-9", bfs_sql(f"""{SCOPED.replace('edges AS (', 'all_edges AS (')}, real AS (SELECT DISTINCT crawl AS site, {S.normalize('url')} AS url FROM located),
+edges AS MATERIALIZED (SELECT crawl AS site, src, dst FROM all_edges e JOIN real ON real.site = crawl AND real.url = dst WHERE src <> dst),
+v0 AS MATERIALIZED (SELECT 'crawl of ' || site AS site, {S.normalize('first_url')} AS url, 0 AS depth, CAST(1 AS BIGINT) AS position FROM crawl)""", 8))
+def _(spark, sf):
+    scope, f = crawls(spark, sf), facts(spark, sf)
+    return links.crawl_frontier(links.page_links(f, crawls=scope), f, scope)
 
 
 EXTERNAL = f"list_filter({S.hrefs('b')}, lambda z: starts_with(z, 'http') AND NOT contains(z, {S.netloc('url')}))"

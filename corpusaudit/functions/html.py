@@ -341,7 +341,12 @@ def missing_elements(description: Column, h1_: Column, has_structured_data: Colu
 
 def hrefs(html: Column, drop=CODE_TAGS) -> Column:
     """Link targets of a page, in document order."""
-    raw = F.regexp_extract_all(drop_elements(html, drop), F.lit(ANCHOR_HREF), F.lit(1))
+    return links_of(drop_elements(html, drop))
+
+
+def links_of(clean: Column) -> Column:
+    """Link targets of a page whose scripts, styles and comments are gone."""
+    raw = F.regexp_extract_all(clean, F.lit(ANCHOR_HREF), F.lit(1))
     return F.transform(raw, lambda x: decode_entities(unquote(x)))
 
 

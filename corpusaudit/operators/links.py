@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import urls as U
 from ..functions.text import cut, let, strip, text_or, title_case
+from ..plans.graph import breadth_first
 from ..plans.shapes import top_k
 
 # Guessed interface hosts in front of the bare domain, in order.
@@ -21,13 +22,31 @@ CLUSTER_COLORS = [
 ]
 
 
-def page_links(pages: DataFrame, *others: Column) -> DataFrame:
-    """One row per distinct link of a page: (page_id, url, href, link, excluded_by, internal).
+def in_crawl(rows: DataFrame, crawls: DataFrame | None) -> DataFrame:
+    """Rows with a ``url`` and the crawl each belongs to: adds ``site`` and ``_hosts``, the hosts that count as inside.
 
-    ``others`` are further link arrays (rendered page, data attributes, Markdown) merged with the anchors.
+    ``crawls`` holds (site, start_urls, attached): the first start url's host and every attached domain, each with and without ``www.``, are one
+    domain set. A page on a host of several crawls belongs to each of them. A page of no crawl, and every page where there is no crawl table, is
+    judged by its own host. Rows should carry no html: a crawl table too large for Spark to broadcast makes them move.
     """
-    merged = H.merge_links(H.hrefs(F.col("html")), *others)
-    rows = pages.select("page_id", "url", U.domain_set(F.col("url")).alias("_hosts"), F.explode(merged).alias("href"))
+    own = U.domain_set(F.col("url"))
+    if crawls is None:
+        return rows.withColumn("site", U.host(F.col("url"))).withColumn("_hosts", own)
+    sets = crawls.select(F.col("site").alias("_site"), U.domain_set(F.get("start_urls", F.lit(0)), F.coalesce("attached", F.array().cast("array<string>"))).alias("_set"))
+    by_host = sets.select("_site", "_set", F.explode("_set").alias("_host"))
+    placed = rows.withColumn("_own", U.host(F.col("url"))).join(by_host, F.col("_own") == F.col("_host"), "left")
+    return placed.withColumn("site", F.coalesce("_site", "_own")).withColumn("_hosts", F.coalesce("_set", own)).drop("_own", "_host", "_site", "_set")
+
+
+def page_links(pages: DataFrame, *others: Column, crawls: DataFrame | None = None) -> DataFrame:
+    """One row per distinct link of a page: (page_id, url, site, href, link, excluded_by, internal).
+
+    ``others`` are further link arrays (rendered page, data attributes, Markdown) merged with the anchors. Pages are
+    facts with their ``hrefs`` or raw ones with ``html``. See ``in_crawl`` for ``crawls``.
+    """
+    anchors = F.col("hrefs") if "hrefs" in pages.columns else H.hrefs(F.col("html"))
+    rows = in_crawl(pages.select("page_id", "url", H.merge_links(anchors, *others).alias("_links")), crawls)
+    rows = rows.select("page_id", "url", "site", "_hosts", F.explode("_links").alias("href"))
     rows = rows.filter(F.col("href") != "").withColumn("link", U.resolve_url(F.col("url"), F.col("href")))
     pattern = U.excluded_by(F.col("link"))
     inside = F.array_contains("_hosts", U.host(F.col("link")))
@@ -35,10 +54,24 @@ def page_links(pages: DataFrame, *others: Column) -> DataFrame:
             .withColumn("internal", inside & F.col("excluded_by").isNull()).drop("_hosts"))
 
 
+def crawl_frontier(links: DataFrame, pages: DataFrame, crawls: DataFrame, max_urls: int = 500) -> DataFrame:
+    """The pages every crawl visits, in turn: (site, url, depth, position).
+
+    A crawl starts at its ``start_urls`` in their order and follows internal links. Urls without a stored page were not fetched: they cost
+    no visit and lead nowhere. ``links`` come from ``page_links`` with the same ``crawls``.
+    """
+    url = U.normalize_url(F.col("url"))
+    real = in_crawl(pages.select("url"), crawls).select("site", url.alias("url")).distinct()
+    edges = links.filter("internal").select("site", url.alias("src"), U.normalize_url(F.col("link")).alias("dst")).filter("src <> dst").distinct()
+    edges = edges.join(real.withColumnRenamed("url", "dst"), ["site", "dst"], "left_semi")
+    seeds = crawls.select("site", F.posexplode("start_urls").alias("turn", "url")).select("site", url.alias("url"), "turn")
+    return breadth_first(edges, seeds.join(real, ["site", "url"], "left_semi"), max_urls)
+
+
 def filter_links(links: DataFrame) -> DataFrame:
-    """Per page: valid links and number of filtered ones. The list is one page's own links."""
+    """Per page and crawl: valid links and number of filtered ones. The list is one page's own links."""
     valid = F.when(F.col("internal"), F.col("link"))
-    return links.groupBy("page_id").agg(F.array_sort(F.collect_list(valid)).alias("valid_links"),
+    return links.groupBy("page_id", "site").agg(F.array_sort(F.collect_list(valid)).alias("valid_links"),
                                         F.count_if(~F.col("internal")).alias("filtered"))
 
 
@@ -48,26 +81,32 @@ def link_edges(links: DataFrame) -> DataFrame:
     return e.filter("src <> dst").distinct()
 
 
-def crawl_stats(facts: DataFrame, links: DataFrame) -> DataFrame:
+def crawl_stats(facts: DataFrame, crawls: DataFrame | None = None) -> DataFrame:
     """Counters per site: pages, discovered, filtered and duplicate links, JSON-LD blocks and pages.
 
-    Links are first counted per page and per target, so a hot site reaches its counter pre-aggregated.
+    A page's links are resolved, judged and reduced inside its row; only its distinct internal targets leave it, beside one row with its own
+    counters. Counts per target come first, so a hot site reaches its counter pre-aggregated. Pages are read once.
     """
-    site = U.host(F.col("url"))
-    pages = facts.groupBy("site").agg(F.count("*").alias("pages_crawled"), F.sum(F.size("json_ld")).alias("jsonld_blocks"),
-                                      F.count_if("has_structured_data").alias("pages_with_jsonld"))
-    filtered = links.groupBy(site.alias("site")).agg(F.count_if(~F.col("internal")).alias("links_filtered"))
-    targets = (link_edges_by_page(links).groupBy("site", "dst").agg(F.count("*").alias("n"))
-               .groupBy("site").agg(F.sum("n").alias("links_discovered"), F.sum(F.col("n") - 1).alias("links_duplicate")))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return (pages.join(filtered, "site", "left").join(targets, "site", "left")
-            .select("site", *[zero(c) for c in ("pages_crawled", "links_discovered", "links_filtered", "links_duplicate",
-                                                "jsonld_blocks", "pages_with_jsonld")]))
+    rows = in_crawl(facts.select("url", "hrefs", F.size("json_ld").cast("long").alias("_blocks"), F.col("has_structured_data").cast("long").alias("_with")), crawls)
+    anchors = F.filter(H.merge_links(F.col("hrefs")), lambda h: h != "")
+    rows = rows.withColumn("_links", F.transform(anchors, lambda h: U.resolve_url(F.col("url"), h)))
+    rows = rows.withColumn("_valid", F.filter("_links", lambda x: F.array_contains("_hosts", U.host(x)) & U.excluded_by(x).isNull()))
+    rows = rows.withColumn("_targets", F.array_distinct(F.transform("_valid", U.normalize_url))).withColumn("_src", U.normalize_url(F.col("url")))
+    zero = F.lit(0).cast("long")
+    counters = F.struct(F.lit(None).cast("string").alias("dst"), F.lit(1).cast("long").alias("pages"), (F.size("_links") - F.size("_valid")).cast("long").alias("filtered"),
+                        F.col("_blocks").alias("blocks"), F.col("_with").alias("with_blocks"))
+    found = F.transform(F.filter("_targets", lambda t: t != F.col("_src")),
+                        lambda t: F.struct(t.alias("dst"), zero.alias("pages"), zero.alias("filtered"), zero.alias("blocks"), zero.alias("with_blocks")))
+    sums = ["pages", "filtered", "blocks", "with_blocks"]
+    per_target = rows.select("site", F.inline(F.concat(F.array(counters), found))).groupBy("site", "dst").agg(F.count("dst").alias("n"), *[F.sum(x).alias(x) for x in sums])
+    return per_target.groupBy("site").agg(
+        F.sum("pages").alias("pages_crawled"), F.sum("n").alias("links_discovered"), F.sum("filtered").alias("links_filtered"),
+        F.sum(F.greatest(F.col("n") - 1, zero)).alias("links_duplicate"), F.sum("blocks").alias("jsonld_blocks"), F.sum("with_blocks").alias("pages_with_jsonld"))
 
 
 def link_edges_by_page(links: DataFrame) -> DataFrame:
     """Distinct (site, page_id, dst) of internal links."""
-    e = links.filter("internal").select(U.host(F.col("url")).alias("site"), "page_id",
+    e = links.filter("internal").select("site", "page_id",
                                         U.normalize_url(F.col("url")).alias("src"), U.normalize_url(F.col("link")).alias("dst"))
     return e.filter("src <> dst").select("site", "page_id", "dst").distinct()
 
@@ -82,7 +121,7 @@ def duplicate_journal(links: DataFrame, limit: int = 200) -> DataFrame:
 def filtered_journal(links: DataFrame, per_pattern: int = 100) -> DataFrame:
     """Excluded links of every site by pattern, largest pattern first, the first links of each."""
     hit = links.filter(F.col("excluded_by").isNotNull()).select(
-        U.host(F.col("url")).alias("site"), F.col("excluded_by").alias("pattern"), F.col("link").alias("url"))
+        "site", F.col("excluded_by").alias("pattern"), F.col("link").alias("url"))
     sizes = hit.groupBy("site", "pattern").agg(F.count("*").alias("links"))
     first = top_k(hit, ["site", "pattern"], [F.col("url")], per_pattern, "position")
     return first.join(sizes, ["site", "pattern"]).orderBy("site", F.desc("links"), "pattern", "position")

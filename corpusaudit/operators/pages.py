@@ -37,7 +37,8 @@ def page_facts(pages: DataFrame) -> DataFrame:
                 H.count_tags(F.col("_tags"), "h2").alias("h2_count"),
                 H.count_tags(F.col("_tags"), "ul", "ol").alias("lists_count"),
                 word_count(H.visible_text(F.col("html"))).alias("word_count"),
-                F.length("html").alias("html_full_size")))
+                F.length("html").alias("html_full_size"),
+                H.links_of(F.col("_clean")).alias("hrefs")))
 
 
 def script_type_counts(pages: DataFrame, *keys: str) -> DataFrame:

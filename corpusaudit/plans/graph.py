@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shapes import checkpoint, compact, with_row_number
+from .shapes import checkpoint, compact, number_in_groups, top_k
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -34,29 +34,28 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def breadth_first(edges: DataFrame, seeds: DataFrame, max_urls: int | None = 500) -> DataFrame:
-    """Replay a crawl frontier over stored links: (url, depth, position), first come first served.
+    """Replay the crawl frontiers of many sites at once over stored links: (site, url, depth, position), first come first served.
 
-    Pages are visited in order of discovery: by the position of the page that linked to them,
-    then by url. ``max_urls`` stops the crawl as the crawler does; ``None`` visits everything
-    reachable. A waiting queue of 5,000 urls cannot change the first 5,000 visits, so no queue
+    ``edges`` holds (site, src, dst), ``seeds`` (site, url) and may hold their ``turn``. Within its site, a page is visited in order of
+    discovery: by the position of the page that linked to it, then by url. Every site has its own budget of ``max_urls`` visits and drops out when it is
+    spent; ``None`` visits everything reachable. Rounds grow with the depth of the deepest site, not with the number of sites. A level is
+    trimmed to the budget in every partition before its rows are shuffled. A waiting queue of 5,000 urls cannot change the first 5,000 visits, so no queue
     bound is applied.
     """
-    links = checkpoint(edges.select("src", "dst").distinct())
-    start = seeds.select("url").distinct()
-    level = _numbered(start.select("url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("_via")), 0, max_urls)
-    visited, depth = level, 0
-    done = visited.count()
-    while max_urls is None or done < max_urls:
+    links = checkpoint(edges.select("site", "src", "dst").distinct())
+    turn = F.col("turn").cast("long") if "turn" in seeds.columns else F.lit(0).cast("long")
+    start = seeds.select("site", "url", turn.alias("_via")).groupBy("site", "url").agg(F.min("_via").alias("_via")).withColumn("_done", F.lit(0).cast("long"))
+    level, depth = _numbered(start, 0, max_urls), 0
+    visited = level
+    while not level.isEmpty():
         depth += 1
-        found = (level.join(links, level["url"] == links["src"])
-                 .groupBy(F.col("dst").alias("url")).agg(F.min("position").alias("_via"))
-                 .join(visited, "url", "left_anti"))
-        left = None if max_urls is None else max_urls - done
-        level = _numbered(found.select("url", F.lit(depth).alias("depth"), "_via"), done, left)
-        size = level.count()
-        if size == 0:
-            break
-        done += size
+        done = level.groupBy("site").agg(F.max("position").alias("_done"))
+        if max_urls is not None:
+            done = done.filter(F.col("_done") < max_urls)
+        found = (level.join(links, (level["site"] == links["site"]) & (level["url"] == links["src"]))
+                 .groupBy(level["site"].alias("site"), F.col("dst").alias("url")).agg(F.min("position").alias("_via"))
+                 .join(visited.select("site", "url"), ["site", "url"], "left_anti").join(done, "site"))
+        level = _numbered(found, depth, max_urls)
         # Levels are fixed tables, so they are only appended; now and then they become one, to keep the plan short.
         visited = visited.unionByName(level)
         if depth % 16 == 0:
@@ -64,8 +63,11 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_urls: int | None = 500
     return visited
 
 
-def _numbered(found: DataFrame, offset: int, limit: int | None) -> DataFrame:
-    if limit is not None:
-        found = found.orderBy("_via", "url").limit(limit)
-    numbered = with_row_number(found, ["_via", "url"], "position")
-    return checkpoint(numbered.select("url", "depth", (F.col("position") + offset).alias("position")))
+def _numbered(found: DataFrame, depth: int, limit: int | None) -> DataFrame:
+    """A level's rows with their position in their site, behind the ``_done`` visits of earlier levels."""
+    order = [F.col("_via"), F.col("url")]
+    if limit is None:
+        numbered = number_in_groups(found, ["site"], order, "_n")
+    else:
+        numbered = top_k(found, ["site"], order, limit, "_n").filter(F.col("_done") + F.col("_n") <= limit)
+    return checkpoint(numbered.select("site", "url", F.lit(depth).alias("depth"), (F.col("_done") + F.col("_n")).cast("long").alias("position")))

@@ -10,7 +10,7 @@ from corpusaudit.functions import html as H
 from corpusaudit.functions import urls as U
 from corpusaudit.functions.numbers import round_to
 from corpusaudit.functions.text import decode_entities, title_case
-from corpusaudit.operators import access, authority, cluster, entity, geo, jsonld, offpage, sitemap
+from corpusaudit.operators import access, authority, cluster, entity, geo, jsonld, links, offpage, sitemap
 from corpusaudit.plans.graph import breadth_first
 from corpusaudit.sources import sitemaps
 from corpusaudit.sources.pages import read_pages_csv
@@ -149,11 +149,33 @@ def test_structure_similarity_depends_on_order(spark):
 
 
 def test_frontier_order_and_limit(spark):
-    edges = spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "d"), ("c", "e"), ("e", "a"), ("x", "y")], "src string, dst string")
-    seeds = spark.createDataFrame([("a",)], "url string")
-    got = [(r.url, r.depth) for r in breadth_first(edges, seeds, None).orderBy("position").collect()]
-    assert got == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 2)]
-    assert [r.url for r in breadth_first(edges, seeds, 3).orderBy("position").collect()] == ["a", "b", "c"]
+    one = [("a", "c"), ("a", "b"), ("b", "d"), ("c", "e"), ("e", "a"), ("x", "y")]
+    edges = spark.createDataFrame([("s", *e) for e in one] + [("t", "c", "b"), ("t", "c", "z"), ("t", "a", "b"), ("u", "q", "q")], "site string, src string, dst string")
+    seeds = spark.createDataFrame([("s", "a", 0), ("t", "c", 1), ("t", "a", 0), ("u", "q", 0)], "site string, url string, turn int")
+    full = [("s", "a", 0, 1), ("s", "b", 1, 2), ("s", "c", 1, 3), ("s", "d", 2, 4), ("s", "e", 2, 5), ("t", "a", 0, 1), ("t", "c", 0, 2), ("t", "b", 1, 3), ("t", "z", 1, 4), ("u", "q", 0, 1)]
+    assert sorted(tuple(r) for r in breadth_first(edges, seeds, None).collect()) == sorted(full)
+    # The budget counts for each site.
+    for most in (1, 2, 3, 4):
+        assert sorted(tuple(r) for r in breadth_first(edges, seeds, most).collect()) == sorted(r for r in full if r[3] <= most)
+
+
+def test_frontier_follows_stored_pages_of_its_crawl(spark):
+    link = lambda *hrefs: "".join(f'<a href="{h}">x</a>' for h in hrefs)
+    pages = spark.createDataFrame([
+        (1, "https://a.fr/", link("/lost", "/two", "https://shop.example/s", "https://b.fr/", "/x.pdf")), (2, "https://a.fr/two", link("/", "/three")),
+        (3, "https://www.a.fr/three", link("/")), (4, "https://shop.example/s", link("/t", "https://www.a.fr/three")), (5, "https://shop.example/t", ""), (6, "https://b.fr/", link("/self"))],
+        "page_id long, url string, html string")
+    crawls = spark.createDataFrame([("A", ["https://a.fr/gone", "https://a.fr"], ["www.shop.example", None, " "]), ("B", ["https://b.fr/"], None)],
+                                   "site string, start_urls array<string>, attached array<string>")
+    found = links.page_links(pages, crawls=crawls)
+    got = {}
+    for r in links.crawl_frontier(found, pages, crawls).collect():
+        got.setdefault(r.site, {})[r.position] = (r.url, r.depth)
+    home = [u for u, d in got["A"].values() if d == 0]
+    assert len(home) == 1 and [u.split("/")[-1] for _, (u, d) in sorted(got["A"].items()) if d == 1] == ["two", "s"] and len(got["B"]) == 1
+    inside = {(r.page_id, r.href): r.internal for r in found.collect()}
+    assert inside[1, "https://shop.example/s"] and not inside[1, "https://b.fr/"] and not inside[1, "/x.pdf"] and inside[4, "https://www.a.fr/three"]
+    assert {r.page_id: r.site for r in found.collect()} == {1: "A", 2: "A", 3: "A", 4: "A", 6: "B"}
 
 
 def test_sector_ties_and_default(spark):
