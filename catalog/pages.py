@@ -9,7 +9,7 @@ from corpusaudit.functions import urls as U
 from corpusaudit.functions.text import word_count
 from corpusaudit.operators import categories, eco, links, pages as P
 from corpusaudit.plans.graph import breadth_first
-from corpusaudit.plans.shapes import with_row_number
+from corpusaudit.plans.shapes import number_in_groups, with_row_number
 from corpusaudit.sources.pages import read_pages, truncate_html
 
 from . import sqlfn as S
@@ -182,15 +182,27 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", word_count(c("text")).cast("long").alias("words"))
 
 
+def inner_sql(d: str, tag: str, first: str) -> str:
+    """Text between the tag ``first`` and the end tag that brings the running number of open tags to zero."""
+    body = f"substring({d}, strpos({d}, {first}) + length({first}))"
+    parts = f"string_split({S.rr(body, f'(?i)(</?{tag}(?:[[:space:]/][^>]*)?>)', chr(1) + chr(92) + '1')}, chr(1))"
+    move = f"CASE WHEN lower(p) LIKE '</{tag}%' THEN -1 WHEN lower(p) LIKE '<{tag}%' AND string_split(p, '>')[1] NOT LIKE '%/' THEN 1 ELSE 0 END"
+    return (f"(SELECT array_to_string(CASE WHEN closed IS NULL THEN ps ELSE ps[:closed - 1] END, '') FROM (SELECT ps, list_position(list_transform(range(1, len(ps) + 1), "
+            f"lambda i: 1 + list_sum(moves[:i])), 0) AS closed FROM (SELECT ps, list_transform(list_concat([''], ps[2:]), lambda p: {move}) AS moves FROM (SELECT {parts} AS ps))))")
+
+
 def main_sql(html: str) -> str:
-    main = r"(?is)<%s(?:\s[^>]*)?>(.*?)</%s\s*>"
-    d = S.drop(html, S.ECO)
-    inner = f"CASE WHEN {S.rm('d', main % ('main', 'main'))} THEN {S.element('d', 'main')} WHEN {S.rm('d', main % ('article', 'article'))} THEN {S.element('d', 'article')} WHEN {S.rm('d', H.CONTENT_DIV)} THEN {S.rx('d', H.CONTENT_DIV, 1)} ELSE d END"
-    return f"(SELECT page_id, url, html, {S.squeeze(S.decode(S.rr(inner, S.TAG, ' ')))} AS main FROM (SELECT page_id, url, html, {d} AS d FROM src))"
+    names = [(t, f"(?i)<{t}(?:[[:space:]][^>]*)?>") for t in ("main", "article")] + [("div", "(?i)<div [^>]*class *= *[\"''][^\"'']*(content|main|article)[^\"'']*[\"''][^>]*>")]
+    firsts = ", ".join(f"{S.rx('d', p.replace(chr(39) * 2, chr(39)))} AS first_{t}" for t, p in names)
+    cases = " ".join(f"WHEN first_{t} <> '' THEN {inner_sql('d', t, f'first_{t}')}" for t, _ in names)
+    return (f"(SELECT page_id, url, html, {S.squeeze(S.decode(S.rr('inner_html', S.TAG, ' ')))} AS main FROM (SELECT page_id, url, html, CASE {cases} ELSE d END AS inner_html "
+            f"FROM (SELECT *, {firsts} FROM (SELECT page_id, url, html, {S.drop(html, S.ECO)} AS d FROM src))))")
 
 
-WRAPS = ("CASE page_id % 4 WHEN 0 THEN '<main>un <b>deux</b></main>' || html WHEN 1 THEN html "
-         "WHEN 2 THEN '<div class=\"page-content\">trois</div>' || REPLACE(html, 'article', 'span') ELSE REPLACE(html, 'article', 'span') END")
+NEST = "<div>trois</div> et <div id=\"a\"><DIV class=\"main\">quatre</DIV><div/></div > cinq"
+WRAPS = ("CASE page_id % 6 WHEN 0 THEN '<p>avant</p><main>un <b>deux</b><main class=\"x\">trois</main> quatre</main><main>non</main>' || html WHEN 1 THEN html "
+         f"WHEN 2 THEN '<div class=\"page-content\">{NEST}</div><div>non</div>' || REPLACE(html, 'article', 'span') "
+         "WHEN 3 THEN '<article>a<article>b</article>c</article>d' || html WHEN 4 THEN '<div class=\"content\"><div>jamais</div>' || REPLACE(html, 'article', 'span') ELSE REPLACE(html, 'article', 'span') END")
 
 
 @query("html_main_content", "HTML-10", f"""WITH src AS (SELECT page_id, url, {WRAPS} AS html FROM pages)
@@ -455,12 +467,18 @@ def _(spark, sf):
     return breadth_first(edges, half.filter("src IN ('p1', 'p2')").select("site", c("src").alias("url")), 500)
 
 
-@query("crawl_frontier_pages", "LNK-9", bfs_sql(f"""{SCOPED.replace('edges AS (', 'all_edges AS (')}, real AS (SELECT DISTINCT crawl AS site, {S.normalize('url')} AS url FROM located),
-edges AS MATERIALIZED (SELECT crawl AS site, src, dst FROM all_edges e JOIN real ON real.site = crawl AND real.url = dst WHERE src <> dst),
-v0 AS MATERIALIZED (SELECT 'crawl of ' || site AS site, {S.normalize('first_url')} AS url, 0 AS depth, CAST(1 AS BIGINT) AS position FROM crawl)""", 8))
+# Further links of a page, as a rendered page would show them: a host's n-th page, by url, links to its pages 2n and 2n + 1.
+@query("crawl_frontier_pages", "LNK-9", bfs_sql(f"""{SCOPED.replace('edges AS (', 'anchors AS (')}, real AS (SELECT DISTINCT crawl AS site, {S.normalize('url')} AS url FROM located),
+turns AS (SELECT site, crawl, url, row_number() OVER (PARTITION BY site ORDER BY url, page_id) AS n FROM located),
+all_edges AS (SELECT crawl, src, dst FROM anchors UNION SELECT a.crawl, {S.normalize('a.url')}, {S.normalize('b.url')} FROM turns a JOIN turns b ON a.site = b.site AND b.n IN (2 * a.n, 2 * a.n + 1)),
+edges AS MATERIALIZED (SELECT crawl AS site, src, dst FROM all_edges JOIN real ON real.site = crawl AND real.url = dst WHERE src <> dst),
+v0 AS MATERIALIZED (SELECT 'crawl of ' || site AS site, {S.normalize('first_url')} AS url, 0 AS depth, CAST(1 AS BIGINT) AS position FROM crawl)""", 10))
 def _(spark, sf):
     scope, f = crawls(spark, sf), facts(spark, sf)
-    return links.crawl_frontier(links.page_links(f, crawls=scope), f, scope)
+    turns = number_in_groups(f.select("page_id", "url", "site"), ["site"], [c("url"), c("page_id")], "n")
+    shown = turns.select("site", F.floor(c("n") / 2).alias("n"), c("url").alias("to")).groupBy("site", "n").agg(F.collect_list("to").alias("shown"))
+    more = f.join(turns.join(shown, ["site", "n"]).select("page_id", "shown"), "page_id", "left")
+    return links.crawl_frontier(links.page_links(more, c("shown"), crawls=scope), f, scope)
 
 
 EXTERNAL = f"list_filter({S.hrefs('b')}, lambda z: starts_with(z, 'http') AND NOT contains(z, {S.netloc('url')}))"

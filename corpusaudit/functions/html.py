@@ -22,7 +22,7 @@ TAG_NAME = r"<([A-Za-z][A-Za-z0-9:-]*)"
 ANCHOR_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 DATA_HREF = r"""(?is)<[a-z][^>]*?\sdata-href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 META_DESCRIPTION = r"""(?s)<(?i:meta)\b[^>]*\b(?i:name)\s*=\s*["']description["'][^>]*>"""
-CONTENT_DIV = r"""(?is)<div\b[^>]*\bclass\s*=\s*["'][^"']*(?:content|main|article)[^"']*["'][^>]*>(.*?)</div\s*>"""
+CONTENT_DIV = r"""(?is)<div\b[^>]*\bclass\s*=\s*["'][^"']*(?:content|main|article)[^"']*["'][^>]*>"""
 INPUT_BUTTON = r"""(?is)<input\b[^>]*\btype\s*=\s*["']?[^"'>\s]*(?:submit|button)"""
 BREADCRUMB = r"""(?is)<nav\b[^>]*\baria-label\s*=\s*["'][^"']*breadcrumb"""
 
@@ -191,13 +191,29 @@ def visible_text(html: Column, drop=CHROME_TAGS) -> Column:
     return squeeze(decode_entities(F.regexp_replace(drop_elements(html, drop), TAG, " ")))
 
 
-def main_content(html: Column) -> Column:
-    """Text of ``main``, else ``article``, else a content division, else the whole page."""
-    def inner(clean: Column) -> Column:
-        found = [(p, F.regexp_extract(clean, p, 1)) for p in (element_pattern("main"), element_pattern("article"), CONTENT_DIV)]
-        return F.coalesce(*[F.when(clean.rlike(p), text) for p, text in found], clean)
+def open_element(clean: Column, tag: str, start: str) -> Column:
+    """Inner HTML of the first element ``tag`` whose start tag matches ``start``, up to its own end tag; null if there is none.
+
+    The text is cut before each start and end tag of that name, and a fold over the pieces follows the depth until the element closes; one that never
+    closes goes on to the end. Pieces are counted, not joined, on the way, so the work is in proportion to the text.
+    """
+    rest = F.regexp_extract(clean, f"{start}(.*)", 1)
+    pieces = F.split(rest, rf"(?i)(?=</?{tag}[\s/>])")
+    opens = lambda p: p.rlike(rf"(?is)^<{tag}(?![^>]*/>)[\s>]")
+    closes = lambda p: p.rlike(rf"(?i)^</{tag}[\s/>]")
+    step = lambda s, p: F.when(s["depth"] == 0, s).otherwise(let(
+        s["depth"] + F.when(opens(p), 1).when(closes(p), -1).otherwise(0),
+        lambda d: F.struct(d.alias("depth"), (s["kept"] + F.when(d > 0, 1).otherwise(0)).alias("kept"))))
+    kept = lambda ps: F.aggregate(ps, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("kept")), step, lambda s: s["kept"])
+    return F.when(clean.rlike(start), let(pieces, lambda ps: F.array_join(F.slice(ps, F.lit(1), kept(ps)), "")))
 
-    return squeeze(decode_entities(F.regexp_replace(let(drop_elements(html, ECO_TAGS), inner), TAG, " ")))
+
+def main_content(html: Column) -> Column:
+    """Text of ``main``, else ``article``, else a content division, else the whole page; elements of the same name inside it belong to it."""
+    start = lambda tag: rf"(?is)<{tag}(?:\s[^>]*)?>"
+    inner = let(drop_elements(html, ECO_TAGS), lambda clean: F.coalesce(
+        open_element(clean, "main", start("main")), open_element(clean, "article", start("article")), open_element(clean, "div", CONTENT_DIV), clean))
+    return squeeze(decode_entities(F.regexp_replace(inner, TAG, " ")))
 
 
 def script_types(html: Column) -> Column:

@@ -231,3 +231,20 @@ def test_sitemap_index_expansion(spark):
     got = sitemaps.expand_sitemap_index(df, spark.createDataFrame([("root",), ("broken",)], "loc string")).collect()
     assert sorted((r.root, r.source, r.loc, r.lastmod) for r in got) == [
         ("root", "a", "u1", "2024-01-01"), ("root", "a", "u2", None), ("root", "b", "u3", None)]
+
+
+def test_main_content_ends_at_its_own_tag(spark):
+    cases = {
+        '<div class="content"><div>one</div> two three</div> four': "one two three",
+        "<p>x</p><MAIN>a<main>b</main >c</main>d<main>e</main>": "a b c",
+        "<article id=1>a <article><article>b</article></article> c</article> d": "a b c",
+        "<div>no</div><div class='the-Main'><div/>a<div\n>b<div>c</div></div><divider>d</divider></div>e": "a b c d",
+        "<div class=\"content\"><div>never</div> closed": "never closed",
+        "<article>a</article><main>b</main>": "b",
+        "<main-nav>n</main-nav> all": "n all",
+        "<main>a<script><main></script><!-- <main> -->b</main>c": "a b",
+        "": "", "<main></main>x": "",
+    }
+    assert column(spark, list(cases), H.main_content) == list(cases.values())
+    deep = "<div class='content'>" + "<div>x " * 3000 + "</div>" * 3001 + "out"
+    assert column(spark, [deep], H.main_content) == [" ".join(["x"] * 3000)]
