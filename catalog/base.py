@@ -82,17 +82,18 @@ FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey"""),
 SELECT LOWER(c_name) || '@x.com' AS user_email, c_mktsegment AS workspace_name FROM customer WHERE c_custkey % 3 = 0"""),
     "mentions": (["documents"], """
 SELECT doc_id AS mention_id, 'brand' || CAST(doc_id % 20 AS STRING) AS brand, source AS domain_key,
-  SUBSTRING(text, 1, 60) AS title, SUBSTRING(text, 61, 140) AS descr,
+  SUBSTRING(text, 1, 60) AS title, SUBSTRING(text, 61) AS descr,
   'https://' || source || '.example.com/' || CAST(doc_id AS STRING) AS url FROM documents"""),
     "predictions": (["lineitem"], """
 SELECT l_orderkey AS entity_id, l_linenumber AS pos, 'DYN_FIELD_' || CAST(l_linenumber % 4 AS STRING) AS key,
   CASE WHEN l_quantity > 45 THEN '' ELSE CAST(l_partkey AS STRING) END AS value, l_discount * 10 AS confidence,
   CASE l_returnflag WHEN 'A' THEN 'keep' WHEN 'N' THEN 'hesitant' ELSE 'reject' END AS decision FROM lineitem"""),
     "model_responses": (["conversations"], """
-SELECT conv_id, turn, CASE (conv_id + turn) % 4
-  WHEN 0 THEN '```json' || chr(10) || '{"model_name":"M' || CAST(conv_id % 7 AS STRING) || '","schema_type":"Product"}' || chr(10) || '```'
-  WHEN 1 THEN '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Article"}</script>'
-  WHEN 2 THEN 'Sure: {"a":1} done' ELSE role END AS content FROM conversations"""),
+SELECT conv_id, turn, said, CASE (conv_id + turn) % 4
+  WHEN 0 THEN '```json' || chr(10) || '{"model_name":"' || said || '","schema_type":"Product"}' || chr(10) || '```'
+  WHEN 1 THEN '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Article","name":"' || said || '"}</script>'
+  WHEN 2 THEN said || ': {"a":"' || said || '"} ' || said ELSE role || said END AS content
+FROM (SELECT *, ' ' || TRANSLATE(text, '"{}[]<>`' || chr(92) || chr(10) || chr(13) || chr(9), '') || '.' AS said FROM conversations) c"""),
     "kg_entities": (["nation"], """
 SELECT n_nationkey AS entity_id, 'Q' || CAST(n_nationkey AS STRING) AS qid,
   '{"labels":{' || CASE WHEN n_nationkey % 2 = 0 THEN '"fr":{"value":"' || n_name || '"},' ELSE '' END || '"en":{"value":"' || LOWER(n_name) ||

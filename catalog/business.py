@@ -86,7 +86,7 @@ def _(spark, sf):
     return E.filled_fields(masters(spark, sf)).select("entity_id", "filled")
 
 
-SECTOR_TEXT = "'Maison ' || source || ' ' || CASE doc_id % 7 WHEN 0 THEN 'Vente de PRODUIT et boutique' WHEN 1 THEN 'agence conseil' WHEN 2 THEN 'concert et film' WHEN 3 THEN '' WHEN 4 THEN 'école, cours, formation' ELSE substring(text, 1, 200) END"
+SECTOR_TEXT = "'Maison ' || source || ' ' || text || CASE doc_id % 7 WHEN 0 THEN ' Vente de PRODUIT et boutique' WHEN 1 THEN ' agence conseil' WHEN 2 THEN ' concert et film' WHEN 4 THEN ' école, cours, formation' ELSE '' END"
 
 
 def sector_sql() -> str:
@@ -130,11 +130,12 @@ def _(spark, sf):
     return E.apply_predictions(docs, view(spark, sf, "predictions"))
 
 
-ANSWERS = """SELECT conv_id, turn, '```json' || chr(10) || '{"predictions":[{"key":"k' || CAST(turn AS STRING) || '","value":"v","confidence":0.8,"decision":"keep","reason":"r"},{"key":"z"}' ||
-  CASE WHEN conv_id % 5 = 0 THEN '' ELSE ']}' END || chr(10) || '```' AS content FROM conversations"""
+SAID = "TRANSLATE(text, '\"{}[]<>`' || chr(92) || chr(10) || chr(13) || chr(9), '') || '.'"
+ANSWERS = f"""SELECT conv_id, turn, '```json' || chr(10) || '{{"predictions":[{{"key":"k' || CAST(turn AS STRING) || '","value":"' || {SAID} || '","confidence":0.8,"decision":"keep","reason":"r"}},{{"key":"z"}}' ||
+  CASE WHEN conv_id % 5 = 0 THEN '' ELSE ']}}' END || chr(10) || '```' AS content FROM conversations"""
 
 
-@query("prediction_rows", "ENT-12", """SELECT conv_id, turn, unnest([0, 1]) AS pos, unnest(['k' || turn, 'z']) AS key, unnest(['v', '']) AS value, unnest([0.8::DOUBLE, 0.0::DOUBLE]) AS confidence, unnest(['keep', 'reject']) AS decision,
+@query("prediction_rows", "ENT-12", f"""SELECT conv_id, turn, unnest([0, 1]) AS pos, unnest(['k' || turn, 'z']) AS key, unnest([trim({SAID}), '']) AS value, unnest([0.8::DOUBLE, 0.0::DOUBLE]) AS confidence, unnest(['keep', 'reject']) AS decision,
   unnest(['r', '']) AS reason FROM conversations WHERE conv_id % 5 <> 0""")
 def _(spark, sf):
     table(spark, sf, "conversations").createOrReplaceTempView("conversations")
@@ -175,27 +176,35 @@ def _(spark, sf):
     return O.mention_kpis(mentions(spark, sf))
 
 
-# Concepts of a brand: first words of some of its own mentions, in capitals, and two short ones.
-CONCEPTS = """SELECT DISTINCT 'brand' || CAST((doc_id * 3) % 20 AS STRING) AS brand, TRANSLATE(SPLIT_PART(text, ' ', 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS concept FROM documents
-UNION SELECT DISTINCT 'brand' || CAST(doc_id % 20 AS STRING), TRANSLATE(SUBSTRING(text, 3, 7), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') FROM documents UNION SELECT 'brand3', 'A' UNION SELECT 'brand3', 'tz'"""
-MATCH = f"""{NAMED}, co AS ({CONCEPTS}), hit AS (SELECT DISTINCT co.brand, concept, mention_id, title, url FROM co JOIN m ON m.brand = co.brand AND (contains(lower(title), lower(concept)) OR contains(lower(descr), lower(concept))))"""
+# Concepts of a brand: all long words of some of its own texts, in capitals, their last words, and short or frequent ones.
+LONG_WORD, LAST_WORDS = "[A-Za-z]{16,}", "([A-Za-z]+ [A-Za-z]+)[^A-Za-z]*$"
+UPPER = "TRANSLATE({}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+OWNER = "'brand' || CAST(doc_id * 3 % 20 AS STRING)"
+CONCEPTS = f"""SELECT DISTINCT {OWNER} AS brand, {UPPER.format('word')} AS concept FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{LONG_WORD}')) AS word FROM documents)
+UNION SELECT DISTINCT {OWNER}, regexp_extract(text, '{LAST_WORDS}', 1) FROM documents UNION SELECT 'brand3', 'A' UNION SELECT 'brand3', 'tz' UNION SELECT 'brand4', 'the '"""
+MATCH = f"""{NAMED}, co AS (SELECT * FROM ({CONCEPTS}) WHERE concept <> ''), hit AS (SELECT DISTINCT co.brand, concept, mention_id, title, url FROM co JOIN m ON m.brand = co.brand AND (contains(lower(title), lower(concept)) OR contains(lower(descr), lower(concept))))"""
+
+
+def concepts(spark, sf):
+    d = table(spark, sf, "documents").select(F.expr(OWNER).alias("brand"), "text")
+    long_words = d.select("brand", F.explode(F.regexp_extract_all("text", F.lit(LONG_WORD), F.lit(0))).alias("word")).select("brand", F.expr(UPPER.format("word")).alias("concept"))
+    last = d.select("brand", F.regexp_extract("text", LAST_WORDS, 1).alias("concept"))
+    short = spark.sql("SELECT * FROM VALUES ('brand3', 'A'), ('brand3', 'tz'), ('brand4', 'the ') AS t(brand, concept)")
+    return long_words.unionByName(last).unionByName(short).distinct()
 
 
 @query("mention_concepts", "OFF-4", f"""{MATCH} SELECT brand, concept, mention_id, CAST(count(*) OVER (PARTITION BY brand, concept) AS BIGINT) AS matches, string_split(url, '/')[3] AS host FROM hit
   QUALIFY row_number() OVER (PARTITION BY brand, concept ORDER BY mention_id) <= 3""")
 def _(spark, sf):
-    table(spark, sf, "documents").createOrReplaceTempView("documents")
-    return O.concept_mentions(spark.sql(CONCEPTS), mentions(spark, sf)).select("brand", "concept", "mention_id", "matches", "host")
-
-
-WORDS = "lower(regexp_extract(text, '([A-Za-z]+)', 1)) AS concept"
+    return O.concept_mentions(concepts(spark, sf), mentions(spark, sf)).select("brand", "concept", "mention_id", "matches", "host")
 
 
-@query("vocabulary_gap", "OFF-5", f"""WITH i AS (SELECT DISTINCT source, {WORDS} FROM documents WHERE doc_id % 2 = 0), e AS (SELECT DISTINCT source, {WORDS} FROM documents WHERE doc_id % 2 = 1)
-SELECT source, concept, CASE WHEN (source, concept) NOT IN (SELECT (source, concept) FROM i) THEN 'noise' WHEN (source, concept) NOT IN (SELECT (source, concept) FROM e) THEN 'invisible' ELSE 'aligned' END AS status
-FROM (SELECT * FROM i UNION SELECT * FROM e)""")
+@query("vocabulary_gap", "OFF-5", """WITH w AS (SELECT doc_id, source, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS concept FROM documents),
+g AS (SELECT source, concept, bool_or(doc_id % 2 = 0) AS i, bool_or(doc_id % 2 = 1) AS e FROM w GROUP BY source, concept)
+SELECT source, concept, CASE WHEN i AND e THEN 'aligned' WHEN e THEN 'noise' ELSE 'invisible' END AS status FROM g""")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1)).alias("concept"))
+    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    d = table(spark, sf, "documents").select("doc_id", "source", words.alias("word")).select("doc_id", "source", F.lower("word").alias("concept"))
     return O.vocabulary_gap(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"), "source")
 
 

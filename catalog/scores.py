@@ -442,9 +442,10 @@ def _(spark, sf):
     s = table(spark, sf, "supplier").select(c("s_name").alias("site"), "s_suppkey")
     metas = s.select("site", (c("s_suppkey") % 4 != 0).alias("indexable"))
     # Every third site has two candidates; the one with the lower rank stands later in the alphabet for most.
-    mine, other = s.filter("s_suppkey % 3 = 0"), s.select(c("site").alias("candidate"), c("s_suppkey").alias("k"))
-    near = mine.join(other, c("k") == F.floor(c("s_suppkey") / 2) + 1).select("site", "candidate", F.lit(0).alias("rank"))
-    far = mine.join(other, c("k") == 1).select("site", "candidate", F.lit(3).alias("rank"))
+    named = lambda key: F.concat(F.lit("Supplier#"), F.lpad(key.cast("string"), 9, "0")).alias("candidate")
+    mine = s.filter("s_suppkey % 3 = 0")
+    near = mine.select("site", named(F.floor(c("s_suppkey") / 2) + 1), F.lit(0).alias("rank"))
+    far = mine.select("site", named(F.lit(1)), F.lit(3).alias("rank"))
     apis = near.unionByName(far)
     return access.access_summary(robots_result(spark, sf), metas, apis)
 
@@ -500,9 +501,9 @@ def sim_sql(s: str) -> str:
             f"WHEN {s} <= 0.85::DOUBLE THEN 70 + ({s} - 0.6::DOUBLE) / 0.25::DOUBLE * 20 ELSE 90 + ({s} - 0.85::DOUBLE) / 0.15::DOUBLE * 10 END")
 
 
-@query("similarity_scores", "AUTH-4", f"SELECT vec_id, round({sim_sql('s')}, 6) AS score FROM (SELECT vec_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, embedding[1]::DOUBLE * 2)) AS s FROM embeddings)")
+@query("similarity_scores", "AUTH-4", f"SELECT vec_id, round({sim_sql('s')}, 6) AS score FROM (SELECT vec_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) / len(embedding) * 5)) AS s FROM embeddings)")
 def _(spark, sf):
-    s = F.get("embedding", F.lit(0)).cast("double") * 2
+    s = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double"))) / F.size("embedding") * 5
     return table(spark, sf, "embeddings").select("vec_id", F.round(authority.similarity_to_score(s), 6).alias("score"))
 
 

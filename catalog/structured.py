@@ -185,8 +185,8 @@ def _(spark, sf):
     return J.build_webpage_jsonld(p, masters(spark, sf), AS_OF).select("page_id", "jsonld")
 
 
-@query("model_answers", "LD-19", f"""{with_views('model_responses')} SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN '{{"model_name":"M' || conv_id % 7 || '","schema_type":"Product"}}'
-  WHEN 1 THEN '{{"@context":"https://schema.org","@type":"Article"}}' WHEN 2 THEN '{{"a":1}}' END AS json, (conv_id + turn) % 4 = 1 AS is_document FROM model_responses""")
+@query("model_answers", "LD-19", f"""{with_views('model_responses')} SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN '{{"model_name":"' || said || '","schema_type":"Product"}}'
+  WHEN 1 THEN '{{"@context":"https://schema.org","@type":"Article","name":"' || said || '"}}' WHEN 2 THEN '{{"a":"' || said || '"}}' END AS json, (conv_id + turn) % 4 = 1 AS is_document FROM model_responses""")
 def _(spark, sf):
     j = view(spark, sf, "model_responses").select("conv_id", "turn", J.parse_model_json(c("content")).alias("json"))
     return j.withColumn("is_document", J.is_jsonld_document(c("json")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shapes import top_k
+from ..plans.shapes import checkpoint, pick_rows, top_k
 
 # Sources in declaration order with label and priority.
 SOURCES = [
@@ -61,38 +61,42 @@ def third_part(url: Column) -> Column:
     return F.coalesce(F.get(F.split(url, "/"), F.lit(2)), url)
 
 
-def matches(concepts: DataFrame, mentions: DataFrame) -> DataFrame:
+def _grams(text: Column, n: int) -> Column:
+    """All substrings of n characters, overlapping; none of a shorter text. One scan of the text: its characters have no index."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+
+
+def matches(concepts: DataFrame, mentions: DataFrame, most: int = 1_000_000) -> DataFrame:
     """(brand, concept, mention_id): concepts found, whatever the case, in title or description.
 
-    A text containing a concept contains the concept's first letters. Concepts are keyed by those
-    and texts by all their substrings of that length, so the search is an equi-join on (brand, key)
-    with the exact test afterwards, not a comparison of every text with every concept. The exploded
-    rows carry keys only; texts are joined back to the candidates.
+    A text that contains a concept contains all grams of ``GRAM`` letters of it. One aggregate counts in how many texts of a brand each gram of a concept stands;
+    a concept is then filed under its rarest gram, so a frequent beginning costs nothing, and one with a gram that stands nowhere is not searched. Only the grams
+    of texts that are in this index leave their task: it is broadcast up to ``most`` rows and joined beyond. The exact test runs on the texts
+    that share a rarest gram with a concept.
     """
-    c = concepts.select("brand", "concept", F.lower("concept").alias("_needle")).distinct()
-    c = c.withColumn("_key", F.substring("_needle", 1, GRAM))
-    # At most GRAM + 1 numbers: the key lengths in use.
-    lengths = [r[0] for r in c.select(F.length("_key")).distinct().collect()]
+    c = checkpoint(concepts.select("brand", "concept", F.lower("concept").alias("_needle")).filter("_needle <> ''").distinct())
     m = mentions.select("brand", "mention_id", F.lower(F.coalesce("title", F.lit(""))).alias("_t"), F.lower(F.coalesce("descr", F.lit(""))).alias("_d"))
-
-    def grams(text: Column, n: int) -> Column:
-        spots = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        return F.transform(spots, lambda i: text.substr(i, F.lit(n)))
-
-    keys = F.array_distinct(F.concat(*[grams(F.col(t), n) for n in lengths for t in ("_t", "_d")]))
+    # At most GRAM numbers: the lengths of grams in use.
+    lengths = [r[0] for r in c.select(F.least(F.length("_needle"), F.lit(GRAM))).distinct().collect()]
+    keys = F.array_distinct(F.concat(*[_grams(F.col(t), n) for n in lengths or [GRAM] for t in ("_t", "_d")]))
     keyed = m.select("brand", "mention_id", F.explode(keys).alias("_key"))
-    near = keyed.join(c, ["brand", "_key"]).select("brand", "concept", "_needle", "mention_id")
+    needed = c.withColumn("_key", F.explode(F.array_distinct(F.when(F.length("_needle") < GRAM, F.array("_needle")).otherwise(_grams(F.col("_needle"), GRAM)))))
+    met = lambda index: pick_rows(index, keyed, ["brand", "_key"], most)
+    counts = met(needed.select("brand", "_key").distinct()).groupBy("brand", "_key").agg(F.count("*").alias("_texts"))
+    filed = needed.join(counts, ["brand", "_key"], "left").groupBy("brand", "concept", "_needle").agg(
+        F.min_by("_key", F.struct("_texts", "_key")).alias("_key"), F.min(F.coalesce("_texts", F.lit(0))).alias("_least")).filter("_least > 0")
+    near = met(filed.select("brand", "concept", "_needle", "_key")).select("concept", "_needle", "mention_id")
     hit = F.col("_t").contains(F.col("_needle")) | F.col("_d").contains(F.col("_needle"))
-    return near.join(m.drop("brand"), "mention_id").filter(hit).select("brand", "concept", "mention_id")
+    return pick_rows(near, m, "mention_id", most).filter(hit).select("brand", "concept", "mention_id")
 
 
 def concept_mentions(concepts: DataFrame, mentions: DataFrame, shown: int = 3) -> DataFrame:
-    """Per concept: number of matching mentions and the first of them with the host."""
-    found = matches(concepts, mentions)
+    """Per concept: number of matching mentions and the first of them with the host. The search runs once."""
+    found = checkpoint(matches(concepts, mentions))
     sizes = found.groupBy("brand", "concept").agg(F.count("*").alias("matches"))
-    first = top_k(found, ["brand", "concept"], [F.col("mention_id")], shown, "position")
+    first = top_k(found, ["brand", "concept"], [F.col("mention_id")], shown, "position").join(sizes, ["brand", "concept"])
     detail = mentions.select("mention_id", "title", third_part(F.col("url")).alias("host"))
-    return first.join(sizes, ["brand", "concept"]).join(detail, "mention_id")
+    return first.join(detail, "mention_id")
 
 
 def vocabulary_gap(internal: DataFrame, external: DataFrame, *keys: str) -> DataFrame:

@@ -99,7 +99,7 @@ def number_in_groups(df: DataFrame, keys: list[str], order: list[Column], name:
     return inside.join(F.broadcast(offsets), same, "left").select(*df.columns, (F.col("_n") + F.coalesce("_before", F.lit(0))).cast("long").alias(name))
 
 
-def pick_rows(few: DataFrame, wide: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
+def pick_rows(few: DataFrame, wide: DataFrame, on: str | list[str], most: int = 1_000_000) -> DataFrame:
     """Rows of ``wide`` whose key is in ``few``, joined to it, without shuffling the long columns of ``wide`` for it.
 
     ``few`` is fixed and counted first: up to ``most`` rows (keys and short columns) are broadcast. Beyond, the rows meet in a shuffle, in which Spark's

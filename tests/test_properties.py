@@ -207,13 +207,18 @@ def test_row_numbers_and_top_k_on_a_hot_key(spark):
     assert top_k(df, ["k"], [F.col("v")], 3).filter("k = 0").count() == 3
 
 
-def test_concept_search_matches_brute_force(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_concept_search_matches_brute_force(spark, most):
     rnd = random.Random(3)
-    texts = [(i, f"b{i % 2}", "".join(rnd.choice("abC ") for _ in range(rnd.randrange(0, 25))), "".join(rnd.choice("abc") for _ in range(9))) for i in range(60)]
-    concepts = sorted({(f"b{i % 2}", "".join(rnd.choice("ABc ") for _ in range(rnd.randrange(1, 6)))) for i in range(40)})
+    texts = [(i, f"b{i % 2}", "".join(rnd.choice("abC ") for _ in range(rnd.randrange(0, 25))) or None, "prefix " + "".join(rnd.choice("abc") for _ in range(9))) for i in range(60)]
+    texts += [(60, "b0", "Prefix", "x" * 5000 + "Needle" + "y" * 5000), (61, "b0", None, None), (62, "b1", "a.c(", "É")]
+    concepts = sorted({(f"b{i % 2}", "".join(rnd.choice("ABc ") for _ in range(rnd.randrange(1, 6)))) for i in range(40)} | {
+        # All begin alike; only the later grams are rare.
+        ("b0", "PREFIX " + "abc"), ("b0", "prefix zzz"), ("b0", "xneedley"), ("b0", ""), ("b1", "A.C("), ("b1", "é"), ("b1", "needle")})
     m = spark.createDataFrame(texts, "mention_id long, brand string, title string, descr string")
-    got = {(r.brand, r.concept, r.mention_id) for r in offpage.matches(spark.createDataFrame(concepts, "brand string, concept string"), m).collect()}
-    assert got == {(b, k, i) for b, k in concepts for i, mb, t, d in texts if mb == b and (k.lower() in t.lower() or k.lower() in d.lower())}
+    got = [(r.brand, r.concept, r.mention_id) for r in offpage.matches(spark.createDataFrame(concepts, "brand string, concept string"), m, most).collect()]
+    want = {(b, k, i) for b, k in concepts for i, mb, t, d in texts if k and mb == b and (k.lower() in (t or "").lower() or k.lower() in (d or "").lower())}
+    assert set(got) == want and len(got) == len(want) and ("b0", "xneedley", 60) in want
 
 
 def test_contains_any_quotes_its_words(spark):
