@@ -573,7 +573,7 @@ def _(spark, sf):
     return categories.pattern_groups(facts(spark, sf), 3).withColumn("samples", join_text(c("samples")))
 
 
-@query("crawl_journal", "CAT-3", f"""{FACTS}, sc AS ({GRADED}) SELECT category, CAST(count(*) OVER (PARTITION BY category) AS BIGINT) AS category_size, page_id, grade,
+@query("crawl_journal", "CAT-3", f"""{FACTS}, sc AS ({GRADED}) SELECT site, category, CAST(count(*) OVER (PARTITION BY site, category) AS BIGINT) AS category_size, page_id, grade,
   trim(title) AS shown_title, CASE WHEN {S.path('url')} = '' THEN '/' ELSE {S.path('url')} END AS path FROM {category_sql()} JOIN sc USING (page_id)""")
 def _(spark, sf):
     return categories.crawl_journal(facts(spark, sf), scored(spark, sf))

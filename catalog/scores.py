@@ -8,7 +8,10 @@ from corpusaudit.operators import access, authority, geo, links, sitemap as M
 from corpusaudit.operators.entity import kg_features
 from corpusaudit.operators.jsonld import structured_footprint
 from corpusaudit.operators.pages import content_quality
-from corpusaudit.sources.sitemaps import expand_sitemap_index, sitemap_entries, sitemap_rows
+from corpusaudit.plans.shapes import shared_folder
+from corpusaudit.sources.pages import parse_pages_csv
+from corpusaudit.sources.sitemaps import (expand_sitemap_index, project_sitemap_index, read_index, read_sitemap, sitemap_entries, sitemap_rows, write_project_indexes,
+                                          write_project_sitemaps)
 
 from . import sqlfn as S
 from .base import AS_OF, query, table, view, with_views
@@ -364,6 +367,45 @@ def _(spark, sf):
     return sitemap_rows(M.seo_sitemap(site_pages(spark, sf), CFG))
 
 
+@query("sitemap_written", "SRC-6 SRC-7", f"""{MAP_SQL} SELECT page_id % 5 AS project_id, CAST(count(*) AS BIGINT) AS urls, md5(string_agg(url || ' ' || coalesce(substring(last_modified, 1, 10), '-'), '|' ORDER BY url || ' ' || coalesce(substring(last_modified, 1, 10), '-'))) AS digest, true AS index_is_whole
+  FROM s WHERE eligible GROUP BY 1""")
+def _(spark, sf):
+    """Every project's sitemap files and its index are written and read back."""
+    path = shared_folder(spark, "sitemaps")
+    write_project_sitemaps(M.seo_sitemap(site_pages(spark, sf), CFG), f"{path}/maps")
+    files = project_sitemap_index(spark, f"{path}/maps", "https://cdn.fr/")
+    write_project_indexes(files, f"{path}/indexes")
+    line = F.concat_ws(" ", "loc", F.coalesce("lastmod", F.lit("-")))
+    back = read_sitemap(spark, f"{path}/maps", "project_id").groupBy("project_id").agg(
+        F.count("*").alias("urls"), F.md5(F.array_join(F.array_sort(F.collect_list(line)), "|").cast("binary")).alias("digest"))
+    named = read_index(spark, f"{path}/indexes", "project_id").select("project_id", c("loc").alias("url"))
+    lost = files.join(named.withColumn("named", F.lit(1)), ["project_id", "url"], "full").groupBy("project_id").agg(F.count_if(c("named").isNull()).alias("lost"))
+    return back.join(lost, "project_id").select(c("project_id").cast("long").alias("project_id"), "urls", "digest", (c("lost") == 0).alias("index_is_whole"))
+
+
+# Uploaded page lists: one per project, with headers of their own; one lacks a column, one names it otherwise.
+UPLOADS = """
+SELECT 'list-' || CAST(project_id AS STRING) AS upload, page_id + 1 AS line_no, '"' || url || '?a,b"' ||
+  CASE project_id WHEN 0 THEN ',' || COALESCE(content_type, '') || ',' || CAST(monthly_traffic AS STRING) WHEN 1 THEN ', yes ,' || COALESCE(content_type, '') || ',x' WHEN 2 THEN ',' || CAST(backlinks AS STRING) ELSE ',' || COALESCE(content_type, '') || ',,"a, b"' END AS line FROM site_pages
+UNION ALL SELECT * FROM (VALUES ('list-0', 0, 'url,content_type,monthly_traffic'), ('list-1', 0, 'URL, has_jsonld , Content_Type ,backlinks'), ('list-2', 0, 'url,backlinks'), ('list-3', 0, 'url,content_type,last_modified,note'), ('list-4', 0, 'url,content_type'), ('list-5', 0, '')) AS h(upload, line_no, line)"""
+
+
+def uploads(spark, sf):
+    view(spark, sf, "site_pages").createOrReplaceTempView("site_pages")
+    return parse_pages_csv(spark.sql(UPLOADS))
+
+
+@query("csv_pages", "SRC-2", f"""{with_views('site_pages')} SELECT 'list-' || project_id AS upload, page_id + 1 AS line_no, url || '?a,b' AS url, content_type, CASE WHEN project_id = 1 THEN true END AS has_jsonld,
+  CASE WHEN project_id = 0 THEN monthly_traffic END AS monthly_traffic, CAST(NULL AS BIGINT) AS backlinks, CAST(NULL AS VARCHAR) AS last_modified FROM site_pages WHERE project_id <> 2""")
+def _(spark, sf):
+    return uploads(spark, sf)[0].drop("jsonld_quality", "content_quality")
+
+
+@query("csv_refused", "SRC-2", "SELECT * FROM (VALUES ('list-2', 'content_type'), ('list-5', 'url, content_type')) AS r(upload, missing) WHERE EXISTS (SELECT 1 FROM pages WHERE page_id % 5 = 2)")
+def _(spark, sf):
+    return uploads(spark, sf)[1]
+
+
 # Fetched documents as text: an index per region, a sitemap per nation with its customers, one broken document.
 FETCHED = """
 SELECT 'https://r.fr/' || CAST(r_regionkey AS STRING) || '.xml' AS loc, '<sitemapindex>' || (CASE WHEN r_regionkey = 0 THEN '<sitemap><loc> https://r.fr/1.xml </loc></sitemap>' ELSE '' END) || n.maps || '</sitemapindex>' AS content

@@ -8,6 +8,7 @@ from corpusaudit.functions import html as H
 from corpusaudit.functions.urls import pattern_group
 from corpusaudit.operators import cluster as C
 from corpusaudit.operators import links, saves
+from corpusaudit.plans.shapes import shared_folder
 from corpusaudit.sources.exports import export_manifest, export_models
 
 from . import sqlfn as S
@@ -266,30 +267,67 @@ def _(spark, sf):
     return saves.models_to_rows(export_input(spark, sf), "https://s.fr", " ", " A@b.fr", "2024-01-31 10:00")
 
 
-PAYLOAD = f"""{FACTS}, g AS (SELECT site, page_id, {S.group('url')} AS grp FROM facts), n AS (SELECT site, count(*) AS n FROM facts GROUP BY site), gs AS (SELECT site, grp, count(*) AS n FROM g GROUP BY site, grp),
-gc AS (SELECT site, count(*) AS k, sum(least(n, 2)) AS s, sum(n) AS c FROM gs GROUP BY site)"""
+PAYLOAD = f"""{FACTS}, g AS (SELECT site, page_id, url, {S.group('url')} AS grp FROM facts), n AS (SELECT site, count(*) AS n FROM facts GROUP BY site), gs AS (SELECT site, grp, count(*) AS n FROM g GROUP BY site, grp),
+first_pages AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS turn FROM g), first_samples AS (SELECT *, row_number() OVER (PARTITION BY site, grp ORDER BY page_id) AS turn FROM g),
+shown AS (SELECT site, md5(string_agg(url, '|' ORDER BY page_id)) AS pages FROM first_pages WHERE turn <= 180 GROUP BY site),
+sampled AS (SELECT site, grp, count(*) AS k, md5(string_agg(url, '|' ORDER BY page_id)) AS urls FROM first_samples WHERE turn <= 50 GROUP BY site, grp),
+gc AS (SELECT site, count(*) AS k, sum(n) AS c FROM gs GROUP BY site)"""
 
 
-@query("snapshot_payload", "SAVE-14", f"""{PAYLOAD} SELECT n.site, n.site AS nom_site, CAST(least(n, 3) AS BIGINT) AS crawl_pages_count, CAST(k AS BIGINT) AS geo_clusters_count, CAST(2 AS BIGINT) AS jsonld_models_count
-FROM n JOIN gc USING (site)""")
+def urls_digest(pages):
+    return F.md5(F.array_join(F.transform(pages, lambda p: F.get_json_object(p, "$.url")), "|").cast("binary"))
+
+
+@query("snapshot_payload", "SAVE-14", f"""{PAYLOAD} SELECT n.site, n.site AS nom_site, pages, CAST(least(n, 180) AS BIGINT) AS crawl_pages_count, CAST(k AS BIGINT) AS geo_clusters_count, CAST(2 AS BIGINT) AS jsonld_models_count
+FROM n JOIN gc USING (site) JOIN shown USING (site)""")
 def _(spark, sf):
-    return payload(spark, sf)["sites"].drop("crawl_pages")
+    return payload(spark, sf)["sites"].withColumn("pages", urls_digest(c("crawl_pages"))).drop("crawl_pages")
 
 
-@query("snapshot_groups", "SAVE-14", f"""{PAYLOAD} SELECT site, grp AS "group", CAST(n AS BIGINT) AS count, CAST(least(n, 2) AS INTEGER) AS samples FROM gs""")
+@query("snapshot_groups", "SAVE-14", f"""{PAYLOAD} SELECT site, grp AS "group", CAST(n AS BIGINT) AS count, CAST(k AS INTEGER) AS samples, urls FROM gs JOIN sampled USING (site, grp)""")
 def _(spark, sf):
-    return payload(spark, sf)["groups"].withColumn("samples", F.size("samples"))
+    return payload(spark, sf)["groups"].withColumn("urls", urls_digest(c("samples"))).withColumn("samples", F.size("samples"))
 
 
-def payload(spark, sf):
+def payload(spark, sf, counters=None):
     f = facts(spark, sf)
     g = f.select("site", "page_id", pattern_group(c("url")).alias("group"))
     models = f.select("site").distinct().select("site", F.explode(F.array(F.lit(1), F.lit(2))).alias("cluster_id"), F.lit("M").alias("model_name"), F.lit(None).cast("string").alias("schema_type"),
-                                                F.lit(1).alias("page_count"), F.lit("{}").alias("delta"), F.lit(False).alias("validated"))
-    return saves.build_payload(f, g, models, 3, 2)
+                                                F.lit(1).alias("page_count"), F.lit('{"a":1}').alias("delta"), F.lit(False).alias("validated"))
+    return saves.build_payload(f, g, models, counters=counters)
 
 
 @query("snapshot_append", "SRC-11", f"""{PAYLOAD}, sv AS ({with_views('saves').split(' AS (', 1)[1][:-1]}) SELECT save_id, user_email, workspace, site_url FROM sv
 UNION ALL SELECT '202401311000-' || site, 'a@b.fr', 'Non classé', 'https://' || site FROM n""")
 def _(spark, sf):
     return saves.append_save(view(spark, sf, "saves"), payload(spark, sf)["sites"], " A@b.fr", "", "2024-01-31 10:00").select("save_id", "user_email", "workspace", "site_url")
+
+
+VERSION = lambda stamp, ws: f"'{stamp}-' || site || '-' || substring(md5('a@b.fr' || chr(10) || '{ws}'), 1, 8)"
+STORED = [("202401311000", "Non classé"), ("202402011000", "Non classé"), ("202402011000", "Équipe / 7")]
+
+
+@query("snapshot_stored", "SRC-11", f"{PAYLOAD}, kept AS (" + " UNION ALL ".join(
+    f"SELECT {VERSION(stamp, ws)} AS save_id, '{ws}' AS workspace, site FROM n" for stamp, ws in STORED) + """),
+parts AS (SELECT save_id, workspace, 'pages' AS part, count(*) AS n, md5(string_agg(url, '|' ORDER BY page_id)) AS digest FROM kept JOIN first_pages USING (site) WHERE turn <= 180 GROUP BY save_id, workspace
+  UNION ALL SELECT save_id, workspace, 'group ' || grp, gs.n, urls FROM kept JOIN gs USING (site) JOIN sampled USING (site, grp)
+  UNION ALL SELECT save_id, workspace, 'model ' || k, 1, md5('{"a":1}') FROM kept, (VALUES (1), (2)) m(k)
+  UNION ALL SELECT save_id, workspace, 'site', n.n, md5(CAST(n.n AS VARCHAR)) FROM kept JOIN n USING (site))
+SELECT save_id, workspace, part, CAST(n AS BIGINT) AS n, digest FROM parts""")
+def _(spark, sf):
+    """Three versions are saved, two of them twice; all contents are read back."""
+    path = shared_folder(spark, "snapshots")
+    counters = facts(spark, sf).groupBy("site").agg(F.count("*").alias("pages_crawled"))
+    whole = payload(spark, sf, counters)
+    for stamp, ws in [*STORED, *STORED[:2]]:
+        created = f"{stamp[:4]}-{stamp[4:6]}-{stamp[6:8]} {stamp[8:10]}:{stamp[10:]}"
+        saves.append_snapshot(spark, path, saves.snapshot_tables(whole, " A@b.fr", ws, created))
+    t = saves.read_snapshot(spark, path)
+    mark = ["save_id", "workspace"]
+    listed = F.array_sort(F.collect_list(F.struct("position", "page")))
+    pages = t["pages"].groupBy(*mark).agg(F.count("*").alias("n"), urls_digest(F.transform(listed, lambda s: s["page"])).alias("digest"))
+    groups = t["groups"].select(*mark, F.concat(F.lit("group "), "group").alias("part"), c("count").alias("n"), urls_digest(c("samples")).alias("digest"))
+    models = t["models"].select(*mark, F.concat(F.lit("model "), c("cluster_id").cast("string")).alias("part"), F.lit(1).cast("long").alias("n"), F.md5(c("delta").cast("binary")).alias("digest"))
+    sites = t["sites"].select(*mark, F.lit("site").alias("part"), c("pages_crawled").alias("n"), F.md5(c("pages_crawled").cast("string").cast("binary")).alias("digest"))
+    order = [*mark, "part", "n", "digest"]
+    return pages.withColumn("part", F.lit("pages")).select(*order).unionByName(groups).unionByName(models).unionByName(sites)

@@ -9,7 +9,7 @@ from ..functions import dates as D
 from ..functions import html as H
 from ..functions.numbers import round_to
 from ..functions.urls import host
-from ..plans.shapes import top_k
+from ..plans.shapes import pick_rows, top_k
 
 # Pillars in report order, the weight and shown name of each.
 PILLARS = [
@@ -131,11 +131,11 @@ def lexical_overlap(text: Column, target: Column) -> Column:
 def site_text(pages: DataFrame, limit: int = 10) -> DataFrame:
     """Text of the first pages of every site and its number of words.
 
-    The pages are chosen on (site, page_id) alone; only chosen ones are read for their text.
+    The pages are chosen on (site, page_id) alone; only chosen ones are read for their text, and html is not shuffled.
     """
     ids = pages.select("page_id", host(F.col("url")).alias("site"))
     chosen = top_k(ids, ["site"], [F.col("page_id")], limit)
-    texts = pages.select("page_id", "html").join(chosen, "page_id").select("site", "page_id", H.visible_text(F.col("html")).alias("t"))
+    texts = pick_rows(chosen, pages.select("page_id", "html"), "page_id", {"t": H.visible_text(F.col("html"))})
     # At most ``limit`` texts per site.
     joined = texts.filter("t <> ''").groupBy("site").agg(F.array_sort(F.collect_list(F.struct("page_id", "t"))).alias("_p"))
     text = F.array_join(F.transform("_p", lambda p: p["t"]), " ")

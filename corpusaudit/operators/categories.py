@@ -46,9 +46,9 @@ def pattern_groups(facts: DataFrame, samples: int = 50) -> DataFrame:
 
 
 def crawl_journal(facts: DataFrame, scores: DataFrame) -> DataFrame:
-    """Pages by category, largest category first, with grade, shown title and path."""
+    """Pages of every site by category, its largest category first, with grade, shown title and path."""
     named = categorize(facts).withColumn("shown_title", F.coalesce(F.nullif(F.trim("title"), F.lit("")), path_title(F.col("url"))))
-    sized = with_group_size(named, "category", "category_size")
+    sized = with_group_size(named, ["site", "category"], "category_size")
     return (sized.join(scores.select("page_id", "grade"), "page_id", "left")
-            .select("category", "category_size", "page_id", "grade", "shown_title", text_or(U.path(F.col("url")), "/").alias("path"))
-            .orderBy(F.desc("category_size"), "category", "page_id"))
+            .select("site", "category", "category_size", "page_id", "grade", "shown_title", text_or(U.path(F.col("url")), "/").alias("path"))
+            .orderBy("site", F.desc("category_size"), "category", "page_id"))

@@ -387,9 +387,9 @@ def cluster_samples(members: DataFrame, pages: DataFrame, n: int = 3) -> DataFra
     """First pages of every cluster with title, h1, description and the first 5,000 characters of HTML. The html itself is not shuffled."""
     first = top_k(members.select(*CLUSTER, "page_id"), CLUSTER, [F.col("page_id")], n, "position")
     html = F.col("html")
-    shown = pages.select("page_id", "url", H.title(html).alias("title"), H.h1(html).alias("h1"),
-                         H.meta_description(html).alias("description"), F.substring("html", 1, 5000).alias("html_snippet"))
-    return pick_rows(first, shown, "page_id").select(*CLUSTER, "position", "page_id", "url", "title", "h1", "description", "html_snippet")
+    shown = {"url": F.col("url"), "title": H.title(html), "h1": H.h1(html), "description": H.meta_description(html), "html_snippet": F.substring("html", 1, 5000)}
+    return pick_rows(first, pages.select("page_id", "url", "html"), "page_id", shown).select(
+        *CLUSTER, "position", "page_id", "url", "title", "h1", "description", "html_snippet")
 
 
 def naming_samples(samples: DataFrame) -> DataFrame:

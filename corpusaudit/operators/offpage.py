@@ -81,13 +81,13 @@ def matches(concepts: DataFrame, mentions: DataFrame, most: int = 1_000_000) ->
     keys = F.array_distinct(F.concat(*[_grams(F.col(t), n) for n in lengths or [GRAM] for t in ("_t", "_d")]))
     keyed = m.select("brand", "mention_id", F.explode(keys).alias("_key"))
     needed = c.withColumn("_key", F.explode(F.array_distinct(F.when(F.length("_needle") < GRAM, F.array("_needle")).otherwise(_grams(F.col("_needle"), GRAM)))))
-    met = lambda index: pick_rows(index, keyed, ["brand", "_key"], most)
+    met = lambda index: pick_rows(index, keyed, ["brand", "_key"], most=most)
     counts = met(needed.select("brand", "_key").distinct()).groupBy("brand", "_key").agg(F.count("*").alias("_texts"))
     filed = needed.join(counts, ["brand", "_key"], "left").groupBy("brand", "concept", "_needle").agg(
         F.min_by("_key", F.struct("_texts", "_key")).alias("_key"), F.min(F.coalesce("_texts", F.lit(0))).alias("_least")).filter("_least > 0")
     near = met(filed.select("brand", "concept", "_needle", "_key")).select("concept", "_needle", "mention_id")
     hit = F.col("_t").contains(F.col("_needle")) | F.col("_d").contains(F.col("_needle"))
-    return pick_rows(near, m, "mention_id", most).filter(hit).select("brand", "concept", "mention_id")
+    return pick_rows(near, m, "mention_id", most=most).filter(hit).select("brand", "concept", "mention_id")
 
 
 def concept_mentions(concepts: DataFrame, mentions: DataFrame, shown: int = 3) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, text_or, trimmed_or
 from ..functions.urls import site_name
-from ..plans.shapes import latest, top_k
+from ..plans.shapes import last_rows, latest, top_k
 from .pages import light_pages
 from .sitemap import DEFAULT_WORKSPACE
 
@@ -62,32 +63,27 @@ def load_saves(saves: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def overwrite_saves(saves: DataFrame, rows: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Replace saves by rows of the same (save_id, user), the last of several; rows without such a save are rejected."""
+    """Replace saves by rows of the same (save_id, user), the last of several by ``order``; rows without such a save are rejected."""
     on = ["save_id", "_user"]
     old = saves.withColumn("_user", email(F.col("user_email")))
     new = rows.withColumn("_user", email(F.col("user_email"))).withColumn("workspace", workspace(F.col("workspace"))) \
         .withColumn("site_url", F.substring("site_url", 1, 500))
     keys = old.select(*on).distinct()
     accepted, rejects = new.join(keys, on, "left_semi"), new.join(keys, on, "left_anti")
-    accepted = latest(accepted.withColumn("_turn", _turn(order)), on, [F.desc("_turn")])
+    accepted = last_rows(accepted, on, order)
     kept = old.join(accepted.select(*on), on, "left_anti")
     return kept.select(*saves.columns).unionByName(accepted.select(*saves.columns)), rejects.select(*rows.columns)
 
 
-def _turn(order: str | None):
-    """The column that rows are applied by; without one, the order they are read in."""
-    return F.col(order) if order else F.monotonically_increasing_id()
-
-
 def attach_masters(saves: DataFrame, masters: DataFrame, created_at: str, order: str | None = None) -> DataFrame:
     """Write master documents to the newest save of their (user, workspace, site); others become saves of their own.
 
-    ``masters`` holds (save_id, user_email, workspace, site_url, master_json); the last of several rows of a site wins.
+    ``masters`` holds (save_id, user_email, workspace, site_url, master_json); the last of several rows of a site, by ``order``, wins.
     """
     key = ["_user", "_ws", "_site"]
     norm = lambda df: df.withColumn("_user", email(F.col("user_email"))).withColumn("_ws", workspace(F.col("workspace"))) \
         .withColumn("_site", strip(F.coalesce("site_url", F.lit(""))))
-    s, m = norm(saves), latest(norm(masters).withColumn("_turn", _turn(order)), key, [F.desc("_turn")])
+    s, m = norm(saves), last_rows(norm(masters), key, order)
     newest = latest(s, key, [F.desc("created_at"), F.desc("save_id")]).select("save_id", *key)
     target = m.select(*key, strip(F.coalesce("master_json", F.lit(""))).alias("_new")).join(newest, key).select("save_id", "_new")
     updated = s.join(target, "save_id", "left").withColumn("master_json", F.coalesce("_new", "master_json")).select(*saves.columns)
@@ -203,13 +199,14 @@ def replace_access(access: DataFrame, new_rows: DataFrame) -> DataFrame:
     return kept.select("user_email", "workspace_name").unionByName(n.filter("workspace_name <> ''").distinct())
 
 
-def build_payload(facts: DataFrame, groups: DataFrame, models: DataFrame, max_pages: int = 180, max_samples: int = 50) -> dict[str, DataFrame]:
+def build_payload(facts: DataFrame, groups: DataFrame, models: DataFrame, max_pages: int = 180, max_samples: int = 50,
+                  counters: DataFrame | None = None) -> dict[str, DataFrame]:
     """Snapshot of every site as three tables: ``sites`` with the first light pages and all counts, ``groups``
     with light samples per url group, and ``models`` per cluster.
 
     ``groups`` holds (site, group, page_id), ``models`` (site, cluster_id, model_name, schema_type,
-    page_count, delta, validated). Lists are cut to their size before they are gathered; groups and
-    models, of which a site may have any number, stay rows.
+    page_count, delta, validated), ``counters`` (site and any figures of the crawl, such as link counters and files found). Lists are cut to their
+    size before they are gathered; groups and models, of which a site may have any number, stay rows.
     """
     light = light_pages(facts)
     page = F.to_json(F.struct(*[c for c in light.columns if c not in ("page_id", "site")]))
@@ -231,11 +228,13 @@ def build_payload(facts: DataFrame, groups: DataFrame, models: DataFrame, max_pa
     sites = crawl.join(n_groups, "site", "left").join(n_models, "site", "left").select(
         "site", site_name(F.col("site")).alias("nom_site"), "crawl_pages", F.size("crawl_pages").cast("long").alias("crawl_pages_count"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("geo_clusters_count", "jsonld_models_count")])
+    if counters is not None:
+        sites = sites.join(counters, "site", "left")
     return {"sites": sites, "groups": grouped, "models": named}
 
 
 def append_save(saves: DataFrame, payload: DataFrame, user: str, ws: str, created_at: str) -> DataFrame:
-    """Add a new version per site of a payload's ``sites`` to the snapshot table."""
+    """Add a new version per site of a payload's ``sites`` to the list of saves, which holds counts; ``append_snapshot`` stores the contents."""
     version = F.concat(F.lit(created_at.replace("-", "").replace(" ", "").replace(":", "")), F.lit("-"), F.col("site"))
     cells = {
         "save_id": version, "user_email": F.lit((user or "").strip().lower()), "workspace": F.lit((ws or "").strip() or DEFAULT_WORKSPACE),
@@ -246,6 +245,61 @@ def append_save(saves: DataFrame, payload: DataFrame, user: str, ws: str, create
     return saves.unionByName(payload.select(*[cells[c].alias(c) if c in cells else F.lit(None).cast("string").alias(c) for c in saves.columns]))
 
 
+#: Tables of a stored snapshot; ``sites`` is written last, so a version that is listed there is whole.
+SNAPSHOT = ["pages", "groups", "models", "sites"]
+
+
+def snapshot_tables(payload: dict[str, DataFrame], user: str, ws: str, created_at: str) -> dict[str, DataFrame]:
+    """A payload as rows of the four snapshot tables, each with the version it belongs to (``save_id``) and its workspace.
+
+    A version is one site, user and time of saving. ``pages`` has a row per saved page with its place and its JSON, ``groups`` and ``models`` all theirs with
+    samples and deltas, ``sites`` counts, counters and who saved what when.
+    """
+    who, space = (user or "").strip().lower(), (ws or "").strip() or DEFAULT_WORKSPACE
+    stamp = created_at.replace("-", "").replace(" ", "").replace(":", "")
+    version = F.concat(F.lit(stamp + "-"), F.col("site"), F.lit("-"), F.substring(F.md5(F.lit(f"{who}\n{space}").cast("binary")), 1, 8))
+    mark = [version.alias("save_id"), F.lit(space).alias("workspace")]
+    sites = payload["sites"]
+    pages = sites.select(*mark, "site", F.posexplode("crawl_pages").alias("position", "page"))
+    site_url = F.substring(F.concat(F.lit("https://"), F.col("site")), 1, 500).alias("site_url")
+    own = lambda df: df.select(*mark, *df.columns)
+    listed = sites.drop("crawl_pages")
+    return {"pages": pages, "groups": own(payload["groups"]), "models": own(payload["models"]),
+            "sites": listed.select(*mark, F.lit(who).alias("user_email"), F.lit(created_at).alias("created_at"), site_url, *listed.columns)}
+
+
+def append_snapshot(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> None:
+    """Add versions to the snapshot tables under ``path`` (Parquet, a folder per workspace). Saving a version again, whole or after a broken run, adds nothing twice.
+
+    Every table takes only versions it doesn't hold yet; a table's own append is one Spark write, and the tables are written one after the other.
+    """
+    for name in SNAPSHOT:
+        rows = tables[name]
+        held = _stored(spark, f"{path}/{name}")
+        if held is not None:
+            known = held.join(rows.select("workspace").distinct(), "workspace", "left_semi").select("save_id").distinct()
+            rows = rows.join(known, "save_id", "left_anti")
+        rows.write.mode("append").partitionBy("workspace").parquet(f"{path}/{name}")
+
+
+def read_snapshot(spark: SparkSession, path: str, ws: str | None = None) -> dict[str, DataFrame]:
+    """The stored tables, of one workspace if given (other folders are not read); versions not listed in ``sites`` are left out."""
+    out = {name: spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(f"{path}/{name}") for name in SNAPSHOT}
+    if ws is not None:
+        out = {name: df.filter(F.col("workspace") == ws) for name, df in out.items()}
+    whole = out["sites"].select("save_id").distinct()
+    return {name: df if name == "sites" else df.join(whole, "save_id", "left_semi") for name, df in out.items()}
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as gone:
+        if gone.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def save_counters(saves: DataFrame) -> DataFrame:
     """Saves, sites and filled parts per workspace."""
     f = save_flags(saves).groupBy("workspace", "site_url").agg(

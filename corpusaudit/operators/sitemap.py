@@ -245,7 +245,7 @@ def upsert_pages(existing: DataFrame, incoming: DataFrame, order: str = "batch")
 
 
 def update_pages(pages: DataFrame, patch: DataFrame, key: str = "page_id", order: str | None = None) -> DataFrame:
-    """Apply a patch table to the editable columns; null means unchanged, and of several patches the last wins."""
+    """Apply a patch table to the editable columns; null means unchanged, and of several patches the last by ``order`` wins."""
     cols = [c for c in EDITABLE if c in patch.columns]
     p = in_turn(patch, [key], cols, order).select(key, *[F.col(c).alias(f"_new_{c}") for c in cols])
     return pages.join(p, key, "left").select(
@@ -289,7 +289,7 @@ def list_projects(projects: DataFrame, workspace: str) -> DataFrame:
 
 
 def update_projects(projects: DataFrame, patch: DataFrame, order: str | None = None) -> DataFrame:
-    """Partial update by project id; null means unchanged, and of several patches the last wins."""
+    """Partial update by project id; null means unchanged, and of several patches the last by ``order`` wins."""
     cols = [c for c in patch.columns if c not in ("project_id", order) and c in projects.columns]
     p = in_turn(patch, ["project_id"], cols, order).select("project_id", *[F.col(c).alias(f"_new_{c}") for c in cols])
     return projects.join(p, "project_id", "left").select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors share. Its maker deletes what is written there."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder, so that lost executors cost no restart."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -50,16 +57,34 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_k(df, keys, order, 1)
 
 
+NO_ORDER = "several different rows of one key: name the column that gives their order"
+
+
 def in_turn(patch: DataFrame, keys: list[str], cols: list[str], order: str | None = None, first: bool = False, skip=None) -> DataFrame:
     """One row per key from patches applied in turn: per column the last value that is not null, or the first.
 
-    ``order`` is the column that gives the turn; without it rows count in the order they are read. ``skip`` marks further values as absent.
+    ``order`` is the column that gives the turn; of equal turns the greater value counts as later. Rows have no order of their own, so without
+    ``order`` a key may not have different patches: the query fails on them. ``skip`` marks further values as absent.
     """
-    turn = F.col(order) if order else F.monotonically_increasing_id()
-    pick = F.min_by if first else F.max_by
     absent = (lambda c: c.isNull()) if skip is None else skip
-    numbered = patch.withColumn("_turn", turn)
-    return numbered.groupBy(*keys).agg(*[pick(F.col(c), F.when(~absent(F.col(c)), F.col("_turn"))).alias(c) for c in cols])
+    if order is None:
+        return _single(patch, keys, cols)
+    pick = F.min_by if first else F.max_by
+    return patch.groupBy(*keys).agg(*[pick(F.col(c), F.when(~absent(F.col(c)), F.struct(order, c))).alias(c) for c in cols])
+
+
+def last_rows(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The last row of every key in the turn that ``order`` gives, by its other values on ties; without ``order`` a key may not have different rows."""
+    if order is None:
+        return _single(rows, keys, [c for c in rows.columns if c not in keys]).select(*rows.columns)
+    return latest(rows, keys, [F.desc(order), F.xxhash64(*rows.columns)])
+
+
+def _single(rows: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    whole = F.struct(*cols)
+    met = rows.groupBy(*keys).agg(F.min(whole).alias("_low"), F.max(whole).alias("_high"))
+    one = F.when(F.col("_low").eqNullSafe(F.col("_high")), F.col("_low")).otherwise(F.raise_error(F.lit(NO_ORDER)).cast(met.schema["_low"].dataType))
+    return met.select(*keys, one.alias("_one")).select(*keys, *[F.col("_one")[c].alias(c) for c in cols])
 
 
 def with_row_number(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
@@ -99,20 +124,29 @@ def number_in_groups(df: DataFrame, keys: list[str], order: list[Column], name:
     return inside.join(F.broadcast(offsets), same, "left").select(*df.columns, (F.col("_n") + F.coalesce("_before", F.lit(0))).cast("long").alias(name))
 
 
-def pick_rows(few: DataFrame, wide: DataFrame, on: str | list[str], most: int = 1_000_000) -> DataFrame:
+def pick_rows(few: DataFrame, wide: DataFrame, on: str | list[str], shown: dict[str, Column] | None = None, most: int = 1_000_000) -> DataFrame:
     """Rows of ``wide`` whose key is in ``few``, joined to it, without shuffling the long columns of ``wide`` for it.
 
     ``few`` is fixed and counted first: up to ``most`` rows (keys and short columns) are broadcast. Beyond, the rows meet in a shuffle, in which Spark's
-    runtime Bloom filter drops the others before they are written; so give ``wide`` with its long columns already reduced to what is needed.
+    runtime Bloom filter drops the others before they are written. ``shown`` are the columns wanted of ``wide``: computed for the picked rows only where
+    those are broadcast to it, and else before the shuffle, so that what they are computed from stays where it is.
     """
-    fixed = checkpoint(few)
-    return wide.join(F.broadcast(fixed) if fixed.count() <= most else fixed, on)
-
-
-def with_group_size(df: DataFrame, key: str, name: str) -> DataFrame:
+    fixed, keys = checkpoint(few), [on] if isinstance(on, str) else on
+    small = fixed.count() <= most
+    side = F.broadcast(fixed) if small else fixed
+    if shown is None:
+        return wide.join(side, on)
+    values = [v.alias(k) for k, v in shown.items()]
+    if not small:
+        return wide.select(*keys, *values).join(side, on)
+    return wide.join(side, on).select(*keys, *[c for c in fixed.columns if c not in keys], *values)
+
+
+def with_group_size(df: DataFrame, keys: str | list[str], name: str) -> DataFrame:
     """Attach the size of each row's group by a pre-aggregated count, never by a window over the group."""
-    sizes = df.groupBy(key).agg(F.count("*").alias(name))
-    return df.join(sizes, key)
+    on = [keys] if isinstance(keys, str) else keys
+    sizes = df.groupBy(*on).agg(F.count("*").alias(name))
+    return df.join(sizes, on)
 
 
 def align(df: DataFrame, schema) -> DataFrame:

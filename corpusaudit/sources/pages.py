@@ -44,6 +44,24 @@ def read_pages_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[cell(f).alias(f.name) for f in SITEMAP_CSV.fields])
 
 
+def parse_pages_csv(lines: DataFrame, most: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Uploaded page lists as (upload, line_no, page columns), and the uploads refused with their missing columns.
+
+    ``lines`` holds (upload, line_no, line), line 0 being the header, of at most ``most`` columns in any order and any case of names. An upload without
+    ``url`` and ``content_type`` is refused whole; other columns may be missing, cells that can't be read are null, rows without url go.
+    """
+    cells = F.from_csv("line", ", ".join(f"c{k} string" for k in range(most)))
+    parsed = lines.select("upload", "line_no", F.array(*[cells[f"c{k}"] for k in range(most)]).alias("cells"))
+    # One header per upload: Spark broadcasts them or not by their size.
+    heads = parsed.filter("line_no = 0").select("upload", F.transform("cells", lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))).alias("names"))
+    missing = F.filter(F.array(*map(F.lit, REQUIRED)), lambda r: ~F.array_contains("names", r))
+    heads = heads.withColumn("missing", missing)
+    at = lambda name: F.get("cells", F.array_position("names", F.lit(name)).cast("int") - 1)
+    rows = parsed.filter("line_no > 0").join(heads.filter(F.size("missing") == 0), "upload")
+    typed = rows.select("upload", "line_no", *[F.nullif(F.trim(at(f.name)), F.lit("")).try_cast(f.dataType).alias(f.name) for f in SITEMAP_CSV.fields])
+    return typed.filter("url IS NOT NULL"), heads.filter(F.size("missing") > 0).select("upload", F.array_join("missing", ", ").alias("missing"))
+
+
 def truncate_html(pages: DataFrame, n: int = 5120) -> DataFrame:
     """Keep the first ``n`` characters of each page and its full size."""
     return pages.withColumn("html_full_size", F.length("html").cast("long")).withColumn("html", F.substring("html", 1, n))

@@ -15,10 +15,10 @@ ENTRY = "loc string, lastmod string"
 DOCUMENT = f"url array<struct<{ENTRY.replace(' string', ':string')}>>, sitemap array<struct<loc:string>>"
 
 
-def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
-    """(loc, lastmod) of every ``url`` element of the files."""
+def read_sitemap(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """(loc, lastmod) of every ``url`` element of the files, after the folder keys asked for."""
     rows = spark.read.format("xml").option("rowTag", "url").schema(ENTRY).load(path)
-    return rows.select(F.trim("loc").alias("loc"), F.trim("lastmod").alias("lastmod")).filter("loc <> ''")
+    return rows.select(*keys, F.trim("loc").alias("loc"), F.trim("lastmod").alias("lastmod")).filter("loc <> ''")
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
@@ -60,6 +60,12 @@ def sitemap_rows(entries: DataFrame, *keys: str) -> DataFrame:
         opt("priority", F.format_string("%.2f", F.col("priority").cast("double"))))
 
 
+def read_index(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """(loc) of every file that the indexes under ``path`` name, after the folder keys asked for."""
+    rows = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path)
+    return rows.select(*keys, F.trim("loc").alias("loc")).filter("loc <> ''")
+
+
 def write_sitemap(entries: DataFrame, path: str) -> None:
     """Write entries as sitemap files of at most 50,000 urls each; every task writes its own files."""
     (sitemap_rows(entries).write.format("xml").mode("overwrite").option("rootTag", f'urlset xmlns="{NAMESPACE}"')

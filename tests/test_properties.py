@@ -166,11 +166,11 @@ def test_picked_rows_are_broadcast_up_to_a_bound(spark):
     for most, kind in ((3, "BroadcastHashJoin"), (2, "SortMergeJoin")):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         try:
-            out = pick_rows(few, wide, "k", most)
+            out = pick_rows(few, wide, "k", {"n": F.length("html")}, most)
             text = out._jdf.queryExecution().executedPlan().toString()
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        assert kind in text and sorted((r.k, r.tag) for r in out.collect()) == [(5, "a"), (7, "b")]
+        assert kind in text and sorted((r.k, r.tag, r.n) for r in out.collect()) == [(5, "a", 100), (7, "b", 100)]
 
 
 def test_components_match_union_find(spark):

@@ -105,6 +105,22 @@ def test_patches_are_applied_in_turn(spark):
     assert [r.master_json for r in saves.attach_masters(old, masters, "2026", order="turn").collect()] == ["2"]
 
 
+def test_patches_of_one_key_need_an_order(spark):
+    from corpusaudit.plans.shapes import in_turn, last_rows
+    cols = "k int, turn int, v string, w string"
+    clash = spark.createDataFrame([(1, 1, "a", None), (1, 2, "b", "x"), (2, 1, "c", None)], cols)
+    for broken in (in_turn(clash, ["k"], ["v", "w"]), last_rows(clash.drop("turn"), ["k"])):
+        with pytest.raises(Exception, match="name the column that gives their order"):
+            broken.collect()
+    twice = clash.filter("turn = 1").unionByName(clash.filter("turn = 1"))
+    assert sorted(map(tuple, in_turn(twice, ["k"], ["v", "w"]).collect())) == [(1, "a", None), (2, "c", None)]
+    assert sorted(map(tuple, last_rows(clash, ["k"], "turn").collect())) == [(1, 2, "b", "x"), (2, 1, "c", None)]
+    # Whatever the partition layout, and on equal turns too.
+    many = spark.range(2000).selectExpr("1 AS k", "cast(id % 500 AS int) AS turn", "cast(id AS string) AS v")
+    got = {in_turn(many.repartition(n, "v"), ["k"], ["v"], "turn").head().v for n in (1, 3, 8)}
+    assert got == {"999"}
+
+
 def test_pages_without_url_stay_in_clusters(spark):
     from corpusaudit.operators import cluster
     html = "<html><body><p>a</p></body></html>"
@@ -129,6 +145,19 @@ def test_registered_scores_move_no_html(spark, sf_dir, name):
     assert "Exchange" not in text[text.index("== Physical Plan"):]
 
 
+@pytest.mark.parametrize("name", ["authority_site_text", "cluster_sample_pages", "crawl_stats"])
+def test_html_is_not_shuffled_for_a_few_rows(spark, sf_dir, name):
+    import re
+
+    from catalog import QUERIES
+    out = QUERIES[name](spark, sf_dir)
+    text = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"Exchange\nInput \[\d+\]: \[([^\]]*)\]", text)
+    assert moved and not [m for m in moved if "html#" in m] and text.count("Scan parquet") + text.count("FileScan") > 0
+    if name == "crawl_stats":
+        assert len(re.findall(r"\(\d+\) Scan parquet", text)) == 1
+
+
 def test_sitemaps_are_written_per_project(spark, tmp_path):
     from corpusaudit.sources import sitemaps
     entries = spark.range(300).selectExpr("id % 3 as project_id", "concat('https://h', id % 3, '.fr/', id) as url", "'2024-01-02' as lastmod", "'daily' as changefreq", "0.5 as priority")
