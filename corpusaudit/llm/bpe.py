@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 from collections.abc import Iterator
 from functools import cached_property
@@ -10,17 +11,21 @@ from itertools import islice
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays
 from .arrays import raw, slices
 
 #: A vocabulary beyond this many bytes of tokens is refused: every task keeps one.
 MAX_VOCABULARY = 64 << 20
-#: Words a worker remembers between slices, and bytes of text that a slice has at most.
-REMEMBERED, SLICE = 350_000, 2 << 20
+#: Bytes of words and ids that a worker remembers between slices, what an entry takes beside them, and bytes of text that a slice has at most.
+REMEMBERED, ENTRY, SLICE = 128 << 20, 180, 2 << 20
+#: Ids that one query decodes.
+DECODED = 1 << 20
 #: Words per recursive query, sum of their squared lengths (the rounds keep so many ids), and the length in
 #: bytes beyond which a single word is contracted by a heap instead.
 PER_QUERY, SQUARES, LONG = 40_000, 20_000_000, 4096
@@ -29,8 +34,6 @@ HARD = regex.compile(r" (?:[\s\x1c-\x1f]|$)").search
 #: The first letter beyond the Latin blocks whose letters all libraries agree on.
 LATIN = "\u0250"
 SIGNS = ".,;:!?"
-#: Ids as characters, to cut and compare runs of them as strings.
-CHARACTER = 0x10000
 
 CONTRACT = """
 WITH RECURSIVE step(round, word, toks) AS (
@@ -45,9 +48,7 @@ WITH RECURSIVE step(round, word, toks) AS (
     GROUP BY word) b ON b.word = s.word)
 SELECT s.word, s.toks FROM step s JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) last ON last.word = s.word AND last.round = s.round"""
 
-DECODE = """
-SELECT word, list(body ORDER BY pos) AS parts
-FROM (SELECT word, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM coded) c JOIN vocabulary USING (id) GROUP BY word"""
+DECODE = "SELECT text, list(body ORDER BY pos) AS parts FROM coded JOIN vocabulary USING (id) GROUP BY text"
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -69,18 +70,16 @@ class Codec:
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.rank = tokens, {t: i for i, t in enumerate(tokens)}
         self.pieces = regex.compile(pattern).findall
+        # The short cuts below rest on the rules of this one pattern; texts are matched whole against any other.
+        self.known = pattern == public_tokenizers.PATTERN
+        self.size = 0
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.joined: dict[str, bytes] = {}
-        self.spelled: dict[str, bytes] = {}
-
-    @cached_property
-    def spaced(self) -> np.ndarray:
-        return np.array([t[:1] == b" " for t in self.tokens])
 
     @cached_property
     def db(self) -> duckdb.DuckDBPyConnection:
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "192MB"})
         pairs = [(a << 32 | b, i) for i, t in enumerate(self.tokens) for k in range(1, len(t))
                  if (a := self.rank.get(t[:k])) is not None and (b := self.rank.get(t[k:])) is not None]
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "id": pa.array([i for _, i in pairs], pa.int32())})
@@ -154,13 +153,26 @@ class Codec:
             spelled[(lead + stem).encode()] = memory, stem
         for piece, ids in self.contract(list(spelled)):
             into, name = spelled[piece]
-            into[name] = ids
+            self.keep(into, name, ids)
         signs = self.joined
         for w, stem in plain.items():
             if len(w) > len(stem):
-                memory[w] = memory[stem] + signs[w[len(stem):]]
+                self.keep(memory, w, memory[stem] + signs[w[len(stem):]])
         for w, ps in split.items():
-            memory[w] = b"".join([self.ids_of(p, memory, lead) for p in ps])
+            self.keep(memory, w, b"".join([self.ids_of(p, memory, lead) for p in ps]))
+
+    def keep(self, memory: dict[str, bytes], name: str, ids: bytes) -> None:
+        memory[name] = ids
+        self.size += len(name) + len(ids) + ENTRY
+
+    def forget(self) -> None:
+        """Drop the older halves of all memories while together they are beyond their bound."""
+        while self.size > REMEMBERED:
+            self.size = 0
+            for memory in (self.first, self.later, self.joined):
+                for k in list(islice(memory, (len(memory) + 1) // 2)):
+                    del memory[k]
+                self.size += sum(len(k) + len(v) + ENTRY for k, v in memory.items())
 
     def ids_of(self, piece: str, memory: dict[str, bytes], lead: str) -> bytes:
         return self.joined[piece] if piece in self.joined else memory[piece.removeprefix(lead)]
@@ -171,8 +183,12 @@ class Codec:
         Where a space stands before a character that is no white space, the pattern always begins a piece, so
         a text falls into words there; a word that begins with white space is joined to the one before.
         """
-        for memory in (self.first, self.later, self.joined):
-            forget(memory)
+        self.forget()
+        if not self.known:
+            cut = list(map(self.pieces, texts))
+            for piece, ids in self.contract([p.encode() for p in {p for ps in cut for p in ps}.difference(self.joined)]):
+                self.keep(self.joined, piece.decode(), ids)
+            return [b"".join([self.joined[p] for p in ps]) for ps in cut]
         cut, found = [], []
         for t in texts:
             ws = t.split(" ")
@@ -194,36 +210,18 @@ class Codec:
         return list(map(b"".join, found))
 
     def decode(self, texts: list[np.ndarray]) -> list[bytes]:
-        """Bytes of every list of ids; ids are cut before tokens that begin with a space, and each distinct run is decoded once."""
-        forget(self.spelled)
-        self.spelled[""] = b""
-        cut, found, fresh = [], [], set()
-        for ids in texts:
-            at = np.flatnonzero(self.spaced[ids])
-            line = np.zeros(len(ids) + len(at), "<u4")
-            line[np.arange(len(ids)) + np.cumsum(self.spaced[ids])] = ids + CHARACTER
-            ws = line.tobytes().decode("utf-32-le").split("\0")
-            bodies_ = list(map(self.spelled.get, ws))
-            if None in bodies_:
-                fresh.update(w for w, b in zip(ws, bodies_) if b is None)
-            cut.append(ws)
-            found.append(bodies_)
-        new = list(fresh)
-        for begin in range(0, len(new), PER_QUERY):
-            part = new[begin:begin + PER_QUERY]
-            ends = np.cumsum([0, *map(len, part)]).astype(np.int32)
-            flat = np.frombuffer("".join(part).encode("utf-32-le"), "<u4").astype(np.int32) - CHARACTER
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            out = self.rows("coded", pa.table({"word": pa.array(range(len(part)), pa.int32()), "ids": ids}), DECODE)
-            self.spelled.update(zip(map(part.__getitem__, out["word"].to_pylist()), spans(out["parts"])))
-        return [b"".join(map(self.spelled.__getitem__, ws) if None in bodies_ else bodies_) for ws, bodies_ in zip(cut, found)]
-
-
-def forget(memory: dict) -> None:
-    """Drop the older half of a memory that has grown beyond its bound."""
-    if len(memory) > REMEMBERED:
-        for k in list(islice(memory, len(memory) // 2)):
-            del memory[k]
+        """Bytes of every list of ids: token-position rows meet the vocabulary, and each text's bytes are gathered in order. Long lists are decoded piece by piece."""
+        out = [b""] * len(texts)
+        ends = np.cumsum([0, *map(len, texts)])
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))
+        line = np.concatenate([*texts, np.zeros(0, np.int32)]).astype(np.int32)
+        for begin in range(0, len(line), DECODED):
+            part = slice(begin, begin + DECODED)
+            rows = pa.table({"text": pa.array(owner[part]), "pos": pa.array(np.arange(len(line[part]), dtype=np.int32)), "id": pa.array(line[part])})
+            got = self.rows("coded", rows, DECODE)
+            for k, body in zip(got["text"].to_pylist(), spans(got["parts"])):
+                out[k] += body
+        return out
 
 
 def bodies(lists: pa.ChunkedArray) -> list[bytes]:
@@ -252,17 +250,26 @@ _CODECS: dict[tuple, Codec] = {}
 def codec(key: tuple, tokens: list[bytes], pattern: str) -> Codec:
     """A worker keeps one codec, so that later tasks of the same process find its words."""
     if key not in _CODECS:
+        # What earlier stages of a reused worker have kept goes first.
         _CODECS.clear()
+        arrays._POWERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _CODECS[key] = Codec(tokens, pattern)
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode whole texts: (key, ids array<int>), as the public library encodes ordinary text.
+def _id_lists(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """Encode whole texts: (key, ids array<int>), as the public library encodes ordinary text; with ``decoded``, also the bytes that the ids spell.
 
     A null or empty text has no ids. Null and repeated keys keep their rows; equal texts get equal ids. Special tokens
     are ordinary text. Other columns play no part. There is no shuffle: a task encodes each distinct word
-    once, by a recursive query over word and merge tables.
+    once, by a recursive query over word and merge tables, and decodes in the same process, so that a core holds one vocabulary and one memory.
     """
     tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
@@ -270,13 +277,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
         coder = codec((ranks_path, pattern), tokens.value, pattern)
         for part in slices(batches, "text", SLICE):
             ids = coder.encode(part.column(1).fill_null("").to_pylist())
-            ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["key", "ids"])
+            more = [pa.array(coder.decode([np.frombuffer(i, np.int32) for i in ids]), pa.binary())] if decoded else []
+            yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(ids), *more], ["key", "ids", "decoded"][:2 + decoded])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("key", key)
 
 
 def decode(coded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -308,4 +314,4 @@ def digest_columns() -> list[Column]:
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every whole text: encoded, and decoded again from the ids."""
-    return decode(encode(docs, ranks_path, pattern, key, text), ranks_path, pattern).select(key, *digest_columns())
+    return encode(docs, ranks_path, pattern, key, text, decoded=True).select(key, *digest_columns())

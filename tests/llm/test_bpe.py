@@ -50,6 +50,23 @@ def test_codec_on_hard_texts(public):
     assert coder.decode(ids) == [t.encode() for t in texts]
 
 
+@pytest.mark.parametrize("pattern", [P.PATTERN, r"\S+|\s+", r"\p{L}{1,3}|[^\p{L}]"])
+def test_small_memories_pieces_and_other_patterns(pattern, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3000)
+    monkeypatch.setattr(bpe, "DECODED", 7)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(7)
+    coder = bpe.Codec(bpe.read_ranks(PATH), pattern)
+    for _ in range(12):
+        texts = [" ".join("".join(rnd.choice("abcdé ,.\n") for _ in range(rnd.randrange(9))) for _ in range(rnd.randrange(20))) for _ in range(20)]
+        ids = [bpe.np.frombuffer(b, bpe.np.int32) for b in coder.encode(texts)]
+        assert [i.tolist() for i in ids] == [own.encode_ordinary(t) for t in texts]
+        assert coder.decode(ids) == [t.encode() for t in texts]
+    coder.forget()
+    assert coder.size <= bpe.REMEMBERED and coder.size == sum(len(k) + len(v) + bpe.ENTRY for m in (coder.first, coder.later, coder.joined) for k, v in m.items())
+
+
 def test_nulls_repeats_clashes_and_empty_tables(spark, public):
     rows = [(1, None, "x"), (1, "a b", "y"), (None, "a b", "z"), (2, "", "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
