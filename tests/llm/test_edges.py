@@ -64,8 +64,10 @@ def brute_groups(rows, size, num, den):
     return {k: (len(sets[k]), top(k)) for k in ids}
 
 
-@pytest.mark.parametrize("size,num,den", [(3, 85, 100), (5, 4, 5)])
-def test_families_of_copies(spark, size, num, den):
+@pytest.mark.parametrize("size,num,den,bounds", [(3, 85, 100, {}), (5, 4, 5, {}), (3, 85, 100, {"CROWD": 4, "CENTRES": 3, "DRAWN": 2}), (5, 4, 5, {"SETS": 300, "CENTRES": 2, "DRAWN": 1, "SLICE": 900})])
+def test_families_of_copies(spark, monkeypatch, size, num, den, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(neardup, name, value)
     rnd = random.Random(size)
     rows, key = [], 0
     for family in range(6):
@@ -81,10 +83,20 @@ def test_families_of_copies(spark, size, num, den):
 
 
 def test_near_duplicates_edges(spark):
-    got = sorted((tuple(r) for r in neardup.near_duplicates(docs_of(spark, ROWS)).collect()), key=repr)
+    got = sorted((tuple(r)[:4] for r in neardup.near_duplicates(docs_of(spark, ROWS)).collect()), key=repr)
     want = [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (4, 1, 4, True), (None, 1, None, True), (5, 1, 5, True), (6, 1, 6, True), (7, 4, 7, True)]
     assert got == sorted(want, key=repr)
     assert neardup.near_duplicates(docs_of(spark, ROWS).limit(0)).count() == 0
+    with pytest.raises(ValueError, match="bins"):
+        neardup.near_duplicates(docs_of(spark, ROWS), similar=(1, 2))
+
+
+def test_rows_of_one_key_are_one_document(spark):
+    rows = [(1, "a a a"), (5, "a a a"), (5, "b b b"), (7, "b b b"), (9, "c"), (8, "c"), (9, "d"), (3, "d")]
+    by_key = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs_of(spark, rows), 3).collect())
+    assert by_key == [(1, 1), (3, 3), (5, 1), (5, 1), (7, 1), (8, 3), (9, 3), (9, 3)]
+    alone = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs_of(spark, rows), 3, by_key=False).collect())
+    assert alone == [(1, 1), (3, 3), (5, 1), (5, 5), (7, 5), (8, 8), (9, 3), (9, 8)]
 
 
 # op 6
