@@ -88,3 +88,21 @@ def test_run_returns_what_the_stages_return(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
     want = sorted((r.doc_id, r.ids_sha256) for r in docs.collect())
     assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
+
+
+def test_stages_keep_odd_rows_and_clashing_names(spark, sf_dir):
+    extra = {"kept": "k", "spans": 1, "n_bytes": 2, "items": "i", "n_words": 3, "_score": 4.0, "text_md5": "m", "id": 5, "n_chars": 6}
+    texts = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (5, "alpha beta gamma delta epsilon zeta eta theta"), (5, "one unlike text of its own with words enough to stand"),
+             (None, "a row without any key at all, with some words in it"), (7, None), (8, ""), (9, "same row"), (9, "same row"), (10, "long " * 30000)]
+    docs = spark.createDataFrame([(k, t, *extra.values()) for k, t in texts], "doc_id long, text string, kept string, spans int, n_bytes int, items string, n_words int, _score double, text_md5 string, id int, n_chars long")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, sf_dir)
+        rows = got.collect()
+        if k < 4:
+            assert got.columns == docs.columns
+            assert all(r[c] == v for r in rows for c, v in extra.items() if c != "n_chars"), name
+        if k == 1:
+            assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted(((i, t) for n, (i, t) in enumerate(texts) if n != 1), key=repr)
+        if k >= 2:
+            assert len(rows) == len(texts)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
