@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,21 @@ import pyarrow as pa
 U64 = np.uint64
 
 
+def released(run: Callable) -> Callable:
+    """A task's function that gives free memory back to the system at its end: workers are used again, and what one stage held would stand beside the next one's."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            # Only the GNU library has it; elsewhere free memory simply stays with the worker.
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+    return whole
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a slice have at most ``limit`` bytes; a longer text is a slice of its own."""
     for batch in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .arrays import mix, raw, slices, word_hashes, words
+from .arrays import mix, raw, released, slices, word_hashes, words
 
 #: Rows of the word-vector table, its width, entries other than 0 of an index vector, and neighbours on each side.
 BUCKETS, WIDTH, ENTRIES, REACH = 1 << 14, 64, 4, 2
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     Rows without key or label don't count; several labels of a key each count. All that comes to the driver has a fixed
     size: the table of word vectors, and the pooled vectors of the rows fitted on.
     """
-    sums = docs.select(F.col(text).alias("text")).mapInArrow(_contexts, "piece int, sums binary").groupBy("piece").applyInArrow(_add, "piece int, sums binary")
+    sums = docs.select(F.col(text).alias("text")).mapInArrow(released(_contexts), "piece int, sums binary").groupBy("piece").applyInArrow(_add, "piece int, sums binary")
     table = np.zeros((64, BUCKETS * WIDTH // 64), np.float32)
     for r in sums.collect():
         table[r.piece] = np.frombuffer(r.sums, np.float32)
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
 
     # Copies of a row are equal and sorted rows don't depend on the order of tasks.
-    got = sorted((r.x, r.y) for r in rows.mapInArrow(pooled, "y double, x binary").collect())[:2 * fit_rows]
+    got = sorted((r.x, r.y) for r in rows.mapInArrow(released(pooled), "y double, x binary").collect())[:2 * fit_rows]
     x = np.array([np.frombuffer(a, np.float32) for a, _ in got], np.float32).reshape(-1, 2 * WIDTH + 2)
     return QualityModel(features, fit(x, np.array([b for _, b in got])))
 
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", to: str = "s
         for part in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([part.column(0).cast(row_type), pa.array(m.network.score(m.features.pool(part.column(1))), pa.float64())], ["row", "score"])
 
-    out = rows.mapInArrow(run, f"row {kind}, score double")
+    out = rows.mapInArrow(released(run), f"row {kind}, score double")
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != to], F.col("score").alias(to))
 
 
