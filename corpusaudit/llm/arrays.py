@@ -12,9 +12,19 @@ import pyarrow as pa
 U64 = np.uint64
 
 
+#: What operators keep in a worker between tasks, each as a function that drops it.
+KEPT: list[Callable[[], None]] = []
+
+
+def drop_kept() -> None:
+    for drop in KEPT:
+        drop()
+
+
 def released(run: Callable) -> Callable:
-    """A task's function that gives free memory back to the system at its end: workers are used again, and what one stage held would stand beside the next one's."""
+    """A task's function that gives free memory back to the system at its end: workers are used again, and what one stage held would stand beside the next one's. What other operators kept there goes first."""
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         try:
             yield from run(batches)
         finally:

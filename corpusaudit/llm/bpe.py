@@ -245,6 +245,7 @@ def spans(lists: pa.ChunkedArray) -> list[bytes]:
 
 
 _CODECS: dict[tuple, Codec] = {}
+arrays.KEPT.append(_CODECS.clear)
 
 
 def codec(key: tuple, tokens: list[bytes], pattern: str) -> Codec:

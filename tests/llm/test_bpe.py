@@ -75,6 +75,12 @@ def test_nulls_repeats_clashes_and_empty_tables(spark, public):
     assert bpe.digests(docs.limit(0), PATH, P.PATTERN).count() == 0
 
 
+def test_tasks_of_other_operators_drop_the_codec():
+    bpe.codec(("a",), bpe.read_ranks(PATH), P.PATTERN)
+    assert bpe._CODECS
+    assert list(bpe.arrays.released(lambda batches: iter(batches))(iter([1, 2]))) == [1, 2] and not bpe._CODECS
+
+
 def test_unknown_ids_fail(spark):
     bad = spark.createDataFrame([([1, 60000],)], "ids array<int>")
     with pytest.raises(Exception, match="outside the vocabulary"):
