@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import mix
+from corpusaudit.plans.shapes import checkpoint
+
+from .arrays import mix, released, slices
 
 #: Code points of a k-mer, tuples of a fingerprint, k-mers of a tuple.
 K, TUPLES, CHOSEN = 6, 32, 2
-#: Bytes of text in a range of documents.
-RANGE = 4 << 20
+#: Bytes of text in a partition of the sort, about; bytes of text handled at once.
+RANGE, SLICE = 256 << 20, 4 << 20
 #: Candidates expected below the threshold that stands in for a full selection.
 EXPECTED = 24
 _SEEDS = mix(np.arange(2 * TUPLES, dtype=np.uint64), 0x0DDB1A5E5BAD5EED)
@@ -64,8 +68,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
+def packed(a: np.ndarray) -> bytes:
+    """A fingerprint's numbers, high byte first."""
+    return a.astype(">u4").tobytes()
+
+
 def hexed(a: np.ndarray) -> str:
-    return a.astype(">u4").tobytes().hex()
+    return packed(a).hex()
 
 
 def edited(text: str, following: str) -> str:
@@ -74,54 +83,77 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - cut] + following[:cut]
 
 
-def _range(table: pa.Table) -> pa.Table:
-    """Fingerprints of a range of documents in descending order; the last row is the document that follows the range."""
-    ids, ties, tails = (np.asarray(table[c]) for c in ("id", "tie", "tail"))
-    texts = table["text"].to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (bool(tails[i]), -int(ids[i]), -int(ties[i])))
-    # Equal rows at a range's top arrive as equal tails; one is enough.
-    order = order[:int((~tails).sum()) + 1]
-    out: dict[str, list] = {c: [] for c in ("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-    prints: dict[int, np.ndarray] = {}
-    for i, j in zip(order[:-1], order[1:]):
-        text, following = texts[i] or "", texts[j] or ""
-        own = prints.pop(i) if i in prints else fingerprint(text)
-        prints[j] = fingerprint(following)
-        changed = edited(text, following)
-        other = fingerprint(changed)
-        for c, v in zip(out, (table["own"][i].as_py(), len(text), hashlib.sha256(changed.encode()).hexdigest(), hexed(own), hexed(other), likeness(own, other), likeness(own, prints[j]))):
-            out[c].append(v)
-    return pa.table({"id": pa.array(out["id"], pa.int64()), "n_chars": pa.array(out["n_chars"], pa.int64()), **{c: pa.array(out[c], pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")},
-                     "near_edited": pa.array(out["near_edited"], pa.float64()), "near_next": pa.array(out["near_next"], pa.float64())})
+def _pair(own: str, own_print: np.ndarray, following: str, next_print: np.ndarray) -> tuple:
+    """What one document and the one that follows it give: length, digest of the edited text, both fingerprints as bytes, and likenesses."""
+    changed = edited(own, following)
+    other = fingerprint(changed)
+    return (len(own), hashlib.sha256(changed.encode()).digest(), packed(own_print), packed(other), likeness(own_print, other), likeness(own_print, next_print))
+
+
+#: Columns of a pair's result, and of a partition's ends.
+PAIR = {"n_chars": pa.int64(), "edited_sha256": pa.binary(), "fingerprint": pa.binary(), "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
+ENDS = {"part": pa.int32(), "head": pa.string(), "tail": pa.string()}
+PAIR_DDL = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+
+
+def _columns(rows: list[tuple], kinds: dict[str, pa.DataType]) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())]
+
+
+def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's documents in order, each with the one after it. Its last row holds the key of the partition's last document, and the partition's first and last texts."""
+    names = ["own", *PAIR, *ENDS]
+    nothing, head, last, last_print, last_key = [None] * len(PAIR), None, None, None, None
+    for batch in batches:
+        for part in slices(iter([batch]), "text", SLICE):
+            texts, keys, rows = part.column(1).to_pylist(), part.column(0), []
+            for text in texts:
+                text = text or ""
+                now = fingerprint(text)
+                if last is None:
+                    head = text
+                else:
+                    rows.append(_pair(last, last_print, text, now))
+                last, last_print = text, now
+            owns = keys.slice(0, len(keys) - 1) if last_key is None else pa.concat_arrays([last_key, keys.slice(0, len(keys) - 1)])
+            last_key = keys.slice(len(keys) - 1)
+            yield pa.RecordBatch.from_arrays([owns, *_columns(rows, PAIR), *_columns([(None,) * len(ENDS)] * len(rows), ENDS)], names)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([last_key, *_columns([nothing], PAIR), *_columns([(TaskContext.get().partitionId(), head, last)], ENDS)], names)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last document of every partition with the first one of the next."""
+    for batch in batches:
+        rows = [_pair(tail, fingerprint(tail), head, fingerprint(head)) for tail, head in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(rows, PAIR)], ["own", *PAIR])
 
 
 def order_min_hash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprint every whole text and its edited text: (key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
-    The next document has the next smaller key; after the smallest comes the largest. A null text is empty. A
-    null key counts as smaller than all; rows of one key are ordered by a hash of their text. A single document follows itself.
+    The next document has the next smaller key, of whatever type that can be ordered; after the smallest comes the largest. A null text is empty. A
+    null key counts as smaller than all; rows of one key are ordered by a hash of their text, and equal rows follow each other. A single document follows itself.
     Other columns play no part.
 
-    Documents are dealt into ranges of keys, one shuffle of the texts. Every range also gets the one document that
-    follows it; those are found from one row per range.
+    Texts are sorted by range, one shuffle of them, and every partition is read once from its first document to its last. Rows of one key
+    are dealt by their hash and equal rows by their place in the input, so they may span any number of partitions. One row per partition
+    tells its first and last text; these rows are joined, so that the last document of each partition meets the first of the next that has any.
     """
     spark = docs.sparkSession
-    least = -(1 << 63)
-    rows = docs.select(F.col(key).cast("long").alias("own"), F.coalesce(F.col(key).cast("long"), F.lit(least)).alias("id"), F.col(text).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(F.col(key).alias("own"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
-    # One split point per range.
-    splits = sorted(set(docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
-    points = F.lit([int(s) for s in splits]) if splits else None
-    part = (F.size(F.filter(points, lambda s: s < F.col("id"))) if splits else F.lit(0)).cast("int")
-    ranged = rows.withColumn("part", part)
-    tops = ranged.groupBy("part").agg(F.max(F.struct("id", "tie")).alias("top")).orderBy("part").collect()
-    after = [(r.top.id, r.top.tie, tops[(k + 1) % len(tops)].part) for k, r in enumerate(tops)]
-    follow = spark.createDataFrame(after or [(0, 0, 0)], "id long, tie long, above int")
-    ranged = ranged.join(F.broadcast(follow), ["id", "tie"], "left")
-    placed = ranged.select("own", "id", "tie", "text", F.explode(F.array_compact(F.array(
-        F.struct("part", F.lit(False).alias("tail")), F.when(F.col("above").isNotNull(), F.struct(F.col("above").alias("part"), F.lit(True).alias("tail")))))).alias("to"))
-    out = placed.select("own", "id", "tie", "text", "to.part", "to.tail").groupBy("part").applyInArrow(
-        _range, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumnRenamed("id", key)
+    order = [F.desc("own"), F.desc("tie"), F.desc("place")]
+    own = f"own {docs.schema[key].dataType.simpleString()}"
+    # The layout of the range sort holds for one evaluation only, so what is made of it is fixed, without the texts.
+    fixed = checkpoint(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("own", "text").mapInArrow(
+        released(_sorted), f"{own}, {PAIR_DDL}, part int, head string, tail string"))
+    ends = fixed.filter("part IS NOT NULL").select("own", "part", "head", "tail")
+    # One row per partition that has documents, without texts.
+    follow = ends.select("part").withColumn("after", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())))
+    heads = ends.select(F.col("part").alias("after"), F.col("head").alias("following"))
+    met = ends.join(follow, "part").join(heads, "after").select("own", "tail", "following").mapInArrow(_ends, f"{own}, {PAIR_DDL}")
+    out = fixed.filter("part IS NULL").select(*met.columns).unionByName(met)
+    digits = lambda c: F.lower(F.hex(c)).alias(c)
+    return out.select(F.col("own").alias(key), "n_chars", digits("edited_sha256"), digits("fingerprint"), digits("edited_fingerprint"), "near_edited", "near_next")
