@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from corpusaudit.plans.shapes import checkpoint
 
@@ -30,7 +31,7 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shard_of(key: Column, shards: int) -> Column:
-    """Shard column of an integer key column, or of ``xxhash64`` of any other key. A null key counts as 0."""
+    """Shard column of an integer key column; of any other key give its ``xxhash64``. A null key counts as 0."""
     def assign(keys: pd.Series) -> pd.Series:
         return pd.Series(jump(keys.to_numpy(np.int64).view(np.uint64), shards).astype(np.int32))
     return F.pandas_udf(assign, "int")(F.coalesce(key.cast("long"), F.lit(0).cast("long")))
@@ -58,13 +59,14 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
     """Place every document: (key, size, text_crc32, law, shard, slot, grown_shard).
 
     ``size`` is the text's UTF-8 bytes plus 1. A null or empty text has size 1 and crc 0; a null key is
-    hashed as 0 and keeps its row. Repeated keys meet in one shard and are numbered by checksum and size; rows equal in
+    hashed as 0 and keeps its row. Integer keys are hashed as they are, keys of any other type by their ``xxhash64``. Repeated keys meet in one shard and are numbered by checksum and size; rows equal in
     those get slots in either order, and their output rows are equal but for the slot. Other columns
     play no part, whatever their names. ``grown_shard`` is the place with one shard more.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
+    hashed = F.col(key) if isinstance(docs.schema[key].dataType, IntegralType) else F.when(F.col(key).isNotNull(), F.xxhash64(key))
     sized = docs.select(
         F.col(key).alias(key), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"),
-        shard_of(F.col(key), shards).alias("shard"), shard_of(F.col(key), shards + 1).alias("grown_shard"))
+        shard_of(hashed, shards).alias("shard"), shard_of(hashed, shards + 1).alias("grown_shard"))
     placed = with_slot(sized, "shard", [key, "text_crc32", "size"], few=True)
     return placed.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -42,6 +42,21 @@ def test_shards_edges(spark):
     assert sharding.shard_documents(docs_of(spark, ROWS).limit(0)).count() == 0
 
 
+def test_shards_of_text_keys(spark):
+    """Keys that are no integers go by their hash; an empty key is a key, a null one is hashed as 0."""
+    rows = [(f"https://site.example/{i}", f"text {i}") for i in range(300)] + [(None, "none"), ("", "empty"), ("7", "a number as text")] + [("twice", "same")] * 2
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sharding.shard_documents(df, 8).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(k) for k, _ in rows)
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()} | {None: 0}
+    for n, of in ((8, "shard"), (9, "grown_shard")):
+        want = sharding.jump(np.array([hashes[r.doc_id] for r in got], np.int64).view(np.uint64), n).tolist()
+        assert [r[of] for r in got] == want
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert {r.shard for r in got} == set(range(8))
+
+
 # op 3
 
 def brute_groups(rows, size, num, den):
