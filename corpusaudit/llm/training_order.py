@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,14 +20,19 @@ from corpusaudit.plans.shapes import ensure_checkpoint_dir
 from . import bpe
 from .arrays import mix, raw, slices
 
-#: Tokens of a sequence, and sequences of a shard.
-LENGTH, PER_SHARD = 2048, 4096
+#: Tokens of a sequence, and sequences of a shard. Shards that one task writes at most.
+LENGTH, PER_SHARD, PER_TASK = 2048, 4096, 32
 #: The id after every document where ids are UTF-8 bytes, in which 255 never occurs. With a vocabulary it is the first id beyond that.
 END = 255
 ROUNDS = 4
 SLICE = 4 << 20
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI and the path in it. Spark's names for S3 are read as pyarrow's."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def feistel(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
     """A keyed permutation of 0 .. size - 1: balanced Feistel rounds on the least even number of bits that holds
     ``size``, walked along its cycle until the value lies below ``size``."""
@@ -87,10 +93,10 @@ def _fragments(starts: dict[tuple[str, int], int], size: int, key: int, kind: st
     return run
 
 
-def _write(folder: str, end: bytes):
+def _write(folder: str, end: bytes, per_shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Records in slot order into one file per shard; a file gets its name when it is whole, so a lost attempt leaves none."""
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = filesystem(folder)
         attempt = TaskContext.get().taskAttemptId()
         shard, sink, out = -1, None, []
 
@@ -103,15 +109,15 @@ def _write(folder: str, end: bytes):
 
         def put(slot: int, seq: int, ids: bytes):
             nonlocal shard, sink
-            if slot // PER_SHARD != shard:
+            if slot // per_shard != shard:
                 if sink is not None:
                     close()
-                shard = slot // PER_SHARD
+                shard = slot // per_shard
                 sink = fs.open_output_stream(f"{name(shard)}.{attempt}")
             n = len(ids) // len(end)
             record = ids + end * (LENGTH - n)
             sink.write(record)
-            out.append((slot, seq, shard, (slot % PER_SHARD) * len(record), n, zlib.crc32(record)))
+            out.append((slot, seq, shard, (slot % per_shard) * len(record), n, zlib.crc32(record)))
 
         def rows() -> pa.RecordBatch:
             got = list(zip(*out)) or [()] * 6
@@ -144,7 +150,7 @@ def _knows_files(docs: DataFrame) -> bool:
 
 
 def materialise(docs: DataFrame, key: int, text: str = "text", folder: str | None = None,
-                ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+                ranks_path: str | None = None, pattern: str | None = None, per_shard: int = PER_SHARD) -> DataFrame:
     """Write the token stream of all documents as shuffled sequences and return one row per sequence:
     (slot, seq, shard, offset, n_ids, crc32).
 
@@ -153,11 +159,12 @@ def materialise(docs: DataFrame, key: int, text: str = "text", folder: str | Non
     The end id is the number of tokens. Without, it is every text's UTF-8 bytes as ids, in the order of the files that ``docs``
     is read from; a table whose rows don't know their file block is written as Parquet first. An end id follows each document. A null or empty text is an end id
     alone; repeated texts stay. The stream is cut into sequences of ``LENGTH`` ids; the last is filled up with end
-    ids. Sequence ``seq`` lies in ``slot`` = permutation(seq): shard ``slot // PER_SHARD``, byte ``offset``. An empty table gives no
+    ids. Sequence ``seq`` lies in ``slot`` = permutation(seq): shard ``slot // per_shard``, byte ``offset``. An empty table gives no
     rows and no files. Other columns play no part.
 
-    One row per file block tells where its part of the stream begins. Shards are ranges of slots; each is written by one task
-    with its rows in order, so one shuffle of the ids is all. ``folder`` is a URI that all executors reach, by
+    One row per file block tells where its part of the stream begins. Every task takes one range of slots, which is up to ``PER_TASK``
+    neighbouring shards, sorts it and writes its shards one after another. The bounds of the ranges are known from the number of sequences,
+    so nothing is sampled and one shuffle of the ids is all. ``folder`` is a URI that all executors reach, by
     default a new folder beside the checkpoints.
     """
     spark = docs.sparkSession
@@ -181,20 +188,22 @@ def materialise(docs: DataFrame, key: int, text: str = "text", folder: str | Non
     ends = np.cumsum([0, *(r.n for r in sizes)]).tolist()
     starts = {(r.file, r.block): b for r, b in zip(sizes, ends)}
     size = -(-ends[-1] // LENGTH)
-    shards = max(1, -(-size // PER_SHARD))
-    fs, root = pafs.FileSystem.from_uri(base)
+    shards = max(1, -(-size // per_shard))
+    neighbours = min(PER_TASK, max(1, shards // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    fs, root = filesystem(base)
     fs.create_dir(f"{root}/shards")
     pieces = rows.mapInArrow(_fragments(starts, size, key, kind, stop), "slot long, seq long, place int, ids binary")
-    dealt = pieces.repartition(shards, F.floor(F.col("slot") / PER_SHARD)).sortWithinPartitions("slot", "place").select("slot", "seq", "ids")
-    return dealt.mapInArrow(_write(f"{base}/shards", np.array(stop, kind).tobytes()), "slot long, seq long, shard int, offset long, n_ids int, crc32 long")
+    ranges = F.expr(f"cast(slot div {per_shard * neighbours} as int)")
+    dealt = pieces.repartitionById(-(-shards // neighbours), ranges).sortWithinPartitions("slot", "place").select("slot", "seq", "ids")
+    return dealt.mapInArrow(_write(f"{base}/shards", np.array(stop, kind).tobytes(), per_shard), "slot long, seq long, shard int, offset long, n_ids int, crc32 long")
 
 
-def read_slots(folder: str, begin: int, end: int, width: int = 1) -> Iterator[bytes]:
+def read_slots(folder: str, begin: int, end: int, width: int = 1, per_shard: int = PER_SHARD) -> Iterator[bytes]:
     """Records of slots begin .. end - 1 with ids of ``width`` bytes, by seeking: reading can go on from any slot."""
-    fs, root = pafs.FileSystem.from_uri(folder)
-    for shard in range(begin // PER_SHARD, -(-end // PER_SHARD)):
+    fs, root = filesystem(folder)
+    for shard in range(begin // per_shard, -(-end // per_shard)):
         with fs.open_input_file(f"{root}/shard-{shard:08d}.bin") as source:
-            first = max(begin - shard * PER_SHARD, 0)
+            first = max(begin - shard * per_shard, 0)
             source.seek(first * LENGTH * width)
-            for _ in range(first, min(end - shard * PER_SHARD, PER_SHARD)):
+            for _ in range(first, min(end - shard * per_shard, per_shard)):
                 yield source.read(LENGTH * width)

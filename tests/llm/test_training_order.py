@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
 from corpusaudit.llm import bpe
 from corpusaudit.llm import training_order as T
@@ -41,6 +42,41 @@ def test_shards_hold_the_stream(spark, sf_dir):
     assert list(T.read_slots(f"{folder}/shards", 5, 9)) == records[5:9]
 
 
+def test_every_task_writes_one_range_of_neighbouring_shards(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = "file://" + tempfile.mkdtemp(prefix="order-")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        rows = T.materialise(docs, 7, folder=folder, per_shard=4).select("slot", "seq", "shard", "offset", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    body = stream(spark, f"{sf_dir}/documents.parquet")
+    n = -(-len(body) // T.LENGTH)
+    shards = -(-n // 4)
+    assert shards > 6 and sorted(r.slot for r in rows) == list(range(n))
+    of = {}
+    for r in rows:
+        assert r.shard == r.slot // 4 and r.offset == r.slot % 4 * T.LENGTH
+        of.setdefault(r.task, set()).add(r.shard)
+    each = shards // 3 if shards // 3 < T.PER_TASK else T.PER_TASK
+    assert of == {k: set(range(k * each, min((k + 1) * each, shards))) for k in range(-(-shards // each))}
+    records = list(T.read_slots(f"{folder}/shards", 0, n, per_shard=4))
+    slots = T.feistel(np.arange(n), n, 7).tolist()
+    assert b"".join(records[s] for s in slots) == body.ljust(n * T.LENGTH, bytes([T.END]))
+
+
+def test_uris_of_object_stores():
+    seen = []
+    real, T.pafs = T.pafs, type("fs", (), {"FileSystem": type("F", (), {"from_uri": staticmethod(seen.append)})})
+    try:
+        for uri in ("s3a://b/x", "s3n://b/x", "hdfs://h/x", "file:///x/s3a://"):
+            T.filesystem(uri)
+    finally:
+        T.pafs = real
+    assert seen == ["s3://b/x", "s3://b/x", "hdfs://h/x", "file:///x/s3a://"]
+
+
 def test_query_is_whole_and_repeats(spark, sf_dir):
     a, b = (sorted(map(tuple, QUERIES["op2_training_order"](spark, sf_dir).collect())) for _ in range(2))
     assert a == b and sum(r[4] for r in a) == len(stream(spark, f"{sf_dir}/documents.parquet"))
