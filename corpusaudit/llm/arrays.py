@@ -21,6 +21,16 @@ def drop_kept() -> None:
         drop()
 
 
+def give_back() -> None:
+    """Give this process's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # Only the GNU library has it; elsewhere free memory simply stays with the worker.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def released(run: Callable) -> Callable:
     """A task's function that gives free memory back to the system at its end: workers are used again, and what one stage held would stand beside the next one's. What other operators kept there goes first."""
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,15 +38,26 @@ def released(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            # Only the GNU library has it; elsewhere free memory simply stays with the worker.
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
     return whole
 
 
+def freed(run: Callable) -> Callable:
+    """The same for a function of a group, or of two groups that meet: free memory goes back after each."""
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+    return two if run.__code__.co_argcount == 2 else one
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a slice have at most ``limit`` bytes; a longer text is a slice of its own."""
     for batch in batches:

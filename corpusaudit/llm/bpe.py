@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import gc
 import heapq
 from collections.abc import Iterator
 from functools import cached_property
@@ -254,8 +253,7 @@ def codec(key: tuple, tokens: list[bytes], pattern: str) -> Codec:
         # What earlier stages of a reused worker have kept goes first.
         _CODECS.clear()
         arrays._POWERS.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        arrays.give_back()
         _CODECS[key] = Codec(tokens, pattern)
     return _CODECS[key]
 
