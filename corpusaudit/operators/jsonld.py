@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import variants as V
 from ..functions.numbers import round_to
-from ..functions.text import contains_any, falsy, strip
+from ..functions.text import contains_any, falsy, let, strip
+from ..plans.shapes import dealt
 
 BLOCK = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?[^"'>]*ld\+json[^>]*>(.*?)</script"""
 EXACT_BLOCK = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json[^>]*>(.*?)</script"""
@@ -243,16 +244,18 @@ def jsonld_diff(docs: DataFrame, key: str = "doc_id", original: str = "original"
     """Field-level differences as (doc_id, path, status, original_value, optimized_value, ordinal).
 
     Both sides are walked together inside the row, from one array of unequal containers to the next. ``ordinal``
-    gives the depth-first position of a field.
+    gives the depth-first position of a field. Documents are dealt by their key first, so that sums per document need no further shuffle.
     """
     o, n = V.parse(F.col(original)), V.parse(F.col(optimized))
     root = F.struct(F.lit("").alias("path"), F.array().cast("array<int>").alias("ordinal"), o.alias("o"), n.alias("n"))
     start = F.when(V.is_truthy(n), F.array(root))
 
     def compare(pair: Column) -> Column:
-        po, pn, prefix = V.as_object(pair["o"]), V.as_object(pair["n"]), pair["path"]
-        lo, ln = V.as_list(pair["o"]), V.as_list(pair["n"])
-        no_keys = F.array().cast("array<string>")
+        sides = F.struct(V.as_object(pair["o"]).alias("po"), V.as_object(pair["n"]).alias("pn"), V.as_list(pair["o"]).alias("lo"), V.as_list(pair["n"]).alias("ln"))
+        return let(sides, lambda s: fields(pair, s["po"], s["pn"], s["lo"], s["ln"]))
+
+    def fields(pair: Column, po: Column, pn: Column, lo: Column, ln: Column) -> Column:
+        prefix, no_keys = pair["path"], F.array().cast("array<string>")
         keys = F.array_union(F.map_keys(pn), F.coalesce(F.map_keys(po), no_keys))
 
         def named(k: Column, i: Column) -> Column:
@@ -275,7 +278,8 @@ def jsonld_diff(docs: DataFrame, key: str = "doc_id", original: str = "original"
         return F.filter(fields, lambda f: f["o"].isNotNull() & (F.to_json(f["o"]) != F.to_json(f["n"]))
                         & (V.as_object(f["n"]).isNotNull() | V.as_list(f["n"]).isNotNull()))
 
-    df = docs.select(key, F.coalesce(F.flatten(F.transform(start, compare)), F.array().cast(FIELDS)).alias("_open"),
+    spread = dealt(docs.select(key, original, optimized), key)
+    df = spread.select(key, F.coalesce(F.flatten(F.transform(start, compare)), F.array().cast(FIELDS)).alias("_open"),
                      F.greatest(V.depth(F.col(original)), V.depth(F.col(optimized))).alias("_depth"))
 
     def step(s: Column) -> Column:

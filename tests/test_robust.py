@@ -193,3 +193,14 @@ def test_cluster_queries_compare_pages_of_all_hosts(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     for name in ("cluster_similar_pairs", "cluster_models"):
         assert differences(spark, con, QUERIES[name], ORACLE[name], str(tmp_path)) == [], name
+
+
+def test_diff_is_dealt_over_tasks(spark):
+    from corpusaudit.plans.shapes import dealt
+    docs = spark.createDataFrame([(i, '{"a":1,"b":[1]}', '{"a":2,"c":{"d":1}}') for i in range(40)], "doc_id long, original string, optimized string").coalesce(1)
+    diff = J.jsonld_diff(docs)
+    assert diff.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert dealt(docs, "doc_id", 2).rdd.getNumPartitions() == 21
+    plan = J.diff_summary(diff)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {tuple(r)[1:] for r in J.diff_summary(diff).collect()} == {(1, 1, 0, 1, 3)}
