@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ SOURCES = [
 MODES = {"fast": (6, 2), "balanced": (8, 3), "safe": (10, 3)}
 
 GRAM = 3
+MOST_PARTS = 16
 
 
 def source_table(spark: SparkSession) -> DataFrame:
@@ -71,8 +74,9 @@ def matches(concepts: DataFrame, mentions: DataFrame, most: int = 1_000_000) ->
 
     A text that contains a concept contains all grams of ``GRAM`` letters of it. One aggregate counts in how many texts of a brand each gram of a concept stands;
     a concept is then filed under its rarest gram, so a frequent beginning costs nothing, and one with a gram that stands nowhere is not searched. Only the grams
-    of texts that are in this index leave their task: it is broadcast up to ``most`` rows and joined beyond. The exact test runs on the texts
-    that share a rarest gram with a concept.
+    of texts that are in this index are counted: it is broadcast up to ``most`` rows and joined beyond. The exact test runs on the texts
+    that share a rarest gram with a concept, in the task that reads them, in a pass for every ``most`` concepts up to ``MOST_PARTS``; beyond, the
+    candidates are joined.
     """
     c = checkpoint(concepts.select("brand", "concept", F.lower("concept").alias("_needle")).filter("_needle <> ''").distinct())
     m = mentions.select("brand", "mention_id", F.lower(F.coalesce("title", F.lit(""))).alias("_t"), F.lower(F.coalesce("descr", F.lit(""))).alias("_d"))
@@ -83,11 +87,21 @@ def matches(concepts: DataFrame, mentions: DataFrame, most: int = 1_000_000) ->
     needed = c.withColumn("_key", F.explode(F.array_distinct(F.when(F.length("_needle") < GRAM, F.array("_needle")).otherwise(_grams(F.col("_needle"), GRAM)))))
     met = lambda index: pick_rows(index, keyed, ["brand", "_key"], most=most)
     counts = met(needed.select("brand", "_key").distinct()).groupBy("brand", "_key").agg(F.count("*").alias("_texts"))
-    filed = needed.join(counts, ["brand", "_key"], "left").groupBy("brand", "concept", "_needle").agg(
-        F.min_by("_key", F.struct("_texts", "_key")).alias("_key"), F.min(F.coalesce("_texts", F.lit(0))).alias("_least")).filter("_least > 0")
-    near = met(filed.select("brand", "concept", "_needle", "_key")).select("concept", "_needle", "mention_id")
+    filed = checkpoint(needed.join(counts, ["brand", "_key"], "left").groupBy("brand", "concept", "_needle").agg(
+        F.min_by("_key", F.struct("_texts", "_key")).alias("_key"), F.min(F.coalesce("_texts", F.lit(0))).alias("_least")).filter("_least > 0").drop("_least"))
     hit = F.col("_t").contains(F.col("_needle")) | F.col("_d").contains(F.col("_needle"))
-    return pick_rows(near, m, "mention_id", most=most).filter(hit).select("brand", "concept", "mention_id")
+    parts = -(-filed.count() // max(most, 1))
+    if parts > min(most, MOST_PARTS):
+        near = met(filed).select("concept", "_needle", "mention_id")
+        return pick_rows(near, m, "mention_id", most=most).filter(hit).select("brand", "concept", "mention_id")
+    # Texts are tested where they are read: candidates, of which a concept has a share of all texts, are never written.
+    texts = m.filter("mention_id IS NOT NULL").withColumn("_key", F.explode(keys))
+    part = lambda i: filed if parts <= 1 else filed.filter(F.pmod(F.xxhash64("concept"), F.lit(parts)) == i)
+    found = [texts.join(F.broadcast(part(i)), ["brand", "_key"]).filter(hit).select("brand", "concept", "mention_id") for i in range(max(parts, 1))]
+    # An id that several mentions have counts once for each pair of them.
+    again = checkpoint(m.groupBy("mention_id").agg(F.count("*").cast("int").alias("_n")).filter("_n > 1"))
+    out = reduce(DataFrame.unionByName, found).join(F.broadcast(again) if again.count() <= most else again, "mention_id", "left")
+    return out.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.coalesce("_n", F.lit(1))))).select("brand", "concept", "mention_id")
 
 
 def concept_mentions(concepts: DataFrame, mentions: DataFrame, shown: int = 3) -> DataFrame:

@@ -220,3 +220,24 @@ def test_stored_snapshots_parse_pages_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(saves, "append_snapshot", first)
     with pytest.raises(Seen):
         QUERIES["snapshot_stored"](spark, sf_dir)
+
+
+def test_concept_candidates_are_not_written(spark, monkeypatch):
+    from corpusaudit.operators import offpage
+    from corpusaudit.plans import shapes
+    fixed, keep = [], shapes.checkpoint
+
+    def noted(df):
+        out = keep(df)
+        fixed.append(out.count() if "mention_id" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(shapes, "checkpoint", noted)
+    monkeypatch.setattr(offpage, "checkpoint", noted)
+    # All texts share every gram of the concept, one holds it.
+    rows = [(i, "b", "abcd cdef", None) for i in range(50)] + [(50, "b", "x ABCDEF", ""), (51, "b", "abcdef", "abcdef"), (51, "b", "abcdef", None), (None, "b", "abcdef", None)]
+    m = spark.createDataFrame(rows, "mention_id long, brand string, title string, descr string")
+    con = spark.createDataFrame([("b", "ABCDEF"), ("b", "Cdef"), ("b", "zz")], "brand string, concept string")
+    got = sorted((r.concept, r.mention_id) for r in offpage.matches(con.filter("concept <> 'Cdef'"), m).collect())
+    assert got == [("ABCDEF", 50)] + [("ABCDEF", 51)] * 4 and max(fixed) <= 1
+    assert sorted(r.mention_id for r in offpage.matches(con, m, 1).filter("concept = 'ABCDEF'").collect()) == [50] + [51] * 4
