@@ -260,6 +260,7 @@ def test_clusters_over_all_hosts_keep_every_host(spark, tmp_path):
     assert run("cluster_components") == [(step * i, a if i < 7 else b, step) for i in range(1, 9)]
     assert run("cluster_numbers") == [(a, 1, step, 8, 6), (b, 1, step, 8, 2)]
     assert [r[:2] for r in run("cluster_patterns")] == [(a, 1), (b, 1)]
+    assert [r[:3] for r in run("cluster_sample_pages")] == [(a, 1, i) for i in range(1, 6)] + [(b, 1, i) for i in (1, 2)]
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     for name in ("cluster_components", "cluster_numbers", "cluster_patterns", "cluster_sample_pages"):
