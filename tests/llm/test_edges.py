@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -214,3 +215,26 @@ def test_positions_of_many_groups_are_not_broadcast(spark):
     for c in {c for c, _ in rows}:
         want |= {(c, t): i for i, t in enumerate(sorted(t for g, t in rows if g == c))}
     assert got == want and len(got) == len(rows)
+
+
+def test_near_duplicates_compare_the_same_classes_once_a_round(spark, tmp_path, monkeypatch):
+    # Two texts that share buckets in many bands without being similar enough: each round compares them at most once.
+    words = [f"w{i}" for i in range(400)]
+    other = [f"x{i}" if i % 40 == 7 else w for i, w in enumerate(words)]
+    rounds, real, merged = [], neardup._confirm, neardup._merged
+
+    def counted(*args):
+        run = real(*args)
+
+        def whole(batches):
+            held = list(batches)
+            (tmp_path / uuid.uuid4().hex).write_text(str(sum(b.num_rows for b in held)))
+            yield from run(iter(held))
+        return whole
+
+    monkeypatch.setattr(neardup, "_confirm", counted)
+    monkeypatch.setattr(neardup, "_merged", lambda labels, links: rounds.append(1) or merged(labels, links))
+    got = neardup.near_duplicates(docs_of(spark, [(1, " ".join(words)), (2, " ".join(other))]), similar=(4, 5), by_key=False)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 2)]
+    assert 0 < len(rounds) <= 3
+    assert 0 < sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 2 * len(rounds)
