@@ -238,3 +238,21 @@ def test_near_duplicates_compare_the_same_classes_once_a_round(spark, tmp_path,
     assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 2)]
     assert 0 < len(rounds) <= 3
     assert 0 < sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 2 * len(rounds)
+
+
+def test_only_texts_of_candidates_move(spark, monkeypatch):
+    base = spark.range(200_000, numPartitions=3).select((F.monotonically_increasing_id()).alias("row"), F.col("id").cast("string").cast("binary").alias("body"))
+    rows = base.select("row").filter("row % 7 = 0 or row in (0, 1, 32767, 32768, 32769)").withColumnRenamed("row", "class")
+    members = rows.union(rows)
+    expected = sorted(map(tuple, base.join(rows, base["row"] == rows["class"]).select("class", "body").collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = neardup._bodies(base, members)
+        assert sorted(map(tuple, found.collect())) == expected and len(expected) > 28_000
+        assert "hashpartitioning" not in spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+        assert neardup._bodies(base, members.limit(0)).count() == 0
+        monkeypatch.setattr(neardup, "CHUNKS", 1)
+        assert sorted(map(tuple, neardup._bodies(base, members).collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
