@@ -136,29 +136,41 @@ class Codec:
                     heapq.heappush(heap, (r, k, part[k] + part[nxt[k]]))
         return np.array([self.rank[p] for p in part if p], np.int32).tobytes()
 
-    def learn(self, memory: dict[str, bytes], found: set[str], lead: str) -> None:
-        """Encode new words. A word's pieces are those of the pattern; Latin letters with signs after them need no match."""
-        split, plain = {}, {}
-        for w in found:
-            stem = w.rstrip(SIGNS)
-            if not stem.isalpha() or not (stem.isascii() or max(stem) < LATIN):
-                split[w] = self.pieces(lead + w)
-            else:
-                plain[w] = stem
-        pieces = {p for ps in split.values() for p in ps}
-        pieces.update(w[len(stem):] for w, stem in plain.items() if len(w) > len(stem))
-        spelled = {p.encode(): (self.joined, p) for p in pieces.difference(self.joined)}
-        for stem in set(plain.values()).difference(memory):
-            spelled[(lead + stem).encode()] = memory, stem
-        for piece, ids in self.contract(list(spelled)):
-            into, name = spelled[piece]
-            self.keep(into, name, ids)
-        signs = self.joined
-        for w, stem in plain.items():
+    def learn(self, new: list[tuple[dict[str, bytes], set[str], str]]) -> None:
+        """Encode new words of each memory, all in one query. A word's pieces are those of the pattern; Latin letters with signs after them need no match."""
+        joined, pieces, split, plain = self.joined, set(), [], []
+        for memory, found, lead in new:
+            for w in found:
+                stem = w.rstrip(SIGNS)
+                if stem.isalpha() and (stem.isascii() or max(stem) < LATIN):
+                    plain.append((memory, w, stem, lead + stem))
+                    if stem not in memory:
+                        pieces.add(lead + stem)
+                    if len(w) > len(stem):
+                        pieces.add(w[len(stem):])
+                else:
+                    ps = self.pieces(lead + w)
+                    split.append((memory, w, ps))
+                    pieces.update(ps)
+        fresh = [p for p in pieces if p not in joined]
+        spelled = dict(zip(map(str.encode, fresh), fresh))
+        got = {spelled[piece]: ids for piece, ids in self.contract(list(spelled))}
+        ids_of = lambda p: joined[p] if p in joined else got[p]
+        for memory, w, stem, piece in plain:
+            ids = memory.get(stem)
+            if ids is None:
+                ids = ids_of(piece)
+                self.keep(memory, stem, ids)
             if len(w) > len(stem):
-                self.keep(memory, w, memory[stem] + signs[w[len(stem):]])
-        for w, ps in split.items():
-            self.keep(memory, w, b"".join([self.ids_of(p, memory, lead) for p in ps]))
+                sign = w[len(stem):]
+                if sign not in joined:
+                    self.keep(joined, sign, got[sign])
+                self.keep(memory, w, ids + joined[sign])
+        for memory, w, ps in split:
+            for p in ps:
+                if p not in joined:
+                    self.keep(joined, p, got[p])
+            self.keep(memory, w, b"".join([joined[p] for p in ps]))
 
     def keep(self, memory: dict[str, bytes], name: str, ids: bytes) -> None:
         memory[name] = ids
@@ -173,9 +185,6 @@ class Codec:
                     del memory[k]
                 self.size += sum(len(k) + len(v) + ENTRY for k, v in memory.items())
 
-    def ids_of(self, piece: str, memory: dict[str, bytes], lead: str) -> bytes:
-        return self.joined[piece] if piece in self.joined else memory[piece.removeprefix(lead)]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as int32 bytes.
 
@@ -188,7 +197,8 @@ class Codec:
             for piece, ids in self.contract([p.encode() for p in {p for ps in cut for p in ps}.difference(self.joined)]):
                 self.keep(self.joined, piece.decode(), ids)
             return [b"".join([self.joined[p] for p in ps]) for ps in cut]
-        cut, found = [], []
+        first, later = self.first, self.later
+        cut, heads, words = [], set(), set()
         for t in texts:
             ws = t.split(" ")
             if HARD(t):
@@ -199,14 +209,20 @@ class Codec:
                     else:
                         joined.append(w)
                 ws = joined
-            cut.append(ws)
-            found.append([self.first.get(ws[0]), *map(self.later.get, ws[1:])])
-        self.learn(self.first, {ws[0] for ws, ids in zip(cut, found) if ids[0] is None}, "")
-        self.learn(self.later, {w for ws, ids in zip(cut, found) if None in ids for w, i in zip(ws[1:], ids[1:]) if i is None}, " ")
-        for ws, ids in zip(cut, found):
-            if None in ids:
-                ids[:] = [self.first[ws[0]], *map(self.later.__getitem__, ws[1:])]
-        return list(map(b"".join, found))
+            ids = list(map(later.get, ws))
+            ids[0] = first.get(ws[0])
+            gaps = [k for k, i in enumerate(ids) if i is None] if None in ids else []
+            if gaps:
+                words.update([ws[k] for k in gaps if k])
+                if not gaps[0]:
+                    heads.add(ws[0])
+            # Only the words that are looked up again are held until all are known.
+            cut.append((ids, gaps, [ws[k] for k in gaps]))
+        self.learn([(first, heads, ""), (later, words, " ")])
+        for ids, gaps, ws in cut:
+            for k, w in zip(gaps, ws):
+                ids[k] = later[w] if k else first[w]
+        return [b"".join(ids) for ids, _, _ in cut]
 
     def decode(self, texts: list[np.ndarray]) -> list[bytes]:
         """Bytes of every list of ids: token-position rows meet the vocabulary, and each text's bytes are gathered in order. Long lists are decoded piece by piece."""

@@ -85,3 +85,23 @@ def test_unknown_ids_fail(spark):
     bad = spark.createDataFrame([([1, 60000],)], "ids array<int>")
     with pytest.raises(Exception, match="outside the vocabulary"):
         bpe.decode(bad, PATH, P.PATTERN).collect()
+
+
+def test_one_query_for_the_new_words_of_a_slice(public, monkeypatch):
+    coder = bpe.Codec(bpe.read_ranks(PATH), P.PATTERN)
+    calls, looked = [], []
+    contract = coder.contract
+    monkeypatch.setattr(coder, "contract", lambda words: calls.append(sorted(words)) or contract(words))
+
+    class Memory(dict):
+        def get(self, key, default=None):
+            looked.append(key)
+            return super().get(key, default)
+
+    coder.later = Memory()
+    texts = ["qzxa qzxb qzxb, x-qzxa qzxb.", "qzxa-qzxb qzxa", "", "qzxa"]
+    ids = [bpe.np.frombuffer(b, bpe.np.int32).tolist() for b in coder.encode(texts)]
+    assert ids == [public.encode_ordinary(t) for t in texts]
+    assert len(calls) == 1 and len(calls[0]) == len(set(calls[0]))
+    coder.encode(texts)
+    assert calls[1:] in ([], [[]])
