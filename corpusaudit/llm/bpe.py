@@ -22,7 +22,7 @@ from .arrays import raw, slices
 #: A vocabulary beyond this many bytes of tokens is refused: every task keeps one.
 MAX_VOCABULARY = 64 << 20
 #: Bytes of words and ids that a worker remembers between slices, what an entry takes beside them, and bytes of text that a slice has at most.
-REMEMBERED, ENTRY, SLICE = 128 << 20, 180, 2 << 20
+REMEMBERED, ENTRY, SLICE = 96 << 20, 180, 1 << 20
 #: Ids that one query decodes.
 DECODED = 1 << 20
 #: Words per recursive query, sum of their squared lengths (the rounds keep so many ids), and the length in
@@ -291,6 +291,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec((ranks_path, pattern), tokens.value, pattern)
         for part in slices(batches, "text", SLICE):
+            # The queries of a slice leave more free memory behind than a worker's words take.
+            arrays.trim()
             ids = coder.encode(part.column(1).fill_null("").to_pylist())
             more = [pa.array(coder.decode([np.frombuffer(i, np.int32) for i in ids]), pa.binary())] if decoded else []
             yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(ids), *more], ["key", "ids", "decoded"][:2 + decoded])

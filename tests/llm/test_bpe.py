@@ -105,3 +105,31 @@ def test_one_query_for_the_new_words_of_a_slice(public, monkeypatch):
     assert len(calls) == 1 and len(calls[0]) == len(set(calls[0]))
     coder.encode(texts)
     assert calls[1:] in ([], [[]])
+
+
+def test_memory_goes_back_after_every_slice(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(bpe.arrays, "trim", lambda: given.append(1))
+    monkeypatch.setattr(bpe, "SLICE", 4)
+    tokens = bpe.read_ranks(PATH)
+    table = bpe.pa.record_batch({"key": [1, 2, 3], "text": ["abc", "def", None]})
+    kept = {}
+
+    class Rows:
+        sparkSession = spark
+        schema = spark.createDataFrame([(1, "a")], "doc_id long, text string").schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            kept["run"] = run
+            return self
+
+        def withColumnRenamed(self, a, b):
+            return self
+
+    bpe.encode(Rows(), PATH, P.PATTERN)
+    bpe.codec((PATH, P.PATTERN), tokens, P.PATTERN)
+    given.clear()
+    assert sum(b.num_rows for b in kept["run"](iter([table]))) == 3 and len(given) == 2
