@@ -115,6 +115,56 @@ def test_rows_of_one_key_are_one_document(spark):
     assert alone == [(1, 1), (3, 3), (5, 1), (5, 5), (7, 5), (8, 8), (9, 3), (9, 8)]
 
 
+def unlinked(n, words=120, other=7):
+    """Texts that share most of their words, but too few for a link."""
+    rnd = random.Random(n)
+    base = [f"w{rnd.randrange(4000)}" for _ in range(words)]
+    rows = []
+    for k in range(n):
+        begin = rnd.randrange(words - other)
+        rows.append((k + 1, " ".join(base[:begin] + [f"v{k}x{i}" for i in range(other)] + base[begin + other:])))
+    return rows
+
+
+def test_a_pair_is_confirmed_once(spark, monkeypatch, tmp_path):
+    """However many buckets of however many rounds it meets in, and its texts move no more often."""
+    real = neardup._confirm
+
+    def counted(*args):
+        run = real(*args)
+
+        def whole(batches):
+            for batch in batches:
+                (tmp_path / uuid.uuid4().hex).write_text(str(batch.num_rows))
+                yield from run(iter([batch]))
+        return whole
+
+    monkeypatch.setattr(neardup, "_confirm", counted)
+    rows = [r for family in range(4) for r in [(k + 2 * family, t.replace("w", f"f{family}w")) for k, t in unlinked(2)]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs_of(spark, rows), 3, (85, 100)).collect()}
+    assert got == brute_groups(rows, 3, 85, 100) and all(k == c for k, (_, c) in got.items())
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == len(rows)
+
+
+@pytest.mark.parametrize("paired", [0, 2, 5, 256])
+def test_pairs_of_small_buckets(spark, monkeypatch, paired):
+    monkeypatch.setattr(neardup, "PAIRED", paired)
+    rows = unlinked(12) + [(k + 50, t) for k, t in unlinked(9, 120, 3)] + [(k + 80, t) for k, t in unlinked(9, 60, 2)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs_of(spark, rows), 3, (85, 100)).collect()}
+    assert got == brute_groups(rows, 3, 85, 100)
+
+
+def test_crowded_buckets(spark):
+    """Whole buckets that hold several rows, none that holds one, whatever cells they share."""
+    rows = [(b - 5000, c) for b in range(10000) for c in range(1 + (b % 7 == 0) + 3 * (b % 100 == 0))]
+    placed = spark.createDataFrame(rows, "bucket long, class long")
+    many = {b for b, c in rows if c}
+    for most in (1, 300, 1 << 20):
+        got = sorted((r["bucket"], r["class"]) for r in neardup._crowded(placed, most).collect())
+        assert got == sorted((b, c) for b, c in rows if b in many)
+    assert neardup._crowded(placed.limit(0), 0).count() == 0
+
+
 # op 6
 
 def test_fm_index_finds_all_occurrences():
