@@ -22,7 +22,7 @@ from .arrays import raw, slices
 #: A vocabulary beyond this many bytes of tokens is refused: every task keeps one.
 MAX_VOCABULARY = 64 << 20
 #: Bytes of words and ids that a worker remembers between slices, what an entry takes beside them, and bytes of text that a slice has at most.
-REMEMBERED, ENTRY, SLICE = 96 << 20, 180, 1 << 20
+REMEMBERED, ENTRY, SLICE = 96 << 20, 180, 2 << 20
 #: Ids that one query decodes.
 DECODED = 1 << 20
 #: Words per recursive query, sum of their squared lengths (the rounds keep so many ids), and the length in

@@ -6,11 +6,14 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
 from corpusaudit.llm import bpe
+from corpusaudit.llm.arrays import slices
 from corpusaudit.llm.queries import QUERIES
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -133,3 +136,16 @@ def test_memory_goes_back_after_every_slice(spark, monkeypatch):
     bpe.codec((PATH, P.PATTERN), tokens, P.PATTERN)
     given.clear()
     assert sum(b.num_rows for b in kept["run"](iter([table]))) == 3 and len(given) == 2
+
+
+def test_texts_of_two_megabytes_share_a_query(public):
+    """Words that come again within 2 MB of text are new once, and cost one recursive query."""
+    coder, asked = bpe.Codec(bpe.read_ranks(PATH), P.PATTERN), []
+    real = coder.rows
+    coder.rows = lambda view, table, sql: asked.append(view) or real(view, table, sql)
+    line = " ".join(f"zq{i}xv" for i in range(500))
+    text = line * ((19 << 16) // len(line))
+    batch = pa.RecordBatch.from_arrays([pa.array([text, text[: len(text) // 2]])], ["text"])
+    got = [i for part in slices(iter([batch]), "text", bpe.SLICE) for i in coder.encode(part.column(0).to_pylist())]
+    assert asked == ["start"]
+    assert [np.frombuffer(i, np.int32).tolist() for i in got] == [public.encode_ordinary(t) for t in (text, text[: len(text) // 2])]
