@@ -188,7 +188,8 @@ MATCH = f"""{NAMED}, co AS (SELECT * FROM ({CONCEPTS}) WHERE concept <> ''), hit
 def concepts(spark, sf):
     d = table(spark, sf, "documents").select(F.expr(OWNER).alias("brand"), "text")
     long_words = d.select("brand", F.explode(F.regexp_extract_all("text", F.lit(LONG_WORD), F.lit(0))).alias("word")).select("brand", F.expr(UPPER.format("word")).alias("concept"))
-    last = d.select("brand", F.regexp_extract("text", LAST_WORDS, 1).alias("concept"))
+    # LAST_WORDS from the end: tried at the first place only, not at every word of the text.
+    last = d.select("brand", F.reverse(F.regexp_extract(F.reverse("text"), "^[^A-Za-z]*([A-Za-z]+ [A-Za-z]+)", 1)).alias("concept"))
     short = spark.sql("SELECT * FROM VALUES ('brand3', 'A'), ('brand3', 'tz'), ('brand4', 'the ') AS t(brand, concept)")
     return long_words.unionByName(last).unionByName(short).distinct()
 

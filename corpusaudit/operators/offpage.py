@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.shapes import checkpoint, pick_rows, top_k
+from ..plans.shapes import checkpoint, top_k
 
 # Sources in declaration order with label and priority.
 SOURCES = [
@@ -26,7 +26,8 @@ SOURCES = [
 # Sources scanned and mentions kept per source, by mode.
 MODES = {"fast": (6, 2), "balanced": (8, 3), "safe": (10, 3)}
 
-GRAM = 3
+# Letters of a gram, and of the ends of words beside a space, that concepts are filed under; concepts of a brand without a space that are tested on every text; texts of a brand in a piece.
+GRAM, EDGE, FEW, PIECE = 8, 16, 16, 1000
 MOST_PARTS = 16
 
 
@@ -65,52 +66,121 @@ def third_part(url: Column) -> Column:
 
 
 def _grams(text: Column, n: int) -> Column:
-    """All substrings of n characters, overlapping; none of a shorter text. One scan of the text: its characters have no index."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    """All runs of n characters without a space, overlapping; none of a shorter text. One scan of the text: its characters have no index."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=([^ ]{{{n}}}))."), F.lit(1))
 
 
-def matches(concepts: DataFrame, mentions: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """(brand, concept, mention_id): concepts found, whatever the case, in title or description.
+def _filed(concepts: DataFrame) -> DataFrame:
+    """(cid, brand, concept, _needle, _rest, _key, _next, _long): every concept under one key, of several the one that fewest concepts of its brand share.
 
-    A text that contains a concept contains all grams of ``GRAM`` letters of it. One aggregate counts in how many texts of a brand each gram of a concept stands;
-    a concept is then filed under its rarest gram, so a frequent beginning costs nothing, and one with a gram that stands nowhere is not searched. Only the grams
-    of texts that are in this index are counted: it is broadcast up to ``most`` rows and joined beyond. The exact test runs on the texts
-    that share a rarest gram with a concept, in the task that reads them, in a pass for every ``most`` concepts up to ``MOST_PARTS``; beyond, the
-    candidates are joined.
+    A concept with a space is filed under the ends of the words beside one of its spaces, up to ``EDGE`` letters each; where they are all of it, ``_rest`` is null. One without a space lies
+    inside a word of a text; ``_long`` is its length, ``_next`` is null and its key a gram of up to ``GRAM`` letters, or empty where its brand has few with so short a gram.
     """
-    c = checkpoint(concepts.select("brand", "concept", F.lower("concept").alias("_needle")).filter("_needle <> ''").distinct())
+    c = concepts.select("brand", "concept", F.lower("concept").alias("_needle")).filter("_needle <> ''").distinct().withColumn("cid", F.monotonically_increasing_id())
+    c = checkpoint(c.withColumn("_words", F.split("_needle", " ")))
+    spaced, place = c.filter(F.size("_words") > 1), F.col("_place")
+    spaced = spaced.withColumn("_place", F.explode(F.sequence(F.lit(0), F.size("_words") - 2))).select(
+        "cid", "brand", "concept", "_needle", F.right(F.get("_words", place), F.lit(EDGE)).alias("_key"), F.left(F.get("_words", place + 1), F.lit(EDGE)).alias("_next"), F.lit(None).cast("int").alias("_long"))
+    single = c.filter(F.size("_words") == 1).withColumn("_long", F.length("_needle")).withColumn("_size", F.least("_long", F.lit(GRAM)))
+    several = single.groupBy("brand", "_size").agg((F.count("*") > FEW).alias("_several"))
+    grams = F.when(F.col("_several"), F.array_distinct(F.when(F.col("_long") <= GRAM, F.array("_needle")).otherwise(_grams(F.col("_needle"), GRAM)))).otherwise(F.array(F.lit("")))
+    single = single.join(several, ["brand", "_size"]).select("cid", "brand", "concept", "_needle", F.explode(grams).alias("_key"), F.lit(None).cast("string").alias("_next"), "_long")
+    keyed = spaced.unionByName(single)
+    shared = keyed.groupBy("brand", "_key", "_next").agg(F.countDistinct("cid").alias("_shared"))
+    met = keyed.join(shared, keyed["brand"].eqNullSafe(shared["brand"]) & (keyed["_key"] == shared["_key"]) & keyed["_next"].eqNullSafe(shared["_next"])).select(keyed["*"], "_shared")
+    one = met.groupBy("cid", "brand", "concept", "_needle", "_long").agg(F.min_by(F.struct("_key", "_next"), F.struct("_shared", "_key", "_next")).alias("_at")).select(
+        "cid", "brand", "concept", "_needle", "_at._key", "_at._next", "_long")
+    whole = F.concat_ws(" ", "_key", "_next") == F.col("_needle")
+    return checkpoint(one.withColumn("_rest", F.when(F.col("_next").isNull() | ~whole, F.col("_needle"))))
+
+
+def _texts(filed: DataFrame, mentions: DataFrame, most: int) -> DataFrame:
+    """(brand, _piece, mention_id, _times, _t, _d, _words): texts of brands with concepts, dealt in pieces of a brand of about ``PIECE`` texts, so that matches are counted where they are found."""
     m = mentions.select("brand", "mention_id", F.lower(F.coalesce("title", F.lit(""))).alias("_t"), F.lower(F.coalesce("descr", F.lit(""))).alias("_d"))
+    owners = checkpoint(filed.select("brand").distinct())
+    m = m.join(F.broadcast(owners) if owners.count() <= most else owners, "brand", "left_semi")
+    pieces = (m.groupBy("brand").agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0) // PIECE + 1
+    # An id that several mentions have counts once for each pair of them.
+    again = checkpoint(mentions.groupBy("mention_id").agg(F.count("*").cast("int").alias("_times")).filter("_times > 1"))
+    m = m.filter("mention_id IS NOT NULL").join(F.broadcast(again) if again.count() <= most else again, "mention_id", "left")
+    m = m.withColumn("_times", F.coalesce("_times", F.lit(1))).withColumn("_piece", F.hash("brand", F.pmod(F.xxhash64("mention_id", "_t"), F.lit(pieces))))
+    return m.repartition("_piece")
+
+
+def _met(rows: DataFrame, few: DataFrame, on: list[str], side) -> DataFrame:
+    """``rows`` beside the rows of ``few`` with equal ``on``: joined by one hash, a number, several times as fast as by strings; the strings are compared after it, as no key of the join."""
+    other = few.select(F.xxhash64(*on).alias("_hash"), *[F.col(k).alias(f"_{k}_met") for k in on], *[c for c in few.columns if c not in on])
+    same = reduce(Column.__and__, [F.coalesce(F.col(k) == F.col(f"_{k}_met"), F.lit(False)) for k in on])
+    return rows.withColumn("_hash", F.xxhash64(*on)).join(side(other), "_hash").filter(same).drop("_hash", *[f"_{k}_met" for k in on])
+
+
+def _candidates(filed: DataFrame, texts: DataFrame, sizes: list[int], side) -> list[DataFrame]:
+    """Texts beside the concepts that share a key with them, of concepts with a space and of those without. ``side`` gives a join's small side its hint."""
+    words = F.concat(F.split("_t", " "), F.array(F.lit(None).cast("string")), F.split("_d", " "))
+    split = texts.withColumn("_words", words)
+    spaced = filed.filter("_next IS NOT NULL")
+    firsts = spaced.groupBy("brand", "_key").agg(F.collect_set(F.length("_next")).alias("_ahead"))
+    beside = split.select(*texts.columns, "_words", F.posexplode("_words").alias("_at", "_word")).withColumn("_after", F.get("_words", F.col("_at") + 1)).drop("_words", "_at")
+    ends = beside.filter("_word IS NOT NULL AND _after IS NOT NULL").withColumn("_end", F.explode(F.sequence(F.lit(0), F.least(F.length("_word"), F.lit(EDGE)))))
+    ends = _met(ends.withColumn("_key", F.right("_word", F.col("_end"))).drop("_word", "_end"), firsts, ["brand", "_key"], side)
+    ends = ends.withColumn("_ahead", F.explode("_ahead")).filter(F.col("_ahead") <= F.length("_after")).withColumn("_next", F.left("_after", F.col("_ahead"))).drop("_after", "_ahead")
+    ends = _met(ends, spaced.select("brand", "_key", "_next", "cid", "_rest"), ["brand", "_key", "_next"], side)
+    single = filed.filter("_next IS NULL")
+    # The shortest concept that is filed under grams of a size: shorter words hold none.
+    least = single.groupBy("brand").agg(*[F.min(F.when(F.length("_key") == n, F.col("_long"))).alias(f"_least{n}") for n in sizes], F.lit("").alias("_none"))
+    grams = [F.when(F.col(f"_least{n}").isNotNull(), _grams(F.array_join(F.filter("_words", lambda w: F.length(w) >= F.col(f"_least{n}")), " "), n)).otherwise(F.array().cast("array<string>")) for n in sizes]
+    inside = split.join(side(least), "brand").withColumn("_key", F.explode(F.array_distinct(F.concat(F.array("_none"), *grams)))).select(*texts.columns, "_key")
+    return [ends, _met(inside, single.select("brand", "_key", "cid", "_rest"), ["brand", "_key"], side)]
+
+
+def _found(filed: DataFrame, mentions: DataFrame, most: int) -> list[DataFrame]:
+    """(_piece, cid, mention_id, _times), a row for every concept and text that holds it, without a shuffle of matches; together the tables hold every concept once."""
     # At most GRAM numbers: the lengths of grams in use.
-    lengths = [r[0] for r in c.select(F.least(F.length("_needle"), F.lit(GRAM))).distinct().collect()]
-    keys = F.array_distinct(F.concat(*[_grams(F.col(t), n) for n in lengths or [GRAM] for t in ("_t", "_d")]))
-    keyed = m.select("brand", "mention_id", F.explode(keys).alias("_key"))
-    needed = c.withColumn("_key", F.explode(F.array_distinct(F.when(F.length("_needle") < GRAM, F.array("_needle")).otherwise(_grams(F.col("_needle"), GRAM)))))
-    met = lambda index: pick_rows(index, keyed, ["brand", "_key"], most=most)
-    counts = met(needed.select("brand", "_key").distinct()).groupBy("brand", "_key").agg(F.count("*").alias("_texts"))
-    filed = checkpoint(needed.join(counts, ["brand", "_key"], "left").groupBy("brand", "concept", "_needle").agg(
-        F.min_by("_key", F.struct("_texts", "_key")).alias("_key"), F.min(F.coalesce("_texts", F.lit(0))).alias("_least")).filter("_least > 0").drop("_least"))
-    hit = F.col("_t").contains(F.col("_needle")) | F.col("_d").contains(F.col("_needle"))
+    sizes = [r[0] for r in filed.filter("_next IS NULL AND _key <> ''").select(F.length("_key")).distinct().collect()]
+    texts = _texts(filed, mentions, most)
     parts = -(-filed.count() // max(most, 1))
+    hit = F.col("_rest").isNull() | F.col("_t").contains(F.col("_rest")) | F.col("_d").contains(F.col("_rest"))
+    row = ["_piece", "_row", "mention_id", "_times"]
     if parts > min(most, MOST_PARTS):
-        near = met(filed).select("concept", "_needle", "mention_id")
-        return pick_rows(near, m, "mention_id", most=most).filter(hit).select("brand", "concept", "mention_id")
-    # Texts are tested where they are read: candidates, of which a concept has a share of all texts, are never written.
-    texts = m.filter("mention_id IS NOT NULL").withColumn("_key", F.explode(keys))
-    part = lambda i: filed if parts <= 1 else filed.filter(F.pmod(F.xxhash64("concept"), F.lit(parts)) == i)
-    found = [texts.join(F.broadcast(part(i)), ["brand", "_key"]).filter(hit).select("brand", "concept", "mention_id") for i in range(max(parts, 1))]
-    # An id that several mentions have counts once for each pair of them.
-    again = checkpoint(m.groupBy("mention_id").agg(F.count("*").cast("int").alias("_n")).filter("_n > 1"))
-    out = reduce(DataFrame.unionByName, found).join(F.broadcast(again) if again.count() <= most else again, "mention_id", "left")
-    return out.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.coalesce("_n", F.lit(1))))).select("brand", "concept", "mention_id")
+        # Candidates are joined without their texts, which meet them again for the test.
+        texts = texts.withColumn("_row", F.xxhash64("_t", "_d"))
+        near = [x.select("mention_id", "_row", "cid", "_rest").distinct() for x in _candidates(filed.withColumn("_rest", F.col("_needle")), texts, sizes, lambda x: x)]
+        return [texts.join(x, ["mention_id", "_row"]).filter(hit).select("_piece", "cid", "mention_id", "_times") for x in near]
+    # A row's number is needed in the task that reads it only, to count a concept once in it.
+    texts = texts.withColumn("_row", F.monotonically_increasing_id())
+    part = lambda i: filed if parts <= 1 else filed.filter(F.pmod(F.xxhash64("cid"), F.lit(parts)) == i)
+    near = [x for i in range(max(parts, 1)) for x in _candidates(part(i), texts, sizes, F.broadcast)]
+    return [x.filter(hit).select(*row, "cid").distinct().select("_piece", "cid", "mention_id", "_times") for x in near]
+
+
+def matches(concepts: DataFrame, mentions: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(brand, concept, mention_id): concepts found, whatever the case, in title or description.
+
+    Texts are cut at spaces. A concept with a space stands across the space between two words: the first ends with what the concept has before it, the second begins with what comes after.
+    Ends of words are looked up first, then beginnings of the next word, of lengths that some concept has there; what both are met by is found, without a look at the text. A concept
+    without a space lies inside a word at least as long, and only grams of those are looked up. Concepts are broadcast up to ``most`` rows, in a pass for every
+    ``most`` concepts up to ``MOST_PARTS``, and joined beyond.
+    """
+    filed = _filed(concepts)
+    out = reduce(DataFrame.unionByName, _found(filed, mentions, most)).withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
+    return out.select("cid", "mention_id").join(filed.select("cid", "brand", "concept"), "cid").select("brand", "concept", "mention_id")
+
 
+def concept_mentions(concepts: DataFrame, mentions: DataFrame, shown: int = 3, most: int = 1_000_000) -> DataFrame:
+    """Per concept: number of matching mentions and the first of them with the host. The search runs once.
 
-def concept_mentions(concepts: DataFrame, mentions: DataFrame, shown: int = 3) -> DataFrame:
-    """Per concept: number of matching mentions and the first of them with the host. The search runs once."""
-    found = checkpoint(matches(concepts, mentions))
-    sizes = found.groupBy("brand", "concept").agg(F.count("*").alias("matches"))
-    first = top_k(found, ["brand", "concept"], [F.col("mention_id")], shown, "position").join(sizes, ["brand", "concept"])
+    Matches are counted and cut to the first ones of a piece of a brand in the task that finds them: only those are shuffled or written.
+    """
+    filed = _filed(concepts)
+    piece = Window.partitionBy("cid", "_piece")
+    cut = [x.withColumn("position", F.row_number().over(piece.orderBy("mention_id"))).withColumn("_matches", F.sum("_times").over(piece)).filter(F.col("position") <= shown)
+           for x in _found(filed, mentions, most)]
+    found = checkpoint(reduce(DataFrame.unionByName, cut).select("cid", "mention_id", "_times", "position", "_matches"))
+    sizes = found.filter("position = 1").groupBy("cid").agg(F.sum("_matches").alias("matches"))
+    rows = found.select("cid", "mention_id", F.explode(F.sequence(F.lit(1), F.least("_times", F.lit(shown)))).alias("_n")).drop("_n")
+    first = top_k(rows, ["cid"], [F.col("mention_id")], shown, "position").join(sizes, "cid").join(filed.select("cid", "brand", "concept"), "cid")
     detail = mentions.select("mention_id", "title", third_part(F.col("url")).alias("host"))
-    return first.join(detail, "mention_id")
+    return first.select("mention_id", "brand", "concept", "position", "matches").join(detail, "mention_id")
 
 
 def vocabulary_gap(internal: DataFrame, external: DataFrame, *keys: str) -> DataFrame:

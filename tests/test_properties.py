@@ -221,6 +221,35 @@ def test_concept_search_matches_brute_force(spark, most):
     assert set(got) == want and len(got) == len(want) and ("b0", "xneedley", 60) in want
 
 
+@pytest.mark.parametrize("most", [1_000_000, 100, 0])
+def test_concept_counts_are_made_where_texts_are_read(spark, monkeypatch, most):
+    rnd, fixed, keep = random.Random(5), [], offpage.checkpoint
+
+    def noted(df):
+        out = keep(df)
+        fixed.append(out.count() if "mention_id" in out.columns and "cid" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(offpage, "checkpoint", noted)
+    monkeypatch.setattr(offpage, "PIECE", 150)
+    draw = lambda letters, most: "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, most)))
+    # Every text of b0 holds "x y", most several times and beside different letters; an id that comes twice counts four times.
+    texts = [(i, f"b{i % 2}", draw("ab  ", 12), draw("abé ", 40) + ("ax yb x y" if i % 2 == 0 else "") + draw("ab ", 30), f"https://h{i}/p") for i in range(400)]
+    texts += [(400, "b0", "x y", None, "u"), (400, "b0", "x y", None, "u"), (None, "b0", "x y", "x y", "v"), (401, None, "x y", "x y", "v")]
+    texts += [(402, "b1", "aLongWordOfManyLetters", "a b  a", "https://h/p"), (403, "b1", "the long tail of words", "of words the long tail", "https://h/p")]
+    concepts = {(f"b{i % 2}", draw("abÉ  ", 9)) for i in range(150)} | {("b0", "X Y"), ("b0", "x y"), ("b1", "longwordofmanyletter"), ("b1", " "), ("b1", "  a"), ("b1", "tail of w"), ("b1", "long tail "), (None, "x"), ("b2", "x")}
+    m = spark.createDataFrame(texts, "mention_id long, brand string, title string, descr string, url string")
+    got = offpage.concept_mentions(spark.createDataFrame(sorted(concepts, key=str), "brand string, concept string"), m, most=most)
+    got = sorted((r.brand, r.concept, r.mention_id, r.position, r.matches, r.host) for r in got.collect())
+    want, ids = [], [t[0] for t in texts]
+    for b, k in concepts:
+        hits = sorted(i for i, mb, t, d, _ in texts if i is not None and b is not None and mb == b and (k.lower() in (t or "").lower() or k.lower() in (d or "").lower()) for _ in range(ids.count(i)))
+        want += [(b, k, i, n, len(hits), (u.split("/") + [None, None])[2] or u) for n, i in enumerate(hits[:3], 1) for j, _, _, _, u in texts if j == i]
+    assert got == sorted(want) and ("b0", "X Y", 0, 1, 204, "h0") in got
+    # Three rows at most of a concept and a piece of a brand are written, not every match.
+    assert max(fixed) <= 3 * 2 * len(concepts) < 0.3 * sum({(r[0], r[1]): r[4] for r in got}.values())
+
+
 def test_contains_any_quotes_its_words(spark):
     df = spark.createDataFrame([("a.b",), ("axb",)], "x string")
     assert [r[0] for r in df.select(contains_any(F.col("x"), ["a.b", "(("])).collect()] == [True, False]
