@@ -306,3 +306,23 @@ def test_only_texts_of_candidates_move(spark, monkeypatch):
         assert sorted(map(tuple, neardup._bodies(base, members).collect())) == expected
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_near_duplicates_sweep_the_driver_between_rounds(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    words = [f"w{i}" for i in range(60)]
+    before = whole()
+    got = neardup.near_duplicates(docs_of(spark, [(1, " ".join(words)), (2, " ".join(words) + " x"), (3, "other words altogether")]), similar=(4, 5))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert whole() - before >= 4
+
+
+def test_the_bitmap_of_crowded_buckets_is_bounded(spark, monkeypatch):
+    rows = spark.range(3000).select(F.col("id").alias("class"), F.lit(0).alias("band"), F.xxhash64(F.col("id") % 2000).alias("bucket"))
+    highest, real = [], neardup._marked
+    monkeypatch.setattr(neardup, "_marked", lambda rows, wanted, number: highest.append(wanted.agg(F.max(number)).first()[0]) or real(rows, wanted, number))
+    got = sorted(r["class"] for r in neardup._crowded(rows, 1 << 40).collect())
+    assert got == [*range(1000), *range(2000, 3000)]
+    # 16 MB of bits, however many buckets there are.
+    assert 1 << 20 < highest[0] < 1 << 27
